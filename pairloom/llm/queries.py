@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import simhash
+from pairloom.llm import simhash, suffix_dedup
 from pairloom.llm.common import table
 
 
@@ -12,5 +12,9 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_simhash": op2_simhash}
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_simhash": op2_simhash, "op7_suffix_dedup": op7_suffix_dedup}
 ORACLE: dict[str, str] = {}
