@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import simhash, suffix_dedup
+from pairloom.llm import chat, mixing, simhash, suffix_dedup
 from pairloom.llm.common import table
 
 
@@ -16,5 +16,13 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op7_suffix_dedup": op7_suffix_dedup}
-ORACLE: dict[str, str] = {}
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_digests(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash, op6_mixing, op7_suffix_dedup, op9_chat)}
+ORACLE: dict[str, str] = {"op6_mixing": mixing.ORACLE, "op9_chat": chat.ORACLE}
