@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import chat, mixing, simhash, suffix_dedup, toxicity
+from pairloom.llm import chat, context_mixing, mixing, simhash, suffix_dedup, toxicity
 from pairloom.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -28,5 +32,5 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_toxicity, op6_mixing, op7_suffix_dedup, op9_chat)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_toxicity, op4_context_mixing, op6_mixing, op7_suffix_dedup, op9_chat)}
 ORACLE: dict[str, str] = {"op6_mixing": mixing.ORACLE, "op9_chat": chat.ORACLE}
