@@ -13,7 +13,13 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of text that one Arrow batch may bring to a Python worker, unless the session says otherwise.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, 16 << 20)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

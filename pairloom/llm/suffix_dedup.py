@@ -247,33 +247,50 @@ def _marks(dealt: DataFrame, buckets: int) -> DataFrame:
     return dealt.repartitionById(buckets, to.cast("int")).mapInArrow(run, _MARKS)
 
 
-def window_repeats(h, doc, lo, n, la, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Of contexts grouped by anchor: the windows (doc, start) that repeat one at an earlier place in their group."""
-    size = np.fromiter(map(len, texts), np.int64, len(texts))
-    buf = np.frombuffer(b"".join(texts) + bytes(8), np.uint8)
-    base = np.cumsum(size) - size
+def _window_hashes(count: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """A hash of each window of each context, contexts in turn: prefix sums brought to one power, so that equal windows
+    at different places agree."""
+    odd = 0x5851F42D4C957F2D
+    size = max(map(len, texts))
+    power = np.cumprod(np.full(size, np.uint64(odd)))
+    back = np.cumprod(np.full(size, np.uint64(pow(odd, -1, 1 << 64))))
+    out = []
+    for s in range(0, len(texts), 2048):
+        some = texts[s:s + 2048]
+        grid = np.zeros((len(some), size + 1), np.uint64)
+        for i, x in enumerate(some):
+            grid[i, 1:len(x) + 1] = np.frombuffer(x, np.uint8)
+        np.cumsum((grid[:, 1:] + np.uint64(1)) * power, axis=1, out=grid[:, 1:])
+        last = size - SPAN + 1
+        every = (grid[:, SPAN:SPAN + last] - grid[:, :last]) * back[:last]
+        out.append(every[np.arange(last) < count[s:s + 2048, None]])
+    return np.concatenate(out)
+
+
+def window_repeats(h, doc, lo, n, la, texts: list[bytes], most: int = 500_000) -> tuple[np.ndarray, ...]:
+    """Of contexts grouped by anchor: the windows (doc, start) that repeat one at an earlier place in their group.
+    Windows that lie differently around their anchor are never equal, so many are sorted apart by that offset."""
     count = n.astype(np.int64) + 1
-    rep = np.repeat(np.arange(len(n)), count)
-    i = np.arange(len(rep)) - np.repeat(np.cumsum(count) - count, count)
-    p = base[rep] + i
-    odd = np.uint64(0x5851F42D4C957F2D)
-    power = np.cumprod(np.full(len(buf), odd, np.uint64))
-    total = np.append(np.uint64(0), np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power))
-    # brought to one power so that equal windows at different places agree
-    back = np.cumprod(np.full(len(buf), np.uint64(pow(int(odd), -1, 1 << 64)), np.uint64))
-    got = (total[p + SPAN] - total[p]) * back[p]
-    left = la[rep] - i
-    at = lo[rep] + i
-    d = doc[rep]
-    o = multikey_order(got ^ (h[rep].view(np.uint64) * _C[0]), left, d, at)
-    same = _tied(got[o], h[rep][o], left[o])
-    first = o[np.maximum.accumulate(np.where(same, 0, np.arange(len(o))))]
-    w = _words(buf)
-    for k in (*range(0, SPAN - 8, 8), SPAN - 8):
-        if not (w[p[o] + k] == w[p[first] + k])[same].all():
-            raise ArithmeticError("two different windows have one hash")
-    gone = same & ((d[o] != d[first]) | (at[o] != at[first]))
-    return d[o][gone], at[o][gone]
+    got = _window_hashes(count, texts) if len(texts) else np.empty(0, np.uint64)
+    rep = np.repeat(np.arange(len(n), dtype=np.int32), count)
+    i = (np.arange(len(rep)) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint8)
+    left = la.astype(np.int16)[rep] - i
+    slices = [np.arange(len(rep))] if len(rep) <= most else (np.flatnonzero(left == v) for v in range(WIDTH))
+    docs, starts = [], []
+    for s in slices:
+        r, at = rep[s], lo[rep[s]] + i[s]
+        d, hr = doc[r], h[r]
+        o = multikey_order(got[s] ^ (hr.view(np.uint64) * _C[0]), left[s], d, at)
+        same = _tied(got[s][o], hr[o], left[s][o])
+        first = o[np.maximum.accumulate(np.where(same, 0, np.arange(len(o))))] if len(o) else o
+        pairs = np.flatnonzero(same)
+        for x, y in zip(o[pairs].tolist(), first[pairs].tolist()):
+            if texts[r[x]][i[s[x]]:i[s[x]] + SPAN] != texts[r[y]][i[s[y]]:i[s[y]] + SPAN]:
+                raise ArithmeticError("two different windows have one hash")
+        gone = same & ((d[o] != d[first]) | (at[o] != at[first]))
+        docs.append(d[o][gone])
+        starts.append(at[o][gone])
+    return np.concatenate(docs), np.concatenate(starts)
 
 
 def _open_windows(docs: DataFrame, marks: DataFrame, buckets: int) -> DataFrame:
@@ -305,7 +322,7 @@ def _open_windows(docs: DataFrame, marks: DataFrame, buckets: int) -> DataFrame:
         for b in parts:
             held.append(b)
             count += len(b)
-            if count >= 50_000:  # whole anchors only; the last one may go on
+            if count >= 10_000:  # whole anchors only; the last one may go on
                 t = pa.Table.from_batches(held)
                 h = t.column("h").to_numpy()
                 cut = int(np.searchsorted(h, h[-1]))
