@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import chat, context_mixing, mixing, simhash, suffix_dedup, toxicity
+from pairloom.llm import chat, context_mixing, mixing, multiset_hash, simhash, suffix_dedup, toxicity
 from pairloom.llm.common import table
 
 
@@ -28,9 +28,13 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op8_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset_hash.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_toxicity, op4_context_mixing, op6_mixing, op7_suffix_dedup, op9_chat)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_toxicity, op4_context_mixing, op6_mixing, op7_suffix_dedup, op8_multiset_hash, op9_chat)}
 ORACLE: dict[str, str] = {"op6_mixing": mixing.ORACLE, "op9_chat": chat.ORACLE}
