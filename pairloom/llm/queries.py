@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import chat, context_mixing, mixing, multiset_hash, sentencepiece_codec, simhash, suffix_dedup, toxicity
+from pairloom.llm import chat, context_mixing, html_crf, mixing, multiset_hash, sentencepiece_codec, simhash, suffix_dedup, toxicity
 from pairloom.llm.common import table
 
 #: The vocabulary file of op10.
@@ -29,6 +29,10 @@ def op4_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_mixing.lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op5_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -45,5 +49,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.token_digests(table(spark, sf_dir, "documents"), MODEL)
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_toxicity, op4_context_mixing, op6_mixing, op7_suffix_dedup, op8_multiset_hash, op9_chat, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_toxicity, op4_context_mixing, op5_html_crf, op6_mixing, op7_suffix_dedup, op8_multiset_hash, op9_chat, op10_sentencepiece)}
 ORACLE: dict[str, str] = {"op6_mixing": mixing.ORACLE, "op9_chat": chat.ORACLE}
