@@ -1,17 +1,54 @@
-"""A corpus pipeline of five stages over documents; each stage's rows are written as Parquet and read by the next."""
+"""A corpus pipeline of five stages over documents; each stage's rows are written as Parquet and read by the next.
+
+toxicity drops documents that score 0.7 or more; simhash_dedup keeps the document of smallest doc_id of each group of
+fingerprints (3-word shingles, links at up to 3 bits: the operator's contract); suffix_dedup cuts passages of 100 bytes
+and more that occur earlier; mixing repeats documents so that sources meet their targets; sentencepiece encodes what is
+left. Every stage but the last returns the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pairloom.llm import mixing, sentencepiece_codec, simhash, suffix_dedup, toxicity
 from pairloom.llm.common import materialize, table
+from pairloom.llm.queries import MODEL
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_first(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.token_digests(docs, MODEL)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_dedup", drop_near_copies),
+    ("suffix_dedup", cut_repeats),
+    ("mixing", mix_sources),
+    ("sentencepiece", encode),
+]
 
-STAGES: list = []
+#: The models, fingerprints and pieces are beyond SQL; tests compare every stage with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage."""
+    """The rows of the last stage: doc_id (once per copy that the mix takes) and its tokens' digest."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
