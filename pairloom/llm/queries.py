@@ -6,13 +6,17 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import chat, context_mixing, html_crf, mixing, multiset_hash, sentencepiece_codec, simhash, suffix_dedup, toxicity
+from pairloom.llm import chat, context_mixing, html_crf, mixing, multiset_hash, nn_descent, sentencepiece_codec, simhash, suffix_dedup, toxicity
 from pairloom.llm.common import table
 
 #: The vocabulary file of op10.
 MODEL = os.environ.get("PAIRLOOM_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 
 
+def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -49,5 +53,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.token_digests(table(spark, sf_dir, "documents"), MODEL)
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_toxicity, op4_context_mixing, op5_html_crf, op6_mixing, op7_suffix_dedup, op8_multiset_hash, op9_chat, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_nn_descent, op2_simhash, op3_toxicity, op4_context_mixing, op5_html_crf, op6_mixing, op7_suffix_dedup, op8_multiset_hash, op9_chat, op10_sentencepiece)}
 ORACLE: dict[str, str] = {"op6_mixing": mixing.ORACLE, "op9_chat": chat.ORACLE}
