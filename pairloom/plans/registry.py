@@ -1,4 +1,295 @@
-"""Registered queries and their SQL."""
+"""Registered queries and the same in DuckDB's SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from pairloom.functions import core
+from pairloom.operators import candidates as C
+from pairloom.operators import examples as X
+from pairloom.operators import matching as M
+from pairloom.operators import metrics, pairs, scoring
+from pairloom.plans import sql
+from pairloom.sources.places import normalise_places, read_tables, surrogate_places, with_wkb
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLE[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalise_places(surrogate_places(spark, sf_dir), payload=False)
+
+
+def _shown(df: DataFrame, *more: str) -> DataFrame:
+    return df.select("rid_a", "rid_b", core.centimetres(F.col("distance_m")).alias("distance_cm"), *more)
+
+
+@query(sql.PLACE_ROW_COUNTS)
+def place_row_counts(spark, sf_dir):
+    return surrogate_places(spark, sf_dir).groupBy("id").agg(F.count("*").alias("n"))
+
+
+@query(sql.PLACE_MIN_ROWS_GUARD)
+def place_min_rows_guard(spark, sf_dir):
+    counts = place_row_counts(spark, sf_dir)
+    return counts.agg(F.min("n").alias("fewest"), F.max("n").alias("most"), F.count_if(F.col("n") < 2).alias("too_few"))
+
+
+@query(sql.CLOSEST_PAIR_PER_PLACE)
+def closest_pair_per_place(spark, sf_dir):
+    return _shown(C.closest_pairs(places(spark, sf_dir)), "id")
+
+
+@query(sql.GEO_HARD_CANDIDATES)
+def geo_hard_candidates(spark, sf_dir):
+    return _shown(C.near_pairs(places(spark, sf_dir)), "preferred")
+
+
+@query(sql.GEO_CELL_CAPPED)
+def geo_cell_capped(spark, sf_dir):
+    return _shown(C.cap_pairs(C.near_pairs(places(spark, sf_dir)), ["band", "cx"], 5, "cell"), "preferred", "band", "cx")
+
+
+@query(sql.BRAND_HARD_CANDIDATES)
+def brand_hard_candidates(spark, sf_dir):
+    named = places(spark, sf_dir).drop("name_key").join(_names(spark, sf_dir), "id")
+    return _shown(C.same_key_pairs(named, row_cap=60, seed="rows"), "preferred")
+
+
+def _names(spark, sf_dir):
+    (part,) = read_tables(spark, sf_dir, "part")
+    return part.select(F.col("p_partkey").alias("id"), core.text_key(F.col("p_name")).alias("name_key"))
+
+
+def _brand_pairs(spark, sf_dir):
+    named = places(spark, sf_dir).drop("name_key").join(_names(spark, sf_dir), "id")
+    return named, C.cap_pairs(C.same_key_pairs(named, row_cap=60, seed="rows"), ["name_key"], 5, "group")
+
+
+@query(sql.BRAND_GROUP_CAPPED)
+def brand_group_capped(spark, sf_dir):
+    return _shown(_brand_pairs(spark, sf_dir)[1], "preferred", "name_key")
+
+
+@query(sql.DENSEST_FIRST_CAP)
+def densest_first_cap(spark, sf_dir):
+    named, pool = _brand_pairs(spark, sf_dir)
+    return _shown(C.densest_first(pool, named, ["name_key"], 40), "name_key")
+
+
+@query(sql.BRAND_OR_NAME_KEY)
+def brand_or_name_key(spark, sf_dir):
+    (part,) = read_tables(spark, sf_dir, "part")
+    brand = F.when(F.col("p_partkey") % 3 == 0, F.lit("  ")).when(F.col("p_partkey") % 3 == 1, F.col("p_brand"))
+    return part.select("p_partkey", core.brand_or_name_key(brand, F.concat(F.lit(" "), "p_name", F.lit("\t"))).alias("name_key"))
+
+
+@query(sql.LOCALITY_KEY)
+def locality_key(spark, sf_dir):
+    supplier, nation = read_tables(spark, sf_dir, "supplier", "nation")
+    joined = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    address = F.struct(F.col("n_name").alias("locality"))
+    listed = F.when(F.col("s_suppkey") % 4 == 0, F.expr("cast(array() as array<struct<locality:string>>)")).when(F.col("s_suppkey") % 4 == 1, F.lit(None)).otherwise(F.array(address))
+    return joined.select("s_suppkey", core.text_key(core.first_item_field(listed, "locality")).alias("locality"))
+
+
+@query(sql.WKB_POINT_DECODE)
+def wkb_point_decode(spark, sf_dir):
+    lon, lat = core.wkb_point(F.col("geometry"))
+    return with_wkb(surrogate_places(spark, sf_dir)).select("rid", lon.alias("lon"), lat.alias("lat"))
+
+
+@query(sql.NAIVE_PLACE_DRAW)
+def naive_place_draw(spark, sf_dir):
+    ids = place_row_counts(spark, sf_dir).select("id")
+    return M.paired(ids, 100, "naive").select("pair", F.col("id_a").cast("long").alias("id_a"), F.col("id_b").cast("long").alias("id_b"))
+
+
+@query(sql.NAIVE_PAIRS_WIDE)
+def naive_pairs_wide(spark, sf_dir):
+    raw = surrogate_places(spark, sf_dir)
+    drawn = pairs.naive_pairs(raw, 100, "naive")
+    return pairs.widen(drawn, raw.select("rid", "id", "name")).withColumn("label", F.col("label").cast("int"))
+
+
+@query(sql.PAIR_BUDGETS)
+def pair_budgets(spark, sf_dir):
+    return spark.createDataFrame([(n, *M.budgets(n).values()) for n in (1, 2, 5, 10, 1_000, 1_005, 3_000, 10_000, 50_000)], "pairs long, match long, geo long, brand long, easy long")
+
+
+@query(sql.MATCH_DRAW)
+def match_draw(spark, sf_dir):
+    return _shown(M.match_draw(C.closest_pairs(places(spark, sf_dir)), 100, "draw"), "id")
+
+
+@query()
+def greedy_hard_negatives(spark, sf_dir):
+    _, pool = _brand_pairs(spark, sf_dir)
+    return _shown(M.greedy_matching(pool, 50, "greedy"), "id_a", "id_b", "preferred")
+
+
+@query(sql.FAR_ROUND)
+def easy_negative_round(spark, sf_dir):
+    rows = places(spark, sf_dir)
+    return _shown(M.far_round(rows, rows.select("id").distinct(), 200, 1_000.0, "far"), "id_a", "id_b", "preferred")
+
+
+@query()
+def easy_negatives(spark, sf_dir):
+    rows = places(spark, sf_dir)
+    return _shown(M.easy_negatives(rows, rows.select("id").limit(0), 30, 1_000.0, "easy"), "id_a", "id_b", "preferred")
+
+
+def _table(spark, sf_dir, n=60):
+    rows, pool = _brand_pairs(spark, sf_dir)
+    s = pairs.Settings(brand_min_m=200.0)
+    near = C.cap_pairs(C.near_pairs(rows, s.geo_m), ["band", "cx"], s.cell_pairs, s.pool_seed)
+    built = pairs.Pools(rows, C.closest_pairs(rows, s.match_m), near, pool, s)
+    return rows, pairs.geo_pairs(built, n), n, s
+
+
+@query()
+def geo_pairs(spark, sf_dir):
+    rows, table, _, _ = _table(spark, sf_dir)
+    return pairs.widen(table, rows.select("rid", "id", "category", "locality"))
+
+
+@query("SELECT " + ", ".join(f"CAST(0 AS BIGINT) AS {c}" for c in (
+    "wrong_count wrong_matches wrong_geo wrong_brand wrong_easy match_of_two_ids negative_of_one_id label_against_type source_against_type match_too_far "
+    "geo_too_far brand_too_near brand_too_far easy_too_near same_row_twice pair_id_gaps rows_used_twice").split()))
+def geo_pair_invariants(spark, sf_dir):
+    rows, table, n, s = _table(spark, sf_dir)
+    return pairs.invariants(table, rows, n, s)
+
+
+@query()
+def geo_pair_stats(spark, sf_dir):
+    _, table, _, s = _table(spark, sf_dir)
+    return pairs.stats(table, s)
+
+
+@query("SELECT * FROM (VALUES ('easy_negative', CAST(18 AS BIGINT)), ('hard_negative', CAST(12 AS BIGINT)), ('match', CAST(30 AS BIGINT))) t(pair_type, n)")
+def pair_type_breakdown(spark, sf_dir):
+    return pairs.review(_table(spark, sf_dir)[1]).groupBy("pair_type").agg(F.count("*").alias("n"))
+
+
+@query(sql.ALIGNMENT_SPOTCHECK)
+def alignment_spotcheck(spark, sf_dir):
+    rows = surrogate_places(spark, sf_dir).select("rid", "id", "lon", "lat")
+    sample = rows.orderBy(core.hash_order("spot", F.col("rid")), "rid").limit(50)
+    again = sample.join(rows.select("rid", *[F.col(c).alias(f"{c}_again") for c in ("id", "lon", "lat")]), "rid", "left")
+    same = F.coalesce((F.col("id") == F.col("id_again")) & (F.col("lon") == F.col("lon_again")) & (F.col("lat") == F.col("lat_again")), F.lit(False))
+    return again.agg(F.count("*").alias("checked"), F.count_if(~same).alias("mismatches"))
+
+
+LABELLED = X.ExampleSource("quality", {"names": "text", "lang": "lang"}, {"names": "source", "lang": "lang"}, {"doc_id": "doc_id"})
+
+
+def _examples(spark, sf_dir):
+    labels, docs = read_tables(spark, sf_dir, "labels", "documents")
+    rows = labels.join(docs, "doc_id").select("doc_id", "quality", "text", "lang", "source")
+    return X.examples(rows, LABELLED, "doc_id")
+
+
+@query(sql.BALANCED_LIMIT)
+def balanced_limit(spark, sf_dir):
+    return X.balanced_limit(_examples(spark, sf_dir), 51, strict=False).select("row_index", "example_id", "label")
+
+
+@query(sql.EXAMPLE_NORMALISE)
+def example_normalise(spark, sf_dir):
+    e = _examples(spark, sf_dir)
+    return e.select("row_index", "example_id", "label", F.col("record_a.names").alias("a_names"), F.col("record_b.names").alias("b_names"), F.col("metadata.doc_id").alias("doc_id"))
+
+
+@query(sql.DATASET_MANIFEST)
+def dataset_manifest(spark, sf_dir):
+    (labels,) = read_tables(spark, sf_dir, "labels")
+    return X.manifest(labels.select(X.label_name(F.col("quality")).alias("label")))
+
+
+ANSWERS = ("MATCH", "match.", '"NO_MATCH"', "Answer: no match", "`NO-MATCH`", "Probably MATCH", "MATCH or NO_MATCH", '{"prediction":"MATCH"}', "YES", "", None, "NOMATCH", "NO  MATCH", "MATCH!.", " 'no_match' ", "answer :MATCH !")
+
+
+@query(sql.LABEL_PARSE)
+def label_parse(spark, sf_dir):
+    (said,) = read_tables(spark, sf_dir, "conversations")
+    given = spark.createDataFrame([(a,) for a in ANSWERS], "raw string")
+    return given.union(said.select("text")).groupBy(core.parse_label(F.col("raw")).alias("prediction")).agg(F.count("*").alias("n"))
+
+
+@query(sql.LABEL_PARSE_EACH)
+def label_parse_each(spark, sf_dir):
+    given = spark.createDataFrame([(a,) for a in ANSWERS], "raw string")
+    return given.select("raw", core.parse_label(F.col("raw")).alias("prediction"), core.parse_label(F.col("raw"), True).alias("strict"))
+
+
+@query(sql.CONFUSION_METRICS)
+def confusion_metrics(spark, sf_dir):
+    (labels,) = read_tables(spark, sf_dir, "labels")
+    said = F.when(F.col("doc_id") % 11 == 0, "INVALID").otherwise(X.label_name(F.col("toxic")))
+    return metrics.confusion(labels.select(X.label_name(F.col("quality")).alias("ground_truth"), said.alias("prediction")))
+
+
+@query(sql.LATENCY_QUANTILES)
+def latency_quantiles(spark, sf_dir):
+    (events,) = read_tables(spark, sf_dir, "events")
+    timed = events.filter(F.col("value").isNotNull()).select(F.col("value").alias("latency_seconds"))
+    return metrics.latencies(timed).select(*[F.round(c, 6).alias(c) for c in ("average_latency_seconds", "median_latency_seconds", "p95_latency_seconds")])
+
+
+@query(sql.TOKEN_TOTALS)
+def token_totals(spark, sf_dir):
+    (said,) = read_tables(spark, sf_dir, "conversations")
+    counted = said.select(F.length("text").cast("long").alias("input_tokens"), F.length("role").cast("long").alias("output_tokens"))
+    return metrics.tokens(counted, 8.0)
+
+
+@query()
+def prompt_render(spark, sf_dir):
+    return scoring.render(_examples(spark, sf_dir), scoring.Prompt("p", "1", scoring.BASELINE_TEMPLATE, ("names", "lang", "phones"))).select("example_id", "prompt")
+
+
+@query()
+def score_hash(spark, sf_dir):
+    prompt = scoring.Prompt("p", "1", scoring.BASELINE_TEMPLATE, ("names", "lang"))
+    return scoring.score(scoring.render(_examples(spark, sf_dir), prompt), scoring.HashScorer, "hash", prompt)
+
+
+@query(sql.RESUME_REMAINING)
+def resume_remaining(spark, sf_dir):
+    e = _examples(spark, sf_dir)
+    done = e.orderBy("row_index").limit(20).select("row_index", "example_id", F.col("label").alias("ground_truth"))
+    return X.remaining(e, done).select("row_index", "example_id", "label")
+
+
+@query(sql.CONTENT_HASH)
+def content_hash(spark, sf_dir):
+    (docs,) = read_tables(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+
+
+@query(sql.FLATTEN_PREVIEW)
+def flatten_preview(spark, sf_dir):
+    (docs,) = read_tables(spark, sf_dir, "documents")
+    first = docs.orderBy(core.hash_order("view", F.col("doc_id")), "doc_id").limit(20)
+    return first.select("doc_id", core.shortened(F.col("text")).alias("line"))
+
+
+@query(sql.LARGEST_GROUPS)
+def largest_places(spark, sf_dir):
+    ranked = place_row_counts(spark, sf_dir).groupBy("n").agg(F.count("*").alias("places"))
+    return ranked.withColumn("place_rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"))))
