@@ -34,11 +34,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read back: lineage ends here, and a lost executor costs no
-    recomputation of what came before."""
-    path = f"{shared_dir(df.sparkSession)}/pairloom/{uuid.uuid4().hex}"
+    recomputation of what came before. Tables lie under the application's id and may go when it has ended."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/pairloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
