@@ -316,7 +316,7 @@ def _open_windows(docs: DataFrame, marks: DataFrame, buckets: int) -> DataFrame:
             d, at = d[o], at[o]
             new = np.append(True, (d[1:] != d[:-1]) | (at[1:] > at[:-1] + 1)) if len(d) else np.empty(0, bool)
             s = np.flatnonzero(new)
-            e = np.append(s[1:], len(d)) - 1
+            e = np.append(s[1:], len(d))[:len(s)] - 1
             return pa.RecordBatch.from_arrays([pa.array(d[s]), pa.array(at[s]), pa.array((at[e] - at[s]).astype(np.int32))], ["doc_id", "lo", "n"])
 
         for b in parts:

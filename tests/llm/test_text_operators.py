@@ -120,6 +120,29 @@ def test_suffix_dedup(spark, docs, rows):
     assert suffix_dedup.suffix_dedup(empty(spark)).count() == 0
 
 
+def test_shared_strings_under_the_length_stay(spark):
+    r = random.Random(7)
+    common = prose(r, 30)[:80]
+    docs = spark.createDataFrame([(i, prose(r, 30) + common + prose(r, 30)) for i in range(4)], "doc_id long, text string")
+    assert {g.n_removed for g in suffix_dedup.suffix_dedup(docs).collect()} == {0}
+
+
+def test_hot_contexts_are_sliced_alike():
+    r = random.Random(9)
+    common = bytes(r.randrange(97, 123) for _ in range(150))
+    texts = [bytes(r.randrange(97, 123) for _ in range(40)) + common + bytes(r.randrange(97, 123) for _ in range(40)) for _ in range(3)]
+    keys = []
+    for raw in texts:  # the same anchor at byte 90, all its windows
+        got = list(suffix_dedup.slices(5, 22, 68, 68, raw))
+        assert [(lo, n) for _, lo, n, _, _ in got][0][0] == 22 and sum(n + 1 for _, _, n, _, _ in got) == 69
+        assert all(len(b) == n + 100 and raw[lo:lo + n + 100] == b and la == 90 - lo for _, lo, n, la, b in got)
+        keys.append({(lo + i, raw[lo + i:lo + i + 100]): k for k, lo, n, _, _ in got for i in range(n + 1)})
+    for a in keys:
+        for b in keys:
+            assert all(a[w] == b[w] for w in a.keys() & b.keys())
+    assert keys[0].keys() & keys[1].keys()
+
+
 def test_suffix_dedup_splits_long_texts(monkeypatch):
     r = random.Random(4)
     text = prose(r, 400)
