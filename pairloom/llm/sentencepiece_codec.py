@@ -16,16 +16,20 @@ from __future__ import annotations
 import hashlib
 import re
 import string
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.llm.common import batches_of
+
 #: Words and pairs of pieces (2^n) that a worker remembers, and words of one length that advance together.
-WORDS, PAIRS, TOGETHER = 400_000, 21, 20_000
+WORDS, PAIRS, TOGETHER = 200_000, 20, 20_000
+#: Characters of text that are cut into words at a time.
+TEXT = 2_000_000
 _SPACE = "▁"
 _BASE = 0x9E3779B97F4A7C15
 
@@ -48,7 +52,7 @@ class Pieces:
         self.longest = max(map(len, self.id), default=1)
         after_letter = {b for x in self.id for a, b in zip(x, x[1:]) if a.isalpha()}
         stops = "".join(c for c in string.punctuation if c not in after_letter)
-        self.cut = rf"\n|▁*[^▁\n]*?[^\W\d_](?=[{re.escape(stops)}])|▁*[^▁\n]+|▁+" if stops else r"\n|▁*[^▁\n]+|▁+"
+        self.cut = rf"\n|▁*+[^\W\d_]++(?=[{re.escape(stops)}])|▁*[^▁\n]+|▁+" if stops else r"\n|▁*[^▁\n]+|▁+"
         self._codec = None
 
     def codec(self) -> Codec:
@@ -108,8 +112,10 @@ class Codec:
                 key[at] = self._hash(self._grid([names[i] for i in at]))[:, -1]
         order = np.argsort(key)
         self.keys, self.ids = key[order], np.array([pieces.id[x] for x in names], np.int32)[order]
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.maybe = np.zeros(1 << 20, bool)  # of a key's first bits, whether any piece has them
+        self.maybe[self.keys >> np.uint64(44)] = True
+        self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.seen = np.full(1 << PAIRS, -1, np.int64)
         self.judged = np.zeros(1 << PAIRS, bool)
         self.right: dict[int, list] = {}
@@ -162,8 +168,8 @@ class Codec:
             self.judged[slot[new][kept]] = got[kept]
         return out
 
-    def _viterbi(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Piece ids of words of one length."""
+    def _viterbi(self, words: list[str]) -> list[bytes]:
+        """Piece ids (as 32-bit numbers) of words of one length."""
         grid = self._grid(words)
         n, size = grid.shape
         h = self._hash(grid)
@@ -171,8 +177,10 @@ class Codec:
         piece = np.full((reach + 1, size + 1, n), -1, np.int32)  # by length and end
         for m in range(1, reach + 1):
             found = h[:, m:] - h[:, :-m] * self.power[m]
-            at = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
-            piece[m, m:] = np.where(self.keys[at] == found, self.ids[at], -1).T
+            i, j = np.nonzero(self.maybe[found >> np.uint64(44)])
+            some = found[i, j]
+            at = np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)
+            piece[m, m + j, i] = np.where(self.keys[at] == some, self.ids[at], -1)
         piece[1, 1:][piece[1, 1:] < 0] = self.size
         last = np.zeros((size + 1, n), np.int32)
         back = np.zeros((size + 1, n), np.int32)
@@ -196,7 +204,7 @@ class Codec:
                 else:
                     ids.append(t[j])
                 j -= b[j]
-            out.append(tuple(reversed(ids)))
+            out.append(array("i", reversed(ids)).tobytes())
         return out
 
     def learn(self, words: set[str]) -> None:
@@ -210,7 +218,8 @@ class Codec:
             if w in self.old:
                 self.words[w] = self.old[w]
             elif w.startswith(_SPACE * 2):  # runs of spaces have pieces of one score, whose order of merging counts
-                self.words[w] = tuple(i for x in merged(w, self.p.score) for i in ([self.p.id[x]] if x in self.p.id else [self.p.bytes.get(c, self.p.unknown) for c in x.encode()]))
+                ids = [i for x in merged(w, self.p.score) for i in ([self.p.id[x]] if x in self.p.id else [self.p.bytes.get(c, self.p.unknown) for c in x.encode()])]
+                self.words[w] = array("i", ids).tobytes()
             else:
                 by.setdefault(len(w), []).append(w)
         for size, group in by.items():
@@ -220,12 +229,12 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        for start in range(0, len(texts), 1024):
-            cut = [self.cut.findall(_SPACE + t.replace(" ", _SPACE)) if t else [] for t in texts[start:start + 1024]]
+        for _, some in batches_of(texts, [len(t or "") for t in texts], TEXT):
+            cut = [self.cut.findall(_SPACE + t.replace(" ", _SPACE)) if t else [] for t in some]
             self.learn(set().union(*cut))
             get = self.words.__getitem__
             for c in cut:
-                yield np.fromiter(chain.from_iterable(map(get, c)), np.int32)
+                yield np.frombuffer(b"".join(map(get, c)), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; the space that encoding puts first goes, bytes that are no UTF-8 become U+FFFD."""

@@ -27,8 +27,9 @@ SPAN, GRAM = 100, 32
 WIDTH = SPAN - GRAM + 1
 #: Window starts in one piece of a document, bytes in one numpy block, anchors that one flush holds.
 PIECE, BLOCK, FLUSH = 1 << 20, 1 << 18, 400_000
-#: Leading tokens the driver may see, and bits of the filter of documents that have marks (4 MB).
-SAMPLE, FILTER_BITS = 20_000, 1 << 25
+#: Leading tokens the driver may see, how often a hot anchor is among them, windows in a slice of a hot context, and bits
+#: of the filter of documents that have marks (4 MB).
+SAMPLE, HOT, SLICE, FILTER_BITS = 20_000, 16, 8, 1 << 25
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -136,14 +137,17 @@ def multikey_order(first: np.ndarray, *rest: np.ndarray) -> np.ndarray:
     return order
 
 
-def _deal(lead: np.ndarray, h: np.ndarray, splits: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The bucket of each suffix: how many splitters (token, hash) are not above it."""
+def _deal(lead: np.ndarray, h: np.ndarray, ctx: np.ndarray, splits: tuple[np.ndarray, ...]) -> np.ndarray:
+    """The bucket of each suffix: how many splitters (token, hash) are not above it; a hot anchor goes to all buckets by its
+    context."""
     out = np.searchsorted(splits[0], lead, "left")
     right = np.searchsorted(splits[0], lead, "right")
     for v in np.unique(lead[out < right]):
         s, e = np.searchsorted(splits[0], v, "left"), np.searchsorted(splits[0], v, "right")
         i = np.flatnonzero(lead == v)
         out[i] = s + np.searchsorted(splits[1][s:e], h[i], "right")
+    hot = np.isin(h, splits[2])
+    out[hot] = (ctx[hot] % np.uint64(len(splits[0]) + 1)).astype(np.int64)
     return out
 
 
@@ -162,7 +166,8 @@ def _repeats(r: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarra
     return r, moved, ~again
 
 
-def _splitters(docs: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def _splitters(docs: DataFrame, buckets: int) -> tuple[np.ndarray, ...]:
+    """Leading tokens and hashes that cut the order of suffixes into buckets, and the hashes of hot anchors."""
     n = docs.count()
 
     def some(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +181,8 @@ def _splitters(docs: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     both = np.array([(r["lead"], r["h"]) for r in rows], np.int64).reshape(-1, 2).view(np.uint64)
     both = both[np.lexsort((both[:, 1], both[:, 0]))]
     cut = both[(np.arange(1, buckets) * len(both)) // buckets] if len(both) else both
-    return cut[:, 0].copy(), cut[:, 1].copy()
+    seen, often = np.unique(both[:, 1], return_counts=True)
+    return cut[:, 0].copy(), cut[:, 1].copy(), seen[often >= HOT]
 
 
 def _dealt(docs: DataFrame, splits) -> DataFrame:
@@ -195,7 +201,7 @@ def _dealt(docs: DataFrame, splits) -> DataFrame:
             if moved.any():
                 rows.append((-1 - int(gone["doc"][0] % (len(splits[0]) + 1)), gone))
             kept = {f: r[f][first] for f in r}
-            bucket = _deal(kept["lead"], kept["h"], splits)
+            bucket = _deal(kept["lead"], kept["h"], kept["ctx"], splits)
             o = np.lexsort((kept["lo"], kept["doc"], bucket))
             cuts = np.flatnonzero(np.diff(bucket[o])) + 1
             for part in np.split(o, cuts):
@@ -218,8 +224,8 @@ def _dealt(docs: DataFrame, splits) -> DataFrame:
     return docs.mapInArrow(run, _DEALT)
 
 
-def _marks(dealt: DataFrame, buckets: int) -> DataFrame:
-    """Per bucket: windows that go (h null), and one copy of each context of an anchor that has several (h set)."""
+def _marks(dealt: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
+    """Per bucket: windows that go (h null), and one copy of each context of an anchor that has several or is hot (h set)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {f: [] for f, _ in FIELDS}
@@ -237,7 +243,7 @@ def _marks(dealt: DataFrame, buckets: int) -> DataFrame:
             r = {f: v[first] for f, v in r.items()}
             tie = _tied(r["h"])
             tie[:-1] |= tie[1:]
-            yield rows(r, tie, True)
+            yield rows(r, tie | np.isin(r["h"], hot), True)
 
     def rows(r, which, open_):
         h = pa.array(r["h"][which].view(np.int64)) if open_ else pa.nulls(int(which.sum()), pa.int64())
@@ -293,17 +299,33 @@ def window_repeats(h, doc, lo, n, la, texts: list[bytes], most: int = 500_000) -
     return np.concatenate(docs), np.concatenate(starts)
 
 
-def _open_windows(docs: DataFrame, marks: DataFrame, buckets: int) -> DataFrame:
+def slices(h: int, lo: int, n: int, la: int, raw: bytes) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """A hot anchor's context in slices of windows, by their offset from the anchor. All windows of a slice share its core,
+    so equal ones are in slices of equal cores, and a hash of the core deals them out as a key of their own."""
+    first = 0
+    while first <= n:
+        part = (la - first) // SLICE
+        last = min(n, la - part * SLICE)
+        core = raw[lo + la - part * SLICE:lo + la - (part + 1) * SLICE + 1 + SPAN]
+        key = int.from_bytes(hashlib.blake2b(core, digest_size=8, salt=part.to_bytes(2, "little"), key=(h & (1 << 64) - 1).to_bytes(8, "little")).digest(), "little", signed=True)
+        yield key, lo + first, last - first, la - first, raw[lo + first:lo + last + SPAN]
+        first = last + 1
+
+
+def _open_windows(docs: DataFrame, marks: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
     """The windows of several-context anchors that repeat earlier ones: (doc_id, lo, n)."""
+    split = set(hot.view(np.int64).tolist())
     want = marks.filter("h is not null").groupBy("doc_id").agg(F.collect_list(F.struct("h", "lo", "n", "la")).alias("want"))
 
     def fetch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             for t, d, want in zip(b.column("text"), b.column("doc_id").to_pylist(), b.column("want")):
-                v = want.values
                 raw = t.as_buffer().to_pybytes()
-                lo, n = v.field("lo").to_numpy(), v.field("n").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lo), d)), v.field("h"), v.field("lo"), v.field("n"), v.field("la"), pa.array([raw[s:s + k + SPAN] for s, k in zip(lo.tolist(), n.tolist())], pa.binary())], ["doc_id", "h", "lo", "n", "la", "bytes"])
+                rows = []
+                for h, lo, n, la in zip(*(want.values.field(c).to_pylist() for c in ("h", "lo", "n", "la"))):
+                    rows += slices(h, lo, n, la, raw) if h in split else [(h, lo, n, la, raw[lo:lo + n + SPAN])]
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), d)), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], ["doc_id", "h", "lo", "n", "la", "bytes"])
 
     def settle(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -359,9 +381,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     buckets = partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marks = materialize(_marks(_dealt(docs, _splitters(docs, buckets)), buckets))
+    splits = _splitters(docs, buckets)
+    marks = materialize(_marks(_dealt(docs, splits), buckets, splits[2]))
     open_ = marks.filter("h is not null")
-    more = materialize(_open_windows(docs.filter(_marked(open_)), marks, buckets))
+    more = materialize(_open_windows(docs.filter(_marked(open_)), marks, buckets, splits[2]))
     spans = marks.filter("h is null").select("doc_id", "lo", "n").union(more)
     out = materialize(spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("spans")))
     discard(marks)
