@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +22,7 @@ BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if spark.conf.get(BATCH, None) is None:
-        spark.conf.set(BATCH, 16 << 20)
+        spark.conf.set(BATCH, 4 << 20)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -59,6 +62,21 @@ def fold(doc_id: str | F.Column, n: int) -> F.Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(n)
 
 
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """run, for mapInArrow; when its task ends, the memory it has freed goes back to the system. Workers live on between
+    stages, and what they held on to would add to what the next one needs."""
+
+    def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(parts)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return task
+
+
 def batches_of(rows: list, sizes: list[int], limit: int):
     """Consecutive runs of rows whose sizes add up to about limit, a larger row alone."""
     start = total = 0

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import batches_of
+from pairloom.llm.common import batches_of, releasing
 
 #: Words and pairs of pieces (2^n) that a worker remembers, and words of one length that advance together.
 WORDS, PAIRS, TOGETHER = 200_000, 20, 20_000
@@ -252,7 +252,7 @@ def encode_texts(docs: DataFrame, model_file: str) -> DataFrame:
             ids = list(codec.encode(b.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), _lists(ids)], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(releasing(run), "doc_id long, ids array<int>")
 
 
 def _lists(ids: list[np.ndarray]) -> pa.Array:
@@ -270,7 +270,7 @@ def decode_ids(encoded: DataFrame, model_file: str) -> DataFrame:
             texts = [codec.decode(np.array(x.as_py() or [], np.int32)) for x in b.column("ids")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(releasing(run), "doc_id long, text string")
 
 
 def token_digests(docs: DataFrame, model_file: str) -> DataFrame:
@@ -292,4 +292,4 @@ def token_digests(docs: DataFrame, model_file: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "n_tokens", "n_byte_tokens", "ids_sha256", "round_trip"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, n_tokens long, n_byte_tokens long, ids_sha256 string, round_trip boolean")
+        releasing(run), "doc_id long, n_tokens long, n_byte_tokens long, ids_sha256 string, round_trip boolean")

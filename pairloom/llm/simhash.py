@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import materialize, partitions
+from pairloom.llm.common import materialize, partitions, releasing
 from pairloom.llm.components import components
 
 SEGMENTS, BITS = 8, 3
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             fp = np.array([fingerprint(t.as_py(), width) for t in b.column("text")], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(releasing(run), "doc_id long, fp long")
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -149,7 +149,7 @@ def links(nodes: DataFrame) -> DataFrame:
 
     keyed = nodes.select("node", "fp", F.explode(_keys()).alias("key"))
     dealt = keyed.repartition(partitions(nodes.sparkSession), "key").sortWithinPartitions("key")
-    return dealt.select("key", "node", "fp").mapInArrow(run, "a long, b long").distinct()
+    return dealt.select("key", "node", "fp").mapInArrow(releasing(run), "a long, b long").distinct()
 
 
 def simhash_groups(docs: DataFrame, width: int = 3) -> DataFrame:

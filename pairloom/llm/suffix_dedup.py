@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import discard, materialize, partitions
+from pairloom.llm.common import discard, materialize, partitions, releasing
 
 SPAN, GRAM = 100, 32
 WIDTH = SPAN - GRAM + 1
@@ -176,7 +176,7 @@ def _splitters(docs: DataFrame, buckets: int) -> tuple[np.ndarray, ...]:
                 _, _, _, h, _, lead, _ = anchors(buf, ends)
                 yield pa.RecordBatch.from_arrays([pa.array(lead[::16].view(np.int64)), pa.array(h[::16].view(np.int64))], ["lead", "h"])
 
-    took = docs.sample(min(1.0, 4000 / max(n, 1)), seed=7).mapInArrow(some, "lead long, h long")
+    took = docs.sample(min(1.0, 4000 / max(n, 1)), seed=7).mapInArrow(releasing(some), "lead long, h long")
     rows = took.orderBy(F.xxhash64("lead", "h")).limit(SAMPLE).collect()
     both = np.array([(r["lead"], r["h"]) for r in rows], np.int64).reshape(-1, 2).view(np.uint64)
     both = both[np.lexsort((both[:, 1], both[:, 0]))]
@@ -221,7 +221,7 @@ def _dealt(docs: DataFrame, splits) -> DataFrame:
         if count:
             yield flush()
 
-    return docs.mapInArrow(run, _DEALT)
+    return docs.mapInArrow(releasing(run), _DEALT)
 
 
 def _marks(dealt: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
@@ -250,7 +250,7 @@ def _marks(dealt: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(r["doc"][which]), h, pa.array(r["lo"][which]), pa.array(r["n"][which].astype(np.int32)), pa.array(r["la"][which].astype(np.int32))], ["doc_id", "h", "lo", "n", "la"])
 
     to = F.when(F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.col("bucket"))
-    return dealt.repartitionById(buckets, to.cast("int")).mapInArrow(run, _MARKS)
+    return dealt.repartitionById(buckets, to.cast("int")).mapInArrow(releasing(run), _MARKS)
 
 
 def _window_hashes(count: np.ndarray, texts: list[bytes]) -> np.ndarray:
@@ -355,8 +355,8 @@ def _open_windows(docs: DataFrame, marks: DataFrame, buckets: int, hot: np.ndarr
         if count:
             yield out(pa.Table.from_batches(held))
 
-    got = docs.select("doc_id", "text").join(want, "doc_id").mapInArrow(fetch, "doc_id long, h long, lo long, n int, la int, bytes binary")
-    return got.repartition(buckets, "h").sortWithinPartitions("h").mapInArrow(settle, "doc_id long, lo long, n int")
+    got = docs.select("doc_id", "text").join(want, "doc_id").mapInArrow(releasing(fetch), "doc_id long, h long, lo long, n int, la int, bytes binary")
+    return got.repartition(buckets, "h").sortWithinPartitions("h").mapInArrow(releasing(settle), "doc_id long, lo long, n int")
 
 
 def _marked(marks: DataFrame):
@@ -441,7 +441,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _with_spans(docs).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(docs).mapInArrow(releasing(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -457,5 +457,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             names = [c for c in b.schema.names if c != "__spans"]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in names], names)
 
-    out = _with_spans(docs).mapInArrow(run, docs.schema)
+    out = _with_spans(docs).mapInArrow(releasing(run), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

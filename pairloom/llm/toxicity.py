@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import discard, fold, materialize
+from pairloom.llm.common import discard, fold, materialize, releasing
 
 #: At most so many labelled rows fit the model (the smallest hashes of doc_id), and so many terms make the lexicon.
 TRAIN_ROWS, LEXICON = 24_000, 4_000
@@ -219,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     clean_rows, toxic_rows = ([rows_of.get((y, k), 0) for k in range(PARTS)] for y in (0, 1))
     toxic, clean = sum(toxic_rows), sum(clean_rows)
     by_part = [F.sum(F.when(F.col("part") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for c in "tc" for k in range(PARTS)]
-    counts = sample.mapInArrow(count, "term string, part int, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), *by_part)
+    counts = sample.mapInArrow(releasing(count), "term string, part int, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), *by_part)
     odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
     chosen = counts.filter("t >= 3").withColumn("odds", odds).filter("odds > 1.5").orderBy(F.desc(F.col("odds") * F.log("t")), "term").limit(LEXICON).collect()
     lex = Lexicon({r["term"]: tuple([r[f"{c}{k}"] for k in range(PARTS)] for c in "tc") for r in chosen}, (toxic_rows, clean_rows))
@@ -229,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             x = [features(t, lex, k) for t, k in zip(b.column("text").to_pylist(), b.column("part").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(x, pa.list_(pa.float64())), b.column("y"), b.column("part")], ["doc_id", "x", "y", "part"])
 
-    rows_ = sorted(sample.mapInArrow(describe, "doc_id long, x array<double>, y int, part int").collect(), key=lambda r: (r["doc_id"], r["x"]))
+    rows_ = sorted(sample.mapInArrow(releasing(describe), "doc_id long, x array<double>, y int, part int").collect(), key=lambda r: (r["doc_id"], r["x"]))
     discard(sample)
     y = np.array([r["y"] for r in rows_], float)
     if not toxic or not clean:
@@ -257,7 +257,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, rows: i
             x = np.array([features(t.as_py(), model.lexicon) for t in b.column("text")], float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.score(x))], ["doc_id", "score"])
 
-    out = docs.mapInArrow(run, "doc_id long, score double")
+    out = docs.mapInArrow(releasing(run), "doc_id long, score double")
     return out.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -270,4 +270,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, rows:
             x = np.array([features(t.as_py(), model.lexicon) for t in b.column("text")], float).reshape(-1, len(FEATURES))
             yield b.filter(pa.array(model.score(x) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)
