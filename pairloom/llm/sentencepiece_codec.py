@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from pairloom.llm.common import batches_of, releasing
 
 #: Words and pairs of pieces (2^n) that a worker remembers, and words of one length that advance together.
-WORDS, PAIRS, TOGETHER = 200_000, 20, 20_000
+WORDS, PAIRS, TOGETHER = 100_000, 20, 20_000
 #: Characters of text that are cut into words at a time.
-TEXT = 2_000_000
+TEXT = 1_000_000
 _SPACE = "▁"
 _BASE = 0x9E3779B97F4A7C15
 
