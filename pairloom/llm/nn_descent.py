@@ -4,8 +4,8 @@ Equal vectors are one node with a multiplicity. A forest of random projections s
 nodes are sorted by their side of random hyperplanes, and each takes the best of a window around it. Then every node
 joins its neighbours with each other (neighbours of neighbours), and lists take what is nearer, until little changes. An
 audit compares a bounded sample with all nodes; while it finds too few of the true links, more trees are added. Links are
-the list entries at the threshold. A node whose list is full of links is saturated: its list is enlarged to all of its
-component, which is compared exactly in pairs of blocks that return counts, never pairs.
+the list entries at the threshold. A node whose list is full of links is saturated: what it links with, in its component
+or another, is found by exact comparison with all nodes, which returns counts and links of components, never pairs.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from pairloom.llm.common import discard, materialize, partitions
 from pairloom.llm.components import components
 
-#: List length, trees of one planting, window of a tree, bits of a code, rounds, nodes in the audit, nodes in a block.
-K, TREES, WINDOW, CODE, ROUNDS, AUDIT, BLOCK = 10, 8, 64, 48, 3, 2048, 256
+#: List length, trees of one planting, window of a tree, bits of a code, rounds, nodes in the audit, nodes in a block,
+#: bytes of saturated nodes' vectors in a pass.
+K, TREES, WINDOW, CODE, ROUNDS, AUDIT, BLOCK, PASS = 10, 8, 64, 48, 3, 2048, 256, 16 << 20
 RECALL, PLANTINGS = 0.995, 4
 _EDGE = "a long, b long, sim double"
 
@@ -168,7 +169,8 @@ def _joined(nodes: DataFrame, lists: DataFrame, fresh: DataFrame, parts: int) ->
 
 
 def _audit(nodes: DataFrame, links: DataFrame, threshold: float) -> float:
-    """The share of a sample's true links that the lists hold."""
+    """The share of a sample's true links that the lists hold. nodes and links are those apart from saturated nodes,
+    whose links are all found exactly later."""
     sample = nodes.orderBy(F.xxhash64("node"), "node").limit(AUDIT).select("node", "grp", "v").collect()
     by: dict[str, list] = {}
     for r in sample:
@@ -177,48 +179,107 @@ def _audit(nodes: DataFrame, links: DataFrame, threshold: float) -> float:
 
     def true(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            where: dict[str, list[int]] = {}
-            for i, g in enumerate(b.column("grp").to_pylist()):
+            for g, some in _by_group(b):
                 if g in held:
-                    where.setdefault(g, []).append(i)
-            for g, at in where.items():
-                some = b.take(pa.array(at))
-                ids, x = held[g]
-                sim = x @ _matrix(some.column("v")).T
-                i, j = np.nonzero(sim >= threshold)
-                yield _edges(ids[i], some.column("node").to_numpy()[j], sim[i, j])
-
-    want = nodes.select("node", "grp", "v").mapInArrow(true, _EDGE).groupBy("a").agg(F.count("*").alias("want"))
-    got = links.groupBy("a").agg(F.count("*").alias("got"))
-    # a list holds K at most: what a saturated node lacks is not missed but enlarged later
-    r = want.join(got, "a", "left").agg(F.sum(F.least("want", F.lit(K))).alias("w"), F.sum(F.least(F.coalesce("got", F.lit(0)), F.col("want"), F.lit(K))).alias("g")).first()
+                    ids, x = held[g]
+                    sim = x @ _matrix(some.column("v")).T
+                    i, j = np.nonzero(sim >= threshold)
+                    yield _edges(ids[i], some.column("node").to_numpy()[j], sim[i, j])
+
+    want = nodes.select("node", "grp", "v").mapInArrow(true, _EDGE).select("a", "b")
+    got = links.select("a", "b", F.lit(1).alias("got"))
+    r = want.join(got, ["a", "b"], "left").agg(F.count("*").alias("w"), F.count("got").alias("g")).first()
     return (r["g"] / r["w"]) if r["w"] else 1.0
 
 
-def _enlarged(nodes: DataFrame, links: DataFrame, where: DataFrame, threshold: float, parts: int) -> DataFrame:
-    """(node, n) for all nodes of components with a saturated list: the multiplicities of all that link, by exact
-    comparison of pairs of blocks of the component."""
-    full = links.groupBy("a").count().filter(F.col("count") >= K).select(F.col("a").alias("node"))
-    marked = where.join(full, "node", "left_semi").select("component").distinct()
-    inside = where.join(marked, "component", "left_semi").join(nodes, "node").select("component", "node", "v", "many")
-    sizes = inside.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = inside.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # a block meets every other once: it goes to the cells (i, j) of its row and column
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    sent = placed.withColumn("other", other).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "v", "many")
-
-    def compare(t: pa.Table) -> pa.Table:
-        block = t.column("block").to_numpy()
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        x, node, many = _matrix(t.column("v").combine_chunks()), t.column("node").to_numpy(), t.column("many").to_numpy()
-        out = []
-        for one, two in {(i, j), (j, i)}:
-            p, q = np.flatnonzero(block == one), np.flatnonzero(block == two)
-            linked = (x[p] @ x[q].T >= threshold) & (node[p][:, None] != node[q])
-            out.append((node[p], linked @ many[q]))
-        return pa.table({"node": np.concatenate([a for a, _ in out]), "n": np.concatenate([b for _, b in out]).astype(np.int64)})
+def _by_group(b: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
+    at: dict[str, list[int]] = {}
+    for i, g in enumerate(b.column("grp").to_pylist()):
+        at.setdefault(g, []).append(i)
+    for g, some in at.items():
+        yield g, b.take(pa.array(some))
+
 
-    return sent.groupBy("component", "i", "j").applyInArrow(compare, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+def _full(links: DataFrame) -> DataFrame:
+    """The saturated nodes."""
+    return links.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") >= K).select(F.col("a").alias("node"))
+
+
+def _blocks(rows: list, threshold: float) -> dict[str, tuple]:
+    """Saturated nodes by group: vectors, nodes, multiplicities, components, where blocks begin and end, their centres,
+    and the least cosine to a centre that a vector linked with one of its block can have."""
+    by: dict[str, list] = {}
+    for r in rows:
+        by.setdefault(r["grp"], []).append(r)
+    out = {}
+    for g, rs in by.items():
+        x = _matrix([bytes(r["v"]) for r in rs])
+        node, many, component = (np.array([r[c] for r in rs], np.int64) for c in ("node", "many", "component"))
+        code = (x @ np.random.default_rng(0).standard_normal((x.shape[1], CODE)) > 0) @ (1 << np.arange(CODE, dtype=np.int64))
+        order = np.lexsort((node, code, component))
+        x, node, many, component = x[order], node[order], many[order], component[order]
+        starts = [0, *(np.flatnonzero(np.diff(component)) + 1).tolist(), len(node)]
+        cuts = [k for s, e in zip(starts[:-1], starts[1:]) for k in range(s, e, BLOCK)] + [len(node)]
+        centres, least = [], []
+        for s, e in zip(cuts[:-1], cuts[1:]):
+            c = x[s:e].mean(0)
+            c = c / np.linalg.norm(c) if np.linalg.norm(c) > 1e-9 else x[s]
+            angle = np.arccos(np.clip((x[s:e] @ c).min(), -1, 1)) + np.arccos(np.clip(threshold, -1, 1)) + 1e-6
+            centres.append(c)
+            least.append(np.cos(angle) if angle < np.pi else -2.0)
+        out[g] = (x, node, many.astype(np.float64), component, cuts, np.array(centres), np.array(least))
+    return out
+
+
+def _enlarged(placed: DataFrame, threshold: float) -> DataFrame:
+    """placed(node, grp, v, many, component, full) -> (a, b, n): for n not null, the multiplicities of what node a links
+    with, of all nodes where a is full and of the full ones else (to be summed); for n null, components a and b that link.
+
+    Full nodes are compared exactly with all nodes of their group, in passes over the nodes with at most about PASS bytes
+    of full ones; a block of them is left out for a vector that is too far from its centre to link with any."""
+    full = placed.filter("full")
+    spark = placed.sparkSession
+    size = full.agg(F.sum(F.length("v")).alias("n")).first()["n"] or 0
+    passes = -(-size // PASS)
+    parts = full.groupBy("component").agg(F.ceil(4 * F.sum(F.length("v")) / PASS).alias("parts"))
+    keyed = full.join(parts, "component").withColumn("pass", F.pmod(F.xxhash64("component", F.pmod(F.xxhash64("node"), "parts")), F.lit(passes or 1)))
+    schema = "a long, b long, n long"
+    out = spark.createDataFrame([], schema)
+    for k in range(passes):
+        rows = keyed.filter(F.col("pass") == k).select("node", "grp", "v", "many", "component").collect()
+        shared = spark.sparkContext.broadcast(_blocks(rows, threshold))
+
+        def compare(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            held = shared.value
+            sums = {g: np.zeros(len(h[1])) for g, h in held.items()}
+            joins: set[tuple[int, int]] = set()
+            for b in batches:
+                for g, some in ((g, part.slice(i, 1024)) for g, part in _by_group(b) if g in held for i in range(0, len(part), 1024)):
+                    xs, nodes, many_s, component_s, cuts, centres, least = held[g]
+                    x = _matrix(some.column("v"))
+                    node, many, component = (some.column(c).to_numpy() for c in ("node", "many", "component"))
+                    n = np.zeros(len(x))
+                    near = x @ centres.T >= least
+                    for i in np.flatnonzero(near.any(0)).tolist():
+                        q, s, e = np.flatnonzero(near[:, i]), cuts[i], cuts[i + 1]
+                        linked = (x[q] @ xs[s:e].T >= threshold) & (node[q][:, None] != nodes[s:e])
+                        n[q] += linked @ many_s[s:e]
+                        sums[g][s:e] += many[q].astype(np.float64) @ linked
+                        joins.update((int(c), int(component_s[s])) for c in np.unique(component[q[linked.any(1)]]) if c != component_s[s])
+                    use = ~np.array(some.column("full").to_pylist(), bool) & (n > 0)
+                    yield _counted(node[use], n[use])
+            for g, n in sums.items():
+                yield _counted(held[g][1][n > 0], n[n > 0])
+            pairs = np.array(sorted(joins), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int64())], ["a", "b", "n"])
+
+        out = out.union(materialize(placed.mapInArrow(compare, schema)))
+        shared.unpersist()
+    return out
+
+
+def _counted(node: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(len(node), pa.int64()), pa.array(n.astype(np.int64))], ["a", "b", "n"])
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
@@ -247,14 +308,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
                 break
         links = lists.filter(F.col("sim") >= threshold)
         links = materialize(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-        if _audit(nodes, links, threshold) >= RECALL:
+        full = materialize(_full(links))
+        rest = links.join(full.withColumnRenamed("node", "a"), "a", "left_anti").join(full.withColumnRenamed("node", "b"), "b", "left_anti")
+        if _audit(nodes.join(full, "node", "left_anti"), rest, threshold) >= RECALL:
             break
-    where = materialize(components(links))
+    where = components(links)
+    placed = materialize(nodes.join(where, "node", "left").join(full.withColumn("full", F.lit(True)), "node", "left").select(
+        "node", "grp", "v", "many", F.coalesce("component", "node").alias("component"), F.coalesce("full", F.lit(False)).alias("full")))
+    exact = _enlarged(placed, threshold)
+    merged = components(exact.filter("n is null").select("a", "b")).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    through = exact.filter("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     many = nodes.select(F.col("node").alias("b"), "many")
-    plain = links.join(many, "b").groupBy(F.col("a").alias("node")).agg(F.sum("many").alias("plain"))
-    all_ = materialize(_enlarged(nodes, links, where, threshold, parts))
-    per_node = (nodes.select("node", "many").join(where, "node", "left").join(plain, "node", "left").join(all_, "node", "left")
-                .select("node", (F.coalesce("n", "plain", F.lit(0)) + F.col("many") - 1).alias("n"), F.coalesce("component", "node").alias("component")))
+    plain = rest.join(many, "b").groupBy(F.col("a").alias("node")).agg(F.sum("many").alias("plain"))
+    per_node = (placed.select("node", "many", "component").join(merged, "component", "left").join(through, "node", "left").join(plain, "node", "left")
+                .select("node", (F.coalesce("n", F.lit(0)) + F.coalesce("plain", F.lit(0)) + F.col("many") - 1).alias("n"), F.coalesce("whole", "component").alias("component")))
     by_id = members.select("vec_id", "node").distinct().join(per_node, "node").select("vec_id", "n", "component")
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), _usable(vectors).alias("__u")).join(by_id, "vec_id", "left").select(
         "vec_id", F.when(F.col("__u"), F.coalesce("n", F.lit(0))).otherwise(0).cast("long").alias("n_links"),

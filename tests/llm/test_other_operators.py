@@ -58,6 +58,39 @@ def test_near_duplicates(spark, monkeypatch):
     assert nn_descent.near_duplicates(df.limit(0)).count() == 0
 
 
+def _by_force(rows, threshold=0.93):
+    """(vec_id, n_links, component_id, kept) of distinct ids with usable vectors of one length, by all pairs."""
+    x = np.array([e for _, e, _ in rows], np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = np.array([y for _, _, y in rows])
+    link = (x @ x.T >= threshold) & (y[:, None] == y) & ~np.eye(len(rows), dtype=bool)
+    low = np.array([v for v, _, _ in rows])
+    while True:
+        new = np.minimum(low, np.where(link, low, low.max()).min(1))
+        if (new == low).all():
+            break
+        low = new
+    return sorted((v, int(n), int(c), v == c) for (v, _, _), n, c in zip(rows, link.sum(1), low))
+
+
+def test_near_duplicates_between_dense_groups(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    a, b = np.eye(64)[:2]
+    rows = []
+    for centre in (a, 0.947 * a + math.sqrt(1 - 0.947**2) * b):  # 0.99 and more within, 0.93 to 0.95 between
+        for _ in range(40):
+            rows.append((len(rows), (centre + np.append(np.zeros(2), 0.004 * r.normal(size=62))).tolist(), 0))
+    far = a * 0.94 - math.sqrt(1 - 0.94**2) * b
+    rows += [(len(rows), far.tolist(), 0)]  # one vector that links with the first group only
+    rows += [(len(rows) + i, r.normal(size=64).tolist(), 0) for i in range(100)]
+    want = _by_force(rows)
+    assert want[0][1] == 80 and want[79][2] == 0
+    monkeypatch.setattr(nn_descent, "BLOCK", 16)
+    monkeypatch.setattr(nn_descent, "PASS", 64 * 8 * 25)  # several passes
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    assert sorted(map(tuple, nn_descent.near_duplicates(df).collect())) == want
+
+
 PAGES = [
     ("<html><body><nav><a href=x>Home</a></nav><article><h1>A &amp; B</h1><p>One <b>two</b>&nbsp;three.<br>four <p>Five</article><footer>&copy; me</footer>", "A & B One two three. four Five"),
     ('<div id="content"><p>The story goes on here.</p><script>var a = "<p>no</p>";</script><p>And it ends well.</p></div><div class="comments"><p>Nice one, thanks a lot.</p></div>', "The story goes on here. And it ends well."),
