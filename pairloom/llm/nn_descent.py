@@ -3,13 +3,15 @@
 Equal vectors are one node with a multiplicity. A forest of random projections starts a neighbour graph: per tree the
 nodes are sorted by their side of random hyperplanes, and each takes the best of a window around it. Then every node
 joins its neighbours with each other (neighbours of neighbours), and lists take what is nearer, until little changes. An
-audit compares a bounded sample with all nodes; while it finds too few of the true links, more trees are added. Links are
+audit compares a bounded sample with all nodes; while it finds too few of the true links of nodes with one, a few or many
+links, more trees are added, and where that does not suffice every node is compared with all. Links are
 the list entries at the threshold. A node whose list is full of links is saturated: what it links with, in its component
 or another, is found by exact comparison with all nodes, which returns counts and links of components, never pairs.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +22,13 @@ from pyspark.sql import functions as F
 from pairloom.llm.common import discard, materialize, partitions
 from pairloom.llm.components import components
 
+log = logging.getLogger(__name__)
 #: List length, trees of one planting, window of a tree, bits of a code, rounds, nodes in the audit, nodes in a block,
 #: bytes of saturated nodes' vectors in a pass.
 K, TREES, WINDOW, CODE, ROUNDS, AUDIT, BLOCK, PASS = 10, 8, 64, 48, 3, 2048, 256, 16 << 20
-RECALL, PLANTINGS = 0.995, 4
+RECALL, PLANTINGS = 0.995, 16
+#: Numbers of links that the audit judges apart: from each up to below the next.
+SIZES = (1, 2, 4, K)
 _EDGE = "a long, b long, sim double"
 
 
@@ -169,9 +174,13 @@ def _joined(nodes: DataFrame, lists: DataFrame, fresh: DataFrame, parts: int) ->
 
 
 def _audit(nodes: DataFrame, links: DataFrame, threshold: float) -> float:
-    """The share of a sample's true links that the lists hold. nodes and links are those apart from saturated nodes,
+    """The least share of a sample's true links that the lists hold, over classes of nodes by their number of links. Half
+    of the sample are any nodes, half such as the lists give links. nodes and links are those apart from saturated nodes,
     whose links are all found exactly later."""
-    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(AUDIT).select("node", "grp", "v").collect()
+    order = F.xxhash64("node"), F.col("node")
+    some = nodes.select("node", "grp", "v")
+    linked = some.join(links.select(F.col("a").alias("node")).distinct(), "node", "left_semi")
+    sample = some.orderBy(*order).limit(AUDIT).union(linked.orderBy(*order).limit(AUDIT)).distinct().collect()
     by: dict[str, list] = {}
     for r in sample:
         by.setdefault(r["grp"], []).append((r["node"], bytes(r["v"])))
@@ -188,8 +197,10 @@ def _audit(nodes: DataFrame, links: DataFrame, threshold: float) -> float:
 
     want = nodes.select("node", "grp", "v").mapInArrow(true, _EDGE).select("a", "b")
     got = links.select("a", "b", F.lit(1).alias("got"))
-    r = want.join(got, ["a", "b"], "left").agg(F.count("*").alias("w"), F.count("got").alias("g")).first()
-    return (r["g"] / r["w"]) if r["w"] else 1.0
+    each = want.join(got, ["a", "b"], "left").groupBy("a").agg(F.count("*").alias("w"), F.count("got").alias("g"))
+    size = sum((F.col("w") >= k).cast("int") for k in SIZES)
+    shares = each.groupBy(size.alias("size")).agg((F.sum("g") / F.sum("w")).alias("share")).collect()
+    return min((r["share"] for r in shares), default=1.0)
 
 
 def _by_group(b: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
@@ -254,7 +265,7 @@ def _enlarged(placed: DataFrame, threshold: float) -> DataFrame:
             sums = {g: np.zeros(len(h[1])) for g, h in held.items()}
             joins: set[tuple[int, int]] = set()
             for b in batches:
-                for g, some in ((g, part.slice(i, 1024)) for g, part in _by_group(b) if g in held for i in range(0, len(part), 1024)):
+                for g, some in ((g, part.slice(i, 256)) for g, part in _by_group(b) if g in held for i in range(0, len(part), 256)):
                     xs, nodes, many_s, component_s, cuts, centres, least = held[g]
                     x = _matrix(some.column("v"))
                     node, many, component = (some.column(c).to_numpy() for c in ("node", "many", "component"))
@@ -282,22 +293,24 @@ def _counted(node: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(len(node), pa.int64()), pa.array(n.astype(np.int64))], ["a", "b", "n"])
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
-    """vectors(vec_id, embedding, label) -> (vec_id long, n_links long, component_id long, kept boolean).
+def _apart(links: DataFrame, full: DataFrame) -> DataFrame:
+    """Links between nodes that are not full."""
+    return links.join(full.withColumnRenamed("node", "a"), "a", "left_anti").join(full.withColumnRenamed("node", "b"), "b", "left_anti")
 
-    Vectors of one label and length link at cosine >= threshold (double precision). Vectors that are null, zero or hold
-    null or non-finite numbers, and those with a null label or vec_id, link with nothing: no links, their own
-    component, kept. Rows of equal vec_id are vectors each and returned each. component_id is the smallest vec_id that
-    links reach. Other columns are ignored. An empty table gives an empty one."""
-    parts = partitions(vectors.sparkSession)
-    members, nodes = _nodes(vectors)
+
+def _search(nodes: DataFrame, threshold: float, parts: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) and nodes (node) to compare with all: the saturated ones, and every node where PLANTINGS do not
+    bring the audit to RECALL."""
     count = nodes.count()
-    lists = fresh = None
+    lists = None
     for planting in range(PLANTINGS):
         found = _planted(nodes, planting * TREES, parts)
         if lists is not None:
             found = found.unionByName(lists)
         new = materialize(_best(found))
+        if lists is not None:
+            for old in (lists, fresh, links, full):
+                discard(old)
         fresh, lists = new, new
         for _ in range(ROUNDS):
             more = materialize(_best(_joined(nodes, lists, fresh, parts).unionByName(lists)))
@@ -309,9 +322,25 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
         links = lists.filter(F.col("sim") >= threshold)
         links = materialize(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
         full = materialize(_full(links))
-        rest = links.join(full.withColumnRenamed("node", "a"), "a", "left_anti").join(full.withColumnRenamed("node", "b"), "b", "left_anti")
-        if _audit(nodes.join(full, "node", "left_anti"), rest, threshold) >= RECALL:
-            break
+        recall = _audit(nodes.join(full, "node", "left_anti"), _apart(links, full), threshold)
+        log.info("planting %d of %d trees: recall %.4f", planting + 1, TREES, recall)
+        if recall >= RECALL:
+            return links, full
+    log.warning("recall %.4f after %d plantings: all nodes are compared exactly", recall, PLANTINGS)
+    return links, nodes.select("node")
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
+    """vectors(vec_id, embedding, label) -> (vec_id long, n_links long, component_id long, kept boolean).
+
+    Vectors of one label and length link at cosine >= threshold (double precision). Vectors that are null, zero or hold
+    null or non-finite numbers, and those with a null label or vec_id, link with nothing: no links, their own
+    component, kept. Rows of equal vec_id are vectors each and returned each. component_id is the smallest vec_id that
+    links reach. Other columns are ignored. An empty table gives an empty one."""
+    parts = partitions(vectors.sparkSession)
+    members, nodes = _nodes(vectors)
+    links, full = _search(nodes, threshold, parts)
+    rest = _apart(links, full)
     where = components(links)
     placed = materialize(nodes.join(where, "node", "left").join(full.withColumn("full", F.lit(True)), "node", "left").select(
         "node", "grp", "v", "many", F.coalesce("component", "node").alias("component"), F.coalesce("full", F.lit(False)).alias("full")))

@@ -91,6 +91,30 @@ def test_near_duplicates_between_dense_groups(spark, monkeypatch):
     assert sorted(map(tuple, nn_descent.near_duplicates(df).collect())) == want
 
 
+@pytest.mark.parametrize("plantings", [16, 1])
+def test_near_duplicates_of_lone_pairs(spark, monkeypatch, plantings):
+    r = np.random.default_rng(6)
+    rows = []
+    for _ in range(300):
+        x, y = r.normal(size=(2, 64))
+        x, y = x / np.linalg.norm(x), y - (y @ x) * x / (x @ x)
+        rows += [(len(rows), x.tolist(), 0), (len(rows) + 1, (0.935 * x + math.sqrt(1 - 0.935**2) * y / np.linalg.norm(y)).tolist(), 0)]
+    want = _by_force(rows)
+    assert sum(w[1] for w in want) == 600
+    # a search that meets few pairs at once
+    for name, value in {"TREES": 1, "WINDOW": 4, "ROUNDS": 1, "RECALL": 1.0, **({"PLANTINGS": 1} if plantings == 1 else {})}.items():
+        monkeypatch.setattr(nn_descent, name, value)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(2)
+    assert sorted(map(tuple, nn_descent.near_duplicates(df).collect())) == want
+
+
+def test_audit_sees_lone_pairs_beside_groups(spark):
+    spots = [g for g in range(20) for _ in range(8)] + [20, 20]  # 20 groups of 8, and one pair that the links lack
+    nodes = spark.createDataFrame([(i, "g", bytearray(np.eye(21)[s].tobytes())) for i, s in enumerate(spots)], "node long, grp string, v binary")
+    links = spark.createDataFrame([(i, j) for i, s in enumerate(spots) for j, t in enumerate(spots) if s == t < 20 and i != j], "a long, b long")
+    assert nn_descent._audit(nodes, links, 0.93) < nn_descent.RECALL
+
+
 PAGES = [
     ("<html><body><nav><a href=x>Home</a></nav><article><h1>A &amp; B</h1><p>One <b>two</b>&nbsp;three.<br>four <p>Five</article><footer>&copy; me</footer>", "A & B One two three. four Five"),
     ('<div id="content"><p>The story goes on here.</p><script>var a = "<p>no</p>";</script><p>And it ends well.</p></div><div class="comments"><p>Nice one, thanks a lot.</p></div>', "The story goes on here. And it ends well."),
