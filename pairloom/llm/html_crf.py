@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>?""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: Elements whose content is no text of the page, and those without content.
-_RAW = frozenset("script style noscript template iframe svg math object canvas head title select textarea".split())
+_RAW = frozenset("script style noscript template iframe svg math object canvas title select textarea".split())
+#: Raw elements whose content is not parsed; of these, script and style without an end go on to the end of the page.
+_TEXT = frozenset("script style iframe title textarea".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 #: An opening tag of the key ends an open element of the values, up to what stops the search.
@@ -62,6 +64,21 @@ def _kinds(tag: str, attrs: str) -> list[str]:
     return out
 
 
+def _ends_of(page: str, tag: str) -> dict[int, int]:
+    """Where the start tags of an element of _RAW outside _TEXT end, and where the element does; none for those without end."""
+    t = re.escape(tag)
+    out, open_ = {}, []
+    for m in re.finditer(rf"""<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\b[^>]*>|\Z)|<(/?){t}(?=[\s/>])((?:[^>"']|"[^"]*"|'[^']*')*)>""", page, re.I | re.S):
+        if m[2] is None:
+            continue
+        if not m[2]:
+            if not m[3].endswith("/"):
+                open_.append(m.end())
+        elif open_:
+            out[open_.pop()] = m.end()
+    return out
+
+
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order, white space collapsed, empty ones left out."""
     out: list[Block] = []
@@ -70,6 +87,8 @@ def blocks(page: str) -> list[Block]:
     linked = total = 0
     at = links = 0
     n = len(page)
+    ends: dict[str, dict[int, int]] = {}
+    endless: set[str] = set()
 
     def put(s: str) -> None:
         nonlocal linked, total
@@ -113,8 +132,19 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in _RAW:
             if not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>" if tag != "head" else r"</head\b[^>]*>|(?=<body\b)", re.I).search(page, at)
-                at = end.end() if end else n
+                # without an end, only the tag is dropped
+                if tag in _TEXT:
+                    end = None if tag in endless else re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+                    if end is None:
+                        endless.add(tag)
+                    at = end.end() if end else n if tag in ("script", "style") else at
+                else:
+                    if tag not in ends:
+                        ends[tag] = _ends_of(page, tag)
+                    at = ends[tag].get(at, at)
+            continue
+        if tag == "head":  # ends where something begins that cannot stand in it; what can has no text
+            flush()
             continue
         if tag not in _INLINE:
             flush()

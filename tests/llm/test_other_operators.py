@@ -130,6 +130,23 @@ def test_html_extraction(spark):
     assert html_crf.extract(df.limit(0)).count() == 0
 
 
+STORY = "It was a long day in the town."
+UNCLOSED = [
+    (f"<html><head><title>T</title><meta charset=utf-8><script>x()</script><p>{STORY}<p>{STORY}", 2),
+    (f"<html><head><title>T</title><style>p {{}}</style></head><body><article><p>{STORY}</p></article></body></html>", 1),
+    *[(f"<html><head><title>T</title></head><body><article><p>{STORY}</p><{t} id=x><p>{STORY}</p><p>{STORY}</p></article></body></html>", 3) for t in ("svg", "math", "object", "noscript", "select", "iframe", "canvas", "template", "textarea")],
+    (f"<article><p>{STORY}</p><svg><p>{STORY}</p><p>{STORY}</p><svg><text>no</text></svg></article>", 3),
+    (f"<article><p>{STORY}</p><object><object>no</object>no</object><p>{STORY}</p></article>", 2),
+    (f"<article><p>{STORY}</p><svg><script>a = '<svg>'</script>no</svg><p>{STORY}</p><script>var b = '<p>no</p>'", 2),
+]
+
+
+def test_elements_without_their_end_keep_the_rest_of_the_page(spark):
+    df = spark.createDataFrame([(i, "u", h) for i, (h, _) in enumerate(UNCLOSED)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_crf.extract(df).collect()}
+    assert got == {i: " ".join([STORY] * k) for i, (_, k) in enumerate(UNCLOSED)}
+
+
 def test_field_on_unseen_layouts():
     field = html_crf.Field.fit(html_crf.labelled_pages(200))
     wrong = total = 0
