@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +63,22 @@ def fold(doc_id: str | F.Column, n: int) -> F.Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(n)
 
 
+class Shared:
+    """An object of this library as a broadcast that needs no copy of the library on executors; a worker keeps it loaded."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        if "_loaded" not in self.held.__dict__:
+            self.held._loaded = cloudpickle.loads(self.held.value)
+        return self.held._loaded
+
+    def free(self) -> None:
+        self.held.unpersist()
+
+
 def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """run, for mapInArrow; when its task ends, the memory it has freed goes back to the system. Workers live on between
     stages, and what they held on to would add to what the next one needs."""

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import batches_of, releasing
+from pairloom.llm.common import Shared, batches_of, releasing
 
 #: Words and pairs of pieces (2^n) that a worker remembers, and words of one length that advance together.
 WORDS, PAIRS, TOGETHER = 100_000, 20, 20_000
@@ -244,7 +244,7 @@ class Codec:
 def encode_texts(docs: DataFrame, model_file: str) -> DataFrame:
     """docs(doc_id, text) -> (doc_id long, ids array<int>). The model is read on the driver. Null and empty texts have no
     ids; rows of equal or null doc_id are encoded each; other columns are ignored; an empty table gives an empty one."""
-    pieces = docs.sparkSession.sparkContext.broadcast(Pieces(model_file))
+    pieces = Shared(docs.sparkSession, Pieces(model_file))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pieces.value.codec()
@@ -262,7 +262,7 @@ def _lists(ids: list[np.ndarray]) -> pa.Array:
 
 def decode_ids(encoded: DataFrame, model_file: str) -> DataFrame:
     """encoded(doc_id, ids) -> (doc_id, text); null ids give an empty text."""
-    pieces = encoded.sparkSession.sparkContext.broadcast(Pieces(model_file))
+    pieces = Shared(encoded.sparkSession, Pieces(model_file))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pieces.value.codec()
@@ -278,7 +278,7 @@ def token_digests(docs: DataFrame, model_file: str) -> DataFrame:
     32-bit numbers), round_trip boolean (decoding gives the text back)).
 
     Only a text with U+2581, which stands for a space in pieces, does not come back. Null counts as empty."""
-    pieces = docs.sparkSession.sparkContext.broadcast(Pieces(model_file))
+    pieces = Shared(docs.sparkSession, Pieces(model_file))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pieces.value.codec()

@@ -252,26 +252,88 @@ def test_context_mixing(spark, docs, rows):
             assert (g.n_tokens, g.n_known, g.held_out) == (len(w), sum(x in c for x in w), zlib.crc32(str(g.doc_id).encode()) % 5 == 1)
             assert g.base_score == pytest.approx(sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w))
     assert context_mixing.lm_scores(empty(spark)).count() == 0
-    first, again = ({g.doc_id: g.score for g in x if g.doc_id is not None} for x in (got, context_mixing.lm_scores(docs.repartition(5)).collect()))
-    assert first == pytest.approx(again, rel=0.05)
-
-
-def test_bits_of_a_word_make_a_distribution():
-    """Over all 256 next symbols after a prefix the model's probabilities add up to 1."""
-    r = np.random.default_rng(0)
-    tables = r.integers(0, 50, (len(context_mixing.ORDERS), 2 * context_mixing.SLOTS)).astype(np.float32)
-    weights, refine = r.normal(0.3, 0.1, (context_mixing.GATES, context_mixing.INPUTS)), r.integers(0, 9, (256, context_mixing.STEPS, 2)).astype(float)
-    words = [b"ab" + bytes([k]) for k in range(256)]
-    _, place, _, _, _ = context_mixing.symbols(words, np.zeros(256, np.uint8))
-    owner, first, node, bit, slots, start = context_mixing._bits(words, np.zeros(256, np.uint8))
-    inputs, gate = context_mixing._inputs(tables, slots, start, bit, first, np.ones(len(bit)) * 0, 0.0)
-    x = context_mixing._mixed(inputs, weights, gate)
-    p = 1 / (1 + np.exp(-x))
-    n0, n1 = refine[node, context_mixing._step_of(x)].T
-    p = (p + (n1 + 8 * p) / (n0 + n1 + 8)) / 2
-    third = np.repeat(place == 2, 8)
-    chance = np.bincount(owner[third], np.log(np.where(bit == 1, p, 1 - p))[third], 256)
-    assert np.exp(chance).sum() == pytest.approx(1)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    first = {g.doc_id: g.score for g in got if g.doc_id is not None}
+    for parts, buckets in ((1, 1), (5, 64)):
+        spark.conf.set("spark.sql.shuffle.partitions", buckets)
+        again = {g.doc_id: g.score for g in context_mixing.lm_scores(docs.repartition(parts)).collect() if g.doc_id is not None}
+        assert first == pytest.approx(again, rel=1e-9)
+    spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def _taught(words, counts, parts):
+    """A model of words whose counts by class are given, counted in as many buckets; and the words' scores in each class."""
+    C = context_mixing.CLASSES
+    open_ = context_mixing.opened(words, parts)
+    groups = {}
+    for w, n in zip(words, counts):
+        g = groups.setdefault(context_mixing.group_of(w, open_), [np.zeros(C), np.zeros(C)])
+        g[0] += n
+        g[1] += n * (n.sum() > 1)
+    names = sorted(groups)
+    edges = [names[len(names) * k // parts] for k in range(1, parts)]
+    rows = []
+    for k in range(parts):
+        mine = [(w, n) for w, n in zip(words, counts) if sum(w >= e for e in edges) == k]
+        if mine:
+            rows.append({"words": b"\n".join(w for w, _ in mine), "per": bytes([C] * len(mine)), "cls": bytes(list(range(C)) * len(mine)), "taught": np.concatenate([n for _, n in mine]).astype(np.uint64).tobytes()})
+    tables = [np.zeros(2 * context_mixing.SLOTS) for _ in context_mixing.ORDERS]
+    buckets = [context_mixing.Bucket(r) for r in rows]
+    for b in buckets:
+        for _, some, cls in b.steps(b.taught > 0):
+            _, bit, slots = context_mixing._bits(some, cls)
+            for t, s in zip(tables, slots):
+                np.add.at(t, 2 * s + bit, 1)
+    total = np.array(counts)
+    model = context_mixing.Model(np.array(tables, np.float32), open_, [(g, *groups[g]) for g in names], total.sum(0), total[total.sum(1) == 1].sum(0))
+    known, spelled = np.zeros((2, context_mixing.KNOWN.cells)), np.zeros((2, context_mixing.SPELLED.cells))
+    for b in buckets:
+        model.count(b, known, spelled)
+    model.learn(known, spelled)
+    return model, np.concatenate([model.scores(b) for b in buckets]).reshape(len(words), C)
+
+
+def test_words_make_a_distribution_in_any_number_of_buckets(monkeypatch):
+    r = random.Random(11)
+    words = sorted({context_mixing.ended(prose(r, 1).encode() + r.choice([b"", b".", "é".encode(), b"x" * 40, b"\x01", b"\xff"])) for _ in range(900)} | {context_mixing._END})
+    counts = [np.array([r.choice([0, 0, 1, 2, 50]) for _ in range(context_mixing.CLASSES)]) for _ in words]
+    counts = [c if c.any() else np.eye(1, context_mixing.CLASSES, dtype=int)[0] for c in counts]
+    model, one = _taught(words, counts, 1)
+    assert (10**one).sum(0) + model.unknown == pytest.approx(np.ones(context_mixing.CLASSES), rel=1e-9)
+    monkeypatch.setattr(context_mixing, "STEP", 7)
+    for parts in (3, 8):
+        assert _taught(words, counts, parts)[1] == pytest.approx(one, rel=1e-9)
+    # a word that is not known: 256 ways to go on after any beginning, which use up the beginning's chance
+    grid = np.array([p for p in model.spelled.log10(np.zeros((5, 12)), np.arange(12))])
+    assert (10**grid).sum(0) == pytest.approx(np.ones(12))
+    words2 = [b"zz" + bytes([k]) for k in range(256)]
+    owner, bit, slots = context_mixing._bits(words2, np.zeros(256, np.int64))
+    p0, p1 = model.spelled.log10(*context_mixing._spelled(model.tables, slots, bit, 0))
+    third = np.tile(np.arange(24) >= 16, 256)
+    assert (10 ** np.bincount(owner[third], np.where(bit == 1, p1, p0)[third])).sum() == pytest.approx(1)
+
+
+def test_words_of_a_text_predict_its_next_words():
+    word, n, score = np.array([4, 7, 4, 4, 4, 9, 4]), np.array([4, 3]), np.full(7, -2.0)
+    got = context_mixing.repeated(word, n, score)
+    for i, (pos, had) in enumerate([(0, 0), (1, 0), (2, 1), (3, 2), (0, 0), (1, 0), (2, 1)]):
+        weight = context_mixing.REPEAT * pos / (pos + 20)
+        assert 10 ** got[i] == pytest.approx((1 - weight) * 0.01 + weight * had / max(pos, 1))
+    assert len(context_mixing.repeated(word[:0], n[:0], score[:0])) == 0
+
+
+def test_trees_part_words_as_their_bits_do():
+    r = random.Random(12)
+    words = sorted({bytes(r.choice(b"ab\xff\x01") for _ in range(r.randint(0, 30))) + b" " for _ in range(300)})
+    bits = ["".join(f"{x:08b}" for x in w) for w in words]
+    shared = context_mixing.shared_bits(words)
+    for i in range(1, len(words)):
+        assert shared[i] == next(k for k, (x, y) in enumerate(zip(bits[i - 1], bits[i])) if x != y)
+    tree = context_mixing.Tree(shared)
+    for j in range(1, len(words)):
+        begin = bits[j][:shared[j]]
+        under = [i for i, b in enumerate(bits) if b.startswith(begin)]
+        assert (tree.low[j], tree.high[j]) == (under[0], under[-1] + 1)
 
 
 def test_model_beats_unigrams_on_held_out_text(spark):
