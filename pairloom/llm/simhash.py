@@ -5,10 +5,17 @@ start on the ring has every chain prefix of k segments within floor(k*t/8) diffe
 pigeonring principle). For t = 3 the prefixes allow 0, 0, 1, 1, 1, 2, 2, 3 bits: the first two segments are equal, and
 of the next three at least two are. So each start gives three 32-bit keys, and a pair within 3 bits shares one.
 Equal fingerprints are one node; a bucket of equal keys yields links of a spanning forest, never all its pairs.
+
+Near copies at a Jaccard similarity s of shingle sets differ in about 15 % of the bits at s = 0.8, too many for keys of
+equal segments. `near_groups` takes its candidates from shingles: sets at s or more share one of their first
+n - ceil(s * n) + 1 shingles in any common order (here by hash, those common in a sample last). Candidates have
+fingerprints of WIDE bits, pass the ring's chains under its budget, then the full count of differing bits.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import materialize, partitions, releasing
+from pairloom.llm.common import discard, materialize, partitions, releasing
 from pairloom.llm.components import components
 
 SEGMENTS, BITS = 8, 3
@@ -27,25 +34,42 @@ VARIANTS = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4))
 DIRECT = 4096
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """The SimHash of the word shingles, repeats included; 0 without words."""
+#: Bits and segments of the wide fingerprint, and how many standard deviations beyond the expected distance still link.
+WIDE, WIDE_SEGMENTS, MARGIN = 256, 16, 1.65
+#: Smallest shingles of a set that candidates bring along: all of a smaller set, whose similarity is then exact; of larger ones
+#: an estimate, which must not fall short by more than SHORT (three standard deviations).
+LOW, SHORT = 64, 0.15
+#: Documents (by hash of doc_id) that show which shingles are common, from how many on; shingles that one flush holds.
+SAMPLE, COMMON, FLUSH = 20_000, 16, 1_000_000
+
+
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 of the word shingles in order, repeats included; fewer words are one shingle, none give none."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= width:
-        h = np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
-    else:
-        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        ends = np.cumsum(lengths) - 1
-        starts = (ends - lengths + 1)[: len(words) - width + 1].tolist()
-        digest = xxhash.xxh64_intdigest
-        h = np.array([digest(joined[s:e], 42) for s, e in zip(starts, ends[width - 1:].tolist())], np.uint64)
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    ends = np.cumsum(lengths) - 1
+    starts = (ends - lengths + 1)[: len(words) - width + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[s:e], 42) for s, e in zip(starts, ends[width - 1:].tolist())], np.uint64)
+
+
+def _majority(h: np.ndarray) -> np.ndarray:
+    """64 bits: whether a bit is 1 in over half the hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 15):
         part = h[i:i + (1 << 15)]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
+    return np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """The SimHash of the word shingles, repeats included; 0 without words."""
+    return int(_majority(shingle_hashes(text, width))[0])
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -166,7 +190,198 @@ def simhash_groups(docs: DataFrame, width: int = 3) -> DataFrame:
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, width: int = 3) -> DataFrame:
-    """The documents whose doc_id is the smallest of its group, with all their columns; null doc_ids stay."""
-    drop = simhash_groups(docs, width).filter("doc_id <> component_id").select("doc_id").distinct()
+def bit_budget(similarity: float) -> int:
+    """Differing bits of WIDE that sets at this Jaccard similarity have, and MARGIN standard deviations more."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(WIDE * p + MARGIN * math.sqrt(WIDE * p * (1 - p)))
+
+
+def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """WIDE bits of a set of shingles, as 64-bit numbers: each 64 from the hashes mixed anew."""
+    out = []
+    for k in range(WIDE // 64):
+        h = shingles + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(_majority(h ^ (h >> np.uint64(31))))
+    return np.concatenate(out)
+
+
+def ring_near(fp: np.ndarray, to: np.ndarray, budget: int) -> np.ndarray:
+    """Which wide fingerprints differ from another in at most `budget` bits. First some start on the ring of segments must
+    keep every chain of k segments within k * budget / WIDE_SEGMENTS differing bits; then the full count decides."""
+    apart = np.bitwise_count((fp ^ to).view(np.uint16)).astype(np.int64).reshape(len(fp), WIDE_SEGMENTS)
+    alive = np.ones((len(fp), WIDE_SEGMENTS), bool)
+    chain = np.zeros_like(apart)
+    rows = np.arange(len(fp))
+    for k in range(1, WIDE_SEGMENTS + 1):
+        chain[rows] += np.roll(apart[rows], 1 - k, axis=1)
+        alive[rows] &= chain[rows] <= k * budget // WIDE_SEGMENTS
+        rows = rows[alive[rows].any(1)]
+    out = np.zeros(len(fp), bool)
+    out[rows] = apart[rows].sum(1) <= budget
+    return out
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sets' LOW smallest members (in order): the similarity of small sets, an estimate of that of larger ones."""
+    every = np.union1d(a, b)
+    if max(len(a), len(b)) == LOW:
+        every = every[:LOW]
+    both = np.isin(every, a, assume_unique=True) & np.isin(every, b, assume_unique=True)
+    return float(both.mean())
+
+
+def ring_links(fp: np.ndarray, n: np.ndarray, low: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Index pairs that span the components of sets whose sizes allow the similarity, fingerprints are within the budget, and
+    smallest shingles bear it out."""
+    links, left, budget = [], np.arange(len(fp)), bit_budget(similarity)
+    while len(left) > 1:
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            at = queue.pop()
+            ok = np.minimum(n[left], n[at]) >= similarity * np.maximum(n[left], n[at]) - 1e-9
+            ok[ok] = ring_near(fp[left[ok]], fp[at], budget)
+            ok[ok] = [jaccard(low[at], low[j]) >= similarity - (SHORT if max(n[at], n[j]) >= LOW else 1e-9) for j in left[ok].tolist()]
+            links.extend((int(at), int(j)) for j in left[ok])
+            queue.extend(left[ok])
+            left = left[~ok]
+    return links
+
+
+def _sketches(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(doc_id, key: digest of the shingle set, node: 64 bits of it, n: its size, fp: wide fingerprint, first: shingles that
+    a set of this similarity must share one of, low: the LOW smallest)."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
+
+    def shown(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            sets = [np.unique(shingle_hashes(t.as_py(), width)) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64())], ["h"])
+
+    every = max(ids.count() // SAMPLE, 1)
+    sample = ids.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).mapInArrow(releasing(shown), "h long")
+    common = np.sort(sample.groupBy("h").count().filter(F.col("count") >= COMMON).toArrow().column("h").to_numpy().view(np.uint64))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            rows = []
+            for t in b.column("text"):
+                h = np.unique(shingle_hashes(t.as_py(), width))
+                key = hashlib.blake2b(h.tobytes(), digest_size=16).digest()
+                at = np.minimum(np.searchsorted(common, h), max(len(common) - 1, 0))
+                often = common[at] == h if len(common) else np.zeros(len(h), bool)
+                first = np.concatenate([h[~often], h[often]])[:len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
+                rows.append((key, int.from_bytes(key[:8], "little", signed=True), len(h), wide_fingerprint(h).tobytes(), first.tobytes(), h[:LOW].tobytes()))
+            cols = list(zip(*rows)) if rows else [[]] * 6
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "key", "node", "n", "fp", "first", "low"])
+
+    return ids.mapInArrow(releasing(run), "doc_id long, key binary, node long, n long, fp binary, first binary, low binary")
+
+
+def _sharing(sketches: DataFrame, buckets: int) -> DataFrame:
+    """(grp, node): the groups of nodes that share one of their first shingles, each distinct group once."""
+
+    def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush():
+            h, node = (np.concatenate(x) for x in zip(*held))
+            bucket = (h % np.uint64(buckets)).astype(np.int64)
+            o = np.lexsort((node, h, bucket))
+            h, node, bucket = h[o], node[o], bucket[o]
+            new = np.append(True, (h[1:] != h[:-1]) | (node[1:] != node[:-1]))  # copies of a set give the same rows
+            h, node, bucket = h[new], node[new], bucket[new]
+            cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+            ends = np.append(cut[1:], len(h))
+            return pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int32()), *(pa.array([x[s:e].tobytes() for s, e in zip(cut, ends)], pa.binary()) for x in (h, node))], ["bucket", "h", "node"])
+
+        for b in parts:
+            for first, node in zip(b.column("first").to_pylist(), b.column("node").to_pylist()):
+                h = np.frombuffer(first, np.uint64)
+                if len(h):
+                    held.append((h, np.full(len(h), node)))
+                    size += len(h)
+                if size >= FLUSH:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    def groups(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(np.frombuffer(h, np.uint64), np.frombuffer(n, np.int64)) for b in parts for h, n in zip(b.column("h").to_pylist(), b.column("node").to_pylist())]
+        if not held:
+            return
+        h, node = (np.concatenate(x) for x in zip(*held))
+        o = np.lexsort((node, h))
+        h, node = h[o], node[o]
+        new = np.append(True, (h[1:] != h[:-1]) | (node[1:] != node[:-1]))
+        h, node = h[new], node[new]
+        start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        size = np.diff(np.append(start, len(h)))
+        u = node.view(np.uint64)
+        mixed = (u ^ (u >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        name = np.add.reduceat(mixed ^ (mixed >> np.uint64(32)), start)
+        _, one = np.unique(name, return_index=True)
+        one = one[size[one] > 1]
+        for s in range(0, len(one), 4096):
+            some = one[s:s + 4096]
+            at = np.concatenate([np.arange(start[k], start[k] + size[k]) for k in some])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name[some], size[some]).view(np.int64)), pa.array(node[at])], ["grp", "node"])
+
+    packed = sketches.select("node", "first").mapInArrow(releasing(pack), "bucket int, h binary, node binary")
+    return packed.repartitionById(buckets, F.col("bucket")).mapInArrow(releasing(groups), "grp long, node long").distinct()
+
+
+def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs(doc_id, text) -> (doc_id long, component_id long), component_id the smallest doc_id of its group.
+
+    Documents of equal sets of shingles link (all without words have one such set). Others link where they share one of
+    the shingles that sets of this similarity must share, their wide fingerprints are within bit_budget(similarity), and the
+    similarity by their LOW smallest shingles (exact for smaller sets) bears it out.
+    Rows with null doc_id are dropped, rows of equal doc_id are returned each. Null text counts as empty. Other columns are ignored.
+    An empty table gives an empty one."""
+    buckets = partitions(docs.sparkSession)
+    sketches = materialize(_sketches(docs, width, similarity))
+    nodes = materialize(sketches.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("node").alias("node"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("low").alias("low")))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(t: pa.Table) -> pa.RecordBatch:
+            grp, rep, n = (t.column(c).to_numpy() for c in ("grp", "rep", "n"))
+            fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(-1, WIDE // 64)
+            low = [np.frombuffer(x, np.uint64) for x in t.column("low").to_pylist()]
+            cut = [*np.flatnonzero(np.diff(grp, prepend=grp[0] - 1)).tolist(), len(grp)]
+            found = [(rep[s + i], rep[s + j]) for s, e in zip(cut[:-1], cut[1:]) if e - s > 1 for i, j in ring_links(fp[s:e], n[s:e], low[s:e], similarity)]
+            a = np.array(found, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for b in parts:
+            held.append(b)
+            size += len(b)
+            if size >= 20_000:  # whole groups only; the last one may go on
+                t = pa.Table.from_batches(held)
+                grp = t.column("grp").to_numpy()
+                at = int(np.searchsorted(grp, grp[-1]))
+                if at:
+                    yield out(t.slice(0, at))
+                held = t.slice(at).combine_chunks().to_batches()
+                size = len(t) - at
+        if size:
+            yield out(pa.Table.from_batches(held))
+
+    rows = _sharing(sketches, buckets).join(nodes.select("node", "rep", "n", "fp", "low"), "node").select("grp", "rep", "n", "fp", "low")
+    found = components(rows.repartition(buckets, "grp").sortWithinPartitions("grp").mapInArrow(releasing(run), "a long, b long").distinct())
+    named = nodes.drop("node").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    out = materialize(sketches.select("doc_id", "key").join(named.select("key", F.coalesce("component", "rep").alias("component_id")), "key").select("doc_id", "component_id"))
+    discard(sketches)
+    return out
+
+
+def keep_first(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents whose doc_id is the smallest of its near_groups(), with all their columns; null doc_ids stay."""
+    drop = near_groups(docs, width, similarity).filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(drop, "doc_id", "left_anti").select(docs.columns)

@@ -213,7 +213,7 @@ def test_pipeline_stages_do_what_their_operators_say(spark):
     clean = materialize(stages["toxicity"](spark, docs, SF))
     assert ids(clean) == sorted(r.doc_id for r in toxicity.toxicity(docs, table(spark, SF, "labels")).collect() if not r.predicted)
     single = materialize(stages["simhash_dedup"](spark, clean, SF))
-    assert ids(single) == sorted(r.doc_id for r in simhash.simhash_groups(clean).collect() if r.doc_id == r.component_id)
+    assert ids(single) == sorted(r.doc_id for r in simhash.near_groups(clean).collect() if r.doc_id == r.component_id)
     cut = materialize(stages["suffix_dedup"](spark, single, SF))
     kept = {r.doc_id: r.n_bytes - r.n_removed for r in suffix_dedup.suffix_dedup(single).collect()}
     assert ids(cut) == ids(single) and all(0 <= kept[r.doc_id] - len(r.text.encode()) <= 8 * 200 for r in cut.collect())

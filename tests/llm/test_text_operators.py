@@ -74,6 +74,54 @@ def test_simhash_bits():
     assert simhash.fingerprint("A  b\nC d") == h[0] & h[1] and simhash.fingerprint("A b") == xxhash.xxh64_intdigest(b"a b", 42)
 
 
+def shingle_sets(texts, width=5):
+    out = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        out.append({tuple(w[i:i + width]) for i in range(max(len(w) - width + 1, 1))} if w else set())
+    return out
+
+
+def test_near_groups_follow_the_similarity_of_all_pairs(spark, docs, rows):
+    r = random.Random(21)
+    texts = [None, "", " \n", "One", "one", "one two", "One Two three four five six", "y" * 5000, "Z. " * 400, "z. " * 90]
+    line = prose(r, 30)
+    for n in (40, 90, 300, 900):
+        for _ in range(4):
+            w = prose(r, n).split()
+            texts.append(" ".join(w))
+            for share in (0.015, 0.3):  # near copies, and texts that only share most words
+                texts += [" ".join(["x"] * (n < 50 and share < 0.1) + w[max(int(n * share), n < 50):]) for _ in range(2)]
+        texts += [prose(r, n) + " " + line for _ in range(5)]  # others that share a passage
+    ids = r.sample(range(10 * len(texts)), len(texts))
+    sets = shingle_sets(texts)
+    alike = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    group = union(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if alike(sets[i], sets[j])])
+    near = [len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[:i] if a | b]
+    assert not any(0.7 < x < 0.84 for x in near) and sum(0.84 <= x < 1 for x in near) > 20 and sum(0.2 < x <= 0.7 for x in near) > 20
+    least = {}
+    for g, i in zip(group, ids):
+        least[g] = min(least.get(g, i), i)
+    df = spark.createDataFrame([(i, t) for i, t in zip(ids, texts)] + [(None, texts[0])], "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, simhash.near_groups(df).collect())) == sorted((i, least[g]) for i, g in zip(ids, group))
+    kept = simhash.keep_first(docs.drop("fp"))
+    assert kept.columns == docs.drop("fp").columns and simhash.keep_first(empty(spark)).count() == 0
+
+
+def test_chains_on_the_ring_lose_no_pair_within_the_budget():
+    r = np.random.default_rng(4)
+    base = r.integers(0, 1 << 63, simhash.WIDE // 64).astype(np.uint64)
+    fps, budget = [], simhash.bit_budget(0.8)
+    for k in range(0, 90):
+        for where in (r.permutation(simhash.WIDE)[:k], (np.arange(k) + int(r.integers(256))) % simhash.WIDE):
+            bits = np.zeros(simhash.WIDE, np.uint8)
+            bits[where] = 1
+            fps.append(base ^ np.packbits(bits).view(np.uint64))
+    fps = np.array(fps)
+    apart = np.bitwise_count(fps ^ base).sum(1)
+    assert (simhash.ring_near(fps, base, budget) == (apart <= budget)).all()
+
+
 @pytest.mark.parametrize("direct", [4, 4096])
 def test_buckets_link_as_all_pairs_do(monkeypatch, direct):
     monkeypatch.setattr(simhash, "DIRECT", direct)
