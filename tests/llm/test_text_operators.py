@@ -90,7 +90,7 @@ def test_near_groups_follow_the_similarity_of_all_pairs(spark, docs, rows):
         for _ in range(4):
             w = prose(r, n).split()
             texts.append(" ".join(w))
-            for share in (0.015, 0.3):  # near copies, and texts that only share most words
+            for share in (0.015, 0.35):  # near copies, and texts that only share most words
                 texts += [" ".join(["x"] * (n < 50 and share < 0.1) + w[max(int(n * share), n < 50):]) for _ in range(2)]
         texts += [prose(r, n) + " " + line for _ in range(5)]  # others that share a passage
     ids = r.sample(range(10 * len(texts)), len(texts))
