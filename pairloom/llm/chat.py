@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PART = "struct<type:string,text:string,ref:string,tokens:int>"
-START, END = "<|turn|>", "<|end|>\n"
+START, SAYS, END = "<|turn|>", "<|says|>\n", "<|end|>\n"
 #: Placeholder tokens of an attachment that states none itself.
 TOKENS = {"image": 256, "audio": 128, "document": 512}
 #: A control string begins where one of these matches; a backslash goes in after its first character.
@@ -58,7 +58,7 @@ def format_chats(messages: DataFrame, keep: str = "assistant") -> DataFrame:
     listed = F.transform(F.col("__attached"), lambda x, k: F.struct(F.col("turn").alias("turn"), k.alias("ordinal"), x["p"]["type"].alias("type"), x["p"]["ref"].alias("ref"), expanded(x["p"]).alias("tokens")))
     one = (messages.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), "parts")
            .withColumn("__attached", attached).withColumn("body", body).withColumn("listed", listed)
-           .withColumn("head", F.concat(F.lit(START), escape(F.col("role")), F.lit("\n")))
+           .withColumn("head", F.concat(F.lit(START), escape(F.col("role")), F.lit(SAYS)))
            .withColumn("turn_text", F.concat("head", "body", F.lit(END))))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "body")
     before = F.coalesce(F.sum(F.length("turn_text").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -77,8 +77,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """The output of format_chats with turns array<struct<role, text>> and loss_text, both unescaped, read from it."""
     marked = F.split(F.col("formatted"), r"<\|end\|>\n")
     turns = F.transform(F.slice(marked, 1, F.size(marked) - 1), lambda s: F.struct(
-        unescape(F.regexp_extract(s, r"(?s)^<\|turn\|>([^\n]*)\n", 1)).alias("role"),
-        unescape(F.regexp_replace(s, r"(?s)^<\|turn\|>[^\n]*\n", "")).alias("text")))
+        unescape(F.regexp_extract(s, r"(?s)^<\|turn\|>(.*?)<\|says\|>\n", 1)).alias("role"),
+        unescape(F.regexp_replace(s, r"(?s)^<\|turn\|>.*?<\|says\|>\n", "")).alias("text")))
     under = F.array_join(F.transform("loss", lambda s: F.substring(F.col("formatted"), s["start"].cast("int"), s["length"].cast("int"))), "")
     return formatted.withColumn("turns", turns).withColumn("loss_text", unescape(under))
 
@@ -112,7 +112,7 @@ ORACLE = rf"""
 WITH m AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))),
-e AS (SELECT *, length({_sql_escaped('role')}) + length({_sql_escaped('text')}) + {len(START) + len(END) + 1} AS n FROM m)
+e AS (SELECT *, length({_sql_escaped('role')}) + length({_sql_escaped('text')}) + {len(START) + len(SAYS) + len(END)} AS n FROM m)
 SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,

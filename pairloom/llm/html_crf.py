@@ -20,7 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>?""", re.S)
+_OPEN = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
+#: A tag whose quotes pair up, and one up to the next >; what they have matched they never give back.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: Elements whose content is no text of the page, and those without content.
 _RAW = frozenset("script style noscript template iframe svg math object canvas title select textarea".split())
@@ -68,7 +71,8 @@ def _ends_of(page: str, tag: str) -> dict[int, int]:
     """Where the start tags of an element of _RAW outside _TEXT end, and where the element does; none for those without end."""
     t = re.escape(tag)
     out, open_ = {}, []
-    for m in re.finditer(rf"""<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\b[^>]*>|\Z)|<(/?){t}(?=[\s/>])((?:[^>"']|"[^"]*"|'[^']*')*)>""", page, re.I | re.S):
+    page = page[:page.rfind(">") + 1]
+    for m in re.finditer(rf"""<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\b|\Z)|<(/?){t}(?=[\s/>])([^>]*+)>""", page, re.I | re.S):
         if m[2] is None:
             continue
         if not m[2]:
@@ -89,6 +93,7 @@ def blocks(page: str) -> list[Block]:
     n = len(page)
     ends: dict[str, dict[int, int]] = {}
     endless: set[str] = set()
+    tag_of = _TAG
 
     def put(s: str) -> None:
         nonlocal linked, total
@@ -107,15 +112,26 @@ def blocks(page: str) -> list[Block]:
         linked = total = 0
 
     while at < n:
-        m = _TOKEN.search(page, at)
+        m = _OPEN.search(page, at)
         if m is None:
             put(page[at:])
             break
         if m.start() > at:
             put(page[at:m.start()])
-        at = m.end()
-        if m[2] is None:
+        at = m.start()
+        if page.startswith("<!--", at) or page[at + 1] in "!?":
+            stop = "-->" if page.startswith("<!--", at) else ">"
+            end = page.find(stop, at + 2)
+            at = end + len(stop) if end >= 0 else n
             continue
+        m = tag_of.match(page, at)
+        if m is None and tag_of is _TAG:  # a quote that never ends: from here on, tags go up to the next >
+            tag_of = _PLAIN
+            m = tag_of.match(page, at)
+        if m is None:  # no tag ends any more
+            put(page[at:])
+            break
+        at = m.end()
         tag = m[2].lower()
         if m[1]:
             if any(t == tag for t, _ in stack):
@@ -134,7 +150,7 @@ def blocks(page: str) -> list[Block]:
             if not m[3].endswith("/"):
                 # without an end, only the tag is dropped
                 if tag in _TEXT:
-                    end = None if tag in endless else re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+                    end = None if tag in endless else re.compile(rf"</{tag}\b[^>]*+>?", re.I).search(page, at)
                     if end is None:
                         endless.add(tag)
                     at = end.end() if end else n if tag in ("script", "style") else at

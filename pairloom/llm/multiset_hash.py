@@ -1,9 +1,10 @@
 """Document fingerprints by a homomorphic multiset hash.
 
-A text is the multiset of its paragraphs, each cut after its clause marks so that a text of one paragraph has parts
-too. Every part is hashed to a wide vector; the fingerprint is the sum of the vectors: 4 lanes modulo 2^64 of uniform
-numbers, which tell equal multisets, 128 lanes modulo 2^16 of signs, whose differences tell how many parts differ, and
-the number of parts modulo 2^32. Order does not matter, and parts are inserted and deleted by adding and subtracting.
+A text is the multiset of its paragraphs (lines with their line end). Every paragraph is hashed to a wide vector; the
+fingerprint is the sum of the vectors: 4 lanes modulo 2^64 of uniform numbers, which tell equal multisets. So that texts of
+few paragraphs can be alike too, it also sums, over the clauses of the text, 128 lanes modulo 2^32 of signs, whose
+differences tell how many clauses differ, and the number of clauses modulo 2^32. Order does not matter, and paragraphs are
+inserted and deleted by adding and subtracting.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from pairloom.llm.common import partitions
 
 LANES, SIGNS = 4, 128
+_PARAGRAPH = re.compile(rb"[^\n]*\n|[^\n]+")
 _PART = re.compile(rb"[^\n.!?,;:]+[\n.!?,;:]*|[\n.!?,;:]+")
 #: Ids the driver may see to split their order.
 SAMPLE = 20_000
@@ -36,17 +38,18 @@ class Fingerprint:
         self.lanes, self.signs, self.parts = lanes, signs, parts & 0xFFFFFFFF
 
     @classmethod
-    def of_digests(cls, digests: list[bytes]) -> Fingerprint:
-        d = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 8 * LANES + SIGNS // 8)
-        lanes = np.ascontiguousarray(d[:, :8 * LANES]).view(np.uint64).sum(0, dtype=np.uint64)
+    def of_digests(cls, whole: list[bytes], digests: list[bytes]) -> Fingerprint:
+        """From the digests of paragraphs and of clauses."""
+        lanes = np.frombuffer(b"".join(whole), np.uint64).reshape(-1, LANES).sum(0, dtype=np.uint64)
+        d = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, SIGNS // 8)
         ones = np.zeros(SIGNS, np.int64)
         for i in range(0, len(d), 1 << 14):
-            ones += np.unpackbits(d[i:i + (1 << 14), 8 * LANES:], axis=1).sum(0, dtype=np.int64)
-        return cls(lanes, (2 * ones - len(d)).astype(np.uint16), len(d))
+            ones += np.unpackbits(d[i:i + (1 << 14)], axis=1).sum(0, dtype=np.int64)
+        return cls(lanes, (2 * ones - len(d)).astype(np.uint32), len(d))
 
     @classmethod
     def of(cls, raw: bytes) -> Fingerprint:
-        return cls.of_digests(digests(parts(raw)))
+        return cls.of_digests(digests(paragraphs(raw), 8 * LANES), digests(parts(raw), SIGNS // 8))
 
     def __add__(self, other: Fingerprint) -> Fingerprint:
         return Fingerprint(self.lanes + other.lanes, self.signs + other.signs, self.parts + other.parts)
@@ -55,48 +58,53 @@ class Fingerprint:
         return Fingerprint(self.lanes - other.lanes, self.signs - other.signs, self.parts - other.parts)
 
     def __str__(self) -> str:
-        return self.lanes.astype(">u8").tobytes().hex() + f"{self.parts:08x}" + self.signs.astype(">u2").tobytes().hex()
+        return self.lanes.astype(">u8").tobytes().hex() + f"{self.parts:08x}" + self.signs.astype(">u4").tobytes().hex()
 
     def likeness(self, other: Fingerprint) -> float:
-        """1 less the estimated share of parts that only one of the two has; 1 for equal ones."""
+        """1 less the estimated share of clauses that only one of the two has; 1 for equal ones and for no others."""
         if (self.lanes == other.lanes).all() and (self.signs == other.signs).all():
             return 1.0
-        apart = float(np.square((self.signs - other.signs).view(np.int16).astype(np.float64)).mean())
-        return min(max(1 - apart / max(self.parts + other.parts, 1), 0.0), 1.0)
+        apart = float(np.square((self.signs - other.signs).view(np.int32).astype(np.float64)).mean())
+        every = max(self.parts + other.parts, 1)
+        return min(max(1 - apart / every, 0.0), 1 - 1 / (2 * every))
+
+
+def paragraphs(raw: bytes) -> list[bytes]:
+    return _PARAGRAPH.findall(raw)
 
 
 def parts(raw: bytes) -> list[bytes]:
     return _PART.findall(raw)
 
 
-def digests(found: list[bytes]) -> list[bytes]:
+def digests(found: list[bytes], size: int) -> list[bytes]:
     new = hashlib.blake2b
-    size = 8 * LANES + SIGNS // 8
     return [new(p, digest_size=size).digest() for p in found]
 
 
 class Sketch:
-    """A text, its parts' digests and its fingerprint."""
+    """A text, the digests of its paragraphs and clauses, and its fingerprint."""
 
     def __init__(self, text: str | None):
         self.text = text or ""
         raw = self.text.encode()
-        found = parts(raw)
-        self.ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
-        self.digests = digests(found)
-        self.mark = Fingerprint.of_digests(self.digests)
+        self.cuts = [(np.cumsum(np.fromiter(map(len, found), np.int64, len(found))), digests(found, size))
+                     for found, size in ((paragraphs(raw), 8 * LANES), (parts(raw), SIGNS // 8))]
+        self.mark = Fingerprint.of_digests(*(d for _, d in self.cuts))
 
     def edited(self, after: Sketch) -> tuple[str, Fingerprint]:
-        """The text whose last quarter is replaced by the beginning of another, and its fingerprint: the parts from the
-        cut on are deleted, those of the new end inserted."""
+        """The text whose last quarter is replaced by the beginning of another, and its fingerprint: the paragraphs and
+        clauses from the cut on are deleted, those of the new end inserted."""
         k = len(self.text) // 4
         kept = self.text[:len(self.text) - k]
         text = kept + after.text[:k]
-        cut = len(kept.encode())
-        safe = int(np.searchsorted(self.ends, cut, "left"))  # parts that end before the cut stay as they are
-        start = int(self.ends[safe - 1]) if safe else 0
-        gone = Fingerprint.of_digests(self.digests[safe:])
-        return text, self.mark - gone + Fingerprint.of(text.encode()[start:])
+        raw, cut = text.encode(), len(kept.encode())
+        gone, new = [], []
+        for (ends, held), find, size in zip(self.cuts, (paragraphs, parts), (8 * LANES, SIGNS // 8)):
+            safe = int(np.searchsorted(ends, cut, "left"))  # parts that end before the cut stay as they are
+            gone.append(held[safe:])
+            new.append(digests(find(raw[int(ends[safe - 1]) if safe else 0:]), size))
+        return text, self.mark - Fingerprint.of_digests(*gone) + Fingerprint.of_digests(*new)
 
 
 def _buckets(docs: DataFrame, count: int):

@@ -14,6 +14,7 @@ byte pieces.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import string
 from array import array
@@ -67,17 +68,30 @@ class Pieces:
 
 def merged(text: str, score: dict[str, float]) -> list[str]:
     """BPE as defined: the adjacent pair of best score merges, leftmost first, until none can."""
-    parts = list(text)
-    while len(parts) > 1:
-        best, at = -np.inf, -1
-        for i in range(len(parts) - 1):
-            s = score.get(parts[i] + parts[i + 1], -np.inf)
-            if s > best:
-                best, at = s, i
-        if at < 0:
-            break
-        parts[at:at + 2] = [parts[at] + parts[at + 1]]
-    return parts
+    parts: list[str | None] = list(text)
+    after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+    heap: list[tuple[float, int, str]] = []
+
+    def ask(i: int) -> None:
+        j = after[i]
+        if i >= 0 and j < len(parts) and (s := score.get(both := parts[i] + parts[j])) is not None:
+            heapq.heappush(heap, (-s, i, both))
+
+    for i in range(len(parts) - 1):
+        ask(i)
+    while heap:
+        _, i, both = heapq.heappop(heap)
+        j = after[i]
+        if parts[i] is None or j >= len(parts) or parts[i] + parts[j] != both:
+            continue  # one of the two has merged meanwhile
+        parts[i], parts[j] = both, None
+        after[i] = after[j]
+        if after[i] < len(parts):
+            before[after[i]] = i
+        ask(i)
+        if before[i] >= 0:
+            ask(before[i])
+    return [x for x in parts if x is not None]
 
 
 def edges(piece: str, score: dict[str, float], right: bool) -> list[tuple[str, float, float]]:

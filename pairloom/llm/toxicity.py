@@ -23,7 +23,7 @@ from pairloom.llm.common import discard, fold, materialize, releasing
 #: At most so many labelled rows fit the model (the smallest hashes of doc_id), and so many terms make the lexicon.
 TRAIN_ROWS, LEXICON = 24_000, 4_000
 STEMS = (4, 5, 6)
-#: Training parts: a row's features, and the score that calibrates, come from the other parts.
+#: Training parts (by text): a row's features, and the score that calibrates, come from the other parts.
 PARTS = 5
 #: Second-person words of the four languages.
 SECOND = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine euch euer ihr tú ti usted ustedes vosotros vuestro".split())
@@ -90,11 +90,11 @@ def features(text: str | None, lex: Lexicon, part: int | None = None) -> list[fl
             mass += top
             stems += not term.endswith(".")
     if mixed:
-        for w in words:
+        for i, w in enumerate(words):
             if any(x in w for x in "013457@$!"):
                 plain = w.strip(_EDGE).translate(LEET)
                 if (top := weights.get(plain + ".", 0.0)) > 0 and plain != w:
-                    spots.append(0)
+                    spots.append(i)
                     best = max(best, top)
                     mass += top
     you = [i for i, w in enumerate(words) if w in SECOND] if spots else []
@@ -169,11 +169,12 @@ class Trees:
 
 
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: centres and means of the blocks."""
-    o = np.argsort(score, kind="stable")
+    """Pool adjacent violators: centres and means of the blocks. Rows of equal score are one block from the start."""
+    at, where = np.unique(score, return_inverse=True)
+    n = np.bincount(where, minlength=len(at)).astype(float)
     blocks: list[list[float]] = []
-    for s, v in zip(score[o], y[o]):
-        blocks.append([float(s), float(v), 1.0])
+    for row in zip(at * n, np.bincount(where, y, len(at)), n):
+        blocks.append([float(x) for x in row])
         while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
             last = blocks.pop()
             blocks[-1] = [a + b for a, b in zip(blocks[-1], last)]
@@ -203,7 +204,7 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    sample = materialize(_sample(docs, labels, rows).select("doc_id", "text", F.col("y").cast("int").alias("y"), F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int").alias("part")))
+    sample = materialize(_sample(docs, labels, rows).select("doc_id", "text", F.col("y").cast("int").alias("y"), F.pmod(F.xxhash64("text"), F.lit(PARTS)).cast("int").alias("part")))
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [[Counter() for _ in range(PARTS)] for _ in range(2)]
@@ -227,9 +228,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     def describe(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             x = [features(t, lex, k) for t, k in zip(b.column("text").to_pylist(), b.column("part").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(x, pa.list_(pa.float64())), b.column("y"), b.column("part")], ["doc_id", "x", "y", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column("y"), b.column("part")], ["x", "y", "part"])
 
-    rows_ = sorted(sample.mapInArrow(releasing(describe), "doc_id long, x array<double>, y int, part int").collect(), key=lambda r: (r["doc_id"], r["x"]))
+    rows_ = sorted(sample.mapInArrow(releasing(describe), "x array<double>, y int, part int").collect(), key=lambda r: (r["x"], r["y"], r["part"]))
     discard(sample)
     y = np.array([r["y"] for r in rows_], float)
     if not toxic or not clean:

@@ -260,9 +260,12 @@ def test_mixing(spark, docs, rows):
 
 def test_multiset_hash(spark, docs, rows):
     F = multiset_hash.Fingerprint
-    a, b = "One. Two, three. Two,", " Four! "
+    a, b = "One. Two, three.\nTwo,\n", " Four! \n"
     assert str(F.of(a.encode()) + F.of(b.encode())) == str(F.of((a + b).encode())) and str(F.of((a + b).encode()) - F.of(b.encode())) == str(F.of(a.encode()))
-    assert str(F.of(b"x. y. z.")) != str(F.of(b"x. y.")) and str(F.of(b"x.y.")) == str(F.of(b"y.x."))
+    assert str(F.of(b"x\ny\nz\n")) != str(F.of(b"x\ny\n")) and str(F.of(b"x\ny\n")) == str(F.of(b"y\nx\n"))
+    assert str(F.of(b"one,two,")) != str(F.of(b"two,one,")) and F.of(b"one,two,").likeness(F.of(b"two,one,")) < 1
+    many, others = F.of(b"a." * 65536), F.of(b"b." * 65536)
+    assert many.likeness(F.of(b"")) == 0 and many.likeness(others) < 0.1 and many.likeness(F.of(b"a." * 65536)) == 1
     want = sorted(((r[0] if r[0] is not None else 1 << 63, r[1] or "") for r in rows), key=lambda x: x)
     expect = Counter()
     for i, (d, t) in enumerate(want):
@@ -419,7 +422,19 @@ def test_toxicity(spark):
     assert {g.score for g in none} == {0.0} and toxicity.toxicity(empty(spark), lab).count() == 0
 
 
+def test_toxicity_features():
+    lex = toxicity.Lexicon({"idiot.": ([9, 9, 9, 9, 9], [0] * 5)}, ([50] * 5, [500] * 5))
+    near = toxicity.FEATURES.index("near_second_person")
+    for word in ("idiot", "1d10t"):
+        assert toxicity.features("so " * 200 + f"you are a {word}", lex)[near] == pytest.approx(math.exp(-0.3))
+        assert toxicity.features(f"you {'so ' * 300}{word}", lex)[near] < 1e-9
+    assert toxicity.features(None, lex) == toxicity.features("", lex) == [0.0] * len(toxicity.FEATURES)
+
+
 def test_isotonic_blocks_rise():
+    for y in ([0, 0, 1, 1], [1, 1, 0, 0], [1, 0, 1, 0]):  # of equal scores the order does not count
+        x, m = toxicity.isotonic(np.ones(4), np.array(y, float))
+        assert (x, m) == (pytest.approx([1]), pytest.approx([0.5]))
     r = np.random.default_rng(1)
     s = r.normal(size=300)
     x, y = toxicity.isotonic(s, (r.random(300) < 1 / (1 + np.exp(-3 * s))).astype(float))
@@ -449,6 +464,14 @@ def test_sentencepiece_equals_the_library(codec, rows):
     assert [codec.decode(g) for g in got] == texts and [codec.decode(g) for g in got] == lib.decode([g.tolist() for g in got])
 
 
+def test_long_runs_of_spaces(codec):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    texts = [" " * n + x for n in (1, 2, 3, 15, 16, 17, 33, 100, 1001, 100_000) for x in ("", "a", " b  c")]
+    assert [g.tolist() for g in codec.encode(texts)] == lib.encode(texts)
+
+
 def test_pairs_of_pieces_are_judged_as_merging_does(codec):
     p = codec.p
     ids = random.Random(4).choices(list(p.id.values()), k=4000)
