@@ -46,20 +46,25 @@ def _usable(vectors: DataFrame) -> Column:
     return F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & fine, F.lit(False))
 
 
-def _nodes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(vec_id, node) of usable rows, and (node, grp, v, many): the classes of equal vectors."""
+def _nodes(vectors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(row, vec_id) of all rows; (row, node) of usable ones; and (node, grp, v, many, low): the classes of equal vectors, with
+    how many rows and the smallest vec_id of each. Rows and nodes have numbers of their own, as one vec_id may have several
+    vectors."""
 
     def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            v = [(np.asarray(x.values.to_numpy(), np.float64) + 0.0).tobytes() for x in b.column("e")]
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("grp"), pa.array(v, pa.binary())], ["vec_id", "grp", "v"])
+            v = [(np.asarray(x.values.to_numpy(), np.float64) + 0.0).tobytes() if x.is_valid else None for x in b.column("e")]
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("vec_id"), b.column("grp"), pa.array(v, pa.binary())], ["row", "vec_id", "grp", "v"])
 
     grp = F.concat_ws("/", F.col("label").cast("string"), F.size("embedding"))
-    usable = vectors.filter(_usable(vectors)).select(F.col("vec_id").cast("long"), grp.alias("grp"), F.col("embedding").cast("array<double>").alias("e"))
-    rows = materialize(usable.mapInArrow(pack, "vec_id long, grp string, v binary"))
-    nodes = materialize(rows.groupBy("grp", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("many")))
-    members = rows.join(nodes.select("grp", "v", "node"), ["grp", "v"]).select("vec_id", "node")
-    return members, nodes.select("node", "grp", "v", "many")
+    e = F.when(_usable(vectors), F.col("embedding").cast("array<double>"))
+    numbered = vectors.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), grp.alias("grp"), e.alias("e"))
+    rows = materialize(numbered.mapInArrow(pack, "row long, vec_id long, grp string, v binary"))
+    usable = rows.filter("v is not null")
+    same = usable.groupBy("grp", "v").agg(F.min("vec_id").alias("low"), F.count("*").alias("many"))
+    nodes = materialize(same.withColumn("node", F.monotonically_increasing_id()))
+    members = usable.join(nodes.select("grp", "v", "node"), ["grp", "v"]).select("row", "node")
+    return rows.select("row", "vec_id"), members, nodes.select("node", "grp", "v", "many", "low")
 
 
 def _best(edges: DataFrame, k: int = K) -> DataFrame:
@@ -338,21 +343,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     component, kept. Rows of equal vec_id are vectors each and returned each. component_id is the smallest vec_id that
     links reach. Other columns are ignored. An empty table gives an empty one."""
     parts = partitions(vectors.sparkSession)
-    members, nodes = _nodes(vectors)
+    rows, members, nodes = _nodes(vectors)
     links, full = _search(nodes, threshold, parts)
     rest = _apart(links, full)
     where = components(links)
     placed = materialize(nodes.join(where, "node", "left").join(full.withColumn("full", F.lit(True)), "node", "left").select(
-        "node", "grp", "v", "many", F.coalesce("component", "node").alias("component"), F.coalesce("full", F.lit(False)).alias("full")))
+        "node", "grp", "v", "many", "low", F.coalesce("component", "node").alias("component"), F.coalesce("full", F.lit(False)).alias("full")))
     exact = _enlarged(placed, threshold)
     merged = components(exact.filter("n is null").select("a", "b")).select(F.col("node").alias("component"), F.col("component").alias("whole"))
     through = exact.filter("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     many = nodes.select(F.col("node").alias("b"), "many")
     plain = rest.join(many, "b").groupBy(F.col("a").alias("node")).agg(F.sum("many").alias("plain"))
-    per_node = (placed.select("node", "many", "component").join(merged, "component", "left").join(through, "node", "left").join(plain, "node", "left")
-                .select("node", (F.coalesce("n", F.lit(0)) + F.coalesce("plain", F.lit(0)) + F.col("many") - 1).alias("n"), F.coalesce("whole", "component").alias("component")))
-    by_id = members.select("vec_id", "node").distinct().join(per_node, "node").select("vec_id", "n", "component")
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), _usable(vectors).alias("__u")).join(by_id, "vec_id", "left").select(
-        "vec_id", F.when(F.col("__u"), F.coalesce("n", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
-        F.when(F.col("__u"), F.coalesce("component", "vec_id")).otherwise(F.col("vec_id")).alias("component_id"),
-    ).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    whole = placed.join(merged, "component", "left").withColumn("whole", F.coalesce("whole", "component"))
+    least = whole.groupBy("whole").agg(F.min("low").alias("least"))
+    per_node = (whole.join(least, "whole").join(through, "node", "left").join(plain, "node", "left")
+                .select("node", (F.coalesce("n", F.lit(0)) + F.coalesce("plain", F.lit(0)) + F.col("many") - 1).alias("n"), F.col("least").alias("component")))
+    by_row = members.join(per_node, "node").select("row", "n", "component")
+    return rows.join(by_row, "row", "left").select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")).withColumn(
+        "kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

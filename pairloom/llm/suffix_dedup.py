@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import discard, materialize, partitions, releasing
@@ -27,6 +27,8 @@ SPAN, GRAM = 100, 32
 WIDTH = SPAN - GRAM + 1
 #: Window starts in one piece of a document, bytes in one numpy block, anchors that one flush holds.
 PIECE, BLOCK, FLUSH = 1 << 20, 1 << 18, 400_000
+#: Where the next text of one doc_id starts.
+TEXT = 1 << 40
 #: Leading tokens the driver may see, how often a hot anchor is among them, windows in a slice of a hot context, and bits
 #: of the filter of documents that have marks (4 MB).
 SAMPLE, HOT, SLICE, FILTER_BITS = 20_000, 16, 8, 1 << 25
@@ -100,7 +102,7 @@ def _blocks(batch: pa.RecordBatch):
         buf = np.frombuffer(b"".join(parts), np.uint8)
         return buf, np.cumsum([len(x) for x in parts]), np.array(doc, np.int64), np.array(off, np.int64)
 
-    for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+    for d, t, k in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("__k").to_pylist()):
         raw = t.as_buffer() if t.is_valid else None
         if d is None or raw is None or raw.size < SPAN:
             continue
@@ -108,7 +110,7 @@ def _blocks(batch: pa.RecordBatch):
         for s in range(0, len(raw) - SPAN + 1, PIECE):
             parts.append(raw[s:s + PIECE + SPAN - 1])
             doc.append(d)
-            off.append(s)
+            off.append(k * TEXT + s)
             size += len(parts[-1])
             if size >= BLOCK:
                 yield full()
@@ -289,10 +291,13 @@ def window_repeats(h, doc, lo, n, la, texts: list[bytes], most: int = 500_000) -
         o = multikey_order(got[s] ^ (hr.view(np.uint64) * _C[0]), left[s], d, at)
         same = _tied(got[s][o], hr[o], left[s][o])
         first = o[np.maximum.accumulate(np.where(same, 0, np.arange(len(o))))] if len(o) else o
-        pairs = np.flatnonzero(same)
-        for x, y in zip(o[pairs].tolist(), first[pairs].tolist()):
-            if texts[r[x]][i[s[x]]:i[s[x]] + SPAN] != texts[r[y]][i[s[y]]:i[s[y]] + SPAN]:
-                raise ArithmeticError("two different windows have one hash")
+        for x in np.flatnonzero(same).tolist():  # two different windows may have one hash: each is judged by its own bytes
+            window = lambda k: texts[r[k]][i[s[k]]:i[s[k]] + SPAN]  # noqa: E731, B023
+            if window(o[x]) != window(first[x]):
+                run = x - 1
+                while same[run] and window(o[run]) != window(o[x]):
+                    run -= 1
+                first[x] = first[run] if window(o[run]) == window(o[x]) else o[x]
         gone = same & ((d[o] != d[first]) | (at[o] != at[first]))
         docs.append(d[o][gone])
         starts.append(at[o][gone])
@@ -319,11 +324,15 @@ def _open_windows(docs: DataFrame, marks: DataFrame, buckets: int, hot: np.ndarr
 
     def fetch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            for t, d, want in zip(b.column("text"), b.column("doc_id").to_pylist(), b.column("want")):
-                raw = t.as_buffer().to_pybytes()
+            for t, d, k, want in zip(b.column("text"), b.column("doc_id").to_pylist(), b.column("__k").to_pylist(), b.column("want")):
+                raw = t.as_buffer().to_pybytes() if t.is_valid else b""
                 rows = []
                 for h, lo, n, la in zip(*(want.values.field(c).to_pylist() for c in ("h", "lo", "n", "la"))):
-                    rows += slices(h, lo, n, la, raw) if h in split else [(h, lo, n, la, raw[lo:lo + n + SPAN])]
+                    if lo // TEXT == k:
+                        at = lo - k * TEXT
+                        rows += [(x, y + k * TEXT, *z) for x, y, *z in (slices(h, at, n, la, raw) if h in split else [(h, at, n, la, raw[at:at + n + SPAN])])]
+                if not rows:
+                    continue
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), d)), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], ["doc_id", "h", "lo", "n", "la", "bytes"])
 
@@ -355,7 +364,7 @@ def _open_windows(docs: DataFrame, marks: DataFrame, buckets: int, hot: np.ndarr
         if count:
             yield out(pa.Table.from_batches(held))
 
-    got = docs.select("doc_id", "text").join(want, "doc_id").mapInArrow(releasing(fetch), "doc_id long, h long, lo long, n int, la int, bytes binary")
+    got = docs.select("doc_id", "text", "__k").join(want, "doc_id").mapInArrow(releasing(fetch), "doc_id long, h long, lo long, n int, la int, bytes binary")
     return got.repartition(buckets, "h").sortWithinPartitions("h").mapInArrow(releasing(settle), "doc_id long, lo long, n int")
 
 
@@ -376,11 +385,11 @@ def _marked(marks: DataFrame):
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, spans array<struct<lo long, n int>>): byte windows lo..lo+n of 100 bytes each
+    """docs(doc_id, text, __k) -> (doc_id, spans array<struct<lo long, n int>>): byte windows lo..lo+n of 100 bytes each
     that occur at an earlier place. Documents without any are left out."""
     spark = docs.sparkSession
     buckets = partitions(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "__k")
     splits = _splitters(docs, buckets)
     marks = materialize(_marks(_dealt(docs, splits), buckets, splits[2]))
     open_ = marks.filter("h is not null")
@@ -401,7 +410,8 @@ def keep_mask(size: int, lo: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
-    """docs with a column __spans; only documents that may have spans are shuffled."""
+    """docs with columns __k and __spans; only documents that may have spans are shuffled."""
+    docs = _numbered(docs)
     spans = repeated_spans(docs).withColumnRenamed("spans", "__spans")
     has = _marked(spans)
     none = F.lit(None).cast(spans.schema["__spans"].dataType).alias("__spans")
@@ -410,27 +420,42 @@ def _with_spans(docs: DataFrame) -> DataFrame:
     return some.unionByName(docs.filter(~has).select("*", none))
 
 
-def _cut(t, spans) -> tuple[bytes, np.ndarray | None]:
+def _cut(t, spans, k: int) -> tuple[bytes, np.ndarray | None]:
     raw = t.as_buffer().to_pybytes() if t.is_valid else b""
     if not spans.is_valid:
         return raw, None
-    v = spans.values
-    return raw, keep_mask(len(raw), v.field("lo").to_numpy(), v.field("n").to_numpy().astype(np.int64))
+    lo, n = spans.values.field("lo").to_numpy(), spans.values.field("n").to_numpy().astype(np.int64)
+    mine = lo // TEXT == k
+    return raw, keep_mask(len(raw), lo[mine] - k * TEXT, n[mine])
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with __k, the number of a row's text among the different texts of its doc_id in their order: 0 but where an id
+    has several. Equal ids are one document of several parts, whose k-th part starts at k * TEXT."""
+    ids = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b"))
+    twice = materialize(ids.filter("a <> b").select(F.col("doc_id").alias("__twice")))
+    if twice.isEmpty():
+        return docs.withColumn("__k", F.lit(0).cast("long"))
+    marked = docs.join(twice, F.col("doc_id") == F.col("__twice"), "left")
+    order = Window.partitionBy("__twice").orderBy(F.coalesce("text", F.lit("")))
+    several = marked.filter("__twice is not null").withColumn("__k", (F.dense_rank().over(order) - 1).cast("long"))
+    return several.unionByName(marked.filter("__twice is null").withColumn("__k", F.lit(0).cast("long"))).drop("__twice")
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> (doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string).
 
     A byte goes if a 100-byte string over it also starts earlier: in a smaller doc_id, or earlier in the same text.
-    Null text counts as empty. doc_id names a document: rows of equal id must be copies of one row and are each
-    returned; rows with a null id match nothing and keep all. Texts under 100 bytes keep all. Other columns are
+    Null text counts as empty. Rows of equal id are each returned; equal texts of one id are one text, and different ones
+    follow each other in their order as parts of one document, across which nothing matches. Rows with a null id match
+    nothing and keep all. Texts under 100 bytes keep all. Other columns are
     ignored. An empty table gives an empty one."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             rows = []
-            for t, spans in zip(b.column("text"), b.column("__spans")):
-                raw, keep = _cut(t, spans)
+            for t, spans, k in zip(b.column("text"), b.column("__spans"), b.column("__k").to_pylist()):
+                raw, keep = _cut(t, spans, k)
                 runs = gone = 0
                 if keep is not None:
                     gone = len(keep) - int(keep.sum())
@@ -451,10 +476,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             texts = []
-            for t, spans in zip(b.column("text"), b.column("__spans")):
-                raw, keep = _cut(t, spans)
+            for t, spans, k in zip(b.column("text"), b.column("__spans"), b.column("__k").to_pylist()):
+                raw, keep = _cut(t, spans, k)
                 texts.append(t.as_py() if keep is None or keep.all() else np.frombuffer(raw, np.uint8)[keep].tobytes().decode("utf-8", "ignore"))
-            names = [c for c in b.schema.names if c != "__spans"]
+            names = [c for c in b.schema.names if c not in ("__spans", "__k")]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in names], names)
 
     out = _with_spans(docs).mapInArrow(releasing(run), docs.schema)

@@ -73,6 +73,12 @@ def _by_force(rows, threshold=0.93):
     return sorted((v, int(n), int(c), v == c) for (v, _, _), n, c in zip(rows, link.sum(1), low))
 
 
+def test_one_id_with_several_vectors(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 1), (1, [-1.0, 0.0], 0), (0, [0.01, 1.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert sorted(map(tuple, nn_descent.near_duplicates(df).collect())) == [(0, 1, 0, True), (1, 0, 1, True), (1, 1, 0, False), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+
+
 def test_near_duplicates_between_dense_groups(spark, monkeypatch):
     r = np.random.default_rng(5)
     a, b = np.eye(64)[:2]

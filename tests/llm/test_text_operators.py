@@ -168,6 +168,29 @@ def test_suffix_dedup(spark, docs, rows):
     assert suffix_dedup.suffix_dedup(empty(spark)).count() == 0
 
 
+def test_different_texts_of_one_id_and_equal_hashes(spark, monkeypatch):
+    r = random.Random(13)
+    base = prose(r, 80)
+    texts = [(1, "a " + base), (1, "b " + base[:300]), (1, "b " + base[:300]), (0, base[40:260]), (1, None), (2, base[10:] + base[:150]), (1, "")]
+    seen, want = {}, {}
+    for k, (d, t) in enumerate(sorted({(d, t or "") for d, t in texts})):
+        b = t.encode()
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - 99):
+            if seen.setdefault(b[i:i + 100], (k, i)) != (k, i):
+                gone[i:i + 100] = True
+        want[d, len(b)] = (int(gone.sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest())
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    for mask in (None, 7):
+        if mask:  # nearly all windows share a hash
+            real = suffix_dedup._window_hashes
+            monkeypatch.setattr(suffix_dedup, "_window_hashes", lambda n, t: real(n, t) & np.uint64(7))
+        got = suffix_dedup.suffix_dedup(df).collect()
+        assert len(got) == len(texts)
+        for g in got:
+            assert (g.n_removed, g.kept_sha256) == want[g.doc_id, g.n_bytes]
+
+
 def test_shared_strings_under_the_length_stay(spark):
     r = random.Random(7)
     common = prose(r, 30)[:80]
