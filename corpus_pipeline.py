@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages over documents; each stage's rows are written as Parquet and read by the next.
 
-toxicity drops documents that score 0.7 or more; simhash_dedup keeps the document of smallest doc_id of each group of
-fingerprints (3-word shingles, links at up to 3 bits: the operator's contract); suffix_dedup cuts passages of 100 bytes
+toxicity drops documents that score 0.7 or more; simhash_dedup keeps the document of smallest doc_id of each group of near
+copies (five-word shingles at a similarity of 0.8 or more, by wide fingerprints); suffix_dedup cuts passages of 100 bytes
 and more that occur earlier; mixing repeats documents so that sources meet their targets; sentencepiece encodes what is
 left. Every stage but the last returns the columns of documents.
 """
@@ -43,7 +43,8 @@ STAGES = [
     ("sentencepiece", encode),
 ]
 
-#: The models, fingerprints and pieces are beyond SQL; tests compare every stage with a brute-force version.
+#: The models, fingerprints and pieces are beyond SQL. Tests compare the operators of all stages but the first with brute-force
+#: versions or the library that they stand for, the first with held-out labels, and each stage with its operator.
 ORACLE_SQL = None
 
 

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once into the shared folder that spark.checkpoint.dir names (a temporary one only where unset)."""
+    """df computed once into the shared folder that spark.checkpoint.dir names (a temporary one only in local mode)."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(f"{tempfile.gettempdir()}/pairloom-{os.getpid()}")
     return df.checkpoint()
