@@ -16,7 +16,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,7 +29,7 @@ PIECE, BLOCK, FLUSH = 1 << 20, 1 << 18, 400_000
 #: Where the next text of one doc_id starts.
 TEXT = 1 << 40
 #: Leading tokens the driver may see, how often a hot anchor is among them, windows in a slice of a hot context, and bits
-#: of the filter of documents that have marks (4 MB).
+#: of the filter of documents that have marks.
 SAMPLE, HOT, SLICE, FILTER_BITS = 20_000, 16, 8, 1 << 25
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _LOW = np.uint64((1 << 24) - 1)
@@ -368,20 +367,13 @@ def _open_windows(docs: DataFrame, marks: DataFrame, buckets: int, hot: np.ndarr
     return got.repartition(buckets, "h").sortWithinPartitions("h").mapInArrow(releasing(settle), "doc_id long, lo long, n int")
 
 
-def _marked(marks: DataFrame):
-    """A fixed-size bitmap over doc_id hashes as a filter: true for every id in marks, and for few others."""
-    x = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)) + 1
-    rows = marks.select(x.alias("x")).distinct().groupBy(F.bitmap_bucket_number("x").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("m")).collect()
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in rows:
-        bits[(r["b"] - 1) * 4096: r["b"] * 4096] = np.frombuffer(r["m"], np.uint8)
-
-    @F.pandas_udf("boolean")
-    def has(x: pd.Series) -> pd.Series:
-        v = x.fillna(0).to_numpy(np.int64)
-        return pd.Series((bits[v >> 3] >> (v & 7).astype(np.uint8)) & 1 == 1)
-
-    return has(F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)), F.lit(0)))
+def _marked(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """docs with __has: true for every doc_id in marks, and for few others. marks become a bitmap of FILTER_BITS over hashes of
+    doc_id, 64 bits a row, so what is broadcast has at most FILTER_BITS / 64 rows."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("__x")
+    bits = marks.select(bit).groupBy(F.shiftright("__x", 6).alias("__w")).agg(F.expr("bit_or(shiftleft(1L, cast(__x & 63 as int)))").alias("__m"))
+    found = docs.withColumn("__x", bit).join(F.broadcast(bits), F.shiftright("__x", 6) == F.col("__w"), "left")
+    return found.withColumn("__has", F.expr("coalesce(shiftright(__m, cast(__x & 63 as int)) & 1 = 1, false)")).drop("__x", "__w", "__m")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -393,7 +385,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     splits = _splitters(docs, buckets)
     marks = materialize(_marks(_dealt(docs, splits), buckets, splits[2]))
     open_ = marks.filter("h is not null")
-    more = materialize(_open_windows(docs.filter(_marked(open_)), marks, buckets, splits[2]))
+    more = materialize(_open_windows(_marked(docs, open_).filter("__has"), marks, buckets, splits[2]))
     spans = marks.filter("h is null").select("doc_id", "lo", "n").union(more)
     out = materialize(spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("spans")))
     discard(marks)
@@ -413,11 +405,11 @@ def _with_spans(docs: DataFrame) -> DataFrame:
     """docs with columns __k and __spans; only documents that may have spans are shuffled."""
     docs = _numbered(docs)
     spans = repeated_spans(docs).withColumnRenamed("spans", "__spans")
-    has = _marked(spans)
+    docs = _marked(docs, spans)
     none = F.lit(None).cast(spans.schema["__spans"].dataType).alias("__spans")
     key = spans.withColumnRenamed("doc_id", "__id")
-    some = docs.filter(has).join(key, F.col("doc_id") == F.col("__id"), "left").drop("__id")
-    return some.unionByName(docs.filter(~has).select("*", none))
+    some = docs.filter("__has").join(key, F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    return some.unionByName(docs.filter("not __has").select("*", none)).drop("__has")
 
 
 def _cut(t, spans, k: int) -> tuple[bytes, np.ndarray | None]:
