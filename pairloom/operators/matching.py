@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pairloom.functions.core import hash_order, haversine_m
 from pairloom.operators.lineage import cut
 
+#: Pairs of each tier, and what its seed adds.
 SIZES = {"micro": 1_000, "mini": 3_000, "small": 10_000, "medium": 50_000}
 SEED_STEP = {"micro": 0, "mini": 1, "small": 2, "medium": 3}
 

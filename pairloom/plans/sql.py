@@ -10,12 +10,16 @@ obs AS (SELECT l_partkey * 10 + k AS rid, l_partkey AS id, p_name AS name, p_bra
 DIST = ("(CAST(12742017.6 AS DOUBLE) * asin(sqrt(least(CAST(1 AS DOUBLE), greatest(CAST(0 AS DOUBLE), pow(sin(radians(b.lat - a.lat) / 2), 2) "
         "+ cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))))")
 CM = "CAST(round(d * 100) AS BIGINT) AS distance_cm"
-NEAR = f"""near AS (SELECT a.rid AS rid_a, b.rid AS rid_b, a.id AS id_a, b.id AS id_b, {DIST} AS d, coalesce(a.category = b.category, false) AS preferred, a.lat AS lat_a, a.lon AS lon_a
-  FROM obs a JOIN obs b ON a.rid < b.rid AND a.id <> b.id AND abs(a.lat - b.lat) < 0.0001 WHERE {DIST} < 10)"""
-NAMED = f"""nm AS (SELECT obs.*, lower(regexp_replace(obs.name, '^\\s+|\\s+$', '', 'g')) AS name_key FROM obs),
-kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name_key ORDER BY md5('rows|' || rid), rid) AS rn FROM nm WHERE name_key <> '') WHERE rn <= 60),
-same AS (SELECT * FROM (SELECT a.rid AS rid_a, b.rid AS rid_b, a.id AS id_a, b.id AS id_b, {DIST} AS d, coalesce(lower(a.locality) = lower(b.locality) AND a.locality <> '', false) AS preferred, a.name_key AS name_key
+NEAR = f"""belt AS (SELECT *, CAST(floor(lat / CAST(0.0001 AS DOUBLE)) AS BIGINT) AS belt FROM obs),
+beside AS (SELECT belt.* REPLACE (belt + d AS belt) FROM belt, (VALUES (-1), (0), (1)) t(d)),
+near AS (SELECT * FROM (SELECT a.rid AS rid_a, b.rid AS rid_b, a.id AS id_a, b.id AS id_b, {DIST} AS d, coalesce(a.category = b.category, false) AS preferred, a.lat AS lat_a, a.lon AS lon_a
+  FROM belt a JOIN beside b ON a.belt = b.belt AND a.rid < b.rid AND a.id <> b.id AND abs(a.lat - b.lat) < 0.0001) WHERE d < 10)"""
+_KEYED = "nm AS (SELECT obs.*, lower(regexp_replace(obs.name, '^\\s+|\\s+$', '', 'g')) AS name_key FROM obs)"
+_SAME = f"""same AS (SELECT * FROM (SELECT a.rid AS rid_a, b.rid AS rid_b, a.id AS id_a, b.id AS id_b, {DIST} AS d, coalesce(lower(a.locality) = lower(b.locality) AND a.locality <> '', false) AS preferred, a.name_key AS name_key
   FROM kept a JOIN kept b ON a.name_key = b.name_key AND a.rid < b.rid AND a.id <> b.id) WHERE d >= 200 AND d <= 50000)"""
+NAMED = f"""{_KEYED}, kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name_key ORDER BY md5('rows|' || rid), rid) AS rn FROM nm WHERE name_key <> '') WHERE rn <= 500),
+{_SAME}"""
+ALL_NAMED = f"{_KEYED}, kept AS (SELECT * FROM nm WHERE name_key <> ''), {_SAME}"
 CAPPED = "capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name_key ORDER BY preferred DESC, md5('group|' || rid_a || '|' || rid_b), rid_a, rid_b) AS n FROM same) WHERE n <= 5)"
 CLOSEST = f"""pairs AS (SELECT a.id AS id, a.rid AS rid_a, b.rid AS rid_b, {DIST} AS d FROM obs a JOIN obs b ON a.id = b.id AND a.rid < b.rid),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, rid_a, rid_b) AS n FROM pairs) WHERE n = 1 AND d < 5)"""
@@ -31,11 +35,19 @@ n AS (SELECT *, greatest(1, CAST(floor(CAST(360 AS DOUBLE) * cos(radians(least(g
 c AS (SELECT *, ((CAST(floor((lon_a + CAST(180 AS DOUBLE)) / CAST(360 AS DOUBLE) * cells) AS BIGINT) % cells) + cells) % cells AS cx FROM n),
 r AS (SELECT *, row_number() OVER (PARTITION BY band, cx ORDER BY preferred DESC, md5('cell|' || rid_a || '|' || rid_b), rid_a, rid_b) AS k FROM c)
 SELECT rid_a, rid_b, {CM}, preferred, band, cx FROM r WHERE k <= 5"""
-BRAND_HARD_CANDIDATES = f"WITH {OBS}, {NAMED} SELECT rid_a, rid_b, {CM}, preferred FROM same"
+BRAND_HARD_CANDIDATES = f"WITH {OBS}, {ALL_NAMED} SELECT rid_a, rid_b, {CM}, preferred FROM same"
 BRAND_GROUP_CAPPED = f"WITH {OBS}, {NAMED}, {CAPPED} SELECT rid_a, rid_b, {CM}, preferred, name_key FROM capped"
 DENSEST_FIRST_CAP = f"""WITH {OBS}, {NAMED}, {CAPPED}, u AS (SELECT name_key, count(*) AS pairs FROM capped GROUP BY name_key), de AS (SELECT name_key, count(*) AS density FROM nm GROUP BY name_key),
 o AS (SELECT u.name_key, coalesce(sum(pairs) OVER (ORDER BY density DESC, u.name_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM u JOIN de ON u.name_key = de.name_key)
 SELECT rid_a, rid_b, {CM}, name_key FROM capped WHERE name_key IN (SELECT name_key FROM o WHERE before < 40)"""
+_FREE = "NOT (list_contains(used, p.id_a) OR list_contains(used, p.id_b))"
+GREEDY_HARD_NEGATIVES = f"""WITH RECURSIVE {OBS}, {NAMED}, {CAPPED},
+pool AS MATERIALIZED (SELECT rid_a, rid_b, id_a, id_b, preferred, d, row_number() OVER (ORDER BY preferred DESC, md5('greedy|' || rid_a || '|' || rid_b), rid_a, rid_b) AS i FROM capped),
+walk(step, used, taken) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[])
+  UNION ALL SELECT p.i, CASE WHEN {_FREE} THEN list_concat(used, [p.id_a, p.id_b]) ELSE used END, CASE WHEN {_FREE} THEN list_append(taken, p.i) ELSE taken END
+  FROM walk JOIN pool p ON p.i = step + 1 WHERE len(taken) < 100),
+won AS (SELECT unnest(taken) AS i FROM (SELECT taken FROM walk ORDER BY step DESC LIMIT 1))
+SELECT rid_a, rid_b, {CM}, id_a, id_b, preferred FROM pool JOIN won USING (i)"""
 BRAND_OR_NAME_KEY = "SELECT p_partkey, lower(trim(CASE WHEN p_partkey % 3 = 1 THEN p_brand ELSE p_name END)) AS name_key FROM part"
 LOCALITY_KEY = "SELECT s_suppkey, CASE WHEN s_suppkey % 4 IN (0, 1) THEN '' ELSE lower(trim(n_name)) END AS locality FROM supplier JOIN nation ON s_nationkey = n_nationkey"
 WKB_POINT_DECODE = f"WITH {OBS} SELECT rid, lon, lat FROM obs"
@@ -58,9 +70,29 @@ o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY md5('
 x AS (SELECT a.rid AS rid_a, b.rid AS rid_b, a.id AS id_a, b.id AS id_b, {DIST} AS d, a.category IS DISTINCT FROM b.category AS preferred
   FROM t p JOIN t q ON p.k % 2 = 0 AND q.k = p.k + 1 JOIN o a ON a.id = p.id JOIN o b ON b.id = q.id)
 SELECT rid_a, rid_b, {CM}, id_a, id_b, preferred FROM x WHERE d >= 1000"""
-ALIGNMENT_SPOTCHECK = f"WITH {OBS} SELECT least(count(*), 50) AS checked, CAST(0 AS BIGINT) AS mismatches FROM obs"
 EX = """ex AS (SELECT l.doc_id AS row_index, 'row_' || CASE WHEN l.doc_id < 1000000 THEN lpad(CAST(l.doc_id AS VARCHAR), 6, '0') ELSE CAST(l.doc_id AS VARCHAR) END AS example_id,
   CASE quality WHEN 1 THEN 'MATCH' ELSE 'NO_MATCH' END AS label, text, source FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
+_SHOWN = "CASE WHEN trim({0}, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)) = '' OR {0} IS NULL THEN 'null' ELSE CAST(to_json(trim({0}, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160))) AS VARCHAR) END"
+
+
+def _prompts(template: str, last: str) -> str:
+    """The prompt of every example: records of names and lang, and what follows them."""
+    record = lambda c: "'{\"names\": ' || " + _SHOWN.format(c) + " || ', \"lang\": ' || " + _SHOWN.format("lang") + f" || '{last}}}'"
+    before, between, after = (x.replace("'", "''") for x in template.replace("{record_b}", "{record_a}").split("{record_a}"))
+    return f"""{EX.replace("text, source FROM", "text, source, lang FROM")}, pr AS (SELECT *, '{before}' || {record("text")} || '{between}' || {record("source")} || '{after}' AS prompt FROM ex)"""
+
+
+def prompt_render(template: str) -> str:
+    return f"""WITH {_prompts(template, ', "phones": null')} SELECT example_id, prompt FROM pr"""
+
+
+def score_hash(template: str) -> str:
+    odd = "('0x' || substr(md5(prompt), 1, 2))::INTEGER % 2 = 1"
+    return f"""WITH {_prompts(template, '')} SELECT example_id, label AS ground_truth, CASE WHEN {odd} THEN 'MATCH' ELSE 'no match.' END AS raw_model_output, CAST(0.01 AS DOUBLE) AS latency_seconds,
+  CAST(len(regexp_extract_all(prompt, '[^\\s]+')) AS BIGINT) AS input_tokens, CAST(2 AS BIGINT) AS output_tokens, CAST(NULL AS VARCHAR) AS request_error, row_index,
+  CASE WHEN {odd} THEN 'MATCH' ELSE 'NO_MATCH' END AS prediction, true AS valid_prediction, 'hash' AS model, 'p' AS prompt_name, '1' AS prompt_version FROM pr"""
+
+
 BALANCED_LIMIT = f"""WITH {EX}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY row_index) AS n FROM ex)
 SELECT row_index, example_id, label FROM r WHERE n <= CASE label WHEN 'MATCH' THEN 26 ELSE 25 END"""
 EXAMPLE_NORMALISE = f"WITH {EX} SELECT row_index, example_id, label, text AS a_names, source AS b_names, row_index AS doc_id FROM ex"

@@ -6,14 +6,24 @@ import hashlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: The columns of a result line.
 RESULTS = ("example_id string, ground_truth string, prediction string, raw_model_output string, valid_prediction boolean, latency_seconds double, "
            "input_tokens long, output_tokens long, request_error string, model string, prompt_name string, prompt_version string, row_index long")
 
 
 def fingerprint(value: dict) -> str:
-    """SHA-256 of a value's canonical JSON."""
-    return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()
+    """A mark of settings that does not depend on their order."""
+
+    def lines(at: str, v):
+        if isinstance(v, dict):
+            for k in sorted(v, key=str):
+                yield from lines(f"{at}/{k}", v[k])
+        else:
+            yield f"{at}={v!r}"
+
+    return hashlib.blake2b("\n".join(lines("", value)).encode(), digest_size=16).hexdigest()
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
@@ -30,6 +40,8 @@ class Run:
         old = self._read()
         if old is None and self._has("results"):
             raise ValueError("the folder has final results but no manifest")
+        if old is not None and old["status"] == "running" and self._has("results"):
+            raise ValueError("the folder has final results beside a running manifest")
         if old is not None and old["fingerprint"] != self.mark:
             raise ValueError("the run was begun with other settings")
         if old is not None and old["status"] == "complete":
@@ -44,16 +56,24 @@ class Run:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
     def _read(self) -> dict | None:
-        return json.loads(self.spark.read.text(f"{self.path}/manifest").first()[0]) if self._has("manifest") else None
+        for name in ("manifest", "manifest.new"):  # the second only if a change was broken off
+            if self._has(name):
+                return json.loads(self.spark.read.text(f"{self.path}/{name}").first()[0])
+        return None
 
     def _write(self, value: dict) -> None:
-        self.spark.createDataFrame([(json.dumps(value),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest")
+        self.spark.createDataFrame([(json.dumps(value),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest.new")
+        new, old = self._path("manifest.new"), self._path("manifest")
+        fs = new.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs.delete(old, True)
+        fs.rename(new, old)
 
     def done(self) -> DataFrame:
-        """Rows scored so far; of a repeated example one."""
+        """Rows scored so far; of a repeated example the smallest."""
         if not self._has("checkpoint"):
             return self.spark.createDataFrame([], RESULTS)
-        return read_results(self.spark, f"{self.path}/checkpoint").dropDuplicates(["example_id"])
+        rows = read_results(self.spark, f"{self.path}/checkpoint")
+        return rows.groupBy("example_id").agg(F.min(F.struct(*rows.columns)).alias("row")).select("row.*")
 
     def append(self, results: DataFrame) -> None:
         results.select([c.split()[0] for c in RESULTS.split(", ")]).write.mode("append").json(f"{self.path}/checkpoint")
