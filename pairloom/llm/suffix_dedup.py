@@ -1,13 +1,13 @@
-"""Exact removal of repeated passages by a sparse, range-partitioned suffix array.
+"""Exact removal of repeated passages by hashed anchors, which stand for a suffix sort.
 
 Every string of `SPAN` bytes has one anchor: the leftmost least of the hashes of its 32-byte strings. Equal strings
-have equal anchors at equal offsets, so the suffixes that start at anchors (about 3 in 100) decide all repeats.
-Sampled splitters range-partition those suffixes by their leading token (8 bytes, ties by the hash of 32). A bucket
-sorts by multikey quicksort: by the leading string, then only tied runs by what surrounds it, then by place. Splitters
-never cut between equal leading strings, so no run crosses a boundary. An anchor's *context* is the text of all its
-windows. Where contexts are equal all but the first occurrence go. Where anchors agree but contexts differ (the ends of
-repeated passages, near copies), one copy of each context is fetched, and its windows are sorted and compared byte for
-byte.
+have equal anchors at equal offsets, so anchors (about 3 in 100 positions) decide all repeats and no suffix is sorted
+by its text. Sampled splitters range-partition anchors by their leading token (8 bytes, ties by the hash of 32). A
+bucket orders them by that hash; only tied runs are ordered by the hash of what surrounds them, then by place.
+Splitters never cut between equal leading strings, so no run crosses a boundary. An anchor's *context* is the text of
+all its windows. Contexts of equal hashes (128 bits with the anchor's) count as equal, and all but the first occurrence
+go. Where anchors agree but contexts differ (the ends of repeated passages, near copies), one copy of each context is
+fetched, its windows are ordered by hash, and windows of one hash are compared byte for byte.
 """
 
 from __future__ import annotations
