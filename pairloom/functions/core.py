@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EARTH_M = 6_371_008.8
 
@@ -97,6 +98,35 @@ def shortened(text: Column, most: int = 70) -> Column:
     return F.when(text.isNull() | (text == ""), "-").when(F.length(text) > most, F.concat(F.substring(text, 1, most - 1), F.lit("…"))).otherwise(text)
 
 
+def _filled(value: Column, kind: T.DataType) -> Column:
+    """Whether a value says anything: not null, empty, zero or false."""
+    if isinstance(kind, T.ArrayType | T.MapType):
+        said = F.size(value) > 0
+    elif isinstance(kind, T.StringType | T.BinaryType):
+        said = F.length(value) > 0
+    elif isinstance(kind, T.BooleanType):
+        said = value
+    else:
+        said = value != 0 if isinstance(kind, T.NumericType) else value.isNotNull()
+    return F.coalesce(said, F.lit(False))
+
+
+def one_line(value: Column, kind: T.DataType, preferred: tuple[str, ...] = (), most: int = 70) -> Column:
+    """A nested value of a type as one line for a reader: the first item of a list, of a struct or map the first preferred key
+    that says anything, else the first of all; a dash where there is none."""
+    shown = lambda v, k, keys=(): one_line(v, k, keys, most)
+    if isinstance(kind, T.ArrayType):
+        return shown(F.get(value, F.lit(0)), kind.elementType, preferred)
+    if isinstance(kind, T.StructType):
+        fields = [*[k for k in preferred if k in kind.fieldNames()], *kind.fieldNames()]
+        return F.coalesce(*[F.when(_filled(value[k], kind[k].dataType), shown(value[k], kind[k].dataType)) for k in fields], F.lit("-"))
+    if isinstance(kind, T.MapType):
+        wanted = [F.try_element_at(value, F.lit(k)) for k in preferred if isinstance(kind.keyType, T.StringType)]
+        anything = F.get(F.filter(F.map_values(value), lambda v: _filled(v, kind.valueType)), F.lit(0))
+        return F.coalesce(*[F.when(_filled(v, kind.valueType), shown(v, kind.valueType)) for v in wanted], shown(anything, kind.valueType))
+    return shortened(value.cast("string"), most)
+
+
 def row_name(index: Column) -> Column:
     """row_000000 and on; longer numbers are not cut."""
     digits = index.cast("string")

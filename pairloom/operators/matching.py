@@ -48,14 +48,31 @@ def places_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
 
 
+#: Candidates looked at first for each pair wanted.
+AHEAD = 8
+
+
 def greedy_matching(candidates: DataFrame, k: int | None, seed: int | str) -> DataFrame:
     """The pairs that a walk over candidates in order (preferred first, then hash) accepts when each place is used once; the
     first k of them.
 
-    Per round a pair wins if it comes first at both its places; winners go out, pairs at their places are dropped. The union
-    is exactly the sequential walk's result, and rounds grow with the logarithm of the pairs."""
+    What the walk accepts depends on earlier candidates only, so the first AHEAD * k are walked first, and all of them only
+    where those fall short of k."""
     key = F.struct((~F.col("preferred")).alias("p"), hash_order(seed, F.col("rid_a"), F.col("rid_b")).alias("h"), F.col("rid_a").alias("a"), F.col("rid_b").alias("b"))
-    left = cut(candidates.withColumn("__key", key))
+    keyed = candidates.withColumn("__key", key)
+    if k is None:
+        return _walked(cut(keyed)).drop("__key")
+    first = cut(keyed.orderBy("__key").limit(AHEAD * k))
+    won = _walked(first)
+    if won.count() < k and first.count() == AHEAD * k:
+        won = _walked(cut(keyed))
+    return won.orderBy("__key").limit(k).drop("__key")
+
+
+def _walked(left: DataFrame) -> DataFrame:
+    """All pairs that the walk accepts. Per round a pair wins if it comes first at both its places; winners go out, pairs at
+    their places are dropped. The union is exactly the sequential walk's result, and rounds grow with the logarithm of the
+    pairs."""
     won: DataFrame | None = None
     while not left.isEmpty():
         ends = left.select(F.explode(F.array("id_a", "id_b")).alias("id"), "__key").groupBy("id").agg(F.min("__key").alias("first"))
@@ -65,9 +82,7 @@ def greedy_matching(candidates: DataFrame, k: int | None, seed: int | str) -> Da
         winners = cut(best.filter((F.col("__key") == F.col("__id_a")) & (F.col("__key") == F.col("__id_b"))).select(left.columns))
         won = winners if won is None else won.unionByName(winners)
         left = cut(without_used(left, places_of(winners)))
-    if won is None:
-        won = left
-    return (won if k is None else won.orderBy("__key").limit(k)).drop("__key")
+    return left if won is None else won
 
 
 def random_row(places: DataFrame, seed: int | str, k: int = 1) -> DataFrame:

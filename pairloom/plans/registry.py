@@ -14,6 +14,7 @@ from pairloom.operators import matching as M
 from pairloom.operators import metrics, pairs, scoring
 from pairloom.operators.lineage import cut
 from pairloom.plans import sql
+from pairloom.sources import files
 from pairloom.sources.places import normalise_places, read_tables, surrogate_places, with_wkb
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,7 +149,7 @@ def easy_negative_round(spark, sf_dir):
     return _shown(M.far_round(rows, rows.select("id").distinct(), 200, 1_000.0, "far"), "id_a", "id_b", "preferred")
 
 
-@query()
+@query(sql.EASY_NEGATIVES)
 def easy_negatives(spark, sf_dir):
     rows = places(spark, sf_dir)
     return _shown(M.easy_negatives(rows, rows.select("id").limit(0), 30, 1_000.0, "easy"), "id_a", "id_b", "preferred")
@@ -162,38 +163,36 @@ def _table(spark, sf_dir):
     return rows, pairs.geo_pairs(pairs.build_pools(rows, s), n), n, s
 
 
-@query()
+@query(sql.GEO_PAIRS)
 def geo_pairs(spark, sf_dir):
     rows, table, _, _ = _table(spark, sf_dir)
-    return pairs.widen(table, rows.select("rid", "id", "category", "locality"))
+    shown = table.withColumns({"distance_m": core.centimetres(F.col("distance_m")), "label": F.col("label").cast("int")}).withColumnRenamed("distance_m", "distance_cm")
+    return pairs.widen(shown, rows.select("rid", "id", "category", "locality"))
 
 
-@query()
+@query(sql.GEO_PAIR_INVARIANTS)
 def geo_pair_invariants(spark, sf_dir):
     rows, table, n, s = _table(spark, sf_dir)
     return pairs.invariants(table, rows, n, s)
 
 
-@query()
+@query(sql.GEO_PAIR_STATS)
 def geo_pair_stats(spark, sf_dir):
     _, table, _, s = _table(spark, sf_dir)
     return pairs.stats(table, s)
 
 
-@query()
+@query(sql.PAIR_TYPE_BREAKDOWN)
 def pair_type_breakdown(spark, sf_dir):
     return pairs.review(_table(spark, sf_dir)[1]).groupBy("pair_type").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(sql.ALIGNMENT_SPOTCHECK)
 def alignment_spotcheck(spark, sf_dir):
-    """Sampled places against a second reading whose coordinates go through packed geometry and back."""
-    rows = surrogate_places(spark, sf_dir).select("rid", "id", "lon", "lat")
-    lon, lat = core.wkb_point(F.col("geometry"))
-    again = with_wkb(surrogate_places(spark, sf_dir)).select("rid", lon.alias("lon_again"), lat.alias("lat_again"))
-    sample = rows.orderBy(core.hash_order("spot", F.col("rid")), "rid").limit(50)
-    same = F.coalesce((F.col("lon") == F.col("lon_again")) & (F.col("lat") == F.col("lat_again")), F.lit(False))
-    return sample.join(again, "rid", "left").agg(F.count("*").alias("checked"), F.count_if(~same).alias("mismatches"))
+    """Sampled rows of an indexed table against a second reading of the same places of its file."""
+    path = f"{sf_dir}/lineitem.parquet"
+    keys = ["l_orderkey", "l_linenumber", "l_extendedprice"]
+    return files.alignment(cut(files.with_row_index(spark, path).select("row_index", *keys)), path, keys, 50, "spot")
 
 
 LABELLED = X.ExampleSource("quality", {"names": "text", "lang": "lang"}, {"names": "source", "lang": "lang"}, {"doc_id": "doc_id"})
@@ -291,6 +290,19 @@ def flatten_preview(spark, sf_dir):
     return first.select("doc_id", core.shortened(F.col("text")).alias("line"))
 
 
+@query(sql.NESTED_PREVIEW)
+def nested_preview(spark, sf_dir):
+    """Lists, structs and maps of order and part columns as one line each."""
+    (part,) = read_tables(spark, sf_dir, "part")
+    odd, third = F.col("p_partkey") % 2 == 1, F.col("p_partkey") % 3 == 0
+    held = part.select(
+        "p_partkey", F.struct(F.lit("").alias("common"), F.col("p_type").alias("other"), F.when(odd, F.col("p_name")).alias("primary")).alias("names"),
+        F.when(third, F.array().cast("array<struct<region:string,freeform:string>>")).otherwise(F.array(F.struct(F.col("p_brand").alias("region"), F.col("p_type").alias("freeform")))).alias("addresses"),
+        F.create_map(F.lit("size"), F.when(odd, F.lit("")).otherwise(F.col("p_brand")), F.lit("name"), F.col("p_name")).alias("tags"))
+    line = lambda c, *keys: core.one_line(F.col(c), held.schema[c].dataType, keys, 12).alias(c)
+    return held.select("p_partkey", line("names", "primary"), line("addresses", "freeform"), line("tags", "size"))
+
+
 @query(sql.LARGEST_GROUPS)
 def largest_places(spark, sf_dir):
     ranked = place_row_counts(spark, sf_dir).groupBy("n").agg(F.count("*").alias("places"))

@@ -48,6 +48,82 @@ walk(step, used, taken) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST
   FROM walk JOIN pool p ON p.i = step + 1 WHERE len(taken) < 100),
 won AS (SELECT unnest(taken) AS i FROM (SELECT taken FROM walk ORDER BY step DESC LIMIT 1))
 SELECT rid_a, rid_b, {CM}, id_a, id_b, preferred FROM pool JOIN won USING (i)"""
+_OWN = "row_number() OVER (PARTITION BY id ORDER BY md5('{0}|' || rid), rid)"
+
+
+def _far(r: int, seed: str, unused: str, n: str) -> str:
+    """f<r>: one round of far pairs of n places of a relation unused(id)."""
+    at = f"{seed}/{r}"
+    return f"""r{r} AS MATERIALIZED (SELECT id, k FROM (SELECT id, row_number() OVER (ORDER BY md5('{at}|' || id), id) - 1 AS k FROM {unused}) WHERE k < {n}),
+o{r} AS MATERIALIZED (SELECT * FROM (SELECT obs.*, {_OWN.format(at)} AS n FROM obs WHERE id IN (SELECT id FROM r{r})) WHERE n = 1),
+f{r} AS MATERIALIZED (SELECT * FROM (SELECT a.rid AS rid_a, b.rid AS rid_b, a.id AS id_a, b.id AS id_b, {DIST} AS d, a.category IS DISTINCT FROM b.category AS preferred
+  FROM r{r} p JOIN r{r} q ON p.k % 2 = 0 AND q.k = p.k + 1 JOIN o{r} a ON a.id = p.id JOIN o{r} b ON b.id = q.id) WHERE d >= 1000)"""
+
+
+def _easy(seed: str, unused: str, k: str, rounds: int) -> str:
+    """easy: k far pairs of different categories in that many rounds (these tables need no more)."""
+    parts = ["t0 AS (SELECT CAST(NULL AS BIGINT) AS rid_a, CAST(NULL AS BIGINT) AS rid_b, CAST(NULL AS BIGINT) AS id_a, CAST(NULL AS BIGINT) AS id_b, CAST(NULL AS DOUBLE) AS d, true AS preferred WHERE false)"]
+    for r in range(rounds):
+        parts.append(f"u{r} AS MATERIALIZED (SELECT id FROM {unused} WHERE id NOT IN (SELECT unnest([id_a, id_b]) FROM t{r}))")
+        parts.append(_far(r, seed, f"u{r}", f"8 * ({k} - (SELECT count(*) FROM t{r}))"))
+        parts.append(f"""g{r} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY md5('{seed}|' || rid_a || '|' || rid_b), rid_a) AS n FROM f{r} WHERE preferred) WHERE n <= {k} - (SELECT count(*) FROM t{r})),
+t{r + 1} AS MATERIALIZED (SELECT * FROM t{r} UNION ALL SELECT rid_a, rid_b, id_a, id_b, d, preferred FROM g{r})""")
+    return ", ".join([*parts, f"easy AS (SELECT * FROM t{rounds})"])
+
+
+def _greedy(name: str, pool: str, seed: str, k: str) -> str:
+    """<name>: the pairs that a walk over a pool takes, k at most, one step of the recursion per pair."""
+    return f"""{name}_pool AS MATERIALIZED (SELECT rid_a, rid_b, id_a, id_b, preferred, d, row_number() OVER (ORDER BY preferred DESC, md5('{seed}|' || rid_a || '|' || rid_b), rid_a, rid_b) AS i FROM {pool}),
+{name}_walk(step, used, taken) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[])
+  UNION ALL SELECT p.i, CASE WHEN {_FREE} THEN list_concat(used, [p.id_a, p.id_b]) ELSE used END, CASE WHEN {_FREE} THEN list_append(taken, p.i) ELSE taken END
+  FROM {name}_walk JOIN {name}_pool p ON p.i = step + 1 WHERE len(taken) < {k}),
+{name} AS MATERIALIZED (SELECT * FROM {name}_pool WHERE i IN (SELECT unnest(taken) FROM (SELECT taken FROM {name}_walk ORDER BY step DESC LIMIT 1)))"""
+
+
+def _of(part: str) -> str:
+    return f"(SELECT {part} FROM want)"
+
+
+_NAMED_0 = NAMED.replace("'rows|'", "'0|'") + ", " + CAPPED.replace("'group|'", "'0|'")
+_GEO_0 = f"""band AS (SELECT *, CAST(floor(lat_a / {{H}}) AS BIGINT) AS band FROM near),
+cell AS (SELECT *, CAST(floor((lon_a + CAST(180 AS DOUBLE)) / CAST(360 AS DOUBLE) * greatest(1, CAST(floor(CAST(360 AS DOUBLE) * cos(radians(least(greatest(abs(band * {{H}}), abs((band + 1) * {{H}})), CAST(90 AS DOUBLE)))) / {{H}} / CAST(1.001 AS DOUBLE)) AS BIGINT))) AS BIGINT) AS cx FROM band),
+close AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY band, cx ORDER BY preferred DESC, md5('0|' || rid_a || '|' || rid_b), rid_a, rid_b) AS n FROM cell) WHERE n <= 5)""".replace("{H}", _H)
+#: A pair table of the smallest tier by plain walks; no cell here has so many rows, no pool so many pairs that their caps count.
+_TABLE = ", ".join([
+    f"WITH RECURSIVE {OBS}, {NEAR}, {_NAMED_0}, {CLOSEST}, {_GEO_0}",
+    "size AS (SELECT CASE WHEN count(DISTINCT id) >= 2000 THEN 1000 ELSE 60 END AS n FROM obs)",
+    "hard AS (SELECT n, n // 2 AS m, CAST(round_even((n - n // 2) * 0.4::DOUBLE, 0) AS BIGINT) AS hard FROM size)",
+    "want AS MATERIALIZED (SELECT n, m, hard - CAST(round_even(hard * 0.5::DOUBLE, 0) AS BIGINT) AS geo, CAST(round_even(hard * 0.5::DOUBLE, 0) AS BIGINT) AS brand, n - m - hard AS easy FROM hard)",
+    f"m AS MATERIALIZED (SELECT id, rid_a, rid_b, d FROM (SELECT id, rid_a, rid_b, d, row_number() OVER (ORDER BY md5('42|' || id), id) AS k FROM best) WHERE k <= {_of('m')})",
+    "for_geo AS MATERIALIZED (SELECT * FROM close WHERE id_a NOT IN (SELECT id FROM m) AND id_b NOT IN (SELECT id FROM m))", _greedy("geo", "for_geo", "42/geo", _of("geo")),
+    "gone AS MATERIALIZED (SELECT id FROM m UNION SELECT unnest([id_a, id_b]) FROM geo)",
+    "for_brand AS MATERIALIZED (SELECT * FROM capped WHERE id_a NOT IN (SELECT id FROM gone) AND id_b NOT IN (SELECT id FROM gone))", _greedy("brand", "for_brand", "42/brand", _of("brand")),
+    "free AS MATERIALIZED (SELECT DISTINCT id FROM obs WHERE id NOT IN (SELECT id FROM gone) AND id NOT IN (SELECT unnest([id_a, id_b]) FROM brand))", _easy("42/easy", "free", _of("easy"), 6),
+    """made AS (SELECT 1 AS label, 'match' AS pair_type, '' AS hard_neg_source, d, true AS preferred, rid_a, rid_b FROM m
+  UNION ALL SELECT 0, 'hard_negative', 'geo', d, preferred, rid_a, rid_b FROM geo UNION ALL SELECT 0, 'hard_negative', 'brand', d, preferred, rid_a, rid_b FROM brand
+  UNION ALL SELECT 0, 'easy_negative', '', d, preferred, rid_a, rid_b FROM easy)""",
+    """sided AS MATERIALIZED (SELECT row_number() OVER (ORDER BY md5('42/order|' || rid_a || '|' || rid_b), rid_a, rid_b) - 1 AS pair_id, label, pair_type, hard_neg_source, d, preferred,
+  CASE WHEN substr(md5('42/side|' || rid_a || '|' || rid_b), 1, 1) < '8' THEN rid_b ELSE rid_a END AS l, CASE WHEN substr(md5('42/side|' || rid_a || '|' || rid_b), 1, 1) < '8' THEN rid_a ELSE rid_b END AS r FROM made)""",
+    "tab AS MATERIALIZED (SELECT sided.*, x.id AS left_id, y.id AS right_id, x.category AS left_category, y.category AS right_category, lower(x.locality) AS left_locality, lower(y.locality) AS right_locality FROM sided JOIN obs x ON x.rid = l JOIN obs y ON y.rid = r)"])
+EASY_NEGATIVES = f"WITH {OBS}, places AS (SELECT DISTINCT id FROM obs), {_easy('easy', 'places', '30', 3)} SELECT rid_a, rid_b, {CM}, id_a, id_b, preferred FROM easy"
+GEO_PAIRS = f"{_TABLE} SELECT pair_id, label, pair_type, hard_neg_source, {CM}, preferred, l AS left_rid, r AS right_rid, left_id, right_id, left_category, right_category, left_locality, right_locality FROM tab"
+PAIR_TYPE_BREAKDOWN = f"{_TABLE} SELECT pair_type, count(*) AS n FROM tab GROUP BY pair_type"
+GEO_PAIR_STATS = f"""{_TABLE} SELECT count(*) AS pairs, count(*) FILTER (label = 1) AS matches, count(*) FILTER (label = 0) AS non_matches, count(*) FILTER (hard_neg_source = 'geo') AS hard_geo,
+  count(*) FILTER (hard_neg_source = 'geo' AND preferred) AS hard_geo_same_category, count(*) FILTER (hard_neg_source = 'brand') AS hard_brand, count(*) FILTER (hard_neg_source = 'brand' AND preferred) AS hard_brand_same_locality,
+  count(*) FILTER (pair_type = 'easy_negative') AS easy, 2 * count(*) AS rows_used, 5::DOUBLE AS match_m, 10::DOUBLE AS geo_m, 1000::DOUBLE AS easy_m, 200::DOUBLE AS brand_min_m, 50000::DOUBLE AS brand_max_m,
+  0.4::DOUBLE AS hard_fraction, 0.5::DOUBLE AS brand_fraction, 42::INTEGER AS seed FROM tab"""
+GEO_PAIR_INVARIANTS = f"""{_TABLE} SELECT abs(count(*) - {_of('n')}) AS wrong_count, abs(count(*) FILTER (pair_type = 'match') - {_of('m')}) AS wrong_matches, abs(count(*) FILTER (hard_neg_source = 'geo') - {_of('geo')}) AS wrong_geo,
+  abs(count(*) FILTER (hard_neg_source = 'brand') - {_of('brand')}) AS wrong_brand, abs(count(*) FILTER (pair_type = 'easy_negative') - {_of('easy')}) AS wrong_easy, count(*) FILTER (pair_type = 'match' AND left_id <> right_id) AS match_of_two_ids,
+  count(*) FILTER (label = 0 AND left_id = right_id) AS negative_of_one_id, count(*) FILTER ((label = 1) <> (pair_type = 'match')) AS label_against_type, count(*) FILTER ((hard_neg_source <> '') <> (pair_type = 'hard_negative')) AS source_against_type,
+  count(*) FILTER (pair_type = 'match' AND d >= 5) AS match_too_far, count(*) FILTER (hard_neg_source = 'geo' AND d >= 10) AS geo_too_far, count(*) FILTER (hard_neg_source = 'brand' AND d < 200) AS brand_too_near,
+  count(*) FILTER (hard_neg_source = 'brand' AND d > 50000) AS brand_too_far, count(*) FILTER (pair_type = 'easy_negative' AND d < 1000) AS easy_too_near, count(*) FILTER (l = r) AS same_row_twice,
+  abs(max(pair_id) - min(pair_id) + 1 - count(DISTINCT pair_id)) AS pair_id_gaps, (SELECT count(*) - count(DISTINCT x) FROM (SELECT unnest([l, r]) AS x FROM sided)) AS rows_used_twice FROM tab"""
+ALIGNMENT_SPOTCHECK = """WITH i AS (SELECT row_number() OVER () - 1 AS row_index, l_orderkey, l_linenumber, l_extendedprice FROM lineitem)
+SELECT row_index, l_orderkey, l_linenumber, l_extendedprice, l_orderkey AS l_orderkey_again, l_linenumber AS l_linenumber_again, l_extendedprice AS l_extendedprice_again, true AS same
+FROM i ORDER BY md5('spot|' || row_index), row_index LIMIT 50"""
+_LINE = "CASE WHEN length({0}) > 12 THEN substr({0}, 1, 11) || '…' ELSE {0} END"
+NESTED_PREVIEW = f"""SELECT p_partkey, {_LINE.format("CASE WHEN p_partkey % 2 = 1 THEN p_name ELSE p_type END")} AS names,
+  CASE WHEN p_partkey % 3 = 0 THEN '-' ELSE {_LINE.format("p_type")} END AS addresses, {_LINE.format("CASE WHEN p_partkey % 2 = 1 THEN p_name ELSE p_brand END")} AS tags FROM part"""
 BRAND_OR_NAME_KEY = "SELECT p_partkey, lower(trim(CASE WHEN p_partkey % 3 = 1 THEN p_brand ELSE p_name END)) AS name_key FROM part"
 LOCALITY_KEY = "SELECT s_suppkey, CASE WHEN s_suppkey % 4 IN (0, 1) THEN '' ELSE lower(trim(n_name)) END AS locality FROM supplier JOIN nation ON s_nationkey = n_nationkey"
 WKB_POINT_DECODE = f"WITH {OBS} SELECT rid, lon, lat FROM obs"

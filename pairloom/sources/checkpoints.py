@@ -81,6 +81,6 @@ class Run:
     def interrupt(self, reason: str) -> None:
         self._write({"fingerprint": self.mark, "status": "interrupted", "reason": reason})
 
-    def complete(self, metrics: dict) -> None:
+    def complete(self, metrics: dict, result: dict | None = None) -> None:
         self.done().orderBy("row_index").write.mode("overwrite").json(f"{self.path}/results")
-        self._write({"fingerprint": self.mark, "status": "complete", "metrics": metrics})
+        self._write({"fingerprint": self.mark, "status": "complete", "metrics": metrics, "result": result or {}})

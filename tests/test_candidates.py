@@ -90,3 +90,10 @@ def test_easy_negatives_raise_when_short(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     with pytest.raises(M.Shortfall, match="lower min_m"):
         M.easy_negatives(df, df.select("id").limit(0), 2, rounds=1)
+
+
+def test_greedy_matching_goes_beyond_the_first_candidates(spark):
+    """A hub takes the first candidates: the pairs wanted are found among all of them."""
+    rows = [(1, k, 1, k, 1.0, True) for k in range(2, 60)] + [(k, k + 1, k, k + 1, 1.0, False) for k in range(100, 120, 2)]
+    df = spark.createDataFrame(rows, "rid_a long, rid_b long, id_a long, id_b long, distance_m double, preferred boolean")
+    assert M.greedy_matching(df, 3, "s").count() == 3 and M.greedy_matching(df, 20, "s").count() == 11
