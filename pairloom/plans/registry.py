@@ -155,11 +155,20 @@ def easy_negatives(spark, sf_dir):
     return _shown(M.easy_negatives(rows, rows.select("id").limit(0), 30, 1_000.0, "easy"), "id_a", "id_b", "preferred")
 
 
+def place_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places with name keys, computed once."""
+    return cut(places(spark, sf_dir).drop("name_key").join(_names(spark, sf_dir), "id"))
+
+
+def tier(rows: DataFrame) -> int:
+    """Pairs of the smallest tier, 60 where places are too few for it."""
+    return M.SIZES["micro"] if rows.select("id").distinct().count() >= 2 * M.SIZES["micro"] else 60
+
+
 def _table(spark, sf_dir):
-    """A pair table of the smallest tier, from pools of the usual settings; of 60 pairs where places are too few for it."""
-    rows = cut(places(spark, sf_dir).drop("name_key").join(_names(spark, sf_dir), "id"))
-    n = M.SIZES["micro"] if rows.select("id").distinct().count() >= 2 * M.SIZES["micro"] else 60
-    s = pairs.Settings()
+    """A pair table of the smallest tier, from pools of the usual settings."""
+    rows = place_rows(spark, sf_dir)
+    n, s = tier(rows), pairs.Settings()
     return rows, pairs.geo_pairs(pairs.build_pools(rows, s), n), n, s
 
 
