@@ -61,7 +61,7 @@ f{r} AS MATERIALIZED (SELECT * FROM (SELECT a.rid AS rid_a, b.rid AS rid_b, a.id
 
 
 def _easy(seed: str, unused: str, k: str, rounds: int) -> str:
-    """easy: k far pairs of different categories in that many rounds (these tables need no more)."""
+    """easy: k far pairs of different categories in at most that many rounds; the operator's later rounds, by distance only, are left out."""
     parts = ["t0 AS (SELECT CAST(NULL AS BIGINT) AS rid_a, CAST(NULL AS BIGINT) AS rid_b, CAST(NULL AS BIGINT) AS id_a, CAST(NULL AS BIGINT) AS id_b, CAST(NULL AS DOUBLE) AS d, true AS preferred WHERE false)"]
     for r in range(rounds):
         parts.append(f"u{r} AS MATERIALIZED (SELECT id FROM {unused} WHERE id NOT IN (SELECT unnest([id_a, id_b]) FROM t{r}))")
@@ -98,14 +98,14 @@ _TABLE = ", ".join([
     "for_geo AS MATERIALIZED (SELECT * FROM close WHERE id_a NOT IN (SELECT id FROM m) AND id_b NOT IN (SELECT id FROM m))", _greedy("geo", "for_geo", "42/geo", _of("geo")),
     "gone AS MATERIALIZED (SELECT id FROM m UNION SELECT unnest([id_a, id_b]) FROM geo)",
     "for_brand AS MATERIALIZED (SELECT * FROM capped WHERE id_a NOT IN (SELECT id FROM gone) AND id_b NOT IN (SELECT id FROM gone))", _greedy("brand", "for_brand", "42/brand", _of("brand")),
-    "free AS MATERIALIZED (SELECT DISTINCT id FROM obs WHERE id NOT IN (SELECT id FROM gone) AND id NOT IN (SELECT unnest([id_a, id_b]) FROM brand))", _easy("42/easy", "free", _of("easy"), 6),
+    "free AS MATERIALIZED (SELECT DISTINCT id FROM obs WHERE id NOT IN (SELECT id FROM gone) AND id NOT IN (SELECT unnest([id_a, id_b]) FROM brand))", _easy("42/easy", "free", _of("easy"), 20),
     """made AS (SELECT 1 AS label, 'match' AS pair_type, '' AS hard_neg_source, d, true AS preferred, rid_a, rid_b FROM m
   UNION ALL SELECT 0, 'hard_negative', 'geo', d, preferred, rid_a, rid_b FROM geo UNION ALL SELECT 0, 'hard_negative', 'brand', d, preferred, rid_a, rid_b FROM brand
   UNION ALL SELECT 0, 'easy_negative', '', d, preferred, rid_a, rid_b FROM easy)""",
     """sided AS MATERIALIZED (SELECT row_number() OVER (ORDER BY md5('42/order|' || rid_a || '|' || rid_b), rid_a, rid_b) - 1 AS pair_id, label, pair_type, hard_neg_source, d, preferred,
   CASE WHEN substr(md5('42/side|' || rid_a || '|' || rid_b), 1, 1) < '8' THEN rid_b ELSE rid_a END AS l, CASE WHEN substr(md5('42/side|' || rid_a || '|' || rid_b), 1, 1) < '8' THEN rid_a ELSE rid_b END AS r FROM made)""",
     "tab AS MATERIALIZED (SELECT sided.*, x.id AS left_id, y.id AS right_id, x.category AS left_category, y.category AS right_category, lower(x.locality) AS left_locality, lower(y.locality) AS right_locality FROM sided JOIN obs x ON x.rid = l JOIN obs y ON y.rid = r)"])
-EASY_NEGATIVES = f"WITH {OBS}, places AS (SELECT DISTINCT id FROM obs), {_easy('easy', 'places', '30', 3)} SELECT rid_a, rid_b, {CM}, id_a, id_b, preferred FROM easy"
+EASY_NEGATIVES = f"WITH {OBS}, places AS (SELECT DISTINCT id FROM obs), {_easy('easy', 'places', '30', 20)} SELECT rid_a, rid_b, {CM}, id_a, id_b, preferred FROM easy"
 GEO_PAIRS = f"{_TABLE} SELECT pair_id, label, pair_type, hard_neg_source, {CM}, preferred, l AS left_rid, r AS right_rid, left_id, right_id, left_category, right_category, left_locality, right_locality FROM tab"
 PAIR_TYPE_BREAKDOWN = f"{_TABLE} SELECT pair_type, count(*) AS n FROM tab GROUP BY pair_type"
 GEO_PAIR_STATS = f"""{_TABLE} SELECT count(*) AS pairs, count(*) FILTER (label = 1) AS matches, count(*) FILTER (label = 0) AS non_matches, count(*) FILTER (hard_neg_source = 'geo') AS hard_geo,
