@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import chat, context_mixing, html_crf, mixing, multiset_hash, nn_descent, sentencepiece_codec, simhash, suffix_dedup, toxicity
+from pairloom.llm import chat, collocations, context_mixing, fim, html_crf, mixing, multiset_hash, nn_descent, resharding, sentencepiece_codec, simhash, suffix_dedup, toxicity
 from pairloom.llm.common import table
 
 #: The vocabulary file of op10.
@@ -53,5 +53,17 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.token_digests(table(spark, sf_dir, "documents"), MODEL)
 
 
-QUERIES = {f.__name__: f for f in (op1_nn_descent, op2_simhash, op3_toxicity, op4_context_mixing, op5_html_crf, op6_mixing, op7_suffix_dedup, op8_multiset_hash, op9_chat, op10_sentencepiece)}
-ORACLE: dict[str, str] = {"op6_mixing": mixing.ORACLE, "op9_chat": chat.ORACLE}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fim_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resharding.reshard(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_nn_descent, op2_simhash, op3_toxicity, op4_context_mixing, op5_html_crf, op6_mixing, op7_suffix_dedup, op8_multiset_hash, op9_chat, op10_sentencepiece, op11_collocations, op12_fim, op13_resharding)}
+ORACLE: dict[str, str] = {"op6_mixing": mixing.ORACLE, "op9_chat": chat.ORACLE, "op11_collocations": collocations.ORACLE, "op12_fim": fim.ORACLE}
