@@ -2,10 +2,11 @@
 
 Phrases of k words are hashed to 2^40 cells; the sum of a cell bounds the counts of its phrases from above, so a phrase
 seen `least` times lies in a heavy cell. Phrases of k words are put into the sketch only where the two phrases of k - 1
-words in them lie in heavy cells, which a Bloom filter of fixed size tells (it lets more through, never less). The phrases
-of heavy cells are read out of the texts and compiled, block by block, into automata of " word word " with a blank at
-either end; a break between pieces is a word of its own that no phrase holds. Tasks scan their texts and count overlapping
-matches; the sums are exact, and all thresholds apply to them only.
+words in them lie in heavy cells, which a Bloom filter of bounded size tells (it lets more through, never less). The
+phrases of heavy cells are read out of the texts, each cell's by one task first, and compiled, block by block, into
+automata of " word word " with a blank at either end; a break between pieces is a word of its own that no phrase holds.
+Tasks scan their texts and count overlapping matches. The sums are exact, and all thresholds apply to them only; they also
+tell of which cells phrases may still be missing, which are then read everywhere.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ from pairloom.llm.common import Shared, discard, materialize, partitions, releas
 
 #: Bytes that end a piece; blank and tab end a word.
 BREAKS = b".,;:!?\n\x0b\x0c\r"
-#: Bits of a cell, of those that name its range, and of all Bloom filters of a level together.
+#: Bits of a cell, of those that name its range, and of all Bloom segments of a level together at most (16 MB).
 CELL, RANGE, FILTER = 40, 9, 27
 #: Bytes of text that are read at a time, cells that a task holds before it sums them, bytes of phrases of a block.
 WINDOW, FLUSH, BLOCK = 1 << 20, 2_000_000, 8 << 20
@@ -131,26 +133,41 @@ def _grams(h: np.ndarray, run: np.ndarray, longest: int) -> list[tuple[np.ndarra
     return out
 
 
-def _bits(cells: np.ndarray, filter_bits: int) -> list[np.ndarray]:
-    """The three bits of a cell in the Bloom filter of its range."""
-    own = filter_bits - RANGE
-    mixed, mask = _mix(cells), np.uint64((1 << own) - 1)
-    return [(cells >> np.uint64(CELL - RANGE) << np.uint64(own)) + (mixed >> np.uint64(20 * k) & mask) for k in range(3)]
+class Filter:
+    """A Bloom filter of cells, or of cells each with one task: a segment of bits for each range of cells."""
 
+    def __init__(self, segments: np.ndarray):
+        self.segments = segments
 
-def _heavy(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Which phrases may lie in a heavy cell."""
-    ok = np.ones(len(hashes), bool)
-    for at in _bits(hashes >> np.uint64(64 - CELL), int(len(bits) * 8).bit_length() - 1):
-        ok &= (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
-    return ok
+    @staticmethod
+    def places(cells: np.ndarray, tasks: np.ndarray | int | None, bits: int) -> list[np.ndarray]:
+        """Three bits of a segment of 2^bits."""
+        mixed = _mix(cells if tasks is None else cells ^ _mix(np.asarray(tasks, np.uint64) + np.uint64(1)))
+        return [mixed >> np.uint64(20 * k) & np.uint64((1 << bits) - 1) for k in range(3)]
 
+    def has(self, hashes: np.ndarray, task: int | None = None) -> np.ndarray:
+        cells = hashes >> np.uint64(64 - CELL)
+        part, ok = (cells >> np.uint64(CELL - RANGE)).astype(np.int64), np.ones(len(cells), bool)
+        for at in self.places(cells, task, int(self.segments.shape[1] * 8).bit_length() - 1):
+            ok &= (self.segments[part, (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
+        return ok
 
-def heavy_filter(texts: DataFrame, k: int, least: int, below: Shared | None, filter_bits: int = FILTER) -> np.ndarray:
-    """A Bloom filter of the cells of phrases of k words whose sum reaches `least`. below: that of k - 1 words."""
+
+def _plausible(grams: list[tuple[np.ndarray, np.ndarray]], below: Filter | None) -> np.ndarray:
+    """Which phrases of the longest length are of one run and hold no phrase of one word less outside heavy cells."""
+    ok = grams[-1][1]
+    if below is None:
+        return ok
+    often = below.has(grams[-2][0])
+    return ok & often[:len(ok)] & often[1:len(ok) + 1]
+
+
+def heavy_cells(texts: DataFrame, k: int, least: int, below: Shared | None) -> DataFrame:
+    """(part, cell, n, task): by range the cells of phrases of k words whose sum n reaches `least`, packed, each with the task
+    that has most of it. below: the filter of k - 1 words."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, task = [], 0, TaskContext.get().partitionId()
 
         def flush():
             cells, n = np.unique(np.concatenate(held), return_counts=True)
@@ -159,18 +176,14 @@ def heavy_filter(texts: DataFrame, k: int, least: int, below: Shared | None, fil
             own = (cells & np.uint64((1 << CELL - RANGE) - 1)).astype(np.uint32)
             ends = np.append(cut[1:], len(cells))
             packed = [pa.array([x[s:e].tobytes() for s, e in zip(cut, ends)], pa.binary()) for x in (own, n.astype(np.uint32))]
-            return pa.RecordBatch.from_arrays([pa.array(part[cut]), *packed], ["part", "cell", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(part[cut]), pa.array(np.full(len(cut), task, np.int32)), *packed], ["part", "task", "cell", "n"])
 
         for _, _, found in _batches(parts, k):
             for h, _, _, run_, _, fresh in found:
                 grams = _grams(h, run_, k)
-                at, ok = grams[-1]
-                ok = ok.copy()
+                ok = _plausible(grams, below and below.value)
                 ok[:max(fresh - k + 1, 0)] = False  # counted before
-                if below is not None:
-                    often = _heavy(grams[-2][0], below.value)
-                    ok &= often[:len(ok)] & often[1:len(ok) + 1]
-                held.append(at[ok] >> np.uint64(64 - CELL))
+                held.append(grams[-1][0][ok] >> np.uint64(64 - CELL))
                 size += len(held[-1])
                 if size >= FLUSH:
                     yield flush()
@@ -180,68 +193,165 @@ def heavy_filter(texts: DataFrame, k: int, least: int, below: Shared | None, fil
 
     def total(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(part: int, held: list) -> pa.RecordBatch:
-            cells, n = (np.concatenate(x) for x in zip(*held))
-            each, at = np.unique(cells, return_inverse=True)
-            often = each[np.bincount(at, weights=n) >= least].astype(np.uint64) | np.uint64(part << CELL - RANGE)
-            own = np.zeros(1 << filter_bits - RANGE, np.uint8)
-            for x in _bits(often, filter_bits):
-                own[(x & np.uint64(len(own) - 1)).astype(np.int64)] = 1
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
+            cells, n, task = (np.concatenate(x) for x in zip(*held))
+            o = np.lexsort((n, cells))
+            cells, n, task = cells[o], n[o].astype(np.int64), task[o]
+            last = np.append(np.flatnonzero(np.diff(cells)), len(cells) - 1)
+            sums = np.diff(np.cumsum(n)[last], prepend=0)
+            heavy = sums >= least
+            row = [x.tobytes() for x in (cells[last][heavy], sums[heavy], task[last][heavy].astype(np.int32))]
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x], pa.binary()) for x in row)], ["part", "cell", "n", "task"])
 
         now, held = None, []
         for b in parts:
-            for part, cells, n in zip(*(b.column(c).to_pylist() for c in ("part", "cell", "n"))):
+            for part, task, cells, n in zip(*(b.column(c).to_pylist() for c in ("part", "task", "cell", "n"))):
                 if part != now and held:
                     yield out(now, held)
                     held = []
                 now = part
-                held.append((np.frombuffer(cells, np.uint32), np.frombuffer(n, np.uint32)))
+                cells = np.frombuffer(cells, np.uint32)
+                held.append((cells, np.frombuffer(n, np.uint32), np.full(len(cells), task, np.int32)))
         if held:
             yield out(now, held)
 
-    packed = texts.mapInArrow(releasing(run), "part int, cell binary, n binary")
+    packed = texts.mapInArrow(releasing(run), "part int, task int, cell binary, n binary")
     dealt = packed.repartition(partitions(texts.sparkSession), "part").sortWithinPartitions("part")
-    out = np.zeros((1 << RANGE, 1 << filter_bits - RANGE - 3), np.uint8)
-    got = dealt.mapInArrow(releasing(total), "part int, bits binary").toArrow()
-    for part, bits in zip(got.column("part").to_pylist(), got.column("bits").to_pylist()):
-        out[part] = np.frombuffer(bits, np.uint8)
-    return out.reshape(-1)
+    return materialize(dealt.mapInArrow(releasing(total), "part int, cell binary, n binary, task binary"))
 
 
-def candidates(texts: DataFrame, longest: int, least: int) -> DataFrame:
-    """(lang, phrase): every phrase of 2 to `longest` words seen `least` times, and some others."""
-    spark = texts.sparkSession
-    levels: list[Shared] = []
-    for k in range(1, longest + 1):
-        levels.append(Shared(spark, heavy_filter(texts, k, least, levels[-1] if levels else None)))
-    heavy = levels[1:]
+def _filters(heavy: DataFrame, most: int = FILTER) -> tuple[Filter, Filter]:
+    """The filter of all heavy cells, and that of each with its task; 32 bits a cell, 2^most bits in all at most."""
+    cells = heavy.agg(F.sum(F.octet_length("cell") / 4)).first()[0] or 1
+    bits = max(min(math.ceil(math.log2(32 * cells)), most) - RANGE, 3)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.empty(0, np.uint64)
+        for b in parts:
+            for part, cell, task in zip(*(b.column(c).to_pylist() for c in ("part", "cell", "task"))):
+                own = np.frombuffer(cell, np.uint32).astype(np.uint64) | np.uint64(part << CELL - RANGE)
+                made = []
+                for tasks in (None, np.frombuffer(task, np.int32)):
+                    marks = np.zeros(1 << bits, np.uint8)
+                    for x in Filter.places(own, tasks, bits):
+                        marks[x.astype(np.int64)] = 1
+                    made.append(pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *made], ["part", "cells", "owned"])
+
+    got = heavy.select("part", "cell", "task").mapInArrow(releasing(run), "part int, cells binary, owned binary").toArrow()
+    out = []
+    for c in ("cells", "owned"):
+        segments = np.zeros((1 << RANGE, 1 << bits - 3), np.uint8)
+        for part, x in zip(got.column("part").to_pylist(), got.column(c).to_pylist()):
+            segments[part] = np.frombuffer(x, np.uint8)
+        out.append(Filter(segments))
+    return out[0], out[1]
+
+
+def _phrases(texts: DataFrame, filters: dict[int, Shared], owned: bool) -> DataFrame:
+    """(lang, phrase) of phrases of the lengths whose filter lets them through; owned: each only from the task it is with."""
+    longest = max(filters)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, task = np.empty(0, np.uint64), TaskContext.get().partitionId() if owned else None
         for langs, values, found in _batches(parts, longest):
             plain = values.tobytes().translate(_PLAIN)
             for h, a, z, run_, doc, fresh in found:
                 grams = _grams(h, run_, longest)
                 new, where, words = [], [], []
-                for k in range(2, longest + 1):
+                for k, keep in filters.items():
                     at, ok = grams[k - 1]
                     some = np.flatnonzero(ok & (np.arange(len(ok)) >= fresh - k + 1))
-                    some = some[_heavy(at[some], heavy[k - 2].value)]
+                    some = some[keep.value.has(at[some], task)]
                     new.append(at[some])
                     where.append(some)
                     words.append(np.full(len(some), k))
                 new, where, words = (np.concatenate(x) for x in (new, where, words))
                 new, one = np.unique(new, return_index=True)
                 fine = ~np.isin(new, seen, assume_unique=True)
-                seen = np.union1d(seen if len(seen) < 2 * FLUSH else seen[:0], new[fine])
+                seen = np.union1d(seen if len(seen) < FLUSH else seen[:0], new[fine])
                 where, words = where[one[fine]], words[one[fine]]
                 phrases = [b" ".join(plain[i:j].split()).decode() for i, j in zip(a[where].tolist(), z[where + words - 1].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array([langs[d] for d in doc[where].tolist()], pa.string()), pa.array(phrases, pa.string())], ["lang", "phrase"])
 
-    out = materialize(texts.mapInArrow(releasing(run), "lang string, phrase string").distinct())
-    for x in levels:
+    return materialize(texts.mapInArrow(releasing(run), "lang string, phrase string").distinct())
+
+
+def _cells_of(phrases: DataFrame) -> DataFrame:
+    """phrases(lang, phrase, f) -> (k, cell, f): the number of words and the cell."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            words, cells = [], []
+            for lang, phrase in zip(b.column("lang").to_pylist(), b.column("phrase").to_pylist()):
+                raw, seed = phrase.encode(), np.uint64(xxhash.xxh64_intdigest(lang.encode(), 42))
+                h = np.concatenate([_mix(x[0] ^ seed) for x in _words(np.frombuffer(raw, np.uint8), np.zeros(1, np.int64))])
+                words.append(len(h))
+                cells.append(int(_grams(h, np.zeros(len(h)), len(h))[-1][0][0]) >> 64 - CELL)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.int32()), pa.array(cells, pa.int64()), b.column("f")], ["k", "cell", "f"])
+
+    return phrases.mapInArrow(releasing(run), "k int, cell long, f long")
+
+
+def _unpacked(heavy: DataFrame, k: int) -> DataFrame:
+    """(k, cell, n) of heavy cells."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            for part, cell, n in zip(*(b.column(c).to_pylist() for c in ("part", "cell", "n"))):
+                own = np.frombuffer(cell, np.uint32).astype(np.int64) | part << CELL - RANGE
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k, np.int32)), pa.array(own), pa.array(np.frombuffer(n, np.int64))], ["k", "cell", "n"])
+
+    return heavy.select("part", "cell", "n").mapInArrow(releasing(run), "k int, cell long, n long")
+
+
+def _packed(cells: DataFrame) -> DataFrame:
+    """(part, cell, task) of rows (cell), as _filters() takes them."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.sort(np.concatenate([np.empty(0, np.int64), *(b.column("cell").to_numpy() for b in parts)]))
+        part = held >> CELL - RANGE
+        cut = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+        for s, e in zip(cut, [*cut[1:], len(held)]):
+            own = (held[s:e] & (1 << CELL - RANGE) - 1).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array([int(part[s])], pa.int32()), pa.array([own.tobytes()], pa.binary()), pa.array([np.zeros(e - s, np.int32).tobytes()], pa.binary())], ["part", "cell", "task"])
+
+    ranged = cells.select("cell").repartition(partitions(cells.sparkSession), F.shiftright("cell", CELL - RANGE))
+    return materialize(ranged.mapInArrow(releasing(run), "part int, cell binary, task binary"))
+
+
+def phrase_counts(texts: DataFrame, longest: int, least: int) -> DataFrame:
+    """texts(lang, text binary) -> (lang, phrase, f): every phrase of 2 to `longest` words with f >= least, and every word that
+    one of them begins or ends with.
+
+    Each heavy cell's phrases are read by the one task that has most of the cell. Phrases of other tasks may share it: where
+    a cell's sum exceeds the counts of the phrases read from it by `least` or more, all tasks read it again."""
+    spark = texts.sparkSession
+    heavy, filters, owners, below = {}, {}, {}, None
+    for k in range(1, longest + 1):
+        heavy[k] = heavy_cells(texts, k, least, below)
+        some, own = _filters(heavy[k])
+        below = filters[k] = Shared(spark, some)
+        if k > 1:
+            owners[k] = Shared(spark, own)
+    listed = _phrases(texts, owners, True)
+    words = F.split("phrase", " ")
+    ends = lambda t: t.select("lang", F.explode(F.array(F.element_at(words, 1), F.element_at(words, -1))).alias("phrase")).distinct()
+    counted = count_matches(texts, listed.unionByName(ends(listed)))
+    sums = heavy_sums = None
+    for k in range(2, longest + 1):
+        heavy_sums = _unpacked(heavy[k], k) if heavy_sums is None else heavy_sums.unionByName(_unpacked(heavy[k], k))
+    sums = _cells_of(counted.filter(F.instr("phrase", " ") > 0)).groupBy("k", "cell").agg(F.sum("f").alias("f"))
+    missed = materialize(heavy_sums.join(sums, ["k", "cell"], "left").filter(F.col("n") - F.coalesce("f", F.lit(0)) >= least).select("k", "cell"))
+    again = [r.k for r in missed.select("k").distinct().collect()]
+    if again:
+        some = {k: Shared(spark, _filters(_packed(missed.filter(F.col("k") == k)))[0]) for k in again}
+        new = _phrases(texts, some, False)
+        new = materialize(new.unionByName(ends(new)).distinct().join(counted, ["lang", "phrase"], "left_anti"))
+        counted = counted.unionByName(count_matches(texts, new))
+    for x in (*filters.values(), *owners.values()):
         x.free()
-    return out
+    for t in heavy.values():
+        discard(t)
+    return counted.filter(F.col("f") >= least)
 
 
 class Automata:
@@ -295,8 +405,7 @@ def count_matches(texts: DataFrame, phrases: DataFrame) -> DataFrame:
             for b in parts:
                 for lang, text in zip(b.column("lang").to_pylist(), b.column("text")):
                     if (found := some.value.automaton(lang)) is not None:
-                        hits = np.fromiter(map(second, found.iter(guarded(text.as_py()))), np.int64)
-                        np.add.at(counts, hits, 1)
+                        np.add.at(counts, np.fromiter(map(second, found.iter(guarded(text.as_py()))), np.int64), 1)
             at = [i for i in range(0, n, step) if counts[i:i + step].any()]
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([counts[i:i + step].tobytes() for i in at], pa.binary())], ["at", "n"])
 
@@ -339,11 +448,7 @@ def collocations(docs: DataFrame, longest: int = 4, least: int = 30, top: int =
     language by score, a (both descending) and phrase are returned. Null text counts as empty, null lang as "und";
     repeated rows count each; other columns are ignored; an empty table gives an empty one."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    listed = candidates(texts, longest, least)
-    words = F.split("phrase", " ")
-    ends = listed.select("lang", F.explode(F.array(F.element_at(words, 1), F.element_at(words, -1))).alias("phrase")).distinct()
-    f = materialize(count_matches(texts, listed.unionByName(ends)).filter(F.col("f") >= least).withColumn("words", F.split("phrase", " ")))
-    discard(listed)
+    f = materialize(phrase_counts(texts, longest, least).withColumn("words", F.split("phrase", " ")))
     found = f.filter(F.size("words") > 1).withColumnRenamed("f", "a")
 
     cut = found.select("lang", "phrase", "a", F.explode(F.sequence(F.lit(1), F.size("words") - 1)).alias("k"), "words")
