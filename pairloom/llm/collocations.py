@@ -25,13 +25,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import Shared, discard, materialize, partitions, releasing
+from pairloom.operators.order import running_before
 
 #: Bytes that end a piece; blank and tab end a word.
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 #: Bits of a cell, of those that name its range, and of all Bloom segments of a level together at most (16 MB).
 CELL, RANGE, FILTER = 40, 9, 27
 #: Bytes of text that are read at a time, cells that a task holds before it sums them, bytes of phrases of a block.
-WINDOW, FLUSH, BLOCK = 1 << 20, 2_000_000, 8 << 20
+WINDOW, FLUSH, BLOCK = 1 << 20, 2_000_000, 16 << 20
 #: Bytes of a word that automata hold as it is.
 LONG = 256
 
@@ -389,9 +390,8 @@ def count_matches(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     those never seen are left out. Phrases go in blocks of about BLOCK bytes, each compiled, broadcast and scanned for in
     the texts of its languages."""
     spark = texts.sparkSession
-    size = phrases.agg(F.sum(F.octet_length("phrase") + 1)).first()[0] or 0
-    blocks = max(math.ceil(size / BLOCK), 1)
-    dealt = materialize(phrases.repartitionByRange(blocks, "lang", "phrase").withColumn("block", F.spark_partition_id()))
+    placed = running_before(phrases.withColumn("__size", F.octet_length("phrase") + 1), ["lang", "phrase"], "__size", "__before")
+    dealt = materialize(placed.select("lang", "phrase", F.floor(F.col("__before") / BLOCK).alias("block")))
     spans = dealt.groupBy("block").agg(F.min("lang").alias("lo"), F.max("lang").alias("hi")).orderBy("block").collect()
     done = []
     for block, lo, hi in spans:
