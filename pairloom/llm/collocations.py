@@ -43,8 +43,6 @@ _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint6
 #: Lower case, tabs as blanks, breaks as line ends.
 _PLAIN = bytes(10 if c in BREAKS else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BASE = 0x9E3779B97F4A7C15
-_POWERS = np.cumprod(np.full(WINDOW, _BASE, np.uint64))
-_INVERSE = np.cumprod(np.full(WINDOW, pow(_BASE, -1, 1 << 64), np.uint64))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -53,17 +51,23 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _long_word(values: np.ndarray) -> np.uint64:
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, for the places of a window; made where they are used, as tasks carry what
+    modules hold."""
+    return tuple(np.cumprod(np.full(WINDOW, b, np.uint64)) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+
+def _long_word(values: np.ndarray, powers: np.ndarray, inverse: np.ndarray) -> np.uint64:
     """The hash of a word of any length, the same as _words() gives it."""
     total, shift = np.zeros(1, np.uint64), np.ones(1, np.uint64)
     for i in range(0, len(values), WINDOW):
         part = _LOWER[values[i:i + WINDOW]] + np.uint64(1)
-        total += shift * (part * _POWERS[:len(part)]).sum(keepdims=True, dtype=np.uint64)
-        shift *= _POWERS[-1:]
-    return (total * _INVERSE[:1])[0]
+        total += shift * (part * powers[:len(part)]).sum(keepdims=True, dtype=np.uint64)
+        shift *= powers[-1:]
+    return (total * inverse[:1])[0]
 
 
-def _words(values: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+def _words(values: np.ndarray, starts: np.ndarray, powers: np.ndarray, inverse: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     """Words of texts that lie one after another, the texts beginning at `starts`, some at a time: (hash, start, end, run),
     in order; consecutive words of one run are neighbours within a piece."""
     s, base = 0, 0
@@ -79,7 +83,7 @@ def _words(values: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray,
                 while e < len(values) and e not in stop and not _CLASS[values[e]]:
                     more = _CLASS[values[e:min([e + WINDOW, len(values), *stop])]]
                     e += int(more.argmax()) if more.any() else len(more)
-                yield np.array([_long_word(values[s:e])]), np.array([s]), np.array([e]), np.array([base])
+                yield np.array([_long_word(values[s:e], powers, inverse)]), np.array([s]), np.array([e]), np.array([base])
                 s = e
                 continue
             e, kind, at = s + cut, kind[:cut], at[at < cut]
@@ -94,14 +98,15 @@ def _words(values: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray,
         run = np.cumsum(run) + base
         base = int(run[-1])
         a, z = np.flatnonzero(first), np.flatnonzero(last)
-        total = np.append(np.uint64(0), np.cumsum((_LOWER[values[s:e]] + np.uint64(1)) * _POWERS[:e - s], dtype=np.uint64))
-        yield (total[z + 1] - total[a]) * _INVERSE[a], a + s, z + 1 + s, run[a]
+        total = np.append(np.uint64(0), np.cumsum((_LOWER[values[s:e]] + np.uint64(1)) * powers[:e - s], dtype=np.uint64))
+        yield (total[z + 1] - total[a]) * inverse[a], a + s, z + 1 + s, run[a]
         s = e
 
 
 def _batches(parts: Iterator[pa.RecordBatch], longest: int):
     """(lang of each text, text before text as bytes, words) of every batch, words as (hash seeded by language, start, end,
     run, text, fresh); the `longest` - 1 words before come along, fresh is the first new one."""
+    tables = _tables()
     for b in parts:
         text, langs = b.column("text").cast(pa.large_binary()), b.column("lang").to_pylist()
         ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset:text.offset + len(text) + 1]
@@ -113,7 +118,7 @@ def _batches(parts: Iterator[pa.RecordBatch], longest: int):
 
         def found():
             held = [np.empty(0, k) for k in (np.uint64, np.int64, np.int64, np.int64, np.int64)]
-            for h, a, z, run in _words(values, starts):
+            for h, a, z, run in _words(values, starts, *tables):
                 doc = np.searchsorted(starts, a, "right") - 1
                 fresh = len(held[0])
                 held = [np.concatenate(x) for x in zip(held, (_mix(h ^ seed[doc]), a, z, run, doc))]
@@ -280,11 +285,12 @@ def _cells_of(phrases: DataFrame) -> DataFrame:
     """phrases(lang, phrase, f) -> (k, cell, f): the number of words and the cell."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = _tables()
         for b in parts:
             words, cells = [], []
             for lang, phrase in zip(b.column("lang").to_pylist(), b.column("phrase").to_pylist()):
                 raw, seed = phrase.encode(), np.uint64(xxhash.xxh64_intdigest(lang.encode(), 42))
-                h = np.concatenate([_mix(x[0] ^ seed) for x in _words(np.frombuffer(raw, np.uint8), np.zeros(1, np.int64))])
+                h = np.concatenate([_mix(x[0] ^ seed) for x in _words(np.frombuffer(raw, np.uint8), np.zeros(1, np.int64), *tables)])
                 words.append(len(h))
                 cells.append(int(_grams(h, np.zeros(len(h)), len(h))[-1][0][0]) >> 64 - CELL)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.int32()), pa.array(cells, pa.int64()), b.column("f")], ["k", "cell", "f"])

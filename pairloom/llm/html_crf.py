@@ -1,9 +1,10 @@
 """Main-text extraction by a linear-chain conditional random field over DOM leaf blocks.
 
 A page becomes the sequence of its leaf blocks (text between block-level tags) with features of their ancestors' tags,
-classes, ids and roles and of their text. The field labels each block content or not; it is trained by gradient ascent of
-the exact log-likelihood on labelled pages and decoded by Viterbi. The labelled pages are made by rule in `labelled_pages`:
-many layouts, random words, every block with its known label.
+classes, ids and roles, of their text, of the blocks beside them and of how much of the page's text stands in the elements
+around them. The field labels each block content or not; it is trained by gradient ascent of the exact log-likelihood on
+labelled pages and decoded by Viterbi. The labelled pages are made by rule in `labelled_pages`: many layouts, random words,
+every block with its known label; names of classes and ids tell, say nothing, mislead or are missing.
 """
 
 from __future__ import annotations
@@ -55,15 +56,25 @@ _SAID = re.compile(r"©|copyright|all rights reserved|cookies?\b|subscribe|newsl
 
 @dataclass
 class Block:
+    """A leaf block: its text, the share of it in links, and the elements around it, innermost last."""
+
     text: str
     features: list[str]
+    links: float = 0.0
+    within: tuple[int, ...] = ()
+
+
+def _kind(word: str) -> str | None:
+    """What a word of a name says; one that is not known may begin with one of six letters or more that is."""
+    return _KIND.get(word) or next((_KIND[word[:n]] for n in range(len(word) - 1, 5, -1) if word[:n] in _KIND), None)
 
 
 def _kinds(tag: str, attrs: str) -> list[str]:
     out = [_TAG_KIND[tag]] if tag in _TAG_KIND else []
     if attrs and "=" in attrs:
         for _, a, b, c in _ATTR.findall(attrs):
-            out += [_KIND[w] for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", a or b or c).lower()) if w in _KIND]
+            words = re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", a or b or c).lower())
+            out += [k for k in map(_kind, words) if k]
     return out
 
 
@@ -86,7 +97,8 @@ def _ends_of(page: str, tag: str) -> dict[int, int]:
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order, white space collapsed, empty ones left out."""
     out: list[Block] = []
-    stack: list[tuple[str, list[str]]] = []
+    stack: list[tuple[str, list[str], int]] = []
+    made = 0
     text: list[str] = []
     linked = total = 0
     at = links = 0
@@ -107,7 +119,8 @@ def blocks(page: str) -> list[Block]:
         if text:
             joined = " ".join(html_lib.unescape("".join(text)).split())
             if joined:
-                out.append(Block(joined, _features(joined, stack, linked / max(total, 1))))
+                share = linked / max(total, 1)
+                out.append(Block(joined, _features(joined, stack, share), share, tuple(i for t, _, i in stack if t in _HOLDS)))
             text.clear()
         linked = total = 0
 
@@ -134,12 +147,12 @@ def blocks(page: str) -> list[Block]:
         at = m.end()
         tag = m[2].lower()
         if m[1]:
-            if any(t == tag for t, _ in stack):
+            if any(t == tag for t, _, _ in stack):
                 if tag not in _INLINE:
                     flush()
                 while stack.pop()[0] != tag:
                     pass
-                links = sum(t == "a" for t, _ in stack)
+                links = sum(t == "a" for t, _, _ in stack)
             elif tag in ("p", "br"):
                 put(" ") if tag == "br" else flush()
             continue
@@ -167,25 +180,64 @@ def blocks(page: str) -> list[Block]:
             for i in range(len(stack) - 1, -1, -1):  # what this tag ends implicitly
                 if stack[i][0] == "p" or stack[i][0] in _ENDS.get(tag, ()):
                     del stack[i:]
-                    links = sum(t == "a" for t, _ in stack)
+                    links = sum(t == "a" for t, _, _ in stack)
                     break
                 if stack[i][0] in _HOLDS:
                     break
         if tag not in _VOID and not m[3].endswith("/"):
-            stack.append((tag, _kinds(tag, m[3])))
+            made += 1
+            stack.append((tag, _kinds(tag, m[3]), made))
             links += tag == "a"
     flush()
+    _in_context(out)
     return out
 
 
-def _features(text: str, stack: list[tuple[str, list[str]]], links: float) -> list[str]:
-    tags = {t for t, _ in stack if t in _NOTED}
-    kinds = [k for _, ks in stack for k in ks]
-    noted = [t for t, _ in stack if t in _NOTED]
-    f = [f"in:{t}" for t in tags] + [f"under:{k}" for k in set(kinds)]
-    f.append(f"nearest:{kinds[-1] if kinds else None}")
+def _size(n: float) -> int:
+    return min(int(math.log2(n + 1)), 9)
+
+
+def _in_context(found: list[Block]) -> None:
+    """Add what the page says of a block: its place, the blocks beside it, and the text outside links in what is around it."""
+    plain = [len(b.text) * (1 - b.links) for b in found]
+    held: dict[int, float] = {}
+    blocks_in: dict[int, int] = {}
+    for b, n in zip(found, plain):
+        for i in b.within:
+            held[i] = held.get(i, 0.0) + n
+            blocks_in[i] = blocks_in.get(i, 0) + 1
+    every = max(sum(plain), 1.0)
+    longest = max(plain, default=0.0)
+    # an element that holds the whole page tells nothing
+    whole = {i for i, k in blocks_in.items() if k == len(found)} if len(found) > 1 else set()
+    for i, b in enumerate(found):
+        around = [k for k in b.within if k not in whole]
+        near, far = (around[-1:] or [None])[0], (around[:1] or [None])[0]
+        b.features += [
+            f"near share:{int(4.999 * held.get(near, 0.0) / every) if near else 'none'}", f"far share:{int(4.999 * held.get(far, 0.0) / every) if far else 'none'}",
+            f"near blocks:{min(blocks_in.get(near, 0), 6) if near else 'none'}", f"place:{int(4.999 * i / len(found))}", f"from start:{min(i, 3)}", f"from end:{min(len(found) - 1 - i, 3)}",
+            f"of longest:{int(4.999 * plain[i] / longest) if longest else 'none'}"]
+        for name, j in (("before", i - 1), ("after", i + 1)):
+            other = found[j] if 0 <= j < len(found) else None
+            b.features.append(f"{name}:{_size(len(other.text)) if other else 'none'}")
+            b.features.append(f"{name} links:{int(other.links * 2.999) if other else 'none'}")
+            if other:
+                b.features.append(f"{name} {'with' if other.within == b.within else 'apart'}")
+
+
+def _features(text: str, stack: list[tuple[str, list[str], int]], links: float) -> list[str]:
+    tags = {t for t, _, _ in stack if t in _NOTED}
+    kinds = [ks for _, ks, _ in stack if ks]
+    noted = [t for t, _, _ in stack if t in _NOTED]
+    parts = [t for t in noted if t in _TAG_KIND or t in ("section", "div")]
+    f = [f"in:{t}" for t in tags] + [f"under:{k}" for k in {k for ks in kinds for k in ks}]
+    f.append("nearest:" + ("+".join(sorted(set(kinds[-1]))) if kinds else "none"))
     f.append(f"leaf:{noted[-1] if noted else None}")
-    f.append(f"length:{min(int(math.log2(len(text) + 1)), 9)}")
+    f.append("path:" + ">".join(parts[-2:]))
+    f.append(f"{f[-3]} {f[-2]}")
+    said = {k for ks in kinds for k in ks}
+    f.append("said:" + ("main" if said == {"main"} else "both" if "main" in said else "other" if said else "none") + " " + next((t for t in reversed(noted) if t in ("article", "main")), "none"))
+    f.append(f"length:{_size(len(text))}")
     f.append(f"links:{int(links * 4.999)}")
     f.append("stop" if text[-1] in ".!?…。\"”" else "no stop")
     f.append("says" if len(text) < 400 and _SAID.search(text) else "says nothing")
@@ -200,17 +252,19 @@ class Field:
         self.weights, self.start, self.step = weights, start, step
 
     @classmethod
-    def fit(cls, pages: list[tuple[list[Block], list[int]]], rounds: int = 150, rate: float = 0.1, ridge: float = 1e-3) -> Field:
+    def fit(cls, pages: list[tuple[list[Block], list[int]]], rounds: int = 300, rate: float = 0.1, ridge: float = 3e-4) -> Field:
         """Gradient ascent (with Adam's step sizes) of the likelihood of all pages at once."""
         index = {f: i for i, f in enumerate(sorted({f for bs, _ in pages for b in bs for f in b.features}))}
         n, t, d = len(pages), max(len(b) for b, _ in pages), len(index)
-        x = np.zeros((n, t, d))
         y = np.zeros((n, t), np.int64)
         size = np.array([len(b) for b, _ in pages])
+        at, which = [], []  # a block's cell in n by t, once for each of its features, and these
         for i, (bs, ys) in enumerate(pages):
             y[i, :len(ys)] = ys
             for j, b in enumerate(bs):
-                x[i, j, [index[f] for f in b.features]] = 1
+                at += [i * t + j] * len(b.features)
+                which += [index[f] for f in b.features]
+        at, which = np.array(at), np.array(which)
         real = np.arange(t) < size[:, None]
         pair = real[:, 1:]
         theta = np.zeros(d + 2 + 4)
@@ -220,7 +274,7 @@ class Field:
         for k in range(1, rounds + 1):
             w, start, step = theta[:d], theta[d:d + 2], theta[d + 2:].reshape(2, 2)
             node = np.zeros((n, t, 2))
-            node[..., 1] = x @ w
+            node[..., 1] = np.bincount(at, w[which], n * t).reshape(n, t)
             a = np.zeros((n, t, 2))
             b = np.zeros((n, t, 2))
             a[:, 0] = node[:, 0] + start
@@ -231,9 +285,9 @@ class Field:
             z = _logsum(a[:, -1], 1)
             p = np.exp(a + b - z[:, None, None]) * real[..., None]
             q = np.exp(a[:, :-1, :, None] + step + (node + b)[:, 1:, None, :] - z[:, None, None, None]) * pair[..., None, None]
-            g = np.concatenate([np.einsum("ntd,nt->d", x, (y - p[..., 1]) * real), (eye[y[:, 0]] - p[:, 0]).sum(0), (seen_step - q.sum((0, 1))).ravel()]) / n - ridge * theta
+            g = np.concatenate([np.bincount(which, ((y - p[..., 1]) * real).ravel()[at], d), (eye[y[:, 0]] - p[:, 0]).sum(0), (seen_step - q.sum((0, 1))).ravel()]) / n - ridge * theta
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-            theta = theta + rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
+            theta = theta + rate * (1 - k / (rounds + 1)) * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
         return cls({f: float(theta[i]) for f, i in index.items()}, theta[d:d + 2].tolist(), theta[d + 2:].reshape(2, 2).tolist())
 
     def decode(self, found: list[Block]) -> list[int]:
@@ -262,10 +316,14 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
 
 
-def labelled_pages(count: int = 400, seed: int = 11) -> list[tuple[list[Block], list[int]]]:
-    """Pages of random layouts whose content blocks are known: their words end in a sign that is taken off again."""
+def labelled_pages(count: int = 1600, seed: int = 11, naming: tuple[str, ...] = ("telling", "telling", "telling", "none", "random", "misleading")) -> list[tuple[list[Block], list[int]]]:
+    """Pages of random layouts whose content blocks are known: their words end in a sign that is taken off again.
+
+    naming, drawn for each page: names of KEYWORDS on the elements they are for; no names, and often plain elements; made-up
+    names; names of which some belong to another kind."""
     r = random.Random(seed)
-    sign = "⁣"
+    sign = "\u2063"
+    mode = "telling"
 
     def words(lo: int, hi: int, good: bool = False) -> str:
         return " ".join("".join(r.choice("abcdeghilmnoprstuv") for _ in range(r.randint(1, 8))) for _ in range(r.randint(lo, hi))).capitalize() + (r.choice("....!?") if r.random() < 0.9 else "") + (sign if good else "")
@@ -275,14 +333,22 @@ def labelled_pages(count: int = 400, seed: int = 11) -> list[tuple[list[Block],
         return f"<ul>{items}</ul>" if r.random() < 0.7 else "".join(f'<a href="/x">{words(1, 2)}</a> | ' for _ in range(k))
 
     def name(kind: str) -> str:
-        w = r.choice(KEYWORDS[kind].split())
+        if mode == "none":
+            return r.choice(["", "", 'style="margin:0"', 'data-x="1"'])
+        made_up = "".join(r.choice("bcdfgklmnprstvz") + r.choice("aeiou") for _ in range(r.randint(2, 4)))
+        w = made_up if mode == "random" else r.choice(KEYWORDS[kind].split())
         w = r.choice([w, f"{w}-box", f"site-{w}", f"{w}_1", f"the{w.capitalize()}"])
+        if mode == "misleading" and r.random() < (0.6 if kind == "main" else 0.1):  # of the element's own kind and of another
+            other = r.choice(KEYWORDS[r.choice(list(KEYWORDS))].split())
+            w = r.choice([f"{w} {other}", f"{other}-{made_up} {w}", f"{w}__{other}", f"{other} {made_up}"])
         return f'{r.choice(["class", "class", "id"])}="{w}"'
 
     def box(tag: str | None, kind: str, inner: str) -> str:
-        if tag and r.random() < 0.6:
+        if tag and r.random() < (0.6 if mode == "telling" else 0.35):
             return f"<{tag}>{inner}</{tag}>" if r.random() < 0.6 else f"<{tag} {name(kind)}>{inner}</{tag}>"
         t = r.choice(["div", "div", "section"])
+        if mode != "telling" and kind == "talk" and r.random() < 0.4:
+            t = r.choice(["ol", "ul"])
         return f"<{t} {name(kind)}>{inner}</{t}>"
 
     def junk(kind: str) -> str:
@@ -294,7 +360,7 @@ def labelled_pages(count: int = 400, seed: int = 11) -> list[tuple[list[Block],
             "advert": lambda: box(None, kind, r.choice([words(3, 25), f"<p>{words(3, 25)}</p>", f'<a href="/y">{words(2, 12)}</a>'])),
             "notice": lambda: box("dialog", kind, f"<p>{r.choice(['We use cookies. ', 'Subscribe to our newsletter. ', '', ''])}{words(3, 40)}</p>" + ("<button>Accept</button>" if r.random() < 0.5 else "")),
             "form": lambda: f'<form action="/z" {name("form") if r.random() < 0.4 else ""}><label>{words(1, 4)}</label><input name="q"><p>{words(1, 15)}</p><button>{words(1, 2)}</button></form>',
-            "talk": lambda: box(None, kind, f"<h3>{words(1, 3)}</h3>" + "".join(r.choice([f'<div class="comment"><b>{words(1, 2)}</b><p>{words(3, 60)}</p></div>', f"<p>{words(3, 60)}</p>", f"<li><p>{words(3, 60)}</p></li>", f"<article><p>{words(3, 60)}</p></article>"]) for _ in range(r.randint(1, 5)))),
+            "talk": lambda: box(None, kind, f"<h3>{words(1, 3)}</h3>" + "".join(r.choice([f'<div {name("talk")}><b>{words(1, 2)}</b><p>{words(3, 60)}</p></div>', f"<p>{words(3, 60)}</p>", f"<li><p>{words(3, 60)}</p></li>", f"<article><p>{words(3, 60)}</p></article>"]) for _ in range(r.randint(1, 5)))),
             "share": lambda: box(None, kind, links(r.randint(1, 4))),
         }[kind]()
 
@@ -316,7 +382,9 @@ def labelled_pages(count: int = 400, seed: int = 11) -> list[tuple[list[Block],
         return f"<div>{t}</div>" if kind < 0.98 else f"<table><tr><td>{words(1, 6, True)}</td><td>{words(1, 6, True)}</td></tr></table>"
 
     def page() -> str:
-        body = [paragraph() for _ in range(r.randint(1, 14))]
+        body = [paragraph() for _ in range(r.choice([1, 2, r.randint(1, 14), r.randint(1, 14)]))]
+        if r.random() < 0.15:  # next to nothing, less than is around it
+            body = [f"<p>{r.choice(['<b>', ''])}{words(1, 3, True)}{r.choice(['<br>', '</p>'])}"]
         if r.random() < 0.7:
             body.insert(0, f"<h1>{words(2, 10, True)}</h1>")
         for kind in ("advert", "side", "share", "form", "notice"):
@@ -324,8 +392,12 @@ def labelled_pages(count: int = 400, seed: int = 11) -> list[tuple[list[Block],
                 body.insert(r.randint(1, len(body)), junk(kind))
         if r.random() < 0.2:
             body.append(junk("talk"))
+        if r.random() < 0.12:  # an article's own header has its headline, and who wrote it
+            body.insert(0, f"<header {name('head')}><h1>{words(2, 10, True)}</h1>" + r.choice(["", f'<p class="byline">{words(1, 3)}</p>', f"<time>{r.randint(1990, 2030)}-01-02</time>"]) + "</header>")
         inner = "".join(body)
-        style = r.random()
+        if r.random() < 0.2:
+            inner = f"<div {name('main')}>{inner}</div>"
+        style = r.random() if mode == "telling" else r.uniform(0.3, 1.0)
         if style < 0.5:
             main = f"<article>{inner}</article>"
         elif style < 0.65:
@@ -336,6 +408,10 @@ def labelled_pages(count: int = 400, seed: int = 11) -> list[tuple[list[Block],
             main = f"<div>{inner}</div>"
         if r.random() < 0.25:
             main = f"<main>{main}{junk('talk') if r.random() < 0.5 else ''}</main>"
+        if r.random() < 0.1:  # nothing else, or no element around it
+            return f"<html><body>{r.choice([inner, main])}</body></html>"
+        if mode != "telling" and r.random() < 0.1:
+            main = inner
         top = [junk(k) for k in ("head", "menu", "advert", "notice", "form", "side") if r.random() < 0.5]
         end = [junk(k) for k in ("talk", "side", "advert", "form", "notice", "foot", "menu") if r.random() < 0.4]
         r.shuffle(top)
@@ -343,16 +419,11 @@ def labelled_pages(count: int = 400, seed: int = 11) -> list[tuple[list[Block],
 
     out = []
     while len(out) < count:
-        found = blocks(page())
-        y = [int(sign in b.text) for b in found]
-        if not any(y):
-            continue
-        # features were made with the sign in place: only those of the last character depend on it
-        for b in found:
-            clean = b.text.replace(sign, "")
-            if clean != b.text:
-                b.features = [f for f in b.features if f not in ("stop", "no stop")] + ["stop" if clean[-1:] in ".!?…。\"”" else "no stop"]
-        out.append((found, y))
+        mode = r.choice(naming)
+        signed = page()
+        y = [int(sign in b.text) for b in blocks(signed)]
+        if any(y):
+            out.append((blocks(signed.replace(sign, "")), y))
     return out
 
 

@@ -9,12 +9,15 @@ Equal fingerprints are one node; a bucket of equal keys yields links of a spanni
 Near copies at a Jaccard similarity s of shingle sets differ in about 15 % of the bits at s = 0.8, too many for keys of
 equal segments. `near_groups` takes its candidates from shingles: sets at s or more share one of their first
 n - ceil(s * n) + 1 shingles in any common order (here by hash, those common in a sample last). Candidates have
-fingerprints of WIDE bits, pass the ring's chains under its budget, then the full count of differing bits.
+fingerprints of WIDE bits, pass the ring's chains under its budget, then the full count of differing bits. What passes is
+decided by the full shingle sets, counted exactly: links that span a group's candidates are checked, and groups with a link
+that does not hold give others instead, until all hold.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -34,11 +37,13 @@ VARIANTS = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4))
 DIRECT = 4096
 
 
-#: Bits and segments of the wide fingerprint, and how many standard deviations beyond the expected distance still link.
-WIDE, WIDE_SEGMENTS, MARGIN = 256, 16, 1.65
-#: Smallest shingles of a set that candidates bring along: all of a smaller set, whose similarity is then exact; of larger ones
-#: an estimate, which must not fall short by more than SHORT (three standard deviations).
-LOW, SHORT = 64, 0.15
+#: Bits and segments of the wide fingerprint, and how many standard deviations beyond the expected distance are still checked.
+WIDE, WIDE_SEGMENTS, MARGIN = 256, 16, 3.3
+#: Smallest shingles of a set that candidates bring along: all of a smaller set; of larger ones an estimate of the similarity,
+#: which may fall short by SHORT standard deviations and still be checked.
+LOW, SHORT = 64, 3.3
+#: Rows of a group that one task compares; a larger group is dealt to blocks, each pair of which is a group of its own.
+GROUP = 8_192
 #: Documents (by hash of doc_id) that show which shingles are common, from how many on; shingles that one flush holds.
 SAMPLE, COMMON, FLUSH = 20_000, 16, 1_000_000
 
@@ -232,27 +237,38 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return float(both.mean())
 
 
-def ring_links(fp: np.ndarray, n: np.ndarray, low: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Index pairs that span the components of sets whose sizes allow the similarity, fingerprints are within the budget, and
-    smallest shingles bear it out."""
+def ring_links(fp: np.ndarray, n: np.ndarray, low: list[np.ndarray], similarity: float, held: np.ndarray | None = None, failed: list | None = None, tries: int = 1) -> list[tuple[int, int]]:
+    """Index pairs that may be links and span all that may be: sets whose sizes allow the similarity, whose fingerprints are
+    within the budget, and whose smallest shingles bear it out.
+
+    held: a number for each set, equal (and not negative) for sets known to be of one component. failed: for each set the
+    indices of sets that it is known not to link with. A set is set aside once `tries` pairs have been found for it."""
     links, left, budget = [], np.arange(len(fp)), bit_budget(similarity)
+    short = SHORT * math.sqrt(similarity * (1 - similarity) / LOW)
+    found = np.zeros(len(fp), np.int64)
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
             ok = np.minimum(n[left], n[at]) >= similarity * np.maximum(n[left], n[at]) - 1e-9
+            if held is not None and held[at] >= 0:
+                ok &= held[left] != held[at]
             ok[ok] = ring_near(fp[left[ok]], fp[at], budget)
-            ok[ok] = [jaccard(low[at], low[j]) >= similarity - (SHORT if max(n[at], n[j]) >= LOW else 1e-9) for j in left[ok].tolist()]
-            links.extend((int(at), int(j)) for j in left[ok])
+            ok[ok] = [jaccard(low[at], low[j]) >= similarity - (short if max(n[at], n[j]) >= LOW else 1e-9) for j in left[ok].tolist()]
+            if failed is not None:
+                ok[ok] = [at not in failed[j] and j not in failed[at] for j in left[ok].tolist()]
+            hit = left[ok]
+            links.extend((int(at), int(j)) for j in hit)
+            found[hit] += 1
+            ok[ok] = found[hit] >= tries
             queue.extend(left[ok])
             left = left[~ok]
     return links
 
 
-def _sketches(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+def _sketches(ids: DataFrame, width: int, similarity: float) -> DataFrame:
     """(doc_id, key: digest of the shingle set, node: 64 bits of it, n: its size, fp: wide fingerprint, first: shingles that
     a set of this similarity must share one of, low: the LOW smallest)."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
 
     def shown(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
@@ -326,6 +342,13 @@ def _sharing(sketches: DataFrame, buckets: int) -> DataFrame:
         name = np.add.reduceat(mixed ^ (mixed >> np.uint64(32)), start)
         _, one = np.unique(name, return_index=True)
         one = one[size[one] > 1]
+        for k in one[size[one] > GROUP].tolist():
+            blocks = np.array_split(node[start[k]:start[k] + size[k]], -(-2 * size[k] // GROUP))
+            for i, j in itertools.combinations(range(len(blocks)), 2):
+                both = np.concatenate([blocks[i], blocks[j]])
+                own = np.int64(xxhash.xxh64_intdigest(f"{name[k]}|{i}|{j}") >> 1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(both), own)), pa.array(both)], ["grp", "node"])
+        one = one[size[one] <= GROUP]
         for s in range(0, len(one), 4096):
             some = one[s:s + 4096]
             at = np.concatenate([np.arange(start[k], start[k] + size[k]) for k in some])
@@ -335,27 +358,25 @@ def _sharing(sketches: DataFrame, buckets: int) -> DataFrame:
     return packed.repartitionById(buckets, F.col("bucket")).mapInArrow(releasing(groups), "grp long, node long").distinct()
 
 
-def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id long, component_id long), component_id the smallest doc_id of its group.
-
-    Documents of equal sets of shingles link (all without words have one such set). Others link where they share one of
-    the shingles that sets of this similarity must share, their wide fingerprints are within bit_budget(similarity), and the
-    similarity by their LOW smallest shingles (exact for smaller sets) bears it out.
-    Rows with null doc_id are dropped, rows of equal doc_id are returned each. Null text counts as empty. Other columns are ignored.
-    An empty table gives an empty one."""
-    buckets = partitions(docs.sparkSession)
-    sketches = materialize(_sketches(docs, width, similarity))
-    nodes = materialize(sketches.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("node").alias("node"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("low").alias("low")))
+def _may_link(rows: DataFrame, similarity: float, tries: int) -> DataFrame:
+    """rows(grp, node, n, fp, low, held, failed), sorted by grp in their partitions -> (grp, a, b), b the set that a was found
+    for."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(t: pa.Table) -> pa.RecordBatch:
-            grp, rep, n = (t.column(c).to_numpy() for c in ("grp", "rep", "n"))
+            grp, node, n, held = (t.column(c).to_numpy() for c in ("grp", "node", "n", "held"))
             fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(-1, WIDE // 64)
             low = [np.frombuffer(x, np.uint64) for x in t.column("low").to_pylist()]
             cut = [*np.flatnonzero(np.diff(grp, prepend=grp[0] - 1)).tolist(), len(grp)]
-            found = [(rep[s + i], rep[s + j]) for s, e in zip(cut[:-1], cut[1:]) if e - s > 1 for i, j in ring_links(fp[s:e], n[s:e], low[s:e], similarity)]
-            a = np.array(found, np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["a", "b"])
+            failed, found = t.column("failed").to_pylist(), []
+            for s, e in zip(cut[:-1], cut[1:]):
+                if e - s < 2:
+                    continue
+                at = {v: i for i, v in enumerate(node[s:e].tolist())} if any(failed[s:e]) else {}
+                known = [{at[v] for v in f or () if v in at} for f in failed[s:e]]
+                found += [(grp[s], node[s + i], node[s + j]) for i, j in ring_links(fp[s:e], n[s:e], low[s:e], similarity, held[s:e], known, tries)]
+            a = np.array(found, np.int64).reshape(-1, 3)
+            return pa.RecordBatch.from_arrays([pa.array(a[:, k]) for k in range(3)], ["grp", "a", "b"])
 
         held: list[pa.RecordBatch] = []
         size = 0
@@ -373,15 +394,85 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
         if size:
             yield out(pa.Table.from_batches(held))
 
-    rows = _sharing(sketches, buckets).join(nodes.select("node", "rep", "n", "fp", "low"), "node").select("grp", "rep", "n", "fp", "low")
-    found = components(rows.repartition(buckets, "grp").sortWithinPartitions("grp").mapInArrow(releasing(run), "a long, b long").distinct())
+    return rows.mapInArrow(releasing(run), "grp long, a long, b long")
+
+
+def _counted(pairs: DataFrame, nodes: DataFrame, ids: DataFrame, width: int, similarity: float) -> DataFrame:
+    """pairs(a, b) of nodes -> (a, b, rep_a, rep_b, holds): by the full sets of shingles, read from the texts once more."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep", "key"), "node")
+    texts = ids.join(ends, F.col("doc_id") == F.col("rep")).select("node", "rep", "key", "text")
+
+    def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            sets = [np.unique(shingle_hashes(t.as_py(), width)).tobytes() for t in b.column("text")]
+            own = [hashlib.blake2b(x, digest_size=16).digest() == k for x, k in zip(sets, b.column("key").to_pylist())]  # an id may have other texts
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("rep"), pa.array(sets, pa.binary())], ["node", "rep", "set"]).filter(pa.array(own, pa.bool_()))
+
+    def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            holds = []
+            for x, y in zip(b.column("set_a").to_pylist(), b.column("set_b").to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                holds.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("a", "b", "rep_a", "rep_b")), pa.array(holds, pa.bool_())], ["a", "b", "rep_a", "rep_b", "holds"])
+
+    sets = materialize(texts.mapInArrow(releasing(read), "node long, rep long, set binary"))
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("rep").alias(f"rep_{c}"), F.col("set").alias(f"set_{c}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "rep_a", "rep_b", "set_a", "set_b")
+    out = materialize(met.mapInArrow(releasing(compare), "a long, b long, rep_a long, rep_b long, holds boolean").groupBy("a", "b", "rep_a", "rep_b").agg(F.max("holds").alias("holds")))
+    discard(sets)
+    return out
+
+
+def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs(doc_id, text) -> (doc_id long, component_id long), component_id the smallest doc_id of its group.
+
+    Documents whose sets of shingles have at least this Jaccard similarity link; all without words have one set. Candidates
+    share one of the shingles that sets of this similarity must share and pass ring_links(); every link is counted on the
+    full sets. Each round checks links that span what may still be linked in a group; groups with a link that failed get
+    another round, with four times as many tries for a set, from which sets already known to be of one group are left out.
+    Rows with null doc_id are dropped, rows of equal doc_id are returned each. Null text counts as empty. Other columns are ignored.
+    An empty table gives an empty one. A group of more than GROUP sets goes to several tasks."""
+    buckets = partitions(docs.sparkSession)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
+    sketches = materialize(_sketches(ids, width, similarity))
+    nodes = materialize(sketches.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("node").alias("node"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("low").alias("low")))
+    groups = materialize(_sharing(sketches, buckets))
+    open_, tries = groups, 1
+    links: DataFrame | None = None
+    failed: DataFrame | None = None
+    while True:
+        rows = open_.join(nodes.select("node", "rep", "n", "fp", "low"), "node")
+        if links is None:
+            rows = rows.withColumns({"held": F.lit(-1).cast("long"), "failed": F.lit(None).cast("array<long>")})
+        else:
+            known = components(links).withColumnsRenamed({"node": "rep", "component": "held"})
+            against = failed.groupBy(F.col("b").alias("node")).agg(F.collect_set("a").alias("failed"))  # as many as tries so far
+            rows = rows.join(known, "rep", "left").join(against, "node", "left").withColumn("held", F.coalesce("held", F.lit(-1)))
+        rows = rows.select("grp", "node", "n", "fp", "low", "held", "failed")
+        may = materialize(_may_link(rows.repartition(buckets, "grp").sortWithinPartitions("grp"), similarity, tries))
+        seen = _counted(may.select("a", "b").distinct(), nodes, ids, width, similarity)
+        good = seen.filter("holds").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+        bad = seen.groupBy("a", "b").agg(F.max("holds").alias("holds")).filter(~F.col("holds")).select("a", "b")
+        links = good if links is None else links.unionByName(good)
+        failed = bad if failed is None else failed.unionByName(bad)
+        again = may.join(bad, ["a", "b"], "left_semi").select("grp").distinct()
+        if again.isEmpty():
+            break
+        open_, tries = materialize(groups.join(again, "grp", "left_semi")), 4 * tries
+    found = components(links)
     named = nodes.drop("node").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     out = materialize(sketches.select("doc_id", "key").join(named.select("key", F.coalesce("component", "rep").alias("component_id")), "key").select("doc_id", "component_id"))
-    discard(sketches)
+    for t in (sketches, nodes, groups):
+        discard(t)
     return out
 
 
 def keep_first(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The documents whose doc_id is the smallest of its near_groups(), with all their columns; null doc_ids stay."""
+    """The documents whose doc_id is the smallest of its near_groups(), with all their columns.
+
+    Rows with null doc_id stay; rows that share a doc_id stay or go together; null and empty texts are one group; an empty
+    table stays empty. A column of any name is kept as it is."""
     drop = near_groups(docs, width, similarity).filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
