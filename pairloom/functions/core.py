@@ -74,6 +74,24 @@ def _double(hex16: Column) -> Column:
     return F.when(hi >= 2**31, -size).otherwise(size)
 
 
+def _hex16(x: Column) -> Column:
+    """The 16 hex digits of an IEEE double, most significant first, by exact arithmetic; null stays null."""
+    size = F.abs(x)
+    near = F.floor(F.log2(size))  # may be one off beside a power of two
+    part = size / F.pow(F.lit(2.0), near)
+    power = near + F.when(part < 1, -1).when(part >= 2, 1).otherwise(0)
+    fraction = ((size / F.pow(F.lit(2.0), power) - 1) * F.lit(2.0**52)).cast("long")
+    tiny = (size * F.lit(2.0**537) * F.lit(2.0**537)).cast("long")
+    bits = F.when(size == 0, F.lit(0).cast("long")).when(size < F.lit(2.0**-1022), tiny).otherwise(F.shiftleft((power + 1023).cast("long"), 52) + fraction)
+    return F.lpad(F.hex(F.when(x < 0, bits.bitwiseOR(F.lit(-(2**63)))).otherwise(bits)), 16, "0")
+
+
+def point_wkb(lon: Column, lat: Column) -> Column:
+    """A 21-byte little-endian WKB point of finite coordinates; null if one is null. A negative zero is written as zero."""
+    turned = lambda h: F.concat(*[F.substring(h, 15 - 2 * k, 2) for k in range(8)])
+    return F.unhex(F.concat(F.lit("0101000000"), turned(_hex16(lon)), turned(_hex16(lat))))
+
+
 def wkb_point(wkb: Column) -> tuple[Column, Column]:
     """Longitude and latitude of a 21-byte little-endian WKB point; other geometries raise, null stays null."""
     hexed = F.hex(wkb)

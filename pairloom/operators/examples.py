@@ -66,12 +66,13 @@ def manifest(df: DataFrame, label: str = "label") -> DataFrame:
 
 def remaining(df: DataFrame, done: DataFrame) -> DataFrame:
     """Examples that a checkpoint has not scored. The checkpoint must be the beginning of the data: each of its rows agrees
-    with the data in place, id and label, and none is beyond them; else this raises."""
-    there = done.select("example_id", F.col("ground_truth").alias("label_done"), F.col("row_index").alias("at"))
-    wrong = there.join(df.select("row_index", "example_id", "label"), "example_id", "left").filter(
-        F.col("label").isNull() | (F.col("label") != F.col("label_done")) | (F.col("row_index") != F.col("at"))).count()
-    n, last = done.agg(F.count("*"), F.max("row_index")).first()
-    before = df.filter(F.col("row_index") <= F.lit(last if last is not None else -1)).count()
-    if wrong or before != n:
-        raise ValueError(f"the checkpoint does not fit the data: {wrong} rows differ, {n} scored of the first {before}")
+    with the data in place, id and label, and none is beyond them; else this raises. One pass checks it."""
+    there = done.select("example_id", F.col("ground_truth").alias("__label"), F.col("row_index").alias("__at"))
+    both = df.select("example_id", "label", "row_index").join(there, "example_id", "full_outer")
+    scored = F.col("__at").isNotNull()
+    same = F.coalesce((F.col("label") == F.col("__label")) & (F.col("row_index") == F.col("__at")), F.lit(False))
+    wrong, n, last, first = both.agg(F.count_if(scored & ~same), F.count_if(scored), F.max("__at"), F.min(F.when(~scored, F.col("row_index")))).first()
+    if wrong or (n and first is not None and first < last):
+        raise ValueError(f"the checkpoint does not fit the data: {wrong} of {n} scored rows differ, row {first} before row {last} is not scored" if not wrong else
+                         f"the checkpoint does not fit the data: {wrong} of {n} scored rows differ")
     return df.join(done.select("example_id"), "example_id", "left_anti")

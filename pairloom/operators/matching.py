@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions.core import hash_order, haversine_m
 from pairloom.operators.lineage import cut
+from pairloom.operators.order import first_by_hash
 
 #: Pairs of each tier, and what its seed adds.
 SIZES = {"micro": 1_000, "mini": 3_000, "small": 10_000, "medium": 50_000}
@@ -21,6 +22,14 @@ def budgets(n_pairs: int, hard: float = 0.4, brand: float = 0.5) -> dict[str, in
     return {"match": n_pairs // 2, "geo": n_hard - n_brand, "brand": n_brand, "easy": negatives - n_hard}
 
 
+def budget_columns(n_pairs: Column, hard: float = 0.4, brand: float = 0.5) -> dict[str, Column]:
+    """budgets() of a column of pair numbers."""
+    negatives = n_pairs - F.floor(n_pairs / 2)
+    n_hard = F.bround(negatives * F.lit(hard)).cast("long")
+    n_brand = F.bround(n_hard * F.lit(brand)).cast("long")
+    return {"match": F.floor(n_pairs / 2), "geo": n_hard - n_brand, "brand": n_brand, "easy": negatives - n_hard}
+
+
 class Shortfall(ValueError):
     """Fewer pairs than asked for."""
 
@@ -92,13 +101,10 @@ def random_row(places: DataFrame, seed: int | str, k: int = 1) -> DataFrame:
 
 
 def paired(ids: DataFrame, n: int, seed: int | str) -> DataFrame:
-    """n ids in hash order, paired as neighbours: (pair, id_a, id_b). Only those n ids, a number the caller states, are
-    ranked together."""
-    some = ids.orderBy(hash_order(seed, F.col("id")), "id").limit(n)
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(hash_order(seed, F.col("id")), "id")) - 1
-    ranked = some.withColumn("rank", rank)
-    return ranked.groupBy(F.floor(F.col("rank") / 2).cast("long").alias("pair")).agg(
-        F.min_by("id", "rank").alias("id_a"), F.max_by("id", "rank").alias("id_b"), F.count("*").alias("n")).filter("n = 2").drop("n")
+    """n ids in hash order, paired as neighbours: (pair, id_a, id_b)."""
+    ranked = first_by_hash(ids, hash_order(seed, F.col("id")), "id", n)
+    return ranked.groupBy(F.floor(F.col("at") / 2).cast("long").alias("pair")).agg(
+        F.min_by("id", "at").alias("id_a"), F.max_by("id", "at").alias("id_b"), F.count("*").alias("n")).filter("n = 2").drop("n")
 
 
 def far_round(places: DataFrame, unused: DataFrame, n: int, min_m: float, seed: int | str) -> DataFrame:

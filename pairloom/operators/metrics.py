@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.operators.order import quantiles
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
@@ -25,8 +27,10 @@ def confusion(df: DataFrame, truth: str = "ground_truth", prediction: str = "pre
 
 
 def latencies(df: DataFrame, column: str = "latency_seconds") -> DataFrame:
-    """Mean, median and 95th percentile, exact, interpolated."""
-    return df.agg(F.avg(column).alias("average_latency_seconds"), F.median(column).alias("median_latency_seconds"), F.percentile(column, F.lit(0.95)).alias("p95_latency_seconds"))
+    """Mean, median and 95th percentile, exact, interpolated; nulls are left out. Quantiles come from passes that count bins,
+    so no task holds the values."""
+    half, p95 = (F.lit(q).cast("double") for q in quantiles(df, column, [0.5, 0.95]))
+    return df.agg(F.avg(column).alias("average_latency_seconds")).select("*", half.alias("median_latency_seconds"), p95.alias("p95_latency_seconds"))
 
 
 def tokens(df: DataFrame, seconds: float) -> DataFrame:
@@ -39,9 +43,13 @@ def tokens(df: DataFrame, seconds: float) -> DataFrame:
                        rate(F.col("n")).alias("examples_per_second"), known(rate(F.col("i") + F.col("o"))).alias("tokens_per_second"))
 
 
-def full_metrics(df: DataFrame, seconds: float) -> dict:
-    """All metrics of a scored table as a dictionary; raises for an empty one."""
+def full_metrics(df: DataFrame, seconds: float, scored_now: DataFrame | None = None) -> dict:
+    """All metrics of a scored table as a dictionary; raises for an empty one. Rates are those of the rows scored within the
+    seconds: scored_now, or all."""
     out = confusion(df, error="request_error").first().asDict()
     if not out["total_examples"]:
         raise ValueError("no examples were scored")
-    return out | latencies(df).first().asDict() | tokens(df, seconds).first().asDict()
+    sums = tokens(df, seconds).first().asDict()
+    if scored_now is not None:
+        sums |= {k: v for k, v in tokens(scored_now, seconds).first().asDict().items() if k.endswith("_per_second")}
+    return out | latencies(df).first().asDict() | sums

@@ -6,13 +6,14 @@ import json
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions.core import coin, hash_order
 from pairloom.operators import candidates as C
 from pairloom.operators import matching as M
 from pairloom.operators.lineage import cut
+from pairloom.operators.order import first_by_hash, numbered_from_zero
 
 
 @dataclass
@@ -45,14 +46,13 @@ class Pools:
     settings: Settings = field(default_factory=Settings)
 
 
-def numbered(pairs: DataFrame, n: int, seed: int | str) -> DataFrame:
-    """pair_id from 0 in hash order, sides swapped by a coin. n, the number of pairs asked for, bounds what is ranked
-    together."""
+def numbered(pairs: DataFrame, seed: int | str) -> DataFrame:
+    """pair_id from 0 in hash order, sides swapped by a coin."""
     flip = coin(f"{seed}/side", F.col("rid_a"), F.col("rid_b"))
     left, right = F.when(flip, F.col("rid_b")).otherwise(F.col("rid_a")), F.when(flip, F.col("rid_a")).otherwise(F.col("rid_b"))
-    order = Window.partitionBy(F.lit(0)).orderBy(hash_order(f"{seed}/order", F.col("rid_a"), F.col("rid_b")), "rid_a", "rid_b")
     rest = [c for c in pairs.columns if c not in ("rid_a", "rid_b", "id_a", "id_b")]
-    return pairs.limit(n).withColumn("pair_id", (F.row_number().over(order) - 1).cast("long")).select("pair_id", *rest, left.alias("left_rid"), right.alias("right_rid"))
+    placed = numbered_from_zero(pairs, [hash_order(f"{seed}/order", F.col("rid_a"), F.col("rid_b")), "rid_a", "rid_b"], "pair_id")
+    return placed.select("pair_id", *rest, left.alias("left_rid"), right.alias("right_rid"))
 
 
 def naive_pairs(places: DataFrame, n: int, seed: int | str = 42) -> DataFrame:
@@ -62,14 +62,13 @@ def naive_pairs(places: DataFrame, n: int, seed: int | str = 42) -> DataFrame:
     ids = places.select("id").groupBy("id").count()
     if ids.filter("count < 2").limit(1).count():
         raise ValueError("a place has a single row; every place needs two or more")
-    order = hash_order(seed, F.col("id"))
-    drawn = M.require(ids.orderBy(order, "id").limit(n_match + 2 * n_neg), n_match + 2 * n_neg, "places", "ask for fewer pairs")
-    ranked = drawn.withColumn("at", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order, "id")) - 1).select("id", "at")
-    rows = M.random_row(places.select("id", "rid").join(F.broadcast(ranked) if n <= 100_000 else ranked, "id"), seed, 2)
+    wanted = n_match + 2 * n_neg
+    ranked = M.require(first_by_hash(ids.select("id"), hash_order(seed, F.col("id")), "id", wanted), wanted, "places", "ask for fewer pairs")
+    rows = M.random_row(places.select("id", "rid").join(ranked, "id"), seed, 2)
     matches = rows.filter(F.col("at") < n_match).groupBy("id").agg(F.min_by("rid", "rank").alias("rid_a"), F.max_by("rid", "rank").alias("rid_b")).select(F.lit(1).cast("byte").alias("label"), "rid_a", "rid_b")
     slot = F.floor((F.col("at") - n_match) / 2)
     others = rows.filter((F.col("at") >= n_match) & (F.col("rank") == 1)).groupBy(slot.alias("slot")).agg(F.min_by("rid", "at").alias("rid_a"), F.max_by("rid", "at").alias("rid_b")).select(F.lit(0).cast("byte").alias("label"), "rid_a", "rid_b")
-    return numbered(matches.unionByName(others), n, seed)
+    return numbered(matches.unionByName(others), seed)
 
 
 def widen(pairs: DataFrame, source: DataFrame, rid: str = "rid") -> DataFrame:
@@ -89,7 +88,7 @@ def build_pools(places: DataFrame, s: Settings | None = None) -> Pools:
     match = C.closest_pairs(places, s.match_m)
     near = C.cap_pairs(C.near_pairs(places, s.geo_m, s.cell_rows, s.pool_seed), ["band", "cx"], s.cell_pairs, s.pool_seed)
     geo = C.densest_first(near, C.with_cell(places, s.geo_m), ["band", "cx"], s.geo_pool)
-    named = C.cap_pairs(C.same_key_pairs(places, s.brand_min_m, s.brand_max_m, s.group_rows, s.pool_seed), ["name_key"], s.group_pairs, s.pool_seed)
+    named = C.same_key_capped(places, s.group_pairs, s.brand_min_m, s.brand_max_m, s.group_rows, s.pool_seed, s.pool_seed)
     brand = C.densest_first(named, places.filter("name_key <> ''"), ["name_key"], s.brand_pool)
     keep = ("rid_a", "rid_b", "id_a", "id_b", "distance_m", "preferred")
     return Pools(places, cut(match), cut(geo.select(*keep)), cut(brand.select(*keep)), s)
@@ -114,7 +113,7 @@ def geo_pairs(pools: Pools, n: int, seed: int | str | None = None) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return numbered(out.withColumn("label", F.col("label").cast("byte")), n, seed)
+    return numbered(out.withColumn("label", F.col("label").cast("byte")), seed)
 
 
 def all_sizes(pools: Pools, sizes: dict[str, int] = M.SIZES) -> dict[str, DataFrame]:
@@ -157,14 +156,40 @@ def stats(pairs: DataFrame, s: Settings | None = None) -> DataFrame:
         F.lit(s.brand_max_m).cast("double").alias("brand_max_m"), F.lit(s.hard).alias("hard_fraction"), F.lit(s.brand).alias("brand_fraction"), F.lit(s.draw_seed).alias("seed"))
 
 
-def write_pairs(pairs: DataFrame, places: DataFrame, path: str, n: int, s: Settings | None = None) -> dict:
-    """Check, widen and write a pair table and its statistics; returns them. Raises if an invariant does not hold."""
+def naive_invariants(pairs: DataFrame, places: DataFrame, n: int) -> DataFrame:
+    """One row of violation counts of a naive table, all of them 0 for a right one."""
+    ids = places.select("rid", "id")
+    wide = pairs.join(ids.select(F.col("rid").alias("left_rid"), F.col("id").alias("left_id")), "left_rid").join(ids.select(F.col("rid").alias("right_rid"), F.col("id").alias("right_id")), "right_rid")
+    places_of_pairs = wide.select(F.explode(F.when(F.col("label") == 1, F.array("left_id")).otherwise(F.array("left_id", "right_id"))).alias("p")).agg((F.count("*") - F.count_distinct("p")).alias("places_used_twice"))
+    rows = pairs.select(F.explode(F.array("left_rid", "right_rid")).alias("r")).agg((F.count("*") - F.count_distinct("r")).alias("rows_used_twice"))
+    checked = wide.agg(F.abs(F.count("*") - n).alias("wrong_count"), F.abs(F.count_if(F.col("label") == 1) - n // 2).alias("wrong_matches"),
+                       F.count_if((F.col("label") == 1) != (F.col("left_id") == F.col("right_id"))).alias("label_against_ids"))
+    return checked.crossJoin(rows).crossJoin(places_of_pairs)
+
+
+def write_naive(pairs: DataFrame, places: DataFrame, path: str, n: int) -> dict:
+    """Check, widen and write a naive pair table and its statistics; returns them. Raises if an invariant does not hold."""
+    began = time.time()
+    pairs = cut(pairs)
+    broken = {k: v for k, v in naive_invariants(pairs, places, n).first().asDict().items() if v}
+    if broken:
+        raise AssertionError(f"pair table breaks {broken}")
+    widen(pairs, places).orderBy("pair_id").write.mode("overwrite").parquet(f"{path}/pairs")
+    out = pairs.agg(F.count("*").alias("pairs"), F.count_if(F.col("label") == 1).alias("matches"), F.count_if(F.col("label") == 0).alias("non_matches"), (F.count("*") * 2).alias("rows_used")).first().asDict()
+    out["seconds"] = round(time.time() - began, 1)
+    pairs.sparkSession.createDataFrame([(json.dumps(out),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/stats")
+    return out
+
+
+def write_pairs(pairs: DataFrame, places: DataFrame, path: str, n: int, s: Settings | None = None, source: DataFrame | None = None) -> dict:
+    """Check, widen and write a pair table and its statistics; returns them. Raises if an invariant does not hold. The table
+    has the columns of source(rid, ...), or of places unless given."""
     began = time.time()
     pairs = cut(pairs)
     broken = {k: v for k, v in invariants(pairs, places, n, s).first().asDict().items() if v}
     if broken:
         raise AssertionError(f"pair table breaks {broken}")
-    widen(pairs.drop("preferred"), places).orderBy("pair_id").write.mode("overwrite").parquet(f"{path}/pairs")
+    widen(pairs.drop("preferred"), places if source is None else source).orderBy("pair_id").write.mode("overwrite").parquet(f"{path}/pairs")
     out = stats(pairs, s).first().asDict() | {"seconds": round(time.time() - began, 1)}
     spark: SparkSession = pairs.sparkSession
     spark.createDataFrame([(json.dumps(out),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/stats")

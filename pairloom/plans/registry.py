@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions import core
 from pairloom.operators import candidates as C
 from pairloom.operators import examples as X
 from pairloom.operators import matching as M
-from pairloom.operators import metrics, pairs, scoring
+from pairloom.operators import metrics, pairs, review, scoring
 from pairloom.operators.lineage import cut
+from pairloom.operators.order import numbered_from_zero
 from pairloom.plans import sql
 from pairloom.sources import files
-from pairloom.sources.places import normalise_places, read_tables, surrogate_places, with_wkb
+from pairloom.sources.places import normalise_places, read_tables, surrogate_places
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -60,6 +61,12 @@ def geo_hard_candidates(spark, sf_dir):
     return _shown(C.near_pairs(places(spark, sf_dir)), "preferred")
 
 
+@query(sql.GEO_HARD_CANDIDATES)
+def geo_dense_cells(spark, sf_dir):
+    """The distance join with every cell of more than 8 rows split."""
+    return _shown(C.near_pairs(places(spark, sf_dir), leaf=8), "preferred")
+
+
 @query(sql.GEO_CELL_CAPPED)
 def geo_cell_capped(spark, sf_dir):
     return _shown(C.cap_pairs(C.near_pairs(places(spark, sf_dir)), ["band", "cx"], 5, "cell"), "preferred", "band", "cx")
@@ -78,7 +85,7 @@ def _names(spark, sf_dir):
 
 def _brand_pairs(spark, sf_dir):
     named = places(spark, sf_dir).drop("name_key").join(_names(spark, sf_dir), "id")
-    return named, C.cap_pairs(C.same_key_pairs(named, row_cap=500, seed="rows"), ["name_key"], 5, "group")
+    return named, C.same_key_capped(named, 5, row_cap=500, seed="rows", pair_seed="group")
 
 
 @query(sql.BRAND_GROUP_CAPPED)
@@ -86,6 +93,13 @@ def brand_group_capped(spark, sf_dir):
     return _shown(_brand_pairs(spark, sf_dir)[1], "preferred", "name_key")
 
 
+@query(sql.NAME_BLOCKS_CAPPED)
+def name_blocks_capped(spark, sf_dir):
+    """Names of any number of rows, joined block by block, five pairs of each."""
+    named = places(spark, sf_dir).drop("name_key").join(_names(spark, sf_dir), "id")
+    return _shown(C.same_key_capped(named, 5, row_cap=None, pair_seed="group", block=32), "preferred", "name_key")
+
+
 @query(sql.DENSEST_FIRST_CAP)
 def densest_first_cap(spark, sf_dir):
     named, pool = _brand_pairs(spark, sf_dir)
@@ -111,7 +125,8 @@ def locality_key(spark, sf_dir):
 @query(sql.WKB_POINT_DECODE)
 def wkb_point_decode(spark, sf_dir):
     lon, lat = core.wkb_point(F.col("geometry"))
-    return with_wkb(surrogate_places(spark, sf_dir)).select("rid", lon.alias("lon"), lat.alias("lat"))
+    points = surrogate_places(spark, sf_dir).select("rid", core.point_wkb(F.col("lon"), F.col("lat")).alias("geometry"))
+    return points.select("rid", lon.alias("lon"), lat.alias("lat"))
 
 
 @query(sql.NAIVE_PLACE_DRAW)
@@ -127,9 +142,38 @@ def naive_pairs_wide(spark, sf_dir):
     return pairs.widen(drawn, raw.select("rid", "id", "name")).withColumn("label", F.col("label").cast("int"))
 
 
+@query(sql.WIDEN_BY_PLACE)
+def widen_by_place(spark, sf_dir):
+    """Pairs of neighbouring places of a file, 40 by hash, widened by rows that are fetched by their place."""
+    path = f"{sf_dir}/lineitem.parquet"
+    rows = spark.read.parquet(path).count()
+    drawn = spark.range(rows // 2).withColumnRenamed("id", "pair_id").orderBy(core.hash_order("fetch", F.col("pair_id")), "pair_id").limit(40)
+    drawn = cut(drawn.select("pair_id", (F.col("pair_id") * 2).alias("left_rid"), (F.col("pair_id") * 2 + 1).alias("right_rid")))
+    wanted = drawn.select(F.explode(F.array("left_rid", "right_rid")).alias("rid"))
+    return pairs.widen(drawn, files.fetch_rows(spark, path, wanted, "rid").select("rid", "l_orderkey", "l_linenumber", "l_extendedprice"))
+
+
+@query(sql.FETCH_BY_KEY)
+def fetch_by_key(spark, sf_dir):
+    """All lines of 50 orders by hash, by a filter on ranges of their keys that the reader prunes by, then a join."""
+    (orders,) = read_tables(spark, sf_dir, "orders")
+    wanted = cut(orders.orderBy(core.hash_order("fetch", F.col("o_orderkey")), "o_orderkey").limit(50).select(F.col("o_orderkey").alias("l_orderkey")))
+    return files.fetch(spark, f"{sf_dir}/lineitem.parquet", wanted, "l_orderkey").select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+@query(sql.PAIR_CARDS)
+def pair_cards(spark, sf_dir):
+    raw = surrogate_places(spark, sf_dir)
+    wide = pairs.widen(pairs.naive_pairs(raw, 100, "naive"), raw.select("rid", "id", "name"))
+    return review.cards(wide, 12, seed="cards")
+
+
 @query(sql.PAIR_BUDGETS)
 def pair_budgets(spark, sf_dir):
-    return spark.createDataFrame([(n, *M.budgets(n).values()) for n in (1, 2, 5, 10, 1_000, 1_005, 3_000, 10_000, 50_000)], "pairs long, match long, geo long, brand long, easy long")
+    """Budgets of tables with as many pairs as each brand has parts, and as all have."""
+    (part,) = read_tables(spark, sf_dir, "part")
+    sizes = part.rollup("p_brand").agg(F.count("*").alias("pairs"))
+    return sizes.select(F.coalesce("p_brand", F.lit("all")).alias("brand_name"), "pairs", *[v.alias(k) for k, v in M.budget_columns(F.col("pairs")).items()])
 
 
 @query(sql.MATCH_DRAW)
@@ -196,6 +240,12 @@ def pair_type_breakdown(spark, sf_dir):
     return pairs.review(_table(spark, sf_dir)[1]).groupBy("pair_type").agg(F.count("*").alias("n"))
 
 
+@query(sql.REVIEW_BRAND)
+def review_brand(spark, sf_dir):
+    """The hard negatives of a pair table that come from names."""
+    return pairs.review(_table(spark, sf_dir)[1], source="brand").select("pair_id", "pair_type", "hard_neg_source", "left_rid", "right_rid")
+
+
 @query(sql.ALIGNMENT_SPOTCHECK)
 def alignment_spotcheck(spark, sf_dir):
     """Sampled rows of an indexed table against a second reading of the same places of its file."""
@@ -243,8 +293,12 @@ def label_parse(spark, sf_dir):
 
 @query(sql.LABEL_PARSE_EACH)
 def label_parse_each(spark, sf_dir):
-    given = spark.createDataFrame([(a,) for a in ANSWERS], "raw string")
-    return given.select("raw", core.parse_label(F.col("raw")).alias("prediction"), core.parse_label(F.col("raw"), True).alias("strict"))
+    """One of the answers for every message, read in both ways; every fourth message answers in its own words."""
+    (said,) = read_tables(spark, sf_dir, "conversations")
+    at = F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(len(ANSWERS)))
+    given = F.element_at(F.array(*[F.lit(a) for a in ANSWERS]), at.cast("int") + 1)
+    raw = F.when(F.pmod(F.col("conv_id") + F.col("turn"), F.lit(4)) == 3, F.col("text")).otherwise(given)
+    return said.select("conv_id", "turn", core.parse_label(raw).alias("prediction"), core.parse_label(raw, True).alias("strict"))
 
 
 @query(sql.CONFUSION_METRICS)
@@ -314,5 +368,5 @@ def nested_preview(spark, sf_dir):
 
 @query(sql.LARGEST_GROUPS)
 def largest_places(spark, sf_dir):
-    ranked = place_row_counts(spark, sf_dir).groupBy("n").agg(F.count("*").alias("places"))
-    return ranked.withColumn("place_rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"))))
+    sizes = place_row_counts(spark, sf_dir).groupBy("n").agg(F.count("*").alias("places"))
+    return numbered_from_zero(sizes, [F.desc("n")], "place_rank").withColumn("place_rank", (F.col("place_rank") + 1).cast("int"))

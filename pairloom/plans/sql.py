@@ -28,15 +28,19 @@ PLACE_ROW_COUNTS = f"WITH {OBS} SELECT id, count(*) AS n FROM obs GROUP BY id"
 PLACE_MIN_ROWS_GUARD = f"WITH {OBS}, c AS (SELECT id, count(*) AS n FROM obs GROUP BY id) SELECT min(n) AS fewest, max(n) AS most, count(*) FILTER (n < 2) AS too_few FROM c"
 LARGEST_GROUPS = f"WITH {OBS}, c AS (SELECT id, count(*) AS n FROM obs GROUP BY id) SELECT n, count(*) AS places, CAST(row_number() OVER (ORDER BY n DESC) AS INTEGER) AS place_rank FROM c GROUP BY n"
 CLOSEST_PAIR_PER_PLACE = f"WITH {OBS}, {CLOSEST} SELECT id, rid_a, rid_b, {CM} FROM best"
-GEO_HARD_CANDIDATES = f"WITH {OBS}, {NEAR} SELECT rid_a, rid_b, {CM}, preferred FROM near"
+#: The rows of a join as they are: CTEs are materialised, so that no filter is moved into the join.
+_KEPT = (f"WITH {OBS}, {NEAR}".replace("obs AS (", "obs AS MATERIALIZED (").replace("belt AS (", "belt AS MATERIALIZED (", 1).replace("beside AS (", "beside AS MATERIALIZED (").replace("near AS (", "near AS MATERIALIZED ("))
+GEO_HARD_CANDIDATES = f"{_KEPT} SELECT rid_a, rid_b, {CM}, preferred FROM near ORDER BY rid_a, rid_b"
 _H = "(degrees(CAST(10 AS DOUBLE) / CAST(6371008.8 AS DOUBLE)) * CAST(1.001 AS DOUBLE))"
 GEO_CELL_CAPPED = f"""WITH {OBS}, {NEAR}, b AS (SELECT *, CAST(floor(lat_a / {_H}) AS BIGINT) AS band FROM near),
 n AS (SELECT *, greatest(1, CAST(floor(CAST(360 AS DOUBLE) * cos(radians(least(greatest(abs(band * {_H}), abs((band + 1) * {_H})), CAST(90 AS DOUBLE)))) / {_H} / CAST(1.001 AS DOUBLE)) AS BIGINT)) AS cells FROM b),
 c AS (SELECT *, ((CAST(floor((lon_a + CAST(180 AS DOUBLE)) / CAST(360 AS DOUBLE) * cells) AS BIGINT) % cells) + cells) % cells AS cx FROM n),
 r AS (SELECT *, row_number() OVER (PARTITION BY band, cx ORDER BY preferred DESC, md5('cell|' || rid_a || '|' || rid_b), rid_a, rid_b) AS k FROM c)
 SELECT rid_a, rid_b, {CM}, preferred, band, cx FROM r WHERE k <= 5"""
-BRAND_HARD_CANDIDATES = f"WITH {OBS}, {ALL_NAMED} SELECT rid_a, rid_b, {CM}, preferred FROM same"
+BRAND_HARD_CANDIDATES = (f"WITH {OBS}, {ALL_NAMED}".replace("obs AS (", "obs AS MATERIALIZED (").replace("kept AS (", "kept AS MATERIALIZED (").replace("same AS (", "same AS MATERIALIZED (")
+                         + f" SELECT rid_a, rid_b, {CM}, preferred FROM same ORDER BY rid_a, rid_b")
 BRAND_GROUP_CAPPED = f"WITH {OBS}, {NAMED}, {CAPPED} SELECT rid_a, rid_b, {CM}, preferred, name_key FROM capped"
+NAME_BLOCKS_CAPPED = f"WITH {OBS}, {ALL_NAMED}, {CAPPED} SELECT rid_a, rid_b, {CM}, preferred, name_key FROM capped"
 DENSEST_FIRST_CAP = f"""WITH {OBS}, {NAMED}, {CAPPED}, u AS (SELECT name_key, count(*) AS pairs FROM capped GROUP BY name_key), de AS (SELECT name_key, count(*) AS density FROM nm GROUP BY name_key),
 o AS (SELECT u.name_key, coalesce(sum(pairs) OVER (ORDER BY density DESC, u.name_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM u JOIN de ON u.name_key = de.name_key)
 SELECT rid_a, rid_b, {CM}, name_key FROM capped WHERE name_key IN (SELECT name_key FROM o WHERE before < 40)"""
@@ -107,6 +111,7 @@ _TABLE = ", ".join([
     "tab AS MATERIALIZED (SELECT sided.*, x.id AS left_id, y.id AS right_id, x.category AS left_category, y.category AS right_category, lower(x.locality) AS left_locality, lower(y.locality) AS right_locality FROM sided JOIN obs x ON x.rid = l JOIN obs y ON y.rid = r)"])
 EASY_NEGATIVES = f"WITH {OBS}, places AS (SELECT DISTINCT id FROM obs), {_easy('easy', 'places', '30', 20)} SELECT rid_a, rid_b, {CM}, id_a, id_b, preferred FROM easy"
 GEO_PAIRS = f"{_TABLE} SELECT pair_id, label, pair_type, hard_neg_source, {CM}, preferred, l AS left_rid, r AS right_rid, left_id, right_id, left_category, right_category, left_locality, right_locality FROM tab"
+REVIEW_BRAND = f"{_TABLE} SELECT pair_id, pair_type, hard_neg_source, l AS left_rid, r AS right_rid FROM tab WHERE hard_neg_source = 'brand'"
 PAIR_TYPE_BREAKDOWN = f"{_TABLE} SELECT pair_type, count(*) AS n FROM tab GROUP BY pair_type"
 GEO_PAIR_STATS = f"""{_TABLE} SELECT count(*) AS pairs, count(*) FILTER (label = 1) AS matches, count(*) FILTER (label = 0) AS non_matches, count(*) FILTER (hard_neg_source = 'geo') AS hard_geo,
   count(*) FILTER (hard_neg_source = 'geo' AND preferred) AS hard_geo_same_category, count(*) FILTER (hard_neg_source = 'brand') AS hard_brand, count(*) FILTER (hard_neg_source = 'brand' AND preferred) AS hard_brand_same_locality,
@@ -136,10 +141,22 @@ u AS (SELECT 1 AS label, a.rid AS rid_a, b.rid AS rid_b FROM w a JOIN w b ON a.k
 f AS (SELECT label, row_number() OVER (ORDER BY md5('naive/order|' || rid_a || '|' || rid_b), rid_a, rid_b) - 1 AS pair_id, substr(md5('naive/side|' || rid_a || '|' || rid_b), 1, 1) < '8' AS flip, rid_a, rid_b FROM u),
 s AS (SELECT pair_id, label, CASE WHEN flip THEN rid_b ELSE rid_a END AS l, CASE WHEN flip THEN rid_a ELSE rid_b END AS r FROM f)
 SELECT pair_id, label, x.rid AS left_rid, y.rid AS right_rid, x.id AS left_id, y.id AS right_id, x.name AS left_name, y.name AS right_name FROM s JOIN obs x ON x.rid = l JOIN obs y ON y.rid = r"""
-PAIR_BUDGETS = """WITH p AS (SELECT * FROM (VALUES (1), (2), (5), (10), (1000), (1005), (3000), (10000), (50000)) t(pairs)),
-h AS (SELECT pairs, pairs // 2 AS m, CAST(round_even((pairs - pairs // 2) * 0.4::DOUBLE, 0) AS BIGINT) AS hard FROM p),
+PAIR_BUDGETS = """WITH p AS (SELECT coalesce(p_brand, 'all') AS brand_name, count(*) AS pairs FROM part GROUP BY ROLLUP (p_brand)),
+h AS (SELECT *, pairs // 2 AS m, CAST(round_even((pairs - pairs // 2) * 0.4::DOUBLE, 0) AS BIGINT) AS hard FROM p),
 b AS (SELECT *, CAST(round_even(hard * 0.5::DOUBLE, 0) AS BIGINT) AS brand FROM h)
-SELECT CAST(pairs AS BIGINT) AS pairs, CAST(m AS BIGINT) AS match, hard - brand AS geo, brand, CAST(pairs - m - hard AS BIGINT) AS easy FROM b"""
+SELECT brand_name, pairs, m AS match, hard - brand AS geo, brand, pairs - m - hard AS easy FROM b"""
+WIDEN_BY_PLACE = """WITH i AS (SELECT row_number() OVER () - 1 AS rid, l_orderkey, l_linenumber, l_extendedprice FROM lineitem),
+p AS (SELECT k AS pair_id FROM (SELECT unnest(range((SELECT count(*) FROM lineitem) // 2)) AS k) ORDER BY md5('fetch|' || k), k LIMIT 40)
+SELECT pair_id, a.rid AS left_rid, b.rid AS right_rid, a.l_orderkey AS left_l_orderkey, b.l_orderkey AS right_l_orderkey, a.l_linenumber AS left_l_linenumber, b.l_linenumber AS right_l_linenumber,
+  a.l_extendedprice AS left_l_extendedprice, b.l_extendedprice AS right_l_extendedprice FROM p JOIN i a ON a.rid = 2 * pair_id JOIN i b ON b.rid = 2 * pair_id + 1"""
+FETCH_BY_KEY = """WITH o AS (SELECT o_orderkey FROM orders ORDER BY md5('fetch|' || o_orderkey), o_orderkey LIMIT 50)
+SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o)"""
+_CARD = "printf('  %-14s %-70s | %s', '{0}', {1}, {2})"
+_ONE = "CASE WHEN length({0}) > 70 THEN substr({0}, 1, 69) || '…' ELSE {0} END"
+PAIR_CARDS = f"""{NAIVE_PAIRS_WIDE.replace("SELECT pair_id, label, x.rid", ", wide AS (SELECT pair_id, label, x.rid")})
+SELECT pair_id, printf('pair %d', pair_id) || '  label ' || label || chr(10) || {_CARD.format("rid", "CAST(left_rid AS VARCHAR)", "CAST(right_rid AS VARCHAR)")} || chr(10) || {_CARD.format("id", "CAST(left_id AS VARCHAR)", "CAST(right_id AS VARCHAR)")}
+  || chr(10) || {_CARD.format("name", _ONE.format("left_name"), _ONE.format("right_name"))} AS card
+FROM wide ORDER BY md5('cards|' || pair_id), pair_id LIMIT 12"""
 MATCH_DRAW = f"WITH {OBS}, {CLOSEST} SELECT id, rid_a, rid_b, {CM} FROM best ORDER BY md5('draw|' || id), id LIMIT 100"
 FAR_ROUND = f"""WITH {OBS}, r AS (SELECT id, row_number() OVER (ORDER BY md5('far|' || id), id) - 1 AS k FROM (SELECT DISTINCT id FROM obs)), t AS (SELECT * FROM r WHERE k < 200),
 o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY md5('far|' || rid), rid) AS n FROM obs) WHERE n = 1),
@@ -175,8 +192,10 @@ EXAMPLE_NORMALISE = f"WITH {EX} SELECT row_index, example_id, label, text AS a_n
 DATASET_MANIFEST = "SELECT count(*) FILTER (quality = 1) AS matches, count(*) FILTER (quality = 0) AS non_matches, count(*) AS total FROM labels"
 _ANS = """VALUES ('MATCH'), ('match.'), ('"NO_MATCH"'), ('Answer: no match'), ('`NO-MATCH`'), ('Probably MATCH'), ('MATCH or NO_MATCH'), ('{"prediction":"MATCH"}'), ('YES'), (''), (NULL), ('NOMATCH'), ('NO  MATCH'), ('MATCH!.'), (' ''no_match'' '), ('answer :MATCH !')"""
 _LBL = """upper(regexp_extract(trim(regexp_replace(trim(coalesce(raw, '')), '^[`"'']+|[`"'']+$', '', 'g')), '^(?:(?i)answer\\s*:\\s*)?((?i)no[\\s_-]?match|match)\\s*[.!]?\\s*$', 1))"""
-LABEL_PARSE_EACH = f"""WITH a AS (SELECT * FROM ({_ANS}) t(raw)), l AS (SELECT raw, regexp_replace({_LBL}, '[\\s-]', '_', 'g') AS s FROM a)
-SELECT raw, CASE WHEN s = '' THEN 'INVALID' WHEN s IN ('NO_MATCH', 'NOMATCH') THEN 'NO_MATCH' ELSE 'MATCH' END AS prediction, CASE WHEN s = '' THEN 'INVALID' WHEN s = 'NO_MATCH' THEN 'NO_MATCH' ELSE 'MATCH' END AS strict FROM l"""
+_LIST = "[" + _ANS.removeprefix("VALUES ").replace("(NULL)", "NULL").replace("('", "'").replace("')", "'") + "]"
+LABEL_PARSE_EACH = f"""WITH a AS (SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 4 = 3 THEN text ELSE ({_LIST})[(conv_id * 7 + turn) % 16 + 1] END AS raw FROM conversations),
+l AS (SELECT conv_id, turn, regexp_replace({_LBL}, '[\\s-]', '_', 'g') AS s FROM a)
+SELECT conv_id, turn, CASE WHEN s = '' THEN 'INVALID' WHEN s IN ('NO_MATCH', 'NOMATCH') THEN 'NO_MATCH' ELSE 'MATCH' END AS prediction, CASE WHEN s = '' THEN 'INVALID' WHEN s = 'NO_MATCH' THEN 'NO_MATCH' ELSE 'MATCH' END AS strict FROM l"""
 LABEL_PARSE = f"""WITH a AS (SELECT * FROM ({_ANS}) t(raw) UNION ALL SELECT text FROM conversations), l AS (SELECT regexp_replace({_LBL}, '[\\s-]', '_', 'g') AS s FROM a)
 SELECT CASE WHEN s = '' THEN 'INVALID' WHEN s IN ('NO_MATCH', 'NOMATCH') THEN 'NO_MATCH' ELSE 'MATCH' END AS prediction, count(*) AS n FROM l GROUP BY 1"""
 CONFUSION_METRICS = """WITH x AS (SELECT quality = 1 AS t, CASE WHEN doc_id % 11 = 0 THEN 'I' WHEN toxic = 1 THEN 'M' ELSE 'N' END AS p FROM labels),

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 RESULTS = ("example_id string, ground_truth string, prediction string, raw_model_output string, valid_prediction boolean, latency_seconds double, "
            "input_tokens long, output_tokens long, request_error string, model string, prompt_name string, prompt_version string, row_index long")
 
+COLUMNS = [c.split()[0] for c in RESULTS.split(", ")]
+
 
 def fingerprint(value: dict) -> str:
     """A mark of settings that does not depend on their order."""
@@ -46,7 +48,8 @@ class Run:
             raise ValueError("the run was begun with other settings")
         if old is not None and old["status"] == "complete":
             raise ValueError("the run is complete")
-        self._write({"fingerprint": self.mark, "status": "running", "settings": settings})
+        self.settings = settings
+        self._state("running")
 
     def _path(self, name: str):
         return self._fs.Path(f"{self.path}/{name}")
@@ -61,8 +64,10 @@ class Run:
                 return json.loads(self.spark.read.text(f"{self.path}/{name}").first()[0])
         return None
 
-    def _write(self, value: dict) -> None:
-        self.spark.createDataFrame([(json.dumps(value),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest.new")
+    def _state(self, status: str, **more) -> None:
+        """Put a new manifest in place: settings and status always, a reason or results where there are any."""
+        value = json.dumps({"fingerprint": self.mark, "status": status, "settings": self.settings, **more}, default=str)
+        self.spark.createDataFrame([(value,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest.new")
         new, old = self._path("manifest.new"), self._path("manifest")
         fs = new.getFileSystem(self.spark._jsc.hadoopConfiguration())
         fs.delete(old, True)
@@ -72,15 +77,24 @@ class Run:
         """Rows scored so far; of a repeated example the smallest."""
         if not self._has("checkpoint"):
             return self.spark.createDataFrame([], RESULTS)
-        rows = read_results(self.spark, f"{self.path}/checkpoint")
+        rows = read_results(self.spark, f"{self.path}/checkpoint").select(*COLUMNS)
         return rows.groupBy("example_id").agg(F.min(F.struct(*rows.columns)).alias("row")).select("row.*")
 
-    def append(self, results: DataFrame) -> None:
-        results.select([c.split()[0] for c in RESULTS.split(", ")]).write.mode("append").json(f"{self.path}/checkpoint")
+    def has(self, part: int) -> bool:
+        """Whether a part has been kept whole."""
+        return self._has(f"checkpoint/part={part}/_SUCCESS")
+
+    def append(self, results: DataFrame, part: int | None = None) -> None:
+        """Keep a part of the results, in place of what a broken-off call has left of it; a new part unless its number is
+        given."""
+        if part is None:
+            found = self._path("x").getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(self._path("checkpoint/part=*"))
+            part = 1 + max((int(f.getPath().getName().partition("=")[2]) for f in found or []), default=-1)
+        results.select(*COLUMNS).write.mode("overwrite").json(f"{self.path}/checkpoint/part={part}")
 
     def interrupt(self, reason: str) -> None:
-        self._write({"fingerprint": self.mark, "status": "interrupted", "reason": reason})
+        self._state("interrupted", reason=reason)
 
     def complete(self, metrics: dict, result: dict | None = None) -> None:
         self.done().orderBy("row_index").write.mode("overwrite").json(f"{self.path}/results")
-        self._write({"fingerprint": self.mark, "status": "complete", "metrics": metrics, "result": result or {}})
+        self._state("complete", metrics=metrics, result=result or {})

@@ -5,10 +5,68 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pairloom.operators.lineage import cut
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) of every file at path that is not empty. A task holds one file at a time, of at most 2 GB."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+#: Bytes up to which a task holds a file whole to hash it.
+WHOLE = 256 << 20
+
+
+def _streamed_sha256(spark: SparkSession, path: str) -> str:
+    """The SHA-256 of a file of any size, read through Spark's file systems in pieces of a few kilobytes by the driver's JVM."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+    try:
+        return spark._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
+
+
+def file_hashes(spark: SparkSession, path: str, whole: int = WHOLE) -> DataFrame:
+    """(path, length, sha256) of every file at path that is not empty. Files of up to `whole` bytes are hashed by tasks, one
+    held at a time; larger ones one after another in pieces, since a SHA-256 has no parts that tasks could share."""
+    files = spark.read.format("binaryFile").load(path)
+    small = files.filter(F.col("length") <= whole).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    large = files.filter(F.col("length") > whole).select("path", "length").collect()
+    if not large:
+        return small
+    return small.unionByName(spark.createDataFrame([(f.path, f.length, _streamed_sha256(spark, f.path)) for f in large], "path string, length long, sha256 string"))
+
+
+def fetch(spark: SparkSession, path: str, wanted: DataFrame, key: str, spans: int = 64) -> DataFrame:
+    """Rows of Parquet files whose key, a whole number, is in wanted(key), reading only the row groups that may hold one.
+
+    The wanted keys are summed up as at most `spans` ranges, which go to the reader as a filter: by the files' statistics it
+    skips files, row groups and pages between the ranges, as many as the key's order in the files allows. A join then takes
+    the rows that are wanted."""
+    keys = wanted.select(F.col(key).cast("long").alias("k")).filter("k is not null")
+    low, high = keys.agg(F.min("k"), F.max("k")).first()
+    files = spark.read.parquet(path)
+    if low is None:
+        return files.limit(0)
+    slot = F.floor((F.col("k") - F.lit(low)) * F.lit(float(spans)) / F.lit(float(high - low + 1)))
+    ranges = sorted(tuple(r) for r in keys.groupBy(slot.alias("slot")).agg(F.min("k").alias("lo"), F.max("k").alias("hi")).select("lo", "hi").collect())
+    may = F.lit(False)
+    for lo, hi in ranges:
+        may = may | (F.col(key) == lo if lo == hi else F.col(key).between(lo, hi))
+    return files.filter(may).join(wanted.select(F.col(key)).distinct(), key, "left_semi")
+
+
+def fetch_rows(spark: SparkSession, path: str, wanted: DataFrame, row_index: str = "row_index") -> DataFrame:
+    """Rows of Parquet files at wanted(row_index) places, as with_row_index() numbers them, with that column. Only files that
+    hold a wanted row are read; which ones, the files' own row counts say."""
+    files = spark.read.parquet(path)
+    counts = files.groupBy(F.col("_metadata.file_path").alias("__file")).agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("__file", "__n", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    at = wanted.select(F.col(row_index).cast("long").alias(row_index)).distinct().join(
+        F.broadcast(starts), (F.col(row_index) >= F.col("__start")) & (F.col(row_index) < F.col("__start") + F.col("__n")))
+    at = cut(at.select(row_index, "__file", (F.col(row_index) - F.col("__start")).alias("__at")))
+    some = [r[0] for r in at.select("__file").distinct().collect()]
+    if not some:
+        return files.limit(0).withColumn(row_index, F.lit(None).cast("long"))
+    placed = spark.read.schema(files.schema).parquet(*some).select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    return placed.join(at, ["__file", "__at"]).select(*files.columns, row_index)
 
 
 def dataset_hash(spark: SparkSession, path: str) -> str:

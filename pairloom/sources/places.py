@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,13 +50,3 @@ def surrogate_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select((F.col("l_partkey") * 10 + F.col("k")).alias("rid"), F.col("l_partkey").alias("id"), F.col("l_suppkey").alias("provider"), F.col("p_name").alias("name"),
                        F.col("p_brand").alias("brand"), F.col("p_type").alias("category"), F.col("n_name").alias("locality"), lon.alias("lon"), lat.alias("lat"))
 
-
-def with_wkb(df: DataFrame) -> DataFrame:
-    """(rid, geometry) of points, for sources that have coordinates only."""
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts:
-            packed = [struct.pack("<BIdd", 1, 1, x, y) for x, y in zip(b.column("lon").to_pylist(), b.column("lat").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array(packed, pa.binary())], ["rid", "geometry"])
-
-    return df.select("rid", "lon", "lat").mapInArrow(run, "rid long, geometry binary")

@@ -1,6 +1,8 @@
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from pairloom.operators import candidates as C
 from pairloom.operators import matching as M
 from pairloom.operators import pairs as P
@@ -97,3 +99,56 @@ def test_greedy_matching_goes_beyond_the_first_candidates(spark):
     rows = [(1, k, 1, k, 1.0, True) for k in range(2, 60)] + [(k, k + 1, k, k + 1, 1.0, False) for k in range(100, 120, 2)]
     df = spark.createDataFrame(rows, "rid_a long, rid_b long, id_a long, id_b long, distance_m double, preferred boolean")
     assert M.greedy_matching(df, 3, "s").count() == 3 and M.greedy_matching(df, 20, "s").count() == 11
+
+
+def test_dense_cells_equal_brute_force(spark):
+    """Cells far beyond a leaf: spread rows, rows at one spot, at the date line and near a pole."""
+    rows = scattered(seed=4, n=90) + [(10_000 + k, 10_000 + k % 40, -122.4, 37.77, "a", "", "") for k in range(70)]
+    r = random.Random(9)
+    rows += [(20_000 + k, 20_000 + k, (180 + r.uniform(-4e-5, 4e-5) + 180) % 360 - 180, 10 + r.uniform(-4e-5, 4e-5), "b", "", "") for k in range(120)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] != b[1] and distance(a, b) < 10}
+    for leaf in (3, 20, 2_000):
+        got = [(x.rid_a, x.rid_b) for x in C.near_pairs(df, 10.0, leaf=leaf).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    cell = lambda leaf: sorted(map(tuple, C.near_pairs(df, 10.0, leaf=leaf).select("rid_a", "rid_b", "preferred", "band", "cx").collect()))
+    assert cell(5) == cell(2_000)
+
+
+def test_a_dense_cell_is_no_single_task(spark):
+    """20,000 rows of one cell, joined on 64 partitions: no task sees much more of them than others."""
+    df = spark.range(20_000).select(F.col("id").alias("rid"), "id", (F.col("id") % 141 * 7e-7 + 2.0).alias("lon"), (F.floor(F.col("id") / 141) * 7e-7 + 48.0).alias("lat"), F.lit("c").alias("category"))
+    leaf = 500
+    at = C.with_cell(df, 10.0)
+    assert at.groupBy("band", "cx").count().agg(F.max("count")).first()[0] > 10 * leaf
+    height = C.band_height(10.0)
+    at = at.withColumns({"__u": C._across(F.col("lon"), C.cells_in_band(F.col("band"), height)), "__v": F.col("lat") / F.lit(height)})
+    split, _, key = C._leaves(at, at.withColumn("__ks", F.array(F.floor("__u").cast("long"))), leaf)
+    assert key[:4] == ["band", "cx", "sx", "sy"] and split.groupBy(*key).count().agg(F.max("count")).first()[0] <= 2 * leaf
+
+
+def test_hot_names_equal_the_plain_join(spark):
+    r = random.Random(6)
+    rows = [(k, k % 170, r.uniform(-1, 1) * 0.4, r.uniform(-1, 1) * 0.4, None, r.choice(["x", "y", ""]), r.choice(["hot", "hot", "hot", "k", "l", ""])) for k in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    plain = lambda t: sorted(map(repr, t.collect()))
+    whole = C.same_key_pairs(df, row_cap=None, block=10**9)
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] != b[1] and a[6] == b[6] != "" and 200 <= distance(a, b) <= 50_000}
+    assert {(x.rid_a, x.rid_b) for x in whole.collect()} == want
+    for block in (7, 50):
+        assert plain(C.same_key_pairs(df, row_cap=None, block=block)) == plain(whole)
+        assert plain(C.same_key_capped(df, 5, row_cap=None, pair_seed="p", block=block)) == plain(C.cap_pairs(whole, ["name_key"], 5, "p"))
+    assert plain(C.same_key_capped(df, 3, row_cap=60, seed="s", pair_seed="p", block=16)) == plain(C.cap_pairs(C.same_key_pairs(df, row_cap=60, seed="s"), ["name_key"], 3, "p"))
+
+
+def test_densest_first_over_many_units(spark):
+    r = random.Random(7)
+    units = [(f"u{k}", r.choice([1, 2, 2, 2, 3])) for k in range(400)]
+    df = spark.createDataFrame([(u, i) for u, n in units for i in range(n)], "u string, i int").repartition(5)
+    taken, found = set(), 0
+    for u, n in sorted(units, key=lambda x: (-x[1], x[0])):
+        if found >= 333:
+            break
+        taken.add(u)
+        found += n
+    assert {x.u for x in C.densest_first(df, df, ["u"], 333).collect()} == taken

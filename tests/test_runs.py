@@ -20,6 +20,7 @@ from pairloom.sources.checkpoints import read_results
 GENERATION = {"temperature": 0.0, "top_p": 1.0, "max_tokens": 8, "seed": 42, "stop": ["\n"]}
 
 
+#: The sections and keys of a configuration.
 def settings(**more):
     return {"benchmark": {"result_root": "runs", "evaluator_batch_size": 2, "seed": 42},
             "datasets": {"pairs": {"path": "pairs", "label_column": "label", "record_a_columns": {"names": "names"}, "record_b_columns": {"names": "base_names"}, "metadata_columns": {"source_id": "id"}}},
@@ -52,7 +53,7 @@ def test_configuration_names_what_there_is(spark, folder):
 
 
 def test_run_ids():
-    assert new_run_id("m", "d", "p", datetime(2020, 1, 2, 3, 4, 5)) == "20200102T030405Z_m_d_p"
+    assert new_run_id("m", "d", "p", now=datetime(2020, 1, 2, 3, 4, 5)) == "20200102T030405Z_m_d_p"
     for bad in ("", "-a", "a/b", "a b", "..", "a\n"):
         with pytest.raises(ValueError, match="cannot name a run"):
             check_run_id(bad)

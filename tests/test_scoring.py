@@ -1,3 +1,6 @@
+import json
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,10 +28,15 @@ def test_examples_and_prompts(table):
     assert "source_record_id" not in got[0].prompt and [r.label for r in got] == ["MATCH", "NO_MATCH"] * 2
 
 
-def test_shown_values():
-    show = scoring.shown_value
-    assert [show(x) for x in (None, float("nan"), "  ", "4155551234", " a ", '["é"]', 1.0)] == [None, None, None, 4155551234, "a", ["é"], 1.0]
-    assert scoring.shown_record({"b": "é", "a": 1}, ("a", "b", "c")) == '{"a": 1, "b": "é", "c": null}'
+def test_fragments_of_records():
+    """Byte for byte what a record serialises to: the value of a JSON text, other text without blanks, null for nothing."""
+    show = lambda x: scoring.fragment(x, json.JSONDecoder())
+    values = [None, float("nan"), "  ", "4155551234", " a ", '["é"]', 1.0, " NaN ", "1.0", '{"b": 1, "a": [2, null]}', "01", "\u00a0x", '"q" x', True, "true", "Infinity"]
+    assert [show(x) for x in values] == ["null", "null", "null", "4155551234", '"a"', '["é"]', "1.0", "NaN", "1.0", '{"b": 1, "a": [2, null]}', '"01"', '"x"', '"\\"q\\" x"', "true", "true", "Infinity"]
+    records = pa.array([{"b": "é", "a": 1, "m": [("en", "x")], "s": {"k": [1.5, None]}}, {"b": None, "a": None, "m": None, "s": None}],
+                       pa.struct([("b", pa.string()), ("a", pa.int64()), ("m", pa.map_(pa.string(), pa.string())), ("s", pa.struct([("k", pa.list_(pa.float64()))]))]))
+    assert scoring.record_texts(records, ("a", "b", "c", "m", "s")) == ['{"a": 1, "b": "é", "c": null, "m": [["en", "x"]], "s": {"k": [1.5, null]}}', '{"a": null, "b": null, "c": null, "m": null, "s": null}']
+    assert scoring.record_texts(records, ()) == ["{}", "{}"]
 
 
 @pytest.mark.parametrize("bad", [None, 2])
