@@ -2,17 +2,19 @@
 
 Phrases of k words are hashed to 2^40 cells; the sum of a cell bounds the counts of its phrases from above, so a phrase
 seen `least` times lies in a heavy cell. Phrases of k words are put into the sketch only where the two phrases of k - 1
-words in them lie in heavy cells, which a Bloom filter of bounded size tells (it lets more through, never less). The
-phrases of heavy cells are read out of the texts, each cell's by one task first, and compiled, block by block, into
-automata of " word word " with a blank at either end; a break between pieces is a word of its own that no phrase holds.
-Tasks scan their texts and count overlapping matches. The sums are exact, and all thresholds apply to them only; they also
-tell of which cells phrases may still be missing, which are then read everywhere.
+words in them lie in heavy cells, which a Bloom filter of bounded size tells (it lets more through, never less). Every task
+goes through its shard of the texts: the phrases of heavy cells that a stretch of it holds are compiled into automata of
+" word word " with a blank at either end (a break between pieces is a word of its own that no phrase holds), and the stretch
+is scanned with them for overlapping matches. Counts are exact wherever a phrase occurs, so their sums over all shards are,
+and all thresholds apply to these only. No task, nor the driver, ever holds the phrases of all texts.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from operator import itemgetter
 
@@ -20,19 +22,18 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import Shared, discard, materialize, partitions, releasing
-from pairloom.operators.order import running_before
 
 #: Bytes that end a piece; blank and tab end a word.
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 #: Bits of a cell, of those that name its range, and of all Bloom segments of a level together at most (16 MB).
 CELL, RANGE, FILTER = 40, 9, 27
-#: Bytes of text that are read at a time, cells that a task holds before it sums them, bytes of phrases of a block.
-WINDOW, FLUSH, BLOCK = 1 << 20, 2_000_000, 16 << 20
+#: Bytes of text that are read at a time, cells that a task holds before it sums them, phrases or bytes that end a stretch of
+#: texts, phrases whose counts a task holds, and parts that counts are summed in.
+WINDOW, FLUSH, STRETCH, STRETCH_BYTES, TALLY, PARTS = 1 << 18, 1_000_000, 200_000, 32 << 20, 500_000, 512
 #: Bytes of a word that automata hold as it is.
 LONG = 256
 
@@ -104,7 +105,7 @@ def _words(values: np.ndarray, starts: np.ndarray, powers: np.ndarray, inverse:
 
 
 def _batches(parts: Iterator[pa.RecordBatch], longest: int):
-    """(lang of each text, text before text as bytes, words) of every batch, words as (hash seeded by language, start, end,
+    """(lang of each text, the texts, these one after another, words) of every batch, words as (hash seeded by language, start, end,
     run, text, fresh); the `longest` - 1 words before come along, fresh is the first new one."""
     tables = _tables()
     for b in parts:
@@ -125,7 +126,7 @@ def _batches(parts: Iterator[pa.RecordBatch], longest: int):
                 yield (*held, fresh)
                 held = [x[len(x) - min(len(x), longest - 1):] for x in held]
 
-        yield langs, values, found()
+        yield langs, [x.as_py() for x in text], values, found()
 
 
 def _grams(h: np.ndarray, run: np.ndarray, longest: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -140,21 +141,21 @@ def _grams(h: np.ndarray, run: np.ndarray, longest: int) -> list[tuple[np.ndarra
 
 
 class Filter:
-    """A Bloom filter of cells, or of cells each with one task: a segment of bits for each range of cells."""
+    """A Bloom filter of cells: a segment of bits for each range of cells."""
 
     def __init__(self, segments: np.ndarray):
         self.segments = segments
 
     @staticmethod
-    def places(cells: np.ndarray, tasks: np.ndarray | int | None, bits: int) -> list[np.ndarray]:
+    def places(cells: np.ndarray, bits: int) -> list[np.ndarray]:
         """Three bits of a segment of 2^bits."""
-        mixed = _mix(cells if tasks is None else cells ^ _mix(np.asarray(tasks, np.uint64) + np.uint64(1)))
+        mixed = _mix(cells)
         return [mixed >> np.uint64(20 * k) & np.uint64((1 << bits) - 1) for k in range(3)]
 
-    def has(self, hashes: np.ndarray, task: int | None = None) -> np.ndarray:
+    def has(self, hashes: np.ndarray) -> np.ndarray:
         cells = hashes >> np.uint64(64 - CELL)
         part, ok = (cells >> np.uint64(CELL - RANGE)).astype(np.int64), np.ones(len(cells), bool)
-        for at in self.places(cells, task, int(self.segments.shape[1] * 8).bit_length() - 1):
+        for at in self.places(cells, int(self.segments.shape[1] * 8).bit_length() - 1):
             ok &= (self.segments[part, (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
         return ok
 
@@ -169,11 +170,11 @@ def _plausible(grams: list[tuple[np.ndarray, np.ndarray]], below: Filter | None)
 
 
 def heavy_cells(texts: DataFrame, k: int, least: int, below: Shared | None) -> DataFrame:
-    """(part, cell, n, task): by range the cells of phrases of k words whose sum n reaches `least`, packed, each with the task
-    that has most of it. below: the filter of k - 1 words."""
+    """(part, cell): by range, packed, the cells of phrases of k words whose sum reaches `least`. below: the filter of k - 1
+    words."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, task = [], 0, TaskContext.get().partitionId()
+        held, size = [], 0
 
         def flush():
             cells, n = np.unique(np.concatenate(held), return_counts=True)
@@ -182,9 +183,9 @@ def heavy_cells(texts: DataFrame, k: int, least: int, below: Shared | None) -> D
             own = (cells & np.uint64((1 << CELL - RANGE) - 1)).astype(np.uint32)
             ends = np.append(cut[1:], len(cells))
             packed = [pa.array([x[s:e].tobytes() for s, e in zip(cut, ends)], pa.binary()) for x in (own, n.astype(np.uint32))]
-            return pa.RecordBatch.from_arrays([pa.array(part[cut]), pa.array(np.full(len(cut), task, np.int32)), *packed], ["part", "task", "cell", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(part[cut]), *packed], ["part", "cell", "n"])
 
-        for _, _, found in _batches(parts, k):
+        for _, _, _, found in _batches(parts, k):
             for h, _, _, run_, _, fresh in found:
                 grams = _grams(h, run_, k)
                 ok = _plausible(grams, below and below.value)
@@ -199,183 +200,102 @@ def heavy_cells(texts: DataFrame, k: int, least: int, below: Shared | None) -> D
 
     def total(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(part: int, held: list) -> pa.RecordBatch:
-            cells, n, task = (np.concatenate(x) for x in zip(*held))
-            o = np.lexsort((n, cells))
-            cells, n, task = cells[o], n[o].astype(np.int64), task[o]
-            last = np.append(np.flatnonzero(np.diff(cells)), len(cells) - 1)
-            sums = np.diff(np.cumsum(n)[last], prepend=0)
-            heavy = sums >= least
-            row = [x.tobytes() for x in (cells[last][heavy], sums[heavy], task[last][heavy].astype(np.int32))]
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x], pa.binary()) for x in row)], ["part", "cell", "n", "task"])
+            cells, n = (np.concatenate(x) for x in zip(*held))
+            each, at = np.unique(cells, return_inverse=True)
+            heavy = each[np.bincount(at, n) >= least]
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([heavy.tobytes()], pa.binary())], ["part", "cell"])
 
         now, held = None, []
         for b in parts:
-            for part, task, cells, n in zip(*(b.column(c).to_pylist() for c in ("part", "task", "cell", "n"))):
+            for part, cells, n in zip(*(b.column(c).to_pylist() for c in ("part", "cell", "n"))):
                 if part != now and held:
                     yield out(now, held)
                     held = []
                 now = part
-                cells = np.frombuffer(cells, np.uint32)
-                held.append((cells, np.frombuffer(n, np.uint32), np.full(len(cells), task, np.int32)))
+                held.append((np.frombuffer(cells, np.uint32), np.frombuffer(n, np.uint32)))
         if held:
             yield out(now, held)
 
-    packed = texts.mapInArrow(releasing(run), "part int, task int, cell binary, n binary")
+    packed = texts.mapInArrow(releasing(run), "part int, cell binary, n binary")
     dealt = packed.repartition(partitions(texts.sparkSession), "part").sortWithinPartitions("part")
-    return materialize(dealt.mapInArrow(releasing(total), "part int, cell binary, n binary, task binary"))
+    return materialize(dealt.mapInArrow(releasing(total), "part int, cell binary"))
 
 
-def _filters(heavy: DataFrame, most: int = FILTER) -> tuple[Filter, Filter]:
-    """The filter of all heavy cells, and that of each with its task; 32 bits a cell, 2^most bits in all at most."""
+def _filter(heavy: DataFrame, most: int = FILTER) -> Filter:
+    """The filter of heavy cells: 32 bits a cell, 2^most bits in all at most."""
     cells = heavy.agg(F.sum(F.octet_length("cell") / 4)).first()[0] or 1
     bits = max(min(math.ceil(math.log2(32 * cells)), most) - RANGE, 3)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            for part, cell, task in zip(*(b.column(c).to_pylist() for c in ("part", "cell", "task"))):
+            for part, cell in zip(*(b.column(c).to_pylist() for c in ("part", "cell"))):
                 own = np.frombuffer(cell, np.uint32).astype(np.uint64) | np.uint64(part << CELL - RANGE)
-                made = []
-                for tasks in (None, np.frombuffer(task, np.int32)):
-                    marks = np.zeros(1 << bits, np.uint8)
-                    for x in Filter.places(own, tasks, bits):
-                        marks[x.astype(np.int64)] = 1
-                    made.append(pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary()))
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *made], ["part", "cells", "owned"])
-
-    got = heavy.select("part", "cell", "task").mapInArrow(releasing(run), "part int, cells binary, owned binary").toArrow()
-    out = []
-    for c in ("cells", "owned"):
-        segments = np.zeros((1 << RANGE, 1 << bits - 3), np.uint8)
-        for part, x in zip(got.column("part").to_pylist(), got.column(c).to_pylist()):
-            segments[part] = np.frombuffer(x, np.uint8)
-        out.append(Filter(segments))
-    return out[0], out[1]
-
-
-def _phrases(texts: DataFrame, filters: dict[int, Shared], owned: bool) -> DataFrame:
-    """(lang, phrase) of phrases of the lengths whose filter lets them through; owned: each only from the task it is with."""
-    longest = max(filters)
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, task = np.empty(0, np.uint64), TaskContext.get().partitionId() if owned else None
-        for langs, values, found in _batches(parts, longest):
-            plain = values.tobytes().translate(_PLAIN)
-            for h, a, z, run_, doc, fresh in found:
-                grams = _grams(h, run_, longest)
-                new, where, words = [], [], []
-                for k, keep in filters.items():
-                    at, ok = grams[k - 1]
-                    some = np.flatnonzero(ok & (np.arange(len(ok)) >= fresh - k + 1))
-                    some = some[keep.value.has(at[some], task)]
-                    new.append(at[some])
-                    where.append(some)
-                    words.append(np.full(len(some), k))
-                new, where, words = (np.concatenate(x) for x in (new, where, words))
-                new, one = np.unique(new, return_index=True)
-                fine = ~np.isin(new, seen, assume_unique=True)
-                seen = np.union1d(seen if len(seen) < FLUSH else seen[:0], new[fine])
-                where, words = where[one[fine]], words[one[fine]]
-                phrases = [b" ".join(plain[i:j].split()).decode() for i, j in zip(a[where].tolist(), z[where + words - 1].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array([langs[d] for d in doc[where].tolist()], pa.string()), pa.array(phrases, pa.string())], ["lang", "phrase"])
-
-    return materialize(texts.mapInArrow(releasing(run), "lang string, phrase string").distinct())
-
-
-def _cells_of(phrases: DataFrame) -> DataFrame:
-    """phrases(lang, phrase, f) -> (k, cell, f): the number of words and the cell."""
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _tables()
-        for b in parts:
-            words, cells = [], []
-            for lang, phrase in zip(b.column("lang").to_pylist(), b.column("phrase").to_pylist()):
-                raw, seed = phrase.encode(), np.uint64(xxhash.xxh64_intdigest(lang.encode(), 42))
-                h = np.concatenate([_mix(x[0] ^ seed) for x in _words(np.frombuffer(raw, np.uint8), np.zeros(1, np.int64), *tables)])
-                words.append(len(h))
-                cells.append(int(_grams(h, np.zeros(len(h)), len(h))[-1][0][0]) >> 64 - CELL)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.int32()), pa.array(cells, pa.int64()), b.column("f")], ["k", "cell", "f"])
-
-    return phrases.mapInArrow(releasing(run), "k int, cell long, f long")
-
-
-def _unpacked(heavy: DataFrame, k: int) -> DataFrame:
-    """(k, cell, n) of heavy cells."""
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts:
-            for part, cell, n in zip(*(b.column(c).to_pylist() for c in ("part", "cell", "n"))):
-                own = np.frombuffer(cell, np.uint32).astype(np.int64) | part << CELL - RANGE
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k, np.int32)), pa.array(own), pa.array(np.frombuffer(n, np.int64))], ["k", "cell", "n"])
-
-    return heavy.select("part", "cell", "n").mapInArrow(releasing(run), "k int, cell long, n long")
-
-
-def _packed(cells: DataFrame) -> DataFrame:
-    """(part, cell, task) of rows (cell), as _filters() takes them."""
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.sort(np.concatenate([np.empty(0, np.int64), *(b.column("cell").to_numpy() for b in parts)]))
-        part = held >> CELL - RANGE
-        cut = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
-        for s, e in zip(cut, [*cut[1:], len(held)]):
-            own = (held[s:e] & (1 << CELL - RANGE) - 1).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array([int(part[s])], pa.int32()), pa.array([own.tobytes()], pa.binary()), pa.array([np.zeros(e - s, np.int32).tobytes()], pa.binary())], ["part", "cell", "task"])
-
-    ranged = cells.select("cell").repartition(partitions(cells.sparkSession), F.shiftright("cell", CELL - RANGE))
-    return materialize(ranged.mapInArrow(releasing(run), "part int, cell binary, task binary"))
-
-
-def phrase_counts(texts: DataFrame, longest: int, least: int) -> DataFrame:
-    """texts(lang, text binary) -> (lang, phrase, f): every phrase of 2 to `longest` words with f >= least, and every word that
-    one of them begins or ends with.
-
-    Each heavy cell's phrases are read by the one task that has most of the cell. Phrases of other tasks may share it: where
-    a cell's sum exceeds the counts of the phrases read from it by `least` or more, all tasks read it again."""
-    spark = texts.sparkSession
-    heavy, filters, owners, below = {}, {}, {}, None
-    for k in range(1, longest + 1):
-        heavy[k] = heavy_cells(texts, k, least, below)
-        some, own = _filters(heavy[k])
-        below = filters[k] = Shared(spark, some)
-        if k > 1:
-            owners[k] = Shared(spark, own)
-    listed = _phrases(texts, owners, True)
-    words = F.split("phrase", " ")
-    ends = lambda t: t.select("lang", F.explode(F.array(F.element_at(words, 1), F.element_at(words, -1))).alias("phrase")).distinct()
-    counted = count_matches(texts, listed.unionByName(ends(listed)))
-    sums = heavy_sums = None
-    for k in range(2, longest + 1):
-        heavy_sums = _unpacked(heavy[k], k) if heavy_sums is None else heavy_sums.unionByName(_unpacked(heavy[k], k))
-    sums = _cells_of(counted.filter(F.instr("phrase", " ") > 0)).groupBy("k", "cell").agg(F.sum("f").alias("f"))
-    missed = materialize(heavy_sums.join(sums, ["k", "cell"], "left").filter(F.col("n") - F.coalesce("f", F.lit(0)) >= least).select("k", "cell"))
-    again = [r.k for r in missed.select("k").distinct().collect()]
-    if again:
-        some = {k: Shared(spark, _filters(_packed(missed.filter(F.col("k") == k)))[0]) for k in again}
-        new = _phrases(texts, some, False)
-        new = materialize(new.unionByName(ends(new)).distinct().join(counted, ["lang", "phrase"], "left_anti"))
-        counted = counted.unionByName(count_matches(texts, new))
-    for x in (*filters.values(), *owners.values()):
-        x.free()
-    for t in heavy.values():
-        discard(t)
-    return counted.filter(F.col("f") >= least)
-
-
-class Automata:
-    """Phrases of a block by language, as automata that a worker compiles when it first needs them."""
-
-    def __init__(self, langs: list[str], phrases: list[str]):
-        self.langs, self.phrases = langs, phrases
-
-    def automaton(self, lang: str):
-        made = self.__dict__.setdefault("made", None)
-        if made is None:
-            made = self.made = {}
-            for i, (x, p) in enumerate(zip(self.langs, self.phrases)):
-                made.setdefault(x, ahocorasick.Automaton(ahocorasick.STORE_INTS)).add_word(blanked(p.encode().split(b" ")), i)
-            for x in made.values():
-                x.make_automaton()
-        return made.get(lang)
+                marks = np.zeros(1 << bits, np.uint8)
+                for x in Filter.places(own, bits):
+                    marks[x.astype(np.int64)] = 1
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
+
+    got = heavy.mapInArrow(releasing(run), "part int, bits binary").toArrow()
+    segments = np.zeros((1 << RANGE, 1 << bits - 3), np.uint8)
+    for part, x in zip(got.column("part").to_pylist(), got.column("bits").to_pylist()):
+        segments[part] = np.frombuffer(x, np.uint8)
+    return Filter(segments)
+
+
+class Stretch:
+    """Texts of a shard and the phrases of heavy cells that they hold."""
+
+    def __init__(self, longest: int):
+        self.longest = longest
+        self.clear()
+
+    def clear(self) -> None:
+        self.texts: list[tuple[str, list[bytes]]] = []
+        self.phrases: dict[str, list[bytes]] = {}
+        self.seen = np.empty(0, np.uint64)
+        self.size = 0
+
+    @property
+    def full(self) -> bool:
+        return len(self.seen) >= STRETCH or self.size >= STRETCH_BYTES
+
+    def read(self, langs: list[str], raws: list[bytes], values: np.ndarray, found, filters: dict[int, Filter]) -> None:
+        """Take a batch: its texts, and each phrase that may be heavy once."""
+        plain = values.tobytes().translate(_PLAIN)
+        self.texts.append((langs, raws))
+        self.size += len(values)
+        for h, a, z, run, doc, fresh in found:
+            grams = _grams(h, run, self.longest)
+            new, where, words = [], [], []
+            for k, keep in filters.items():
+                at, ok = grams[k - 1]
+                some = np.flatnonzero(ok & (np.arange(len(ok)) >= fresh - k + 1))
+                some = some[keep.has(at[some])]
+                new.append(at[some])
+                where.append(some)
+                words.append(np.full(len(some), k))
+            new, where, words = (np.concatenate(x) for x in (new, where, words))
+            new, one = np.unique(new, return_index=True)
+            fine = ~np.isin(new, self.seen, assume_unique=True)
+            self.seen = np.union1d(self.seen, new[fine])
+            where, words = where[one[fine]], words[one[fine]]
+            for d, i, j in zip(doc[where].tolist(), a[where].tolist(), z[where + words - 1].tolist()):
+                self.phrases.setdefault(langs[d], []).append(b" ".join(plain[i:j].split()))
+
+    def counts(self) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
+        """By language the phrases, and how often the texts of that language hold them, overlaps included."""
+        second = itemgetter(1)
+        for lang, phrases in self.phrases.items():
+            found = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+            for i, p in enumerate(phrases):
+                found.add_word(blanked(p.split(b" ")), i)
+            found.make_automaton()
+            n = np.zeros(len(phrases), np.int64)
+            for langs, raws in self.texts:
+                for x, raw in zip(langs, raws):
+                    for part in guarded(raw) if x == lang else ():
+                        np.add.at(n, np.fromiter(map(second, found.iter(part)), np.int64), 1)
+            yield lang, phrases, n
 
 
 def blanked(words: list[bytes]) -> str:
@@ -386,51 +306,79 @@ def blanked(words: list[bytes]) -> str:
     return b" ".join([b"", *words, b""]).decode()
 
 
-def guarded(raw: bytes) -> str:
-    """A text as " word word ", pieces apart by a line end that stands as a word."""
-    return blanked(list(filter(None, raw.translate(_PLAIN).replace(b"\n", b" \n ").split(b" "))))
+def guarded(raw: bytes) -> Iterator[str]:
+    """A text as " word word ", pieces apart by a line end that stands as a word; a long text in parts of whole pieces."""
+    plain = raw.translate(_PLAIN)
+    at = 0
+    while at < len(plain):
+        end = plain.find(b"\n", at + WINDOW)
+        end = len(plain) if end < 0 else end
+        yield blanked(list(filter(None, plain[at:end].replace(b"\n", b" \n ").split(b" "))))
+        at = end
 
 
-def count_matches(texts: DataFrame, phrases: DataFrame) -> DataFrame:
-    """phrases(lang, phrase) -> (lang, phrase, f): how often the texts of the language hold the phrase, overlaps included;
-    those never seen are left out. Phrases go in blocks of about BLOCK bytes, each compiled, broadcast and scanned for in
-    the texts of its languages."""
+def phrase_counts(texts: DataFrame, longest: int, least: int) -> DataFrame:
+    """texts(lang, text binary) -> (lang, phrase, f): every phrase of 1 to `longest` words with f >= least."""
     spark = texts.sparkSession
-    placed = running_before(phrases.withColumn("__size", F.octet_length("phrase") + 1), ["lang", "phrase"], "__size", "__before")
-    dealt = materialize(placed.select("lang", "phrase", F.floor(F.col("__before") / BLOCK).alias("block")))
-    spans = dealt.groupBy("block").agg(F.min("lang").alias("lo"), F.max("lang").alias("hi")).orderBy("block").collect()
-    done = []
-    for block, lo, hi in spans:
-        t = dealt.filter(F.col("block") == block).select("lang", "phrase").toArrow()
-        some = Shared(spark, Automata(t.column("lang").to_pylist(), t.column("phrase").to_pylist()))
-        n = len(t)
-        step = max(math.ceil(n / (8 * partitions(spark))), 1)
-
-        def run(parts: Iterator[pa.RecordBatch], some=some, n=n, step=step) -> Iterator[pa.RecordBatch]:
-            counts, second = np.zeros(n, np.int64), itemgetter(1)
-            for b in parts:
-                for lang, text in zip(b.column("lang").to_pylist(), b.column("text")):
-                    if (found := some.value.automaton(lang)) is not None:
-                        np.add.at(counts, np.fromiter(map(second, found.iter(guarded(text.as_py()))), np.int64), 1)
-            at = [i for i in range(0, n, step) if counts[i:i + step].any()]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([counts[i:i + step].tobytes() for i in at], pa.binary())], ["at", "n"])
-
-        def total(parts: Iterator[pa.RecordBatch], some=some) -> Iterator[pa.RecordBatch]:
-            sums: dict[int, np.ndarray] = {}
-            for b in parts:
-                for i, x in zip(b.column("at").to_pylist(), b.column("n").to_pylist()):
-                    sums[i] = sums.get(i, 0) + np.frombuffer(x, np.int64)
-            for i, x in sums.items():
-                seen = np.flatnonzero(x)
-                rows = [(some.value.langs[j], some.value.phrases[j]) for j in (seen + i).tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array(x[seen])], ["lang", "phrase", "f"])
-
-        scanned = texts.filter(F.col("lang").between(lo, hi)).mapInArrow(releasing(run), "at long, n binary")
-        done.append(materialize(scanned.repartition(partitions(spark), "at").mapInArrow(releasing(total), "lang string, phrase string, f long")))
-        some.free()
-    out = done[0] if done else spark.createDataFrame([], "lang string, phrase string, f long")
-    for x in done[1:]:
-        out = out.unionByName(x)
+    filters: dict[int, Shared] = {}
+    for k in range(1, longest + 1):
+        heavy = heavy_cells(texts, k, least, filters.get(k - 1))
+        filters[k] = Shared(spark, _filter(heavy))
+        discard(heavy)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally: dict[str, dict[bytes, int]] = {}
+        stretch, known = Stretch(longest), {k: f.value for k, f in filters.items()}
+
+        def scan() -> None:
+            for lang, phrases, n in stretch.counts():
+                own = tally.setdefault(lang, {})
+                for p, x in zip(phrases, n.tolist()):
+                    own[p] = own.get(p, 0) + x
+            stretch.clear()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, own in tally.items():
+                phrases, n = list(own), np.fromiter(own.values(), np.int64, len(own))
+                part = np.fromiter(map(zlib.crc32, phrases), np.int64, len(phrases)) % PARTS
+                o = np.argsort(part, kind="stable")
+                cut = np.flatnonzero(np.diff(part[o], prepend=-1))
+                at = pa.array(np.append(cut, len(o)), pa.int32())
+                listed = pa.ListArray.from_arrays(at, pa.array([phrases[i] for i in o.tolist()], pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array(part[o][cut], pa.int32()), pa.array([lang] * len(cut), pa.string()), listed, pa.ListArray.from_arrays(at, pa.array(n[o]))], ["part", "lang", "phrases", "n"])
+            tally.clear()
+
+        for langs, raws, values, found in _batches(parts, longest):
+            stretch.read(langs, raws, values, found, known)
+            if stretch.full:
+                scan()
+            if sum(map(len, tally.values())) >= TALLY:
+                yield from flush()
+        scan()
+        yield from flush()
+
+    def total(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(sums: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+            for lang, own in sums.items():
+                kept = [(p.decode(), n) for p, n in own.items() if n >= least]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(kept), pa.string()), pa.array([p for p, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["lang", "phrase", "f"])
+
+        now, sums = None, {}
+        for b in parts:
+            for part, lang, phrases, n in zip(*(b.column(c) for c in ("part", "lang", "phrases", "n"))):
+                if part.as_py() != now:
+                    yield from out(sums)
+                    now, sums = part.as_py(), {}
+                own = sums.setdefault(lang.as_py(), Counter())
+                for p, x in zip(phrases.as_py(), n.as_py()):
+                    own[p] += x
+        yield from out(sums)
+
+    packed = texts.mapInArrow(releasing(run), "part int, lang string, phrases array<binary>, n array<long>")
+    dealt = packed.repartition(partitions(spark), "part").sortWithinPartitions("part")
+    out = materialize(dealt.mapInArrow(releasing(total), "lang string, phrase string, f long"))
+    for x in filters.values():
+        x.free()
     return out
 
 
@@ -454,7 +402,7 @@ def collocations(docs: DataFrame, longest: int = 4, least: int = 30, top: int =
     language by score, a (both descending) and phrase are returned. Null text counts as empty, null lang as "und";
     repeated rows count each; other columns are ignored; an empty table gives an empty one."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    f = materialize(phrase_counts(texts, longest, least).withColumn("words", F.split("phrase", " ")))
+    f = phrase_counts(texts, longest, least).withColumn("words", F.split("phrase", " "))
     found = f.filter(F.size("words") > 1).withColumnRenamed("f", "a")
 
     cut = found.select("lang", "phrase", "a", F.explode(F.sequence(F.lit(1), F.size("words") - 1)).alias("k"), "words")

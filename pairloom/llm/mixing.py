@@ -76,7 +76,10 @@ def with_copies(docs: DataFrame, size: Column | None = None, weights=WEIGHTS, sh
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """docs with every row repeated as often as the mix takes it, columns as they were."""
+    """docs with every row repeated as often as the mix takes it, columns as they were, whatever their names.
+
+    Null texts count no words; rows of null or equal doc_id are rows each; a null source is a source; an empty table stays
+    empty."""
     copies = with_copies(docs.select("*", *[F.col(c).alias(f"__in_{c}") for c in ("size", "source_size", "target", "copies") if c in docs.columns]), **how)
     named = [F.col(f"__in_{c}").alias(c) if f"__in_{c}" in copies.columns else F.col(c) for c in docs.columns]
     return copies.withColumn("__copy", F.explode(F.expr("array_repeat(0, copies)"))).select(*named)

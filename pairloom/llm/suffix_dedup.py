@@ -463,7 +463,10 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeated bytes cut from text (all columns kept). What a cut leaves of a multi-byte character goes
-    with it; n_chars, where there is such a column, is counted anew."""
+    with it; n_chars, where there is such a column, is counted anew (null for a null text).
+
+    Null texts stay null; rows with a null doc_id stay whole; rows of equal doc_id are as in suffix_dedup(); an empty table
+    stays empty."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:

@@ -263,7 +263,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, rows: i
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, rows: int = TRAIN_ROWS) -> DataFrame:
-    """docs without the rows that score `threshold` or more, columns as they were."""
+    """docs without the rows that score `threshold` or more, columns as they were.
+
+    Null texts are scored as empty ones, rows of null or equal doc_id each; labels as toxicity() takes them, ties at the
+    limit of training rows by a hash of doc_id; an empty table stays empty."""
     model = fit(docs, labels, rows)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

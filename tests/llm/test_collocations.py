@@ -60,30 +60,23 @@ def test_equals_brute_force(spark):
     assert got == brute(rows, top=50) and {"en", "de", "und", ""} == {r[0] for r in got}
 
 
-def test_blocks_and_filters_change_nothing(spark, monkeypatch):
+def test_stretches_filters_and_flushes_change_nothing(spark, monkeypatch):
     rows = texts(2, 300)
     want = brute(rows)
-    monkeypatch.setattr(C, "BLOCK", 2000)  # several blocks
-    assert sorted(map(tuple, C.collocations(table(spark, rows)).collect())) == want
-    made = C._filters
-    monkeypatch.setattr(C, "_filters", lambda heavy: made(heavy, C.RANGE + 3))  # filters that let much through
+    monkeypatch.setattr(C, "STRETCH", 50)  # tasks carry these numbers with them
+    monkeypatch.setattr(C, "TALLY", 70)
+    monkeypatch.setattr(C, "FLUSH", 100)
+    monkeypatch.setattr(C, "WINDOW", 256)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert sorted(map(tuple, C.collocations(table(spark, rows)).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    made = C._filter
+    monkeypatch.setattr(C, "_filter", lambda heavy: made(heavy, C.RANGE + 3))  # filters that let much through
     assert sorted(map(tuple, C.collocations(table(spark, rows, 1)).collect())) == want
 
 
-def test_phrases_that_their_task_does_not_have_are_read_again(spark, monkeypatch):
-    """Cells whose task holds other phrases only: the sums tell, and all tasks read them."""
-    rows = texts(3, 300)
-    made, found = C._filters, []
-
-    def nobody(heavy):
-        some, own = made(heavy)
-        found.append(own.segments.any())
-        return some, C.Filter(own.segments * 0)
-
-    monkeypatch.setattr(C, "_filters", nobody)
-    assert sorted(map(tuple, C.collocations(table(spark, rows)).collect())) == brute(rows) and any(found)
-
-
 def test_empty_table_and_exact_arithmetic(spark):
     assert C.collocations(table(spark, [("en", "a b")] * 2).limit(0)).count() == 0
     assert C.collocations(table(spark, [("en", "a b")] * 29)).count() == 0
