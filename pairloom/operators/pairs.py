@@ -72,9 +72,10 @@ def naive_pairs(places: DataFrame, n: int, seed: int | str = 42) -> DataFrame:
 
 
 def widen(pairs: DataFrame, source: DataFrame, rid: str = "rid") -> DataFrame:
-    """left_<c>, right_<c> of every source column, next to each other in source order, after the pair's own columns."""
+    """left_<c>, right_<c> of every source column, next to each other in source order, after the pair's own columns. The
+    source is read once: the rows that pairs name are kept, and both sides join them."""
     wanted = pairs.select(F.explode(F.array("left_rid", "right_rid")).alias("__w")).distinct()
-    rows = source.join(wanted, source[rid] == wanted["__w"], "left_semi")
+    rows = cut(source.join(wanted, source[rid] == wanted["__w"], "left_semi"))
     out = pairs
     for side in ("left", "right"):
         out = out.join(rows.select(F.col(rid).alias(f"{side}_rid"), *[F.col(c).alias(f"{side}_{c}") for c in source.columns if c != rid]), f"{side}_rid")

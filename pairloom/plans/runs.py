@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import platform
 import string
+import subprocess
 import sys
 import time
 from collections.abc import Callable
@@ -45,10 +47,33 @@ def new_run_id(*of: str, now: datetime | None = None) -> str:
     return check_run_id("_".join((moment.strftime(STAMP), *of)))
 
 
+def revision(folder: str = ".") -> dict | None:
+    """Commit of the code in a folder and whether files have been changed since; None where git does not know."""
+    def said(*what: str) -> str | None:
+        try:
+            got = subprocess.run(["git", "-C", folder, *what], capture_output=True, text=True, timeout=20)
+        except (OSError, subprocess.TimeoutExpired):
+            return None
+        return got.stdout.strip() if got.returncode == 0 else None
+
+    commit = said("rev-parse", "HEAD")
+    return None if not commit else {"commit": commit, "changed": bool(said("status", "--porcelain"))}
+
+
+def machines(spark: SparkSession) -> dict:
+    """Cores and memory of the driver's machine, and cores, memory for storage and execution, and number of executors."""
+    known = spark._jsc.sc().statusStore().executorList(True)
+    each = [known.apply(i) for i in range(known.size())]
+    pages = os.sysconf("SC_PHYS_PAGES") * os.sysconf("SC_PAGE_SIZE") if hasattr(os, "sysconf") else None
+    return {"driver_cores": os.cpu_count(), "driver_memory_bytes": pages, "executors": sum(e.id() != "driver" for e in each) or 1,
+            "executor_cores": sum(e.totalCores() for e in each), "executor_memory_bytes": sum(e.maxMemory() for e in each)}
+
+
 def circumstances(spark: SparkSession) -> dict:
-    """Versions and parallelism of a run."""
+    """Versions, parallelism, machines and code of a run."""
     return {"python": sys.version.split()[0], "platform": platform.platform(), "spark": spark.version, "pandas": pandas.__version__, "pyarrow": pyarrow.__version__,
-            "master": spark.sparkContext.master, "parallelism": spark.sparkContext.defaultParallelism, "shuffle_partitions": int(spark.conf.get("spark.sql.shuffle.partitions"))}
+            "master": spark.sparkContext.master, "parallelism": spark.sparkContext.defaultParallelism, "shuffle_partitions": int(spark.conf.get("spark.sql.shuffle.partitions")),
+            "machines": machines(spark), "code": revision(os.path.dirname(os.path.abspath(__file__)))}
 
 
 def dataset_facts(spark: SparkSession, name: str, path: str, examples: DataFrame) -> dict:

@@ -171,3 +171,13 @@ def test_peaks(spark):
     with Peaks(spark, 0.05) as p:
         spark.range(200_000).selectExpr("sum(id * id)").collect()
     assert set(p.found()) >= {"DriverHeap", "JVMHeapMemory"} and all(v["delta_bytes"] >= 0 for v in p.found().values())
+
+
+def test_circumstances_of_a_run(spark, tmp_path):
+    from pairloom.plans.runs import circumstances, revision
+
+    found = circumstances(spark)
+    assert found["machines"]["driver_cores"] > 0 and found["machines"]["executor_cores"] >= 4 and found["machines"]["executors"] == 1
+    assert revision(str(tmp_path)) is None
+    assert found["code"] is None or len(found["code"]["commit"]) == 40
+    json.dumps(found)
