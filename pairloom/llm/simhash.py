@@ -11,7 +11,7 @@ equal segments. `near_groups` takes its candidates from shingles: sets at s or m
 n - ceil(s * n) + 1 shingles in any common order (here by hash, those common in a sample last). Candidates have
 fingerprints of WIDE bits, pass the ring's chains under its budget, then the full count of differing bits. What passes is
 decided by the full shingle sets, counted exactly: links that span a group's candidates are checked, and groups with a link
-that does not hold give others instead, until all hold.
+that does not hold are gone through again with the full sets at hand.
 """
 
 from __future__ import annotations
@@ -42,8 +42,9 @@ WIDE, WIDE_SEGMENTS, MARGIN = 256, 16, 3.3
 #: Smallest shingles of a set that candidates bring along: all of a smaller set; of larger ones an estimate of the similarity,
 #: which may fall short by SHORT standard deviations and still be checked.
 LOW, SHORT = 64, 3.3
-#: Rows of a group that one task compares; a larger group is dealt to blocks, each pair of which is a group of its own.
-GROUP = 8_192
+#: Sets of a group that one task compares, and bytes of full ones; a larger group is dealt to blocks, each pair of which is a
+#: group of its own.
+GROUP, HOLD = 8_192, 32 << 20
 #: Documents (by hash of doc_id) that show which shingles are common, from how many on; shingles that one flush holds.
 SAMPLE, COMMON, FLUSH = 20_000, 16, 1_000_000
 
@@ -237,15 +238,11 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return float(both.mean())
 
 
-def ring_links(fp: np.ndarray, n: np.ndarray, low: list[np.ndarray], similarity: float, held: np.ndarray | None = None, failed: list | None = None, tries: int = 1) -> list[tuple[int, int]]:
-    """Index pairs that may be links and span all that may be: sets whose sizes allow the similarity, whose fingerprints are
-    within the budget, and whose smallest shingles bear it out.
-
-    held: a number for each set, equal (and not negative) for sets known to be of one component. failed: for each set the
-    indices of sets that it is known not to link with. A set is set aside once `tries` pairs have been found for it."""
+def ring_links(fp: np.ndarray, n: np.ndarray, similarity: float, alike, held: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Index pairs that span the components of sets whose sizes allow the similarity, whose fingerprints are within the budget,
+    and which alike(at, those) finds so. held: a number for each set, equal (and not negative) for sets known to be of one
+    component, which are not compared."""
     links, left, budget = [], np.arange(len(fp)), bit_budget(similarity)
-    short = SHORT * math.sqrt(similarity * (1 - similarity) / LOW)
-    found = np.zeros(len(fp), np.int64)
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
@@ -254,18 +251,36 @@ def ring_links(fp: np.ndarray, n: np.ndarray, low: list[np.ndarray], similarity:
             if held is not None and held[at] >= 0:
                 ok &= held[left] != held[at]
             ok[ok] = ring_near(fp[left[ok]], fp[at], budget)
-            ok[ok] = [jaccard(low[at], low[j]) >= similarity - (short if max(n[at], n[j]) >= LOW else 1e-9) for j in left[ok].tolist()]
-            if failed is not None:
-                ok[ok] = [at not in failed[j] and j not in failed[at] for j in left[ok].tolist()]
-            hit = left[ok]
-            links.extend((int(at), int(j)) for j in hit)
-            found[hit] += 1
-            ok[ok] = found[hit] >= tries
+            if ok.any():
+                ok[ok] = alike(at, left[ok])
+            links.extend((int(at), int(j)) for j in left[ok])
             queue.extend(left[ok])
             left = left[~ok]
     return links
 
 
+def estimated(n: np.ndarray, low: list[np.ndarray], similarity: float):
+    """Whether sets may have the similarity by their smallest shingles: SHORT deviations of slack, none for small sets."""
+    short = SHORT * math.sqrt(similarity * (1 - similarity) / LOW)
+    return lambda at, those: [jaccard(low[at], low[j]) >= similarity - (short if max(n[at], n[j]) >= LOW else 1e-9) for j in those.tolist()]
+
+
+def counted(n: np.ndarray, sets: list[np.ndarray], similarity: float):
+    """Whether sets have the similarity: shingles of the group are numbered once, then counted by a mark for each."""
+    _, number = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.cumsum(n) - n
+    marks = np.zeros(int(number.max(initial=0)) + 1, np.int64)
+
+    def alike(at: int, those: np.ndarray) -> np.ndarray:
+        own = number[start[at]:start[at] + n[at]]
+        marks[own] = 1
+        both = np.array([marks[number[start[j]:start[j] + n[j]]].sum() for j in those.tolist()])
+        marks[own] = 0
+        return both >= similarity * (n[at] + n[those] - both) - 1e-9
+
+    return alike
+
+
 def _sketches(ids: DataFrame, width: int, similarity: float) -> DataFrame:
     """(doc_id, key: digest of the shingle set, node: 64 bits of it, n: its size, fp: wide fingerprint, first: shingles that
     a set of this similarity must share one of, low: the LOW smallest)."""
@@ -358,55 +373,58 @@ def _sharing(sketches: DataFrame, buckets: int) -> DataFrame:
     return packed.repartitionById(buckets, F.col("bucket")).mapInArrow(releasing(groups), "grp long, node long").distinct()
 
 
-def _may_link(rows: DataFrame, similarity: float, tries: int) -> DataFrame:
-    """rows(grp, node, n, fp, low, held, failed), sorted by grp in their partitions -> (grp, a, b), b the set that a was found
-    for."""
+def _linked(rows: DataFrame, similarity: float, exact: bool) -> DataFrame:
+    """rows(grp, node, rep, n, fp, held, shown), sorted by grp in their partitions -> (grp, a, b, rep_a, rep_b): links that span
+    what the sets in `shown` make links, all of a set's shingles if exact, else the LOW smallest."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(t: pa.Table) -> pa.RecordBatch:
-            grp, node, n, held = (t.column(c).to_numpy() for c in ("grp", "node", "n", "held"))
+            grp, node, rep, n, held = (t.column(c).to_numpy() for c in ("grp", "node", "rep", "n", "held"))
             fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(-1, WIDE // 64)
-            low = [np.frombuffer(x, np.uint64) for x in t.column("low").to_pylist()]
+            shown = [np.frombuffer(x, np.uint64) for x in t.column("shown").to_pylist()]
             cut = [*np.flatnonzero(np.diff(grp, prepend=grp[0] - 1)).tolist(), len(grp)]
-            failed, found = t.column("failed").to_pylist(), []
+            found = []
             for s, e in zip(cut[:-1], cut[1:]):
-                if e - s < 2:
-                    continue
-                at = {v: i for i, v in enumerate(node[s:e].tolist())} if any(failed[s:e]) else {}
-                known = [{at[v] for v in f or () if v in at} for f in failed[s:e]]
-                found += [(grp[s], node[s + i], node[s + j]) for i, j in ring_links(fp[s:e], n[s:e], low[s:e], similarity, held[s:e], known, tries)]
-            a = np.array(found, np.int64).reshape(-1, 3)
-            return pa.RecordBatch.from_arrays([pa.array(a[:, k]) for k in range(3)], ["grp", "a", "b"])
-
-        held: list[pa.RecordBatch] = []
+                if e - s > 1:
+                    alike = (counted if exact else estimated)(n[s:e], shown[s:e], similarity)
+                    found += [(grp[s], node[s + i], node[s + j], rep[s + i], rep[s + j]) for i, j in ring_links(fp[s:e], n[s:e], similarity, alike, held[s:e])]
+            a = np.array(found, np.int64).reshape(-1, 5)
+            return pa.RecordBatch.from_arrays([pa.array(a[:, k]) for k in range(5)], ["grp", "a", "b", "rep_a", "rep_b"])
+
+        waiting: list[pa.RecordBatch] = []
         size = 0
         for b in parts:
-            held.append(b)
-            size += len(b)
-            if size >= 20_000:  # whole groups only; the last one may go on
-                t = pa.Table.from_batches(held)
+            waiting.append(b)
+            size += b.nbytes
+            if size >= HOLD:  # whole groups only; the last one may go on
+                t = pa.Table.from_batches(waiting)
                 grp = t.column("grp").to_numpy()
                 at = int(np.searchsorted(grp, grp[-1]))
                 if at:
                     yield out(t.slice(0, at))
-                held = t.slice(at).combine_chunks().to_batches()
-                size = len(t) - at
+                waiting = t.slice(at).combine_chunks().to_batches()
+                size = sum(x.nbytes for x in waiting)
         if size:
-            yield out(pa.Table.from_batches(held))
+            yield out(pa.Table.from_batches(waiting))
 
-    return rows.mapInArrow(releasing(run), "grp long, a long, b long")
+    return rows.select("grp", "node", "rep", "n", "fp", "held", "shown").mapInArrow(releasing(run), "grp long, a long, b long, rep_a long, rep_b long")
 
 
-def _counted(pairs: DataFrame, nodes: DataFrame, ids: DataFrame, width: int, similarity: float) -> DataFrame:
-    """pairs(a, b) of nodes -> (a, b, rep_a, rep_b, holds): by the full sets of shingles, read from the texts once more."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep", "key"), "node")
-    texts = ids.join(ends, F.col("doc_id") == F.col("rep")).select("node", "rep", "key", "text")
+def _sets(nodes: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """nodes(node, rep, key) -> (node, set): all shingles, read from the text once more."""
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             sets = [np.unique(shingle_hashes(t.as_py(), width)).tobytes() for t in b.column("text")]
             own = [hashlib.blake2b(x, digest_size=16).digest() == k for x, k in zip(sets, b.column("key").to_pylist())]  # an id may have other texts
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("rep"), pa.array(sets, pa.binary())], ["node", "rep", "set"]).filter(pa.array(own, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], ["node", "set"]).filter(pa.array(own, pa.bool_()))
+
+    texts = ids.join(nodes, F.col("doc_id") == F.col("rep")).dropDuplicates(["node", "text"]).select("node", "key", "text")
+    return materialize(texts.mapInArrow(releasing(read), "node long, set binary"))
+
+
+def _checked(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """links(grp, a, b, rep_a, rep_b) with holds: whether their full sets have the similarity."""
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
@@ -415,56 +433,51 @@ def _counted(pairs: DataFrame, nodes: DataFrame, ids: DataFrame, width: int, sim
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 holds.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("a", "b", "rep_a", "rep_b")), pa.array(holds, pa.bool_())], ["a", "b", "rep_a", "rep_b", "holds"])
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(holds, pa.bool_())], ["a", "b", "holds"])
 
-    sets = materialize(texts.mapInArrow(releasing(read), "node long, rep long, set binary"))
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("rep").alias(f"rep_{c}"), F.col("set").alias(f"set_{c}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "rep_a", "rep_b", "set_a", "set_b")
-    out = materialize(met.mapInArrow(releasing(compare), "a long, b long, rep_a long, rep_b long, holds boolean").groupBy("a", "b", "rep_a", "rep_b").agg(F.max("holds").alias("holds")))
-    discard(sets)
-    return out
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}"))
+    met = links.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
+    return materialize(links.join(met.mapInArrow(releasing(compare), "a long, b long, holds boolean"), ["a", "b"]))
 
 
 def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs(doc_id, text) -> (doc_id long, component_id long), component_id the smallest doc_id of its group.
 
     Documents whose sets of shingles have at least this Jaccard similarity link; all without words have one set. Candidates
-    share one of the shingles that sets of this similarity must share and pass ring_links(); every link is counted on the
-    full sets. Each round checks links that span what may still be linked in a group; groups with a link that failed get
-    another round, with four times as many tries for a set, from which sets already known to be of one group are left out.
-    Rows with null doc_id are dropped, rows of equal doc_id are returned each. Null text counts as empty. Other columns are ignored.
-    An empty table gives an empty one. A group of more than GROUP sets goes to several tasks."""
+    share one of the shingles that sets of this similarity must share, and are within the ring's budget. Links that span a
+    group by an estimate are counted on the full sets; a group with a link that does not hold is gone through again with the
+    full sets, leaving out what the links that hold have joined. Rows with null doc_id are dropped, rows of equal doc_id are
+    returned each. Null text counts as empty. Other columns are ignored. An empty table gives an empty one. A group of more
+    than GROUP sets, or HOLD bytes of them, goes to several tasks."""
     buckets = partitions(docs.sparkSession)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     sketches = materialize(_sketches(ids, width, similarity))
     nodes = materialize(sketches.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("node").alias("node"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("low").alias("low")))
     groups = materialize(_sharing(sketches, buckets))
-    open_, tries = groups, 1
-    links: DataFrame | None = None
-    failed: DataFrame | None = None
-    while True:
-        rows = open_.join(nodes.select("node", "rep", "n", "fp", "low"), "node")
-        if links is None:
-            rows = rows.withColumns({"held": F.lit(-1).cast("long"), "failed": F.lit(None).cast("array<long>")})
-        else:
-            known = components(links).withColumnsRenamed({"node": "rep", "component": "held"})
-            against = failed.groupBy(F.col("b").alias("node")).agg(F.collect_set("a").alias("failed"))  # as many as tries so far
-            rows = rows.join(known, "rep", "left").join(against, "node", "left").withColumn("held", F.coalesce("held", F.lit(-1)))
-        rows = rows.select("grp", "node", "n", "fp", "low", "held", "failed")
-        may = materialize(_may_link(rows.repartition(buckets, "grp").sortWithinPartitions("grp"), similarity, tries))
-        seen = _counted(may.select("a", "b").distinct(), nodes, ids, width, similarity)
-        good = seen.filter("holds").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-        bad = seen.groupBy("a", "b").agg(F.max("holds").alias("holds")).filter(~F.col("holds")).select("a", "b")
-        links = good if links is None else links.unionByName(good)
-        failed = bad if failed is None else failed.unionByName(bad)
-        again = may.join(bad, ["a", "b"], "left_semi").select("grp").distinct()
-        if again.isEmpty():
-            break
-        open_, tries = materialize(groups.join(again, "grp", "left_semi")), 4 * tries
+    dealt = lambda rows: rows.repartition(buckets, "grp").sortWithinPartitions("grp")
+
+    rows = groups.join(nodes.select("node", "rep", "n", "fp", F.col("low").alias("shown")), "node").withColumn("held", F.lit(-1).cast("long"))
+    first = materialize(_linked(dealt(rows), similarity, False))
+    named = nodes.select("node", "rep", "key")
+    ends = first.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    checked = _checked(first, sets := _sets(named.join(ends, "node"), ids, width), similarity)
+    links = checked.filter("holds").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    again = materialize(groups.join(checked.filter("not holds").select("grp").distinct(), "grp", "left_semi"))
+    if not again.isEmpty():
+        more = again.select("node").distinct().join(sets.select("node"), "node", "left_anti")
+        sets = sets.unionByName(_sets(named.join(more, "node"), ids, width))
+        known = components(links).withColumnsRenamed({"node": "rep", "component": "held"})
+        rows = again.join(nodes.select("node", "rep", "n", "fp"), "node").join(known, "rep", "left").withColumn("held", F.coalesce("held", F.lit(-1)))
+        blocks = rows.groupBy("grp").agg(F.ceil(F.sum("n") * 16 / HOLD).cast("int").alias("blocks"))
+        rows = rows.join(blocks, "grp").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("blocks = 1 or own <> other")
+        rows = rows.withColumn("grp", F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other")))
+        exact = materialize(_linked(dealt(rows.join(sets.withColumnRenamed("set", "shown"), "node")), similarity, True))
+        links = links.unionByName(exact.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
     found = components(links)
     named = nodes.drop("node").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     out = materialize(sketches.select("doc_id", "key").join(named.select("key", F.coalesce("component", "rep").alias("component_id")), "key").select("doc_id", "component_id"))
-    for t in (sketches, nodes, groups):
+    for t in (sketches, nodes, groups, first, again):
         discard(t)
     return out
 

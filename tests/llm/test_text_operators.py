@@ -128,19 +128,44 @@ def test_near_groups_link_what_its_first_links_miss(spark):
     assert 1 < len(set(group)) < len(texts)
 
 
-@pytest.mark.parametrize("tries", [1, 4])
-def test_ring_links_leave_out_what_is_known(tries):
+def test_ring_links_leave_out_what_is_known():
     r = np.random.default_rng(6)
     one = np.unique(r.integers(0, 1 << 62, 50).astype(np.uint64))
-    fp, n, low = np.array([simhash.wide_fingerprint(one)] * 6), np.full(6, len(one)), [one] * 6
-    every = {(i, j) for i in range(6) for j in range(6)}
-    got = set(simhash.ring_links(fp, n, low, 0.8, tries=tries))
-    assert got <= every and len(set(union(6, got))) == 1
-    held = np.array([0, 0, 0, 1, 1, -1])
-    got = simhash.ring_links(fp, n, low, 0.8, held, None, tries)
-    assert got and all(held[i] != held[j] or held[i] < 0 for i, j in got)
-    failed = [set(), {0}, {0}, set(), set(), set()]
-    assert not {(0, 1), (1, 0), (0, 2), (2, 0)} & set(simhash.ring_links(fp, n, low, 0.8, None, failed, tries))
+    fp, n, sets = np.array([simhash.wide_fingerprint(one)] * 6), np.full(6, len(one)), [one] * 6
+    for alike in (simhash.estimated(n, sets, 0.8), simhash.counted(n, sets, 0.8)):
+        got = simhash.ring_links(fp, n, 0.8, alike)
+        assert len(got) == 5 and len(set(union(6, got))) == 1
+        held = np.array([0, 0, 0, 1, 1, -1])
+        got = simhash.ring_links(fp, n, 0.8, alike, held)
+        assert got and all(held[i] != held[j] or held[i] < 0 for i, j in got)
+
+
+def test_counted_is_the_similarity_of_sets():
+    r = np.random.default_rng(8)
+    sets = [np.unique(r.choice(400, r.integers(1, 300)).astype(np.uint64)) for _ in range(30)]
+    n = np.array([len(x) for x in sets])
+    alike = simhash.counted(n, sets, 0.5)
+    for i in range(30):
+        want = [len(np.intersect1d(sets[i], x)) >= 0.5 * len(np.union1d(sets[i], x)) for x in sets]
+        assert alike(i, np.arange(30)).tolist() == want
+
+
+def test_large_groups_are_dealt_to_blocks(spark, monkeypatch):
+    """Groups beyond a task's sets and bytes give the same components."""
+    r = random.Random(12)
+    base = prose(r, 300).split()
+    texts = [" ".join(base[k:260 + k % 40] + prose(r, 3 * (k % 30)).split()) for k in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = sorted(map(tuple, simhash.near_groups(df).collect()))
+    monkeypatch.setattr(simhash, "GROUP", 8)
+    monkeypatch.setattr(simhash, "HOLD", 20_000)
+    assert sorted(map(tuple, simhash.near_groups(df).collect())) == want
+    sets = shingle_sets(texts)
+    group = union(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    least = {}
+    for i, g in enumerate(group):
+        least.setdefault(g, i)
+    assert want == [(i, least[g]) for i, g in enumerate(group)]
 
 
 def test_chains_on_the_ring_lose_no_pair_within_the_budget():
