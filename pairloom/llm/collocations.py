@@ -32,8 +32,8 @@ BREAKS = b".,;:!?\n\x0b\x0c\r"
 #: Bits of a cell, of those that name its range, and of all Bloom segments of a level together at most (16 MB).
 CELL, RANGE, FILTER = 40, 9, 27
 #: Bytes of text that are read at a time, cells that a task holds before it sums them, phrases or bytes that end a stretch of
-#: texts, phrases whose counts a task holds, and parts that counts are summed in.
-WINDOW, FLUSH, STRETCH, STRETCH_BYTES, TALLY, PARTS = 1 << 18, 1_000_000, 200_000, 32 << 20, 500_000, 512
+#: texts, bits of the table of phrases listed, phrases whose counts a task holds, and parts that counts are summed in.
+WINDOW, FLUSH, STRETCH, STRETCH_BYTES, SEEN, TALLY, PARTS = 1 << 18, 1_000_000, 400_000, 32 << 20, 20, 500_000, 512
 #: Bytes of a word that automata hold as it is.
 LONG = 256
 
@@ -250,40 +250,44 @@ class Stretch:
         self.clear()
 
     def clear(self) -> None:
-        self.texts: list[tuple[str, list[bytes]]] = []
+        self.texts: list[tuple[list[str], list[bytes]]] = []
         self.phrases: dict[str, list[bytes]] = {}
-        self.seen = np.empty(0, np.uint64)
-        self.size = 0
+        self.seen = np.zeros(1 << SEEN, np.uint64)  # hashes by their last bits: what one displaces may be listed again
+        self.listed = self.size = 0
 
     @property
     def full(self) -> bool:
-        return len(self.seen) >= STRETCH or self.size >= STRETCH_BYTES
+        return self.listed >= STRETCH or self.size >= STRETCH_BYTES
 
     def read(self, langs: list[str], raws: list[bytes], values: np.ndarray, found, filters: dict[int, Filter]) -> None:
-        """Take a batch: its texts, and each phrase that may be heavy once."""
+        """Take a batch: its texts, and each phrase that may be heavy, about once."""
         plain = values.tobytes().translate(_PLAIN)
         self.texts.append((langs, raws))
         self.size += len(values)
         for h, a, z, run, doc, fresh in found:
-            grams = _grams(h, run, self.longest)
+            often = np.ones(len(h) + 1, bool)
             new, where, words = [], [], []
-            for k, keep in filters.items():
-                at, ok = grams[k - 1]
-                some = np.flatnonzero(ok & (np.arange(len(ok)) >= fresh - k + 1))
-                some = some[keep.has(at[some])]
+            for k, (at, ok) in enumerate(_grams(h, run, self.longest), 1):
+                some = np.flatnonzero(ok & often[:len(ok)] & often[1:len(ok) + 1])
+                some = some[filters[k].has(at[some])]
+                often = np.zeros(len(ok), bool)
+                often[some] = True
+                some = some[some >= fresh - k + 1]
+                some = some[self.seen[(at[some] & np.uint64(len(self.seen) - 1)).astype(np.int64)] != at[some]]
                 new.append(at[some])
                 where.append(some)
                 words.append(np.full(len(some), k))
             new, where, words = (np.concatenate(x) for x in (new, where, words))
             new, one = np.unique(new, return_index=True)
-            fine = ~np.isin(new, self.seen, assume_unique=True)
-            self.seen = np.union1d(self.seen, new[fine])
-            where, words = where[one[fine]], words[one[fine]]
+            self.seen[(new & np.uint64(len(self.seen) - 1)).astype(np.int64)] = new
+            self.listed += len(new)
+            where, words = where[one], words[one]
             for d, i, j in zip(doc[where].tolist(), a[where].tolist(), z[where + words - 1].tolist()):
                 self.phrases.setdefault(langs[d], []).append(b" ".join(plain[i:j].split()))
 
     def counts(self) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
-        """By language the phrases, and how often the texts of that language hold them, overlaps included."""
+        """By language the phrases, and how often the texts of that language hold them, overlaps included; of a phrase that is
+        listed twice, all count for the last."""
         second = itemgetter(1)
         for lang, phrases in self.phrases.items():
             found = ahocorasick.Automaton(ahocorasick.STORE_INTS)

@@ -67,6 +67,7 @@ def test_stretches_filters_and_flushes_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(C, "TALLY", 70)
     monkeypatch.setattr(C, "FLUSH", 100)
     monkeypatch.setattr(C, "WINDOW", 256)
+    monkeypatch.setattr(C, "SEEN", 4)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
     try:
         assert sorted(map(tuple, C.collocations(table(spark, rows)).collect())) == want
