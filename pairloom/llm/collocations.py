@@ -33,7 +33,7 @@ BREAKS = b".,;:!?\n\x0b\x0c\r"
 CELL, RANGE, FILTER = 40, 9, 27
 #: Bytes of text that are read at a time, cells that a task holds before it sums them, phrases or bytes that end a stretch of
 #: texts, bits of the table of phrases listed, phrases whose counts a task holds, and parts that counts are summed in.
-WINDOW, FLUSH, STRETCH, STRETCH_BYTES, SEEN, TALLY, PARTS = 1 << 18, 1_000_000, 400_000, 32 << 20, 20, 500_000, 512
+WINDOW, FLUSH, STRETCH, STRETCH_BYTES, SEEN, TALLY, PARTS = 1 << 18, 1_000_000, 400_000, 32 << 20, 22, 500_000, 512
 #: Bytes of a word that automata hold as it is.
 LONG = 256
 
@@ -292,7 +292,7 @@ class Stretch:
         for lang, phrases in self.phrases.items():
             found = ahocorasick.Automaton(ahocorasick.STORE_INTS)
             for i, p in enumerate(phrases):
-                found.add_word(blanked(p.split(b" ")), i)
+                found.add_word(f" {p.decode()} " if len(p) <= LONG else blanked(p.split(b" ")), i)
             found.make_automaton()
             n = np.zeros(len(phrases), np.int64)
             for langs, raws in self.texts:
