@@ -141,6 +141,17 @@ def test_hot_names_equal_the_plain_join(spark):
     assert plain(C.same_key_capped(df, 3, row_cap=60, seed="s", pair_seed="p", block=16)) == plain(C.cap_pairs(C.same_key_pairs(df, row_cap=60, seed="s"), ["name_key"], 3, "p"))
 
 
+def test_names_with_too_few_pairs_below_the_bound_are_ranked_whole(spark, monkeypatch):
+    """Hashes that all lie above any bound: the counts tell, and nothing is lost."""
+    r = random.Random(8)
+    rows = [(k, k, r.uniform(-1, 1) * 0.2, r.uniform(-1, 1) * 0.2, None, r.choice(["x", "y"]), r.choice(["hot", "k"])) for k in range(120)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    high = lambda seed, *keys: F.concat(F.lit("ffffffff"), F.md5(F.concat_ws("|", *[k.cast("string") for k in keys]).cast("binary")))
+    monkeypatch.setattr(C, "hash_order", high)
+    want = C.cap_pairs(C.same_key_pairs(df, row_cap=None), ["name_key"], 5)
+    assert sorted(map(repr, C.same_key_capped(df, 5, row_cap=None).select(want.columns).collect())) == sorted(map(repr, want.collect()))
+
+
 def test_densest_first_over_many_units(spark):
     r = random.Random(7)
     units = [(f"u{k}", r.choice([1, 2, 2, 2, 3])) for k in range(400)]
