@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairloom.llm.common import discard, materialize, partitions
 from pairloom.llm.components import components
@@ -32,10 +33,16 @@ SIZES = (1, 2, 4, K)
 _EDGE = "a long, b long, sim double"
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """A vector as bytes: singles as they are, doubles with one byte more, so that the length tells them apart."""
+    return (x + x.dtype.type(0)).tobytes() + b"\0" * (x.dtype == np.float64)  # a negative zero becomes zero
+
+
 def _matrix(col) -> np.ndarray:
-    """Unit rows of vectors held as doubles."""
+    """Unit rows, in doubles, of packed vectors of one length."""
     raw = col.to_pylist() if isinstance(col, (pa.Array, pa.ChunkedArray)) else col
-    x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+    x = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
+    x = np.ascontiguousarray(x[:, :-1]).view(np.float64) if x.shape[1] % 2 else x.view(np.float32).astype(np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -53,11 +60,12 @@ def _nodes(vectors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            v = [(np.asarray(x.values.to_numpy(), np.float64) + 0.0).tobytes() if x.is_valid else None for x in b.column("e")]
+            v = [_packed(x.values.to_numpy()) if x.is_valid else None for x in b.column("e")]
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("vec_id"), b.column("grp"), pa.array(v, pa.binary())], ["row", "vec_id", "grp", "v"])
 
     grp = F.concat_ws("/", F.col("label").cast("string"), F.size("embedding"))
-    e = F.when(_usable(vectors), F.col("embedding").cast("array<double>"))
+    single = vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType())  # travels in half the bytes
+    e = F.when(_usable(vectors), F.col("embedding").cast("array<float>" if single else "array<double>"))
     numbered = vectors.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), grp.alias("grp"), e.alias("e"))
     rows = materialize(numbered.mapInArrow(pack, "row long, vec_id long, grp string, v binary"))
     usable = rows.filter("v is not null")

@@ -10,8 +10,8 @@ Near copies at a Jaccard similarity s of shingle sets differ in about 15 % of th
 equal segments. `near_groups` takes its candidates from shingles: sets at s or more share one of their first
 n - ceil(s * n) + 1 shingles in any common order (here by hash, those common in a sample last). Candidates have
 fingerprints of WIDE bits, pass the ring's chains under its budget, then the full count of differing bits. What passes is
-decided by the full shingle sets, counted exactly: links that span a group's candidates are checked, and groups with a link
-that does not hold are gone through again with the full sets at hand.
+decided by the full shingle sets, counted exactly: links that span a group's candidates are checked, and where one does not
+hold, all that such links join is gone through again with the full sets at hand.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.common import discard, materialize, partitions, releasing
 from pairloom.llm.components import components
+from pairloom.llm.suffix_dedup import _marked as marked
 
 SEGMENTS, BITS = 8, 3
 #: Which of the five leading segments a key holds.
@@ -419,8 +420,9 @@ def _sets(nodes: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             own = [hashlib.blake2b(x, digest_size=16).digest() == k for x, k in zip(sets, b.column("key").to_pylist())]  # an id may have other texts
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], ["node", "set"]).filter(pa.array(own, pa.bool_()))
 
-    texts = ids.join(nodes, F.col("doc_id") == F.col("rep")).dropDuplicates(["node", "text"]).select("node", "key", "text")
-    return materialize(texts.mapInArrow(releasing(read), "node long, set binary"))
+    some = marked(ids, nodes.select(F.col("rep").alias("doc_id"))).filter("__has").select("doc_id", "text")  # other texts stay where they are
+    texts = some.join(nodes, F.col("doc_id") == F.col("rep")).select("node", "key", "text")
+    return materialize(texts.mapInArrow(releasing(read), "node long, set binary").dropDuplicates(["node"]))
 
 
 def _checked(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -445,8 +447,8 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
 
     Documents whose sets of shingles have at least this Jaccard similarity link; all without words have one set. Candidates
     share one of the shingles that sets of this similarity must share, and are within the ring's budget. Links that span a
-    group by an estimate are counted on the full sets; a group with a link that does not hold is gone through again with the
-    full sets, leaving out what the links that hold have joined. Rows with null doc_id are dropped, rows of equal doc_id are
+    group by an estimate are counted on the full sets; where one does not hold, all sets that such links join are gone through
+    again with the full ones, leaving out what the links that hold have joined. Rows with null doc_id are dropped, rows of equal doc_id are
     returned each. Null text counts as empty. Other columns are ignored. An empty table gives an empty one. A group of more
     than GROUP sets, or HOLD bytes of them, goes to several tasks."""
     buckets = partitions(docs.sparkSession)
@@ -462,22 +464,24 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     ends = first.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     checked = _checked(first, sets := _sets(named.join(ends, "node"), ids, width), similarity)
     links = checked.filter("holds").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-    again = materialize(groups.join(checked.filter("not holds").select("grp").distinct(), "grp", "left_semi"))
-    if not again.isEmpty():
-        more = again.select("node").distinct().join(sets.select("node"), "node", "left_anti")
-        sets = sets.unionByName(_sets(named.join(more, "node"), ids, width))
+    bad = checked.filter("not holds")
+    if not bad.isEmpty():
+        # whatever is similar is joined by the first links: each set they join stands in one group now
+        joined = components(first.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))).withColumnsRenamed({"node": "rep", "component": "grp"})
+        again = joined.join(bad.select(F.col("rep_a").alias("rep")).join(joined, "rep").select("grp").distinct(), "grp", "left_semi")
         known = components(links).withColumnsRenamed({"node": "rep", "component": "held"})
-        rows = again.join(nodes.select("node", "rep", "n", "fp"), "node").join(known, "rep", "left").withColumn("held", F.coalesce("held", F.lit(-1)))
+        rows = again.join(nodes.select("node", "rep", "n", "fp"), "rep").join(known, "rep", "left").withColumn("held", F.coalesce("held", F.lit(-1)))
+        rows = materialize(rows)
         blocks = rows.groupBy("grp").agg(F.ceil(F.sum("n") * 16 / HOLD).cast("int").alias("blocks"))
         rows = rows.join(blocks, "grp").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("blocks = 1 or own <> other")
-        rows = rows.withColumn("grp", F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other")))
+        rows = rows.withColumn("grp", F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other"))).select("grp", "node", "rep", "n", "fp", "held")
         exact = materialize(_linked(dealt(rows.join(sets.withColumnRenamed("set", "shown"), "node")), similarity, True))
         links = links.unionByName(exact.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
     found = components(links)
     named = nodes.drop("node").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     out = materialize(sketches.select("doc_id", "key").join(named.select("key", F.coalesce("component", "rep").alias("component_id")), "key").select("doc_id", "component_id"))
-    for t in (sketches, nodes, groups, first, again):
+    for t in (sketches, nodes, groups, first, sets):
         discard(t)
     return out
 
