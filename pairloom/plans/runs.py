@@ -88,6 +88,7 @@ def dataset_facts(spark: SparkSession, name: str, path: str, examples: DataFrame
 def _finish(run: Run, resumed: DataFrame, seconds: float, began: float, prompt: Prompt, model: str, limit: int | None, facts: dict | None, peaks: dict) -> dict:
     """Metrics of all that is kept, rates of what this session has added, written with the final results."""
     done = run.done()
+    # fixed values: the keys of a result
     found = metrics.full_metrics(done, seconds, done.join(resumed.select("example_id"), "example_id", "left_anti"))
     result = {**(facts or {}), "model": model, "prompt": prompt.settings, "software": circumstances(run.spark), "completed_at": datetime.now(timezone.utc).isoformat(),
               "resumed_examples": resumed.count(), "partial_run": limit is not None, "leaderboard_eligible": limit is None, "inference_seconds": seconds,
