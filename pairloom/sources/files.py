@@ -10,6 +10,8 @@ from pairloom.operators.lineage import cut
 
 #: Bytes up to which a task holds a file whole to hash it.
 WHOLE = 256 << 20
+#: Places of rows that may be broadcast; rows of the files are moved for more only.
+FEW = 100_000
 
 
 def _streamed_sha256(spark: SparkSession, path: str) -> str:
@@ -63,10 +65,11 @@ def fetch_rows(spark: SparkSession, path: str, wanted: DataFrame, row_index: str
         F.broadcast(starts), (F.col(row_index) >= F.col("__start")) & (F.col(row_index) < F.col("__start") + F.col("__n")))
     at = cut(at.select(row_index, "__file", (F.col(row_index) - F.col("__start")).alias("__at")))
     some = [r[0] for r in at.select("__file").distinct().collect()]
+    few = F.broadcast(at) if at.count() <= FEW else at
     if not some:
         return files.limit(0).withColumn(row_index, F.lit(None).cast("long"))
     placed = spark.read.schema(files.schema).parquet(*some).select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
-    return placed.join(at, ["__file", "__at"]).select(*files.columns, row_index)
+    return placed.join(few, ["__file", "__at"]).select(*files.columns, row_index)
 
 
 def dataset_hash(spark: SparkSession, path: str) -> str:
@@ -89,15 +92,15 @@ def with_row_index(spark: SparkSession, path: str, name: str = "row_index") -> D
     counts = files.select(F.col("_metadata.file_path").alias("__file")).groupBy("__file").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(F.lit(0)).orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("__file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    return rows.join(starts, "__file").select(*files.columns, (F.col("__start") + F.col("__at")).alias(name))
+    return rows.join(F.broadcast(starts), "__file").select(*files.columns, (F.col("__start") + F.col("__at")).alias(name))
 
 
 def alignment(table: DataFrame, path: str, columns: list[str], n: int = 50, seed: int | str = 1, row_index: str = "row_index") -> DataFrame:
     """n rows of an indexed table, by hash of their index, beside a new reading of the same places of the file:
-    (row_index, <c>, <c>_again, same)."""
+    (row_index, <c>, <c>_again, same). The new reading sends on only rows at these places, and no row but them is moved."""
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(row_index).cast("string")).cast("binary"))
-    sample = table.select(row_index, *columns).orderBy(order, row_index).limit(n)
-    again = with_row_index(table.sparkSession, path, row_index).select(row_index, *[F.col(c).alias(f"{c}_again") for c in columns])
+    sample = cut(table.select(row_index, *columns).orderBy(order, row_index).limit(n))
+    again = fetch_rows(table.sparkSession, path, sample, row_index).select(row_index, *[F.col(c).alias(f"{c}_again") for c in columns])
     same = F.lit(True)
     for c in columns:
         same = same & F.col(c).eqNullSafe(F.col(f"{c}_again"))

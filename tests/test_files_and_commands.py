@@ -54,6 +54,18 @@ def test_fetch_reads_what_may_be_wanted(spark, table):
     assert files.fetch(spark, table, wanted.limit(0), "key").count() == 0
 
 
+def test_numbering_and_alignment_move_no_file_to_one_task(spark, table):
+    """Without automatic broadcasts too, no row goes to the task of its file to be numbered."""
+    auto = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        index = files.with_row_index(spark, table)
+        assert "SortMergeJoin" not in index._jdf.queryExecution().executedPlan().toString()
+        assert files.alignment(index, table, ["key"], 20).filter("same and key = key_again").count() == 20
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
+
+
 def test_fetch_rows_reads_their_files_only(spark, table):
     index = files.with_row_index(spark, table)
     wanted = spark.createDataFrame([(k,) for k in (3, 9_000, 9_001, 3, 50_000)], "row_index long")
