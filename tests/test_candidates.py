@@ -163,3 +163,29 @@ def test_densest_first_over_many_units(spark):
         taken.add(u)
         found += n
     assert {x.u for x in C.densest_first(df, df, ["u"], 333).collect()} == taken
+
+
+def test_first_pairs_of_cells_equal_the_ranking_of_all(spark, monkeypatch):
+    """Cells with many, few and no preferred pairs; bundles of several rows, spots of several bundles."""
+    r = random.Random(11)
+    rows = scattered(seed=12, n=80) + [(10_000 + k, 10_000 + k % 50, -122.4, 37.77, r.choice(["a", "b", None]), "", "") for k in range(90)]
+    rows += [(20_000 + k, 20_000 + k, 2.0 + k % 5 * 1e-5, 48.0, f"c{k}", "", "") for k in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    plain = lambda t: sorted(map(repr, t.collect()))
+    monkeypatch.setattr(C, "BUNDLE", 16)
+    monkeypatch.setattr(C, "FULL", 20)
+    whole = C.near_pairs(df, leaf=10)
+    assert {(x.rid_a, x.rid_b) for x in whole.collect()} == {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] != b[1] and distance(a, b) < 10}
+    want = plain(C.cap_pairs(whole, ["band", "cx"], 5, "p"))
+    assert plain(C.near_capped(df, 5, pair_seed="p")) == want
+    high = lambda seed, *keys: F.concat(F.lit("ffffffff"), F.md5(F.concat_ws("|", *[k.cast("string") for k in keys]).cast("binary")))
+    monkeypatch.setattr(C, "hash_order", high)
+    assert plain(C.near_capped(df, 5)) == plain(C.cap_pairs(whole, ["band", "cx"], 5))
+
+
+def test_copies_of_a_row_do_not_grow_with_its_cell(spark):
+    """12,000 rows in a cell, leaves of 8: a row is sent to its own few leaves, not to thousands."""
+    df = spark.range(12_000).select(F.col("id").alias("rid"), "id", (F.col("id") % 7 * 1e-5 + 2.0).alias("lon"), (F.floor(F.col("id") / 7) % 7 * 1e-5 + 48.0).alias("lat"), F.lit("c").alias("category"))
+    at, probe, _ = C._probed(C._bundled(df, 10.0, None, 0), 10.0, 8)
+    size = lambda t: t.agg(F.sum("n")).first()[0]
+    assert size(at) == 12_000 and size(probe) <= 12_000 * 49 * C.PARTS and at.count() <= 12_000 / 245 * 2
