@@ -189,3 +189,9 @@ def test_copies_of_a_row_do_not_grow_with_its_cell(spark):
     at, probe, _ = C._probed(C._bundled(df, 10.0, None, 0), 10.0, 8)
     size = lambda t: t.agg(F.sum("n")).first()[0]
     assert size(at) == 12_000 and size(probe) <= 12_000 * 49 * C.PARTS and at.count() <= 12_000 / 245 * 2
+
+
+def test_rows_of_a_hot_name_travel_a_bounded_number_of_times(spark):
+    df = spark.range(2_000).select(F.col("id").alias("rid"), "id", (F.col("id") * 1e-4).alias("lon"), F.lit(0.0).alias("lat"), F.lit("c").alias("category"), F.lit("x").alias("locality"), F.lit("k").alias("name_key"))
+    pairs = C._blocked(df, 8)
+    assert pairs.select("__i", "__j").distinct().count() <= C.BLOCKS * (C.BLOCKS + 1) / 2 and pairs.count() == 2_000 * 1_999 / 2
