@@ -25,7 +25,7 @@ import heapq
 import zlib
 from bisect import bisect_right as bisect
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 from pairloom.llm.common import Shared, fold, materialize, partitions, releasing
 
 CHUNK = 10 << 20
-#: Classes of what came before; documents (by hash of doc_id) that show which words are common and where to cut the order
-#: of words; beginnings that may be opened for the cuts.
-CLASSES, SAMPLE, OPEN = 16, 4_000, 256
+#: Classes of what came before; beginnings that may be opened for the cuts of the order of words, their longest in bytes (both
+#: only even out buckets), and distinct keys that a task counts before it sends them on.
+CLASSES, OPEN, LONGEST, HELD = 16, 256, 32, 500_000
 #: Spelling: slots of each order's table (its size is bounded), bytes of context, entries of a step,
 #: slots in a row of partial tables, and such rows that one task sums.
 SLOT_BITS, ORDERS, STEP, ROW, SUMMED = 20, (1, 2, 3, 4, 5), 4_096, 1 << 15, 64
@@ -203,7 +203,8 @@ def split(e: dict, splits: list[bytes]) -> list[tuple]:
 
 
 def opened(words: list[bytes], buckets: int) -> set[bytes]:
-    """Beginnings to look behind, so that each beginning that is none of them has few words."""
+    """Beginnings to look behind, so that each beginning that is none of them has few words; _seen_words finds the same by
+    counting."""
     out: set[bytes] = set()
     heap = [(-len(words), b"", words)]
     while heap and len(out) < OPEN:
@@ -228,27 +229,36 @@ def group_of(word: bytes, open_: set[bytes]) -> bytes:
     return word[:k]
 
 
-def _seen_words(docs: DataFrame, buckets: int) -> tuple[dict[bytes, int], list[bytes], set[bytes]]:
-    """Of a sample that depends on doc_ids only: the commonest words, beginnings that cut the order of words into buckets,
-    and the beginnings opened for that."""
-    n = docs.count()
-    every = max(n // SAMPLE, 1)
+def _counted(rows: DataFrame, column: str, keys: Callable[[bytes | str | None], Iterable[bytes]]) -> DataFrame:
+    """(w binary, n long): how often each key occurs among those of all rows."""
 
-    def some(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c: Counter = Counter()
+        sent = lambda: pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], ["w", "n"])
         for b in parts:
-            for t in b.column("text").to_pylist():
-                c.update((t or "").encode().lower().split())
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], ["w", "n"])
+            for x in b.column(column):
+                c.update(keys(x.as_py()))
+                if len(c) >= HELD:
+                    yield sent()
+                    c.clear()
+        yield sent()
+
+    return rows.select(column).mapInArrow(releasing(run), "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
-    took = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").mapInArrow(releasing(some), "w binary, n long")
-    counts = materialize(took.groupBy("w").agg(F.sum("n").alias("n")))
+
+def _seen_words(docs: DataFrame, buckets: int) -> tuple[dict[bytes, int], list[bytes], set[bytes]]:
+    """Of all training text: the commonest words, beginnings that cut the order of words into buckets, and the beginnings
+    opened for that, those that more than their share of distinct words have. Words are counted by tasks; the driver gets the
+    commonest ones and the counts of beginnings."""
+    counts = materialize(_counted(docs.filter(~F.col("held")), "text", lambda t: (t or "").encode().lower().split()))
     common = {bytes(r["w"]): k + 1 for k, r in enumerate(counts.orderBy(F.desc("n"), "w").limit(CLASSES - 1).collect())}
-    words = sorted(ended(bytes(r["w"])) for r in counts.orderBy(F.xxhash64("w"), "w").limit(5 * SAMPLE).collect())
-    open_ = opened(words, buckets)
-    groups = sorted({group_of(w, open_) for w in words})
-    cuts = [words[len(words) * k // buckets] for k in range(1, buckets)] if words else []
-    return common, sorted({groups[bisect(groups, w) - 1] for w in cuts}), open_
+    total = counts.count()
+    begun = _counted(counts, "w", lambda w: (lambda e: [e[:k] for k in range(1, min(len(e), LONGEST) + 1)])(ended(bytes(w))))
+    often = begun.filter(F.col("n") * 4 * buckets > total).orderBy(F.desc("n"), "w").limit(OPEN - 1).collect()
+    open_ = {b"", *(bytes(r["w"]) for r in often)} if total else set()
+    groups = sorted((bytes(r["w"]), r["n"]) for r in _counted(counts, "w", lambda w: [group_of(ended(bytes(w)), open_)]).collect())
+    upto = np.cumsum([n for _, n in groups])
+    return common, sorted({groups[int(np.searchsorted(upto, total * k // buckets, "right"))][0] for k in range(1, buckets)} if groups else set()), open_
 
 
 _CHUNKS = "chunk string, ids array<long>, held array<boolean>, n binary, planes array<binary>, buckets array<struct<bucket:int,start:int,words:binary,per:binary,cls:binary,taught:binary>>"

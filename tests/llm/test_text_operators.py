@@ -568,3 +568,15 @@ def test_token_digests(spark, docs, rows, codec):
     back = sentencepiece_codec.decode_ids(sentencepiece_codec.encode_texts(docs, MODEL), MODEL).collect()
     assert Counter((b.doc_id, b.text) for b in back) == Counter((r[0], r[1] or "") for r in rows)
     assert sentencepiece_codec.token_digests(empty(spark), MODEL).count() == 0
+
+
+def test_common_words_are_those_of_all_training_text(spark):
+    """A word that is common in one long training text counts, and held-out text does not; more texts than any sample took."""
+    from pairloom.llm import context_mixing as cm
+
+    rows = [(k, "few words here", False) for k in range(8_003)] + [(9_000, "Rare " * 50_000, False), (9_001, "hidden " * 90_000, True), (9_002, None, False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held boolean").coalesce(4)
+    common, splits, open_ = cm._seen_words(docs, 4)
+    assert common == {b"rare": 1, b"few": 2, b"here": 3, b"words": 4} and open_ == cm.opened([b"few ", b"here ", b"rare ", b"words "], 4)
+    assert splits == sorted(splits) and all(any(w.startswith(s) for w in (b"few ", b"here ", b"rare ", b"words ")) for s in splits)
+    assert cm._seen_words(docs.limit(0), 4) == ({}, [], set())
