@@ -25,7 +25,7 @@ import heapq
 import zlib
 from bisect import bisect_right as bisect
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +36,11 @@ from pairloom.llm.common import Shared, fold, materialize, partitions, releasing
 
 CHUNK = 10 << 20
 #: Classes of what came before; beginnings that may be opened for the cuts of the order of words, their longest in bytes (both
-#: only even out buckets), and distinct keys that a task counts before it sends them on.
-CLASSES, OPEN, LONGEST, HELD = 16, 256, 32, 500_000
-#: Spelling: slots of each order's table (its size is bounded), bytes of context, entries of a step,
+#: only even out buckets), bytes by which beginnings are made longer, and distinct words that a task counts before it sends them on.
+CLASSES, OPEN, LONGEST, DEEPER, HELD = 16, 256, 32, 4, 500_000
+#: Spelling: slots of each order's table (its size is bounded), bytes of context, entries of a step, of a step that counts,
 #: slots in a row of partial tables, and such rows that one task sums.
-SLOT_BITS, ORDERS, STEP, ROW, SUMMED = 20, (1, 2, 3, 4, 5), 4_096, 1 << 15, 64
+SLOT_BITS, ORDERS, STEP, COUNTED, ROW, SUMMED = 20, (1, 2, 3, 4, 5), 4_096, 1 << 14, 1 << 15, 64
 SLOTS = 1 << SLOT_BITS
 #: Orders whose contexts hold the class too, and the order that also predicts the bits of known words.
 CLASSED, SHARED = 2, 4
@@ -229,36 +229,82 @@ def group_of(word: bytes, open_: set[bytes]) -> bytes:
     return word[:k]
 
 
-def _counted(rows: DataFrame, column: str, keys: Callable[[bytes | str | None], Iterable[bytes]]) -> DataFrame:
-    """(w binary, n long): how often each key occurs among those of all rows."""
+def grouped(words: list[bytes], open_: set[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """Of words in order: their distinct beginnings that are not opened, and the first word of each."""
+    tops, starts, i = [], [], 0
+    while i < len(words):
+        tops.append(group_of(words[i], open_))
+        starts.append(i)
+        size = len(tops[-1])
+        i = bisect(words, tops[-1], i, key=lambda w: w[:size])  # noqa: B023
+    return tops, np.array(starts, np.int64)
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """(w binary, n long): how often each word occurs in all texts."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c: Counter = Counter()
-        sent = lambda: pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], ["w", "n"])
         for b in parts:
-            for x in b.column(column):
-                c.update(keys(x.as_py()))
+            for t in b.column("text"):
+                c.update((t.as_py() or "").encode().lower().split())
                 if len(c) >= HELD:
-                    yield sent()
+                    yield _sent(c)
                     c.clear()
-        yield sent()
+        yield _sent(c)
+
+    return docs.select("text").mapInArrow(releasing(run), "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
+
+
+def _sent(c: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], ["w", "n"])
 
-    return rows.select(column).mapInArrow(releasing(run), "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
+
+def _begun(words: DataFrame, size: int) -> DataFrame:
+    """(w binary, n long): how many words have each beginning of that many bytes (shorter words: each whole)."""
+    return words.groupBy(F.substring("w", 1, size).alias("w")).agg(F.count("*").alias("n"))
+
+
+def _often(words: DataFrame, least: float) -> list[bytes]:
+    """The OPEN - 1 most frequent beginnings of up to LONGEST bytes that more than `least` words have. A beginning has no more
+    words than what it begins with, so longer ones are counted, DEEPER bytes at a time, among words of frequent ones only."""
+    found, some, k = [], words, 0
+    while k < LONGEST:
+        to = min(k + DEEPER, LONGEST)
+        each = _begun(some, to).select(F.explode(F.array(*(F.when(F.length("w") >= j, F.substring("w", 1, j)) for j in range(k + 1, to + 1)))).alias("w"), "n")
+        often = each.filter("w is not null").groupBy("w").agg(F.sum("n").alias("n")).filter(F.col("n") > least).orderBy(F.desc("n"), "w").limit(OPEN - 1).collect()
+        found += [(-r["n"], bytes(r["w"])) for r in often]
+        heads = [bytes(r["w"]) for r in often if len(r["w"]) == to]
+        if not heads:
+            break
+        some = some.filter(F.substring("w", 1, to).isin(heads))
+        k = to
+    return [w for _, w in sorted(found)[:OPEN - 1]]
 
 
 def _seen_words(docs: DataFrame, buckets: int) -> tuple[dict[bytes, int], list[bytes], set[bytes]]:
     """Of all training text: the commonest words, beginnings that cut the order of words into buckets, and the beginnings
     opened for that, those that more than their share of distinct words have. Words are counted by tasks; the driver gets the
     commonest ones and the counts of beginnings."""
-    counts = materialize(_counted(docs.filter(~F.col("held")), "text", lambda t: (t or "").encode().lower().split()))
+    counts = materialize(_counted(docs.filter(~F.col("held"))))
     common = {bytes(r["w"]): k + 1 for k, r in enumerate(counts.orderBy(F.desc("n"), "w").limit(CLASSES - 1).collect())}
     total = counts.count()
-    begun = _counted(counts, "w", lambda w: (lambda e: [e[:k] for k in range(1, min(len(e), LONGEST) + 1)])(ended(bytes(w))))
-    often = begun.filter(F.col("n") * 4 * buckets > total).orderBy(F.desc("n"), "w").limit(OPEN - 1).collect()
-    open_ = {b"", *(bytes(r["w"]) for r in often)} if total else set()
-    groups = sorted((bytes(r["w"]), r["n"]) for r in _counted(counts, "w", lambda w: [group_of(ended(bytes(w)), open_)]).collect())
+    if not total:
+        return common, [], set()
+    words = counts.select(F.concat("w", F.lit(b" ")).alias("w"))  # as ended() has them
+    open_ = {b"", *_often(words, total / (4 * buckets))}
+
+    def group(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c: Counter = Counter()
+        for b in parts:
+            for w, n in zip(b.column("w").to_pylist(), b.column("n").to_pylist()):
+                c[group_of(w, open_)] += n
+        yield _sent(c)
+
+    found = _begun(words, max(map(len, open_)) + 1).mapInArrow(releasing(group), "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    groups = sorted((bytes(r["w"]), r["n"]) for r in found.collect())
     upto = np.cumsum([n for _, n in groups])
-    return common, sorted({groups[int(np.searchsorted(upto, total * k // buckets, "right"))][0] for k in range(1, buckets)} if groups else set()), open_
+    return common, sorted({groups[int(np.searchsorted(upto, total * k // buckets, "right"))][0] for k in range(1, buckets)}), open_
 
 
 _CHUNKS = "chunk string, ids array<long>, held array<boolean>, n binary, planes array<binary>, buckets array<struct<bucket:int,start:int,words:binary,per:binary,cls:binary,taught:binary>>"
@@ -332,13 +378,11 @@ def _vocabulary(chunks: DataFrame, buckets: int, open_: set[bytes]) -> DataFrame
         place = place.ravel()
         total = np.maximum(total, 0)
         known = total.sum(1)
-        starts, tops = [], []
-        for i in np.flatnonzero(known).tolist():
-            if not tops or not names[i].startswith(tops[-1]):
-                starts.append(i)
-                tops.append(group_of(names[i], open_))
-        sums = np.add.reduceat(total, starts) if starts else total[:0]
-        more = np.add.reduceat(np.where(known[:, None] > 1, total, 0), starts) if starts else total[:0]
+        at = np.flatnonzero(known)
+        tops, starts = grouped([names[i] for i in at.tolist()], open_)
+        starts = at[starts]
+        sums = np.add.reduceat(total, starts) if len(starts) else total[:0]
+        more = np.add.reduceat(np.where(known[:, None] > 1, total, 0), starts) if len(starts) else total[:0]
         yield pa.RecordBatch.from_pylist([{
             "words": b"\n".join(names), "per": used.sum(1).astype(np.uint8).tobytes(), "cls": (np.flatnonzero(used) % CLASSES).astype(np.uint8).tobytes(),
             "taught": total[used].astype(np.uint64).tobytes(), "refs": [{"chunk": c, "start": s, "idx": place[k].astype(np.uint32).tobytes()} for c, s, k in refs],
@@ -350,14 +394,18 @@ def _vocabulary(chunks: DataFrame, buckets: int, open_: set[bytes]) -> DataFrame
     return flat.repartitionById(buckets, F.col("bucket")).mapInArrow(releasing(run), _WORDS)
 
 
-def _hashes(sym: np.ndarray, at: np.ndarray, place: np.ndarray, cls: np.ndarray, orders=ORDERS) -> dict[int, np.ndarray]:
-    """Per order the hash of the bytes before sym[at], which is byte `place` of its word, and perhaps of the class."""
-    h = np.zeros(len(place), np.uint64)
+def _before(sym: np.ndarray, at: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    """The byte k before sym[at], which is byte `place` of its word."""
+    return np.where(place >= k, sym[np.maximum(at - k, 0)], np.uint8(_STOP))
+
+
+def _hashes(before: Callable[[int], np.ndarray], cls: np.ndarray, orders=ORDERS) -> dict[int, np.ndarray]:
+    """Per order the hash of the bytes before, as before(k) gives them, and perhaps of the class."""
+    h = np.zeros(len(cls), np.uint64)
     mark = (cls.astype(np.uint64) + np.uint64(1)) * _K[2]
     out = {}
     for k in range(1, max(orders) + 1):
-        last = np.where(place >= k, sym[np.maximum(at - k, 0)], np.uint8(_STOP)).astype(np.uint64)
-        h = (h ^ last) * _K[0]
+        h = (h ^ before(k).astype(np.uint64)) * _K[0]
         h ^= h >> np.uint64(31)
         if k in orders:
             out[k] = (h + np.uint64(k) + (mark if k <= CLASSED else np.uint64(0))) * _K[1]
@@ -374,13 +422,38 @@ def _bits(words: list[bytes], cls: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     size = np.fromiter(map(len, words), np.int64, len(words))
     owner = np.repeat(np.arange(len(words)), size)
     place = np.arange(len(sym)) - np.repeat(np.cumsum(size) - size, size)
-    hashes = _hashes(sym, np.arange(len(sym)), place, cls[owner])
+    at = np.arange(len(sym))
+    hashes = _hashes(lambda k: _before(sym, at, place, k), cls[owner])
     j = np.arange(8)
     node = (1 << j) | (sym[:, None].astype(np.int64) >> (8 - j))
     bit = ((sym[:, None] >> (7 - j).astype(np.uint8)) & 1).astype(np.int64).ravel()
     return np.repeat(owner, 8), bit, [_slots(hashes[k][:, None], node).ravel() for k in ORDERS]
 
 
+def _count_bits(words: list[bytes], cls: np.ndarray, tables: list[np.ndarray]) -> None:
+    """Add the bits of words with terminators to each order's table, as _bits places them. Equal bytes after equal contexts
+    are counted first: sorted keys (byte, class where it counts, bytes before) begin with those of shorter orders."""
+    sym = np.frombuffer(b"".join(words), np.uint8)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    place, at = np.arange(len(sym)) - np.repeat(np.cumsum(size) - size, size), np.arange(len(sym))
+    classes = np.repeat(cls, size).astype(np.uint64)
+    byte = lambda key, k: (key >> np.uint64(8 * k)) & np.uint64(255)
+    for orders, lead in (([k for k in ORDERS if k <= CLASSED], [sym, classes]), ([k for k in ORDERS if k > CLASSED], [sym])):
+        key = np.zeros(len(sym), np.uint64)
+        for x in [*lead, *(_before(sym, at, place, k) for k in range(1, max(orders) + 1))]:
+            key = (key << np.uint64(8)) | x
+        key.sort()
+        n, held = np.ones(len(key)), max(orders)
+        for k in sorted(orders, reverse=True):
+            key, held = key >> np.uint64(8 * (held - k)), k
+            new = np.flatnonzero(np.append(True, key[1:] != key[:-1])[:len(key)])
+            key, n = key[new], np.add.reduceat(n, new) if len(new) else n
+            h = _hashes(lambda j: byte(key, k - j), byte(key, k) if len(lead) > 1 else np.zeros(len(key)), (k,))[k]  # noqa: B023
+            last = byte(key, k + len(lead) - 1).astype(np.int64)
+            for j in range(8):
+                np.add.at(tables[ORDERS.index(k)], 2 * _slots(h, (1 << j) | (last >> (8 - j))) + ((last >> (7 - j)) & 1), n)
+
+
 def _spelled(tables: np.ndarray, slots: list[np.ndarray], bit: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
     """Inputs and gates of spelled bits; own: occurrences of the bit itself to leave out."""
     x = np.empty((len(ORDERS), len(bit)))
@@ -404,14 +477,12 @@ class Bucket:
         self.taught = np.frombuffer(row["taught"], np.uint64).astype(np.float64)
         self.known = np.bincount(self.word, self.taught, len(self.names))
 
-    def steps(self, which: np.ndarray) -> Iterator[tuple[np.ndarray, list[bytes], np.ndarray]]:
-        """Runs of some entries: their numbers, words and classes."""
-        start, at = 0, np.flatnonzero(which)
+    def steps(self, which: np.ndarray, step: int = 0) -> Iterator[tuple[np.ndarray, list[bytes], np.ndarray]]:
+        """Runs of some entries, of about `step` (else STEP) at most: their numbers, words and classes."""
+        start, at, step = 0, np.flatnonzero(which), step or STEP
+        upto = np.cumsum(np.fromiter(map(len, self.names), np.int64, len(self.names))[self.word[at]])
         while start < len(at):
-            stop, size = start, 0
-            while stop < len(at) and size < 10 * STEP and stop - start < STEP:
-                size += len(self.names[self.word[at[stop]]])
-                stop += 1
+            stop = min(start + step, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + 10 * step)) + 1, len(at))
             part = at[start:stop]
             yield part, [self.names[i] for i in self.word[part].tolist()], self.cls[part]
             start = stop
@@ -509,7 +580,7 @@ class Beginnings:
         spot = np.cumsum(size) - size + byte
         k = np.maximum(lcp, 0) & 7
         node = (1 << k) | (sym[np.minimum(spot, max(len(sym) - 1, 0))].astype(np.int64) >> (8 - k)) if len(sym) else k
-        slot = _slots(_hashes(sym, spot, byte, np.zeros(len(words)), (SHARED,))[SHARED], node) if len(sym) else k
+        slot = _slots(_hashes(lambda j: _before(sym, spot, byte, j), np.zeros(len(words)), (SHARED,))[SHARED], node) if len(sym) else k
         table = tables[ORDERS.index(SHARED)]
         self.last = np.clip(_odds(table[2 * slot].astype(np.float64), table[2 * slot + 1].astype(np.float64)), -8, 8)
 
@@ -577,15 +648,10 @@ class Model:
         """The known words of a bucket, their entries, the word of each, and the beginning that each word is under."""
         at = np.flatnonzero(b.known > 0)
         words = [b.names[i] for i in at.tolist()]
-        under, apart, begin = np.empty(len(words), np.int64), [], None
-        for i, w in enumerate(words):
-            if begin is None or not w.startswith(begin):
-                begin = group_of(w, self.open)
-                apart.append(i)
-                g = bisect(self.names, begin) - 1
-            under[i] = g
+        tops, apart = grouped(words, self.open)
+        under = np.repeat(np.array([bisect(self.names, begin) - 1 for begin in tops], np.int64), np.diff(apart, append=len(words)))
         e = np.flatnonzero(b.known[b.word] > 0)
-        return Beginnings(words, b.known[at], self.tables, np.array(apart, np.int64)), e, np.searchsorted(at, b.word[e]), under
+        return Beginnings(words, b.known[at], self.tables, apart), e, np.searchsorted(at, b.word[e]), under
 
     def count(self, b: Bucket, known: np.ndarray, spelled: np.ndarray) -> None:
         """Add a bucket's bits to the grids: those of known words but for words that occur once, which count as spelled."""
@@ -598,7 +664,7 @@ class Model:
             _, bit, slots = _bits(names, cls)
             cell = SPELLED.cell(*_spelled(self.tables, slots, bit, 1))
             for k in (0, 1):
-                np.add.at(spelled[k], cell[bit == k], 1)
+                np.add.at(spelled[k], cell[bit == k], 1.0)  # with a whole number numpy takes many times as long
 
     def scores(self, b: Bucket) -> np.ndarray:
         """log10 probabilities of a bucket's entries."""
@@ -622,10 +688,8 @@ def _tables(vocabulary: DataFrame, tasks: int) -> np.ndarray:
         for b in parts:
             for row in b.to_pylist():
                 some = Bucket(row)
-                for _, names, cls in some.steps(some.taught > 0):
-                    _, bit, slots = _bits(names, cls)
-                    for t, s in zip(tables, slots):
-                        np.add.at(t, 2 * s + bit, 1)
+                for _, names, cls in some.steps(some.taught > 0, COUNTED):
+                    _count_bits(names, cls, tables)
         for k, t in enumerate(tables):
             got = t.astype(np.float32).reshape(-1, ROW)
             use = np.flatnonzero(got.any(1))

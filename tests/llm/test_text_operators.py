@@ -580,3 +580,44 @@ def test_common_words_are_those_of_all_training_text(spark):
     assert common == {b"rare": 1, b"few": 2, b"here": 3, b"words": 4} and open_ == cm.opened([b"few ", b"here ", b"rare ", b"words "], 4)
     assert splits == sorted(splits) and all(any(w.startswith(s) for w in (b"few ", b"here ", b"rare ", b"words ")) for s in splits)
     assert cm._seen_words(docs.limit(0), 4) == ({}, [], set())
+
+
+def test_bits_are_counted_as_placed_and_cost_no_more_than_placing_them():
+    """Adding a whole number at places of a table of doubles took numpy many times as long as finding the places."""
+    import time
+
+    from pairloom.llm import context_mixing as cm
+
+    r = random.Random(14)
+    words = sorted({cm.ended(prose(r, 1).encode() + r.choice([b"", b".", "é".encode(), b"x" * 40, b"\x00\x01", b"\xff"]) + str(r.randint(0, 999)).encode()) for _ in range(20_000)} | {cm._END})
+    words = [w for w in words for _ in range(r.choice([1, 1, 3]))]
+    cls = np.array([r.randrange(cm.CLASSES) for _ in words])
+    began = time.process_time()
+    _, bit, slots = cm._bits(words, cls)
+    placed = time.process_time() - began
+    want = [np.bincount(2 * s + bit, minlength=2 * cm.SLOTS) for s in slots]
+    got = [np.zeros(2 * cm.SLOTS) for _ in cm.ORDERS]
+    began = time.process_time()
+    cm._count_bits(words, cls, got)
+    assert time.process_time() - began < 4 * placed
+    assert all((g == w).all() for g, w in zip(got, want))
+    cm._count_bits([], cls[:0], got)
+    assert all((g == w).all() for g, w in zip(got, want))
+
+
+def test_frequent_beginnings_are_those_of_all_words(spark, monkeypatch):
+    from pairloom.llm import context_mixing as cm
+
+    r = random.Random(15)
+    words = sorted({bytes(r.choice(b"aab\x00\xc3\xff'") for _ in range(r.randint(0, 40))) + b" " for _ in range(3_000)} | {b"a" * k + bytes([c]) + b" " for k in range(40) for c in range(98, 110)})
+    df = cm.materialize(spark.createDataFrame([(w,) for w in words], "w binary"))
+    n = Counter(w[:k] for w in words for k in range(1, min(len(w), cm.LONGEST) + 1))
+    for most in (256, 40):
+        monkeypatch.setattr(cm, "OPEN", most)
+        for least in (0.9, 2, 7.5, 100, 10_000):
+            got = cm._often(df, least)
+            assert got == sorted((w for w in n if n[w] > least), key=lambda w: (-n[w], w))[:most - 1]
+    open_ = cm.opened(words, 20)
+    tops, starts = cm.grouped(words, open_)
+    assert [cm.group_of(w, open_) for w in words] == [t for t, k in zip(tops, np.diff(starts, append=len(words))) for _ in range(k)]
+    assert cm.grouped([], open_)[0] == []
