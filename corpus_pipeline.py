@@ -19,10 +19,13 @@ from pairloom.llm import mixing, sentencepiece_codec, simhash, suffix_dedup, tox
 from pairloom.llm.common import materialize, table
 from pairloom.llm.queries import MODEL
 
+#: Bytes of an Arrow batch. All stages run in one session, so each finds what those before left in the executors' memory.
+ARROW = 1 << 20
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Null and empty texts are scored as empty. Labels of ids that docs lack teach nothing; without labels none is toxic."""
-    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels", ARROW))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +63,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage: doc_id (once per copy that the mix takes) and its tokens' digest."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", ARROW)
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):

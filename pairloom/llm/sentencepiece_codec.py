@@ -18,7 +18,7 @@ import heapq
 import re
 import string
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pairloom.llm.common import Shared, batches_of, releasing
 
 #: Words and pairs of pieces (2^n) that a worker remembers, and words of one length that advance together.
-WORDS, PAIRS, TOGETHER = 100_000, 20, 20_000
+WORDS, PAIRS, TOGETHER = 30_000, 20, 20_000
 #: Characters of text that are cut into words at a time.
 TEXT = 1_000_000
 _SPACE = "▁"
@@ -54,16 +54,10 @@ class Pieces:
         after_letter = {b for x in self.id for a, b in zip(x, x[1:]) if a.isalpha()}
         stops = "".join(c for c in string.punctuation if c not in after_letter)
         self.cut = rf"\n|▁*+[^\W\d_]++(?=[{re.escape(stops)}])|▁*[^▁\n]+|▁+" if stops else r"\n|▁*[^▁\n]+|▁+"
-        self._codec = None
 
     def codec(self) -> Codec:
-        """One per worker process: what it remembers serves all tasks there."""
-        if self._codec is None:
-            self._codec = Codec(self)
-        return self._codec
-
-    def __getstate__(self):
-        return self.__dict__ | {"_codec": None}
+        """One per worker process is enough (Shared.made): what it remembers serves all tasks there."""
+        return Codec(self)
 
 
 def merged(text: str, score: dict[str, float]) -> list[str]:
@@ -221,7 +215,7 @@ class Codec:
             out.append(array("i", reversed(ids)).tobytes())
         return out
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: Iterable[str]) -> None:
         """Remember the ids of words. When there are too many, those not asked for since the last time go."""
         if len(self.words) > WORDS:
             self.old, self.words = self.words, {}
@@ -244,8 +238,9 @@ class Codec:
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text."""
         for _, some in batches_of(texts, [len(t or "") for t in texts], TEXT):
-            cut = [self.cut.findall(_SPACE + t.replace(" ", _SPACE)) if t else [] for t in some]
-            self.learn(set().union(*cut))
+            one: dict[str, str] = {}  # of equal words one is kept
+            cut = [list(map(one.setdefault, found, found)) if (found := self.cut.findall(_SPACE + t.replace(" ", _SPACE)) if t else []) else [] for t in some]
+            self.learn(one)
             get = self.words.__getitem__
             for c in cut:
                 yield np.frombuffer(b"".join(map(get, c)), np.int32)
@@ -261,7 +256,7 @@ def encode_texts(docs: DataFrame, model_file: str) -> DataFrame:
     pieces = Shared(docs.sparkSession, Pieces(model_file))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = pieces.value.codec()
+        codec = pieces.made(Pieces.codec)
         for b in parts:
             ids = list(codec.encode(b.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), _lists(ids)], ["doc_id", "ids"])
@@ -279,7 +274,7 @@ def decode_ids(encoded: DataFrame, model_file: str) -> DataFrame:
     pieces = Shared(encoded.sparkSession, Pieces(model_file))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = pieces.value.codec()
+        codec = pieces.made(Pieces.codec)
         for b in parts:
             texts = [codec.decode(np.array(x.as_py() or [], np.int32)) for x in b.column("ids")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
@@ -295,7 +290,7 @@ def token_digests(docs: DataFrame, model_file: str) -> DataFrame:
     pieces = Shared(docs.sparkSession, Pieces(model_file))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = pieces.value.codec()
+        codec = pieces.made(Pieces.codec)
         fallback = np.zeros(codec.size, bool)
         fallback[list(pieces.value.bytes.values())] = True
         for b in parts:

@@ -570,6 +570,45 @@ def test_token_digests(spark, docs, rows, codec):
     assert sentencepiece_codec.token_digests(empty(spark), MODEL).count() == 0
 
 
+def test_a_codec_goes_with_its_broadcast(spark, codec):
+    """A worker that drops the broadcast frees the codec at once; as a circle it stayed beside the next stage's memory."""
+    import gc
+    import weakref
+
+    from pairloom.llm.common import Shared
+
+    shared = Shared(spark, codec.p)
+    made = shared.made(sentencepiece_codec.Pieces.codec)
+    assert made is shared.made(sentencepiece_codec.Pieces.codec) and len(list(made.encode(["a b", "b a"]))) == 2
+    seen = weakref.ref(made)
+    gc.disable()
+    try:
+        shared.held.__dict__.clear()
+        del made
+        assert seen() is None
+    finally:
+        gc.enable()
+
+
+def test_equal_words_of_a_batch_are_one_string(codec, monkeypatch):
+    asked = []
+    monkeypatch.setattr(codec, "learn", lambda words, learn=codec.learn: (asked.append(list(words)), learn(words)))
+    assert len({g.tobytes() for g in codec.encode(["ab cd ab", "ab cd ab", "", None])}) == 2
+    assert len(asked) == 1 and sorted(asked[0]) == sorted(set(asked[0]))
+
+
+def test_workers_send_large_batches_in_slices(spark):
+    import pyarrow as pa
+
+    from pairloom.llm import common
+
+    rows = pa.RecordBatch.from_pydict({"i": list(range(5000)), "x": [bytes([i % 251]) * 2000 for i in range(5000)]})
+    long, none = pa.RecordBatch.from_pydict({"i": [1], "x": [b"y" * (3 * common.SENT)]}), rows.slice(0, 0)
+    got = list(common.releasing(lambda parts: parts)(iter([rows, long, none])))
+    assert pa.Table.from_batches(got).equals(pa.Table.from_batches([rows, long, none]))
+    assert all(b.num_rows == 1 or b.nbytes <= 1.1 * common.SENT for b in got) and len(got) >= rows.nbytes // common.SENT
+
+
 def test_common_words_are_those_of_all_training_text(spark):
     """A word that is common in one long training text counts, and held-out text does not; more texts than any sample took."""
     from pairloom.llm import context_mixing as cm
