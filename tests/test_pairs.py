@@ -3,6 +3,7 @@ import struct
 
 import pytest
 
+from pairloom.operators import candidates as C
 from pairloom.operators import pairs as P
 from pairloom.sources.places import normalise_places
 
@@ -56,6 +57,18 @@ def test_nested_sources_are_normalised(spark):
     assert got == [(1, "a", 1.5, -2.5, "cafe", "foo", "rome", "1"), (2, "a", 1.5, -2.5, None, "acme", "", None), (3, "b", None, None, None, "", "", None)]
 
 
+def test_nested_brands_without_a_name_leave_the_key_to_the_place(spark):
+    """A struct of nulls is no brand: places of different names share no key."""
+    schema = "rid long, id string, lon double, lat double, names struct<primary:string,common:string>, brand struct<names:struct<primary:string>,wikidata:string>"
+    rows = [(1, "a", 0.0, 0.0, ("Foo", None), ((None,), None)), (2, "b", 0.01, 0.0, ("Bar", None), ((None,), None)), (3, "c", 0.02, 0.0, ("Bar", "x"), (None, "Q1")),
+            (4, "d", 0.03, 0.0, (None, "y"), None), (5, "e", 0.04, 0.0, (None, "y"), None), (6, "f", 0.05, 0.0, ("Baz", None), ((" ACME",), None)), (7, "g", 0.06, 0.0, ("acme", None), (("  ",), "Q2"))]
+    places = normalise_places(spark.createDataFrame(rows, schema))
+    assert dict(places.select("rid", "name_key").collect()) == {1: "foo", 2: "bar", 3: "bar", 4: "", 5: "", 6: "acme", 7: "acme"}
+    assert sorted((r.rid_a, r.rid_b) for r in C.same_key_pairs(places, row_cap=None).collect()) == [(2, 3), (6, 7)]
+    flat = normalise_places(spark.createDataFrame([(1, "a", 0.0, 0.0, "Foo", None), (2, "b", 0.0, 0.0, "Foo", "Acme ")], "rid long, id string, lon double, lat double, names string, brand string"))
+    assert dict(flat.select("rid", "name_key").collect()) == {1: "foo", 2: "acme"}
+
+
 def test_missing_columns_say_nothing(spark):
     got = normalise_places(spark.createDataFrame([(1, 2, 0.0, 0.0)], "rid long, id long, lon double, lat double")).first()
     assert (got.category, got.name_key, got.locality) == (None, "", "")
