@@ -1,7 +1,9 @@
+import hashlib
 import json
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from pairloom.operators import candidates as C
 from pairloom.operators import pairs as P
@@ -48,6 +50,26 @@ def test_shortfalls_name_what_is_missing(places):
         P.geo_pairs(P.build_pools(places), 300)
 
 
+def test_pools_take_all_rows_of_a_cell(spark):
+    """4,050 rows at one spot; the only row of another place comes last by hash, so a cap on the cell's rows would lose it."""
+    last = max(range(4_050), key=lambda k: hashlib.md5(f"0|{k}".encode()).hexdigest())
+    rows = spark.range(4_050).select(F.col("id").alias("rid"), F.when(F.col("id") == last, 2).otherwise(1).cast("long").alias("id"), F.lit(2.0).alias("lon"), F.lit(48.0).alias("lat"),
+                                     F.lit("c").alias("category"), F.lit("").alias("name_key"), F.lit("").alias("locality"))
+    got = P.build_pools(rows).geo.collect()
+    assert len(got) == 5 and all(last in (r.rid_a, r.rid_b) for r in got)
+
+
+def test_pools_take_all_cells_and_names(spark):
+    """60,200 cells of four places each, and as many names of four: five pairs of every one."""
+    n, at = 60_200, F.floor(F.col("id") / 4)
+    rows = spark.range(4 * n).select(F.col("id").alias("rid"), "id", (at % 200 * 0.003).alias("lon"), (F.floor(at / 200) * 0.003).alias("lat"), F.lit("c").alias("category"),
+                                     F.concat_ws("/", F.floor(at / 4), F.col("id") % 4).alias("name_key"), F.lit("town").alias("locality"))
+    pools = P.build_pools(rows)
+    assert (pools.geo.count(), pools.brand.count()) == (5 * n, 5 * n)
+    few = P.build_pools(rows.filter("rid < 160"), P.Settings(geo_pool=50, brand_pool=50))
+    assert (few.geo.count(), few.brand.count()) == (50, 50)
+
+
 def test_nested_sources_are_normalised(spark):
     schema = ("rid long, id string, geometry binary, basic_category string, names struct<primary:string>, brand struct<names:struct<primary:string>>, "
               "addresses array<struct<freeform:string,locality:string>>, phones string")
