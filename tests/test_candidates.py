@@ -195,3 +195,49 @@ def test_rows_of_a_hot_name_travel_a_bounded_number_of_times(spark):
     df = spark.range(2_000).select(F.col("id").alias("rid"), "id", (F.col("id") * 1e-4).alias("lon"), F.lit(0.0).alias("lat"), F.lit("c").alias("category"), F.lit("x").alias("locality"), F.lit("k").alias("name_key"))
     pairs = C._blocked(df, 8)
     assert pairs.select("__i", "__j").distinct().count() <= C.BLOCKS * (C.BLOCKS + 1) / 2 and pairs.count() == 2_000 * 1_999 / 2
+
+
+def test_first_pairs_of_packed_bundles_equal_the_ranking_of_all(spark, monkeypatch):
+    """Hashes of pairs of bundles, whose row numbers have 1 to 19 digits, are looked at without a row for each pair."""
+    monkeypatch.setattr(C, "SLACK", 1)
+    monkeypatch.setattr(C, "PACKED", 0)
+    r = random.Random(15)
+    rids = sorted({r.randrange(10 ** r.randint(1, 18)) for _ in range(500)} | {9_223_372_036_854_775_807, -5})
+    rows = [(k, i % 170, -122.4 + i % 3 * 1e-5, 37.77 + r.choice([0.0, 0.1]), r.choice(["a", "b", None]), r.choice(["x", "y", "", None]), r.choice(["hot", "hot", "k"])) for i, k in enumerate(rids)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    asked = []
+    below = C.hashed.below
+    monkeypatch.setattr(C.hashed, "below", lambda *a: asked.append(1) or below(*a))
+    plain = lambda t: sorted(map(repr, t.collect()))
+    assert plain(C.near_capped(df, 2, pair_seed="p")) == plain(C.cap_pairs(C.near_pairs(df), ["band", "cx"], 2, "p")) and asked
+    asked.clear()
+    named = C.same_key_pairs(df, row_cap=None)
+    assert plain(C.same_key_capped(df, 2, row_cap=None, pair_seed="p", block=32)) == plain(C.cap_pairs(named, ["name_key"], 2, "p")) and asked
+
+
+def test_hashes_of_pairs_equal_md5():
+    import hashlib
+
+    import numpy as np
+    import pyarrow as pa
+    from pairloom.operators import hashed
+
+    r = random.Random(2)
+    values = [r.randrange(10 ** r.randint(1, 18)) for _ in range(400)] + [-7, 0, 2**63 - 1]
+    texts = hashed._Texts(pa.array(values, pa.int64()))
+    work = np.empty((6, hashed.CHUNK), np.uint32)
+    for seed in ("0", "cell", "a longer seed"):
+        for size in texts.sizes:
+            first = np.flatnonzero(texts.size == size)
+            second = np.array([r.randrange(len(values)) for _ in first])
+            got = hashed._hashes(seed.encode(), texts, size, first, second, work)
+            want = [int(hashlib.md5(f"{seed}|{values[a]}|{values[b]}".encode()).hexdigest()[:8], 16) for a, b in zip(first, second)]
+            fits = len(seed) + size + 2 + texts.sizes[-1] <= 55
+            assert got.tolist() == (want if fits else [0] * len(want)) and fits
+
+
+def test_rows_of_a_hot_name_travel_in_bundles(spark):
+    """9,000 rows of a name go to 8 blocks as some hundred rows, not as 81,000."""
+    df = spark.range(9_000).select(F.col("id").alias("rid"), "id", (F.col("id") * 1e-4).alias("lon"), F.lit(0.0).alias("lat"), F.lit("c").alias("category"), F.lit("x").alias("locality"), F.lit("k").alias("name_key"))
+    bundles = C._name_bundles(df, 512)
+    assert bundles.count() <= 100 and bundles.agg(F.sum("n")).first()[0] == 9_000 and bundles.agg(F.max("n")).first()[0] <= 2 * C.BUNDLE
